@@ -20,4 +20,28 @@ fit AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM cut LEFT JOIN fit USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op7_url_rules": URL_RULES}
+DECONTAMINATE = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+spans AS (SELECT item_id, w, least(13, len(w)) AS span FROM items WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, span, array_to_string(w[p:p + span - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, span, unnest(range(1, len(w) - span + 2)) AS p FROM spans)),
+places AS (
+  SELECT doc_id, p, span, array_to_string(w[p:p + span - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, span, unnest(range(1, len(w) - span + 2)) AS p FROM docs, (SELECT DISTINCT span FROM windows))),
+hits AS (SELECT doc_id, p, span, item_id FROM places JOIN windows USING (span, phrase)),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + span)) AS q FROM hits) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": DECONTAMINATE, "op7_url_rules": URL_RULES}

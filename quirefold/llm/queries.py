@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hilbert, media, packing, tokens, urlrules
+from . import decontaminate, hilbert, langid, media, packing, tokens, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: (verdict, host/path) of the URL rules that the query applies.
@@ -23,6 +23,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -39,15 +43,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.text_to_media(_table(spark, sf_dir, "documents"))
     return media.media_features(stored, ["doc_id", "n_bytes"]).drop("fingerprint")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": op1_decontaminate,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_url_rules": op7_url_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
     "op10_media_columns": op10_media_columns,
 }
