@@ -76,7 +76,7 @@ class Model:
             own, near = cluster(x[[lang == r[0] for r in rows]], k)
             centres.append(own)
             owner += [j] * len(own)
-            floor += [SLACK * float(near.min())] * len(own)
+            floor += [SLACK * float(near.min())] * len(own)  # the same for all centroids of the language
         self.centres = np.vstack(centres).astype(np.float32) if centres else np.zeros((0, BUCKETS), np.float32)
         self.owner, self.floor = np.array(owner, int), np.array(floor)
 
