@@ -83,3 +83,8 @@ def ranked(df: DataFrame, cls: str, order: list[str], total: int | None = None)
         .withColumn("class_rank", F.col("rank") - F.col("_class_from"))
         .drop("_bucket", "_from", "_class_from", "_row")
     )
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint if its rows take at most ``most`` bytes; else as it is, to be joined by a shuffle. df must be cheap to count."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df

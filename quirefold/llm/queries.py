@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hilbert, htmltext, langid, media, minhash, packing, tokens, urlrules
+from . import decontaminate, hilbert, htmltext, langid, media, minhash, packing, substrings, tokens, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: (verdict, host/path) of the URL rules that the query applies.
@@ -31,6 +31,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated_words(_table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(_table(spark, sf_dir, "pages"))
 
@@ -63,6 +67,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_html_text": op4_html_text,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_best_fit_packing": op6_best_fit_packing,
