@@ -30,8 +30,12 @@ def shingle(array: str, at: Column, size: int) -> Column:
 
 
 def _tokens(rows: DataFrame, size: int, *keep: str) -> DataFrame:
-    """A row for each place in the array column words: keep, pos, token (hash of the shingle that starts there)."""
-    return rows.select(*keep, "words", F.posexplode("words").alias("pos", "_w")).select(*keep, "words", "pos", shingle("words", F.col("pos"), size).alias("token"))
+    """A row for each place in the array column words: keep, pos, token (hash of the shingle that starts there).
+
+    The outer form keeps Spark from adding a filter that would split every text a second time; a text without words
+    gives one row with a null place.
+    """
+    return rows.select(*keep, "words", F.posexplode_outer("words").alias("pos", "_w")).select(*keep, "words", "pos", shingle("words", F.col("pos"), size).alias("token"))
 
 
 def _small(df: DataFrame, size: Column) -> bool:
@@ -81,9 +85,10 @@ def occurrences(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame
             & (moved + s + F.col("span") <= F.size("words"))
             & (F.slice("words", F.greatest(moved + s, F.lit(0)) + 1, F.col("span")) == F.slice("item_words", s + 1, F.col("span"))),
         )
-        hits = met.select(*keys, "item", moved.alias("moved"), "span", fits.alias("fits")).where(F.size("fits") > 0)
-        # all windows of one anchor hold its place, so what they cover is one run
-        hits = hits.select(*keys, "item", (F.col("moved") + F.array_min("fits")).alias("start"), (F.col("moved") + F.array_max("fits") + F.col("span")).alias("stop"))
+        # All windows of one anchor hold its place, so what they cover is one run. Comparing the words must not become a
+        # condition of the join: that would leave generated code and copy a text's words for each of its places.
+        run = F.struct((moved + F.array_min(fits)).alias("start"), (moved + F.array_max(fits) + F.col("span")).alias("stop"))
+        hits = met.select(*keys, "item", F.explode_outer(F.array(run)).alias("run")).select(*keys, "item", "run.*").where("start is not null")
         found = hits if found is None else found.unionByName(hits)
     return found
 
