@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, words
+from .common import broadcast_if_small, cut, words
 
 WINDOW, SHINGLE = 13, 3
 #: Estimated bytes up to which a side made from the benchmark is broadcast; beyond, the join is shuffled.
@@ -94,7 +94,7 @@ def occurrences(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), text_hash.
 
     Words: runs of letters, digits and code points from 0x80, A-Z lower-cased. Null or empty texts have no words and no
     hits. Items without words are skipped; an item with fewer words than the window is one window; a null item_id counts
@@ -109,7 +109,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     hits = occurrences(docs, items, keys)
     empty = F.sha2(F.lit(""), 256)
     if hits is None:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"), "text_hash")
     by_start = Window.partitionBy(*keys).orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(by_start), F.lit(0))))
     found = hits.withColumn("fresh", fresh).groupBy(*keys).agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
@@ -121,4 +121,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(F.sha2(F.array_join("items", ","), 256), empty).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "text_hash",
     )
+
+
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, in their own columns, that are not contaminated."""
+    bad = cut(contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "bad")
+    same = documents["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(documents["text"]) == bad["_hash"])
+    return documents.join(broadcast_if_small(bad, 24), same, "left_anti")

@@ -152,3 +152,10 @@ def identify_documents(documents: DataFrame, keep: list[str], per_language: int
     model = fit(train, per_language)
     rows = documents.withColumn("held_out", fold(F.col("doc_id")) == 1)
     return identify(rows, model, [*keep, "held_out"])
+
+
+def accepted(documents: DataFrame, per_language: int = SAMPLE) -> DataFrame:
+    """The documents, in their own columns, that are not rejected: they have letters and are near enough to a learned language."""
+    model = fit(documents.select("text", "lang", F.col("doc_id").alias("key")), per_language)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text").alias("_text"))
+    return identify(rows, model, ["row"], "_text").where("not rejected").select("row.*")

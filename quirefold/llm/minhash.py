@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import broadcast_if_small, cut, tidy
 from .components import connected_components
 from .shingles import mix, shingle_set
 
@@ -225,3 +225,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = table.join(named, ["set1", "set2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, in their own columns, without those of which a near-duplicate with a smaller doc_id stays."""
+    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    return docs.join(broadcast_if_small(gone, 16), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -216,12 +216,20 @@ def deduplicated_words(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated words taken out of text; texts without repeats stay as they are, white space included."""
+    """docs with the repeated words taken out of text; texts without repeats stay as they are, white space included.
+
+    A column n_chars, if there is one, follows the text where it changes.
+    """
     _, changed, copies = repeated_passages(docs)
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *_keys())
     gone = copies.withColumn("copy", F.lit(True))
     out = row.join(broadcast_if_small(gone, 48), ["doc", "d1", "d2"], "left").join(changed.drop("n_removed"), ["doc", "d1"], "left")
     short = F.size(F.array_remove(F.split("row.text", r"[\x20\x09-\x0D]+"), "")) < WINDOW
-    text = F.when(F.col("copy").isNotNull() & ~short, F.lit("")).otherwise(F.coalesce("kept", "row.text"))
-    return out.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names])
+    new = F.when(F.col("copy").isNotNull() & ~short, F.lit("")).otherwise(F.col("kept"))
+    cols = {c: F.col(f"row.`{c}`") for c in names}
+    cols["text"] = F.coalesce(new, "row.text")
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        cols["n_chars"] = F.when(new.isNull(), F.col("row.n_chars")).otherwise(F.length(new).cast(kind))
+    return out.select(*[e.alias(c) for c, e in cols.items()])
