@@ -17,8 +17,8 @@ from .shingles import mix, shingle_set
 ROWS, BANDS, BITS = 3, 20, 4
 #: Linked if 100 * intersection >= LINK * union; pairs estimated below CANDIDATE (six deviations less) are dropped.
 LINK, CANDIDATE = 85, 0.55
-#: Members and shingles of a block; larger buckets and groups are split into blocks that are compared pair by pair.
-BLOCK, BLOCK_SHINGLES = 128, 200_000
+#: Members of a block of a bucket; members and shingles of a block of a group. Larger ones are compared in block pairs.
+BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES = 512, 128, 200_000
 _LANES = BITS * ROWS * BANDS // 60  # signature words of 60 bits: 15 minima of 4 bits each
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -38,16 +38,16 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity of packed signatures (rows against rows): equal minima by bit counts, less those equal by chance."""
-    ones = np.uint64(0x111111111111111)
-    x = a.view(np.uint64)[:, None, :] ^ b.view(np.uint64)[None, :, :]
-    x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & ones
-    equal = 1 - np.bitwise_count(x).sum(2, dtype=np.int64) / (ROWS * BANDS)
-    chance = 2.0**-BITS
-    return (equal - chance) / (1 - chance)
+    ones, chance, parts = np.uint64(0x111111111111111), 2.0**-BITS, []
+    for at in range(0, len(a), 64):
+        x = a[at : at + 64].view(np.uint64)[:, None, :] ^ b.view(np.uint64)[None, :, :]
+        x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & ones
+        parts.append(1 - np.bitwise_count(x).sum(2, dtype=np.int64) / (ROWS * BANDS))
+    return (np.concatenate(parts) - chance) / (1 - chance)
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
+    """Edges of a spanning forest of a symmetric boolean matrix, from the first members on: groups in the same order give the same edges again."""
     todo, edges = np.ones(len(linked), bool), []
     for root in range(len(linked)):
         if not todo[root]:
@@ -135,9 +135,9 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     members = reps.select("doc_id", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = members.join(sizes, "band").join(reps.select("doc_id", "packed"), "doc_id")
-    met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    met = met.withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK))
     dealt = block_pairs(met, "blocks", ["band", "doc_id", "packed"]).select("band", "low", "high", "doc_id", "packed")
-    dealt = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    dealt = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 3):
@@ -176,8 +176,8 @@ def linked_pairs(sets: list[np.ndarray]) -> np.ndarray:
 def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Edges (a, b) that connect all truly linked pairs within each group of members (doc_id, n_shingles, label)."""
     sums = members.groupBy("label").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
-    placed = members.select("doc_id", "label").join(sums, "label")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(placed, "doc_id")
+    placed = cut(members.select("doc_id", "label").join(cut(sums, "blocks"), "label"), "placed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(placed, 48), "doc_id")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +186,7 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     sets = texts.select("doc_id", "label", "blocks", "text").mapInArrow(shingle, "doc_id long, label long, blocks long, shingles binary")
     dealt = block_pairs(sets, "blocks", ["label", "doc_id", "shingles"]).select("label", "low", "high", "doc_id", "shingles")
-    dealt = dealt.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high")
+    dealt = dealt.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "doc_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 3):
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     table = cut(shingle_table(docs), "sketches")
     whole = table.where("set1 is not null and doc_id is not null")
-    sets = whole.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"))
+    sets = cut(whole.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep")), "sets")
     reps = sets.join(whole, ["set1", "set2"]).where("doc_id = rep").select("doc_id", "n_shingles", "bands", "packed").dropDuplicates(["doc_id"])
     reps = cut(reps, "reps")
     near = connected_components(cut(candidate_edges(reps), "candidates"))
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tidy(spark)
     labels = connected_components(cut(exact_links(docs, members), "links"))
     named = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("label", "rep").alias("found"))
-    out = table.join(named, ["set1", "set2"], "left")
+    out = table.join(cut(named, "named"), ["set1", "set2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -59,6 +59,7 @@ def test_awkward_rows(spark):
 
 def test_group_of_many_near_copies_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BUCKET_BLOCK", 4)
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[: 5 * (i % 7)] + [f"x{i}"] * (i % 3) + base[5 * (i % 7) + 1 :])) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
