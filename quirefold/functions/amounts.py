@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .text import collapse
 
 # Policies with the separators that may group thousands and those that may mark decimals.
@@ -33,34 +34,46 @@ def amount(text: Column, policy: str = DEFAULT_POLICY, currency: str = "unspecif
     string outside the policy's grammar is ambiguous, unsupported or parse_failed, with the reason.
     """
     whole, cents = shape(policy)
-    body0 = collapse(F.coalesce(text, F.lit("")))
-    mark = F.lower(F.regexp_extract(body0, MARKER, 1))
-    body = F.regexp_replace(body0, MARKER, "")
-    digits = F.regexp_replace(F.when(body.rlike(cents), F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body), "[.,]", "")
-    integer = F.regexp_replace(digits, "^0+(?=.)", "")
-    fraction = F.when(body.rlike(cents), F.right(body, F.lit(2)))
-    value = F.when(fraction.isNull() | (fraction == "00"), integer).otherwise(F.concat(integer, F.lit("."), fraction))
+
+    def judge(v: Column) -> Column:
+        raw, mark, body = v["raw"], v["mark"], v["body"]
+        return let(
+            F.struct(raw.alias("raw"), mark.alias("mark"), body.alias("body"), body.rlike(whole).alias("whole"), body.rlike(cents).alias("cents")),
+            lambda x: let(_outcome(x), lambda o: _result(x, o, currency)),
+        )
+
+    def split(raw: Column) -> Column:
+        return let(F.struct(raw.alias("raw"), F.lower(F.regexp_extract(raw, MARKER, 1)).alias("mark"), F.regexp_replace(raw, MARKER, "").alias("body")), judge)
+
+    return let(collapse(F.coalesce(text, F.lit(""))), split)
+
+
+def _outcome(x: Column) -> Column:
+    """struct(status, reason): the first check that applies."""
+    body = x["body"]
     checks = [
-        (body0 == "", "no_candidate", None),
+        (x["raw"] == "", "no_candidate", None),
         (body == "", "parse_failed", "currency_marker_only"),
+        (x["whole"] | x["cents"], "ok", None),
         (body.contains("%"), "unsupported", "percentage"),
         (body.rlike(r"^[-+(−]|[-)]$|−"), "unsupported", "sign_or_refund"),
         (body.contains(" "), "ambiguous", "multiple_or_spaced_amounts"),
         (~body.rlike(r"^[0-9.,]+$"), "parse_failed", "non_numeric_characters"),
-        (~(body.rlike(whole) | body.rlike(cents)), "ambiguous", "separator_grammar"),
     ]
-    status = reason = None
-    for test, state, why in checks:
-        status = F.when(test, state) if status is None else status.when(test, state)
-        reason = F.when(test, F.lit(why).cast("string")) if reason is None else reason.when(test, why)
-    status = status.otherwise("ok")
+    out = None
+    for test, status, reason in checks:
+        pair = F.struct(F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
+        out = F.when(test, pair) if out is None else out.when(test, pair)
+    return out.otherwise(F.struct(F.lit("ambiguous").alias("status"), F.lit("separator_grammar").alias("reason")))
+
+
+def _result(x: Column, o: Column, currency: str) -> Column:
+    body, mark, ok = x["body"], x["mark"], o["status"] == "ok"
+    digits = F.regexp_replace(F.when(x["cents"], F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body), "[.,]", "")
+    integer, fraction = F.regexp_replace(digits, "^0+(?=.)", ""), F.right(body, F.lit(2))
+    value = F.when(~x["cents"] | (fraction == "00"), integer).otherwise(F.concat(integer, F.lit("."), fraction))
     unit = F.when(mark.startswith("rp") | (mark == "idr"), "IDR").when(mark.isin("php", "₱"), "PHP").otherwise(currency)
-    return F.struct(
-        status.alias("parse_status"),
-        F.when(status == "ok", value).alias("normalized_amount"),
-        F.when(body0 == "", F.lit(currency)).otherwise(unit).alias("currency"),
-        reason.alias("reason"),
-    )
+    return F.struct(o["status"].alias("parse_status"), F.when(ok, value).alias("normalized_amount"), unit.alias("currency"), o["reason"].alias("reason"))
 
 
 def is_amount(text: Column, policy: str = DEFAULT_POLICY) -> Column:

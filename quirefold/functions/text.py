@@ -95,22 +95,23 @@ def page_key(words_: Column) -> Column:
     return F.transform(words_, F.lower)
 
 
-@F.pandas_udf("string")
-def _nfkc_fold(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+def _nfkc(text: Column, fold: bool) -> Column:
+    """NFKC, and case folding if asked for, in Arrow batches. The function is made on call: it needs a session."""
 
+    @F.pandas_udf("string")
+    def normalized(batch: pd.Series) -> pd.Series:
+        flat = batch.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+        return flat.map(lambda x: None if x is None else x.casefold()) if fold else flat
 
-@F.pandas_udf("string")
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return normalized(text)
 
 
 def key_text(text: Column, ascii_only: bool = False) -> Column:
     """STR-10: NFKC, case folded, everything but word characters removed. ascii_only: the caller knows that it is; no Python then."""
-    folded = F.lower(text) if ascii_only else _nfkc_fold(text)
+    folded = F.lower(text) if ascii_only else _nfkc(text, True)
     return F.regexp_replace(folded, f"{NOT_WORD}+", "")
 
 
 def clean(text: Column, ascii_only: bool = False) -> Column:
     """STR-11: NFKC and collapsed white space."""
-    return collapse(text if ascii_only else _nfkc(text))
+    return collapse(text if ascii_only else _nfkc(text, False))

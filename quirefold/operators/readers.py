@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 #: Tokens a window holds and by how many the next one overlaps; tokens besides question and words; longest answer in tokens.
 WINDOW, OVERLAP, SPECIAL, LONGEST = 512, 128, 4, 15
 
@@ -29,24 +31,37 @@ def windows(pages: DataFrame, key: str, n_question: Column, n_tokens: Column) ->
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    """Probabilities of an array of logits."""
 
+    def spread(x: Column, top: Column) -> Column:
+        weights = F.transform(x, lambda v: F.exp(v - top))
+        return let(weights, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(e, lambda v: v / total)))
+
+    return let(logits, lambda x: let(F.array_max(x), lambda top: spread(x, top)))
 
-def decode_span(rows: DataFrame, key: str, start: Column, end: Column, longest: int = LONGEST) -> DataFrame:
-    """ML-02: key, answer_start, answer_end, score from arrays of start and end logits.
+
+def best_span(start: Column, end: Column, longest: int = LONGEST) -> Column:
+    """ML-02: struct(answer_start, answer_end, score) from arrays of start and end logits.
 
     The span with the largest product of the two softmax values, at most ``longest`` positions wide; the lowest start,
     then the lowest end, wins ties. Per start only the best end is kept, so the work is linear in the window.
     """
-    probs = rows.select(key, softmax(start).alias("p"), softmax(end).alias("q"))
-    near = F.transform("q", lambda _, i: F.array_max(F.slice("q", i + 1, longest)))
-    scored = probs.select(key, "q", F.transform(F.arrays_zip(F.col("p").alias("p"), near.alias("m")), lambda x: x["p"] * x["m"]).alias("s"))
-    best = scored.withColumn("answer_start", (F.array_position("s", F.array_max("s")) - 1).cast("int"))
-    offset = F.slice("q", F.col("answer_start") + 1, longest)
-    return best.select(key, "answer_start", (F.col("answer_start") + F.array_position(offset, F.array_max(offset)) - 1).cast("int").alias("answer_end"), F.array_max("s").alias("score"))
+
+    def pick(p: Column, q: Column) -> Column:
+        score = F.transform(p, lambda v, i: v * F.array_max(F.slice(q, i + 1, longest)))
+        return let(score, lambda s: let(F.array_max(s), lambda top: let((F.array_position(s, top) - 1).cast("int"), lambda at: place(q, top, at))))
+
+    def place(q: Column, top: Column, at: Column) -> Column:
+        near = F.slice(q, at + 1, longest)
+        to = (at + F.array_position(near, F.array_max(near)) - 1).cast("int")
+        return F.struct(at.alias("answer_start"), to.alias("answer_end"), top.alias("score"))
+
+    return let(softmax(start), lambda p: let(softmax(end), lambda q: pick(p, q)))
+
+
+def decode_span(rows: DataFrame, key: str, start: Column, end: Column, longest: int = LONGEST) -> DataFrame:
+    """ML-02: key, answer_start, answer_end, score of each row."""
+    return rows.select(key, best_span(start, end, longest).alias("b")).select(key, "b.*")
 
 
 def read_answers(pages: DataFrame, key: str, reader: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import finite
 from ..functions.text import collapse
 
 ID = r"^[A-Za-z0-9_.:-]{1,64}$"
@@ -26,8 +25,8 @@ def document_violation(words: Column, boxes: Column, width: Column, height: Colu
     The page's sides are compared with the extremes of all boxes, outside the functions over single boxes: Spark would
     evaluate an outer expression again for each of them.
     """
-    shaped = F.forall(boxes, lambda b: (F.size(b) == 4) & F.forall(b, finite) & (b[0] <= b[2]) & (b[1] <= b[3]))
-    side = lambda i, f: f(F.transform(boxes, lambda b: b[i]))
+    shaped = F.coalesce(F.forall(boxes, lambda b: (F.size(b) == 4) & (b[0] <= b[2]) & (b[1] <= b[3])), F.lit(False))
+    side = lambda i, f: f(F.transform(boxes, lambda b: b[i]))  # noqa: E731  NaN is the largest number
     inside = (side(0, F.array_min) >= 0) & (side(1, F.array_min) >= 0) & (side(2, F.array_max) <= width) & (side(3, F.array_max) <= height)
     bad_side = ~width.between(1, MOST_SIDE) | ~height.between(1, MOST_SIDE)
     return first_violation([
