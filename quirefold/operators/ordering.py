@@ -29,3 +29,19 @@ def hash_running_total(df: DataFrame, hashed: str, amount: str, out: str = "befo
     sums = sums.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
     within = F.coalesce(F.sum(amount).over(Window.partitionBy("_range").orderBy(hashed).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranges.withColumn("_sum", within).join(F.broadcast(sums), "_range").withColumn(out, F.col("_from") + F.col("_sum")).drop("_range", "_from", "_sum")
+
+
+def group_rank(df: DataFrame, group: str, key: str, out: str = "rank", rows: int = 4096) -> DataFrame:
+    """Add the rank (from 0) of each row within its group, in the order of a numeric key.
+
+    The key's range is cut into even steps of about ``rows`` rows; their counts per group are summed up, so that a group
+    that holds most rows is still ranked by many tasks.
+    """
+    facts = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).first()
+    steps = max(1, (facts["n"] or 0) // rows)
+    width = max(1, ((facts["hi"] or 0) - (facts["lo"] or 0)) // steps + 1)
+    cut = df.withColumn("_step", F.floor((F.col(key) - F.lit(facts["lo"] or 0)) / F.lit(width)))
+    before = Window.partitionBy(group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(group, "_step").agg(F.count("*").alias("_n")).select(group, "_step", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    within = F.row_number().over(Window.partitionBy(group, "_step").orderBy(key)) - 1
+    return cut.withColumn("_row", within).join(sums, [group, "_step"]).withColumn(out, F.col("_from") + F.col("_row")).drop("_step", "_from", "_row")

@@ -96,3 +96,27 @@ def manifest_conflicts(data: DataFrame, split: DataFrame, key: str, role: str) -
     both = a.join(b, key, "full_outer")
     problem = F.when(F.col("_a").isNull(), "only_in_split").when(F.col("_b").isNull(), "only_in_data").when(F.col("_a") != F.col("_b"), "role_differs")
     return both.select(key, problem.alias("problem")).where("problem is not null")
+
+
+def annotation_violation(status: Column, raw: Column, canonical: Column, parsed: Column) -> Column:
+    """VAL-09: a user's annotation: known status, a raw value that parses, and a canonical value that agrees with it."""
+    amount = parsed["parse_status"] == "ok"
+    return first_violation([
+        (~status.isin("present", "absent"), "unknown_status"),
+        ((status == "absent") & (raw.isNotNull() | canonical.isNotNull()), "absent_with_value"),
+        ((status == "present") & raw.isNull(), "present_without_value"),
+        ((status == "present") & ~amount, "unparseable"),
+        ((status == "present") & canonical.isNotNull() & (canonical != parsed["normalized_amount"]), "contradictory"),
+    ])
+
+
+def mixed_runs(rows: DataFrame, run: str, identity: list[str]) -> DataFrame:
+    """VAL-17: runs whose rows do not share one identity (code, controls, test set): run, identities."""
+    return rows.groupBy(run).agg(F.countDistinct(F.struct(*identity)).alias("identities")).where("identities > 1")
+
+
+def check_range(name: str, value: float, low: float, high: float) -> float:
+    """VAL-11: a control inside its range, NaN excluded; for the driver."""
+    if not low <= value <= high:
+        raise ValueError(f"{name} must be between {low} and {high}")
+    return value

@@ -294,6 +294,31 @@ SELECT receipt, field, first, second FROM c WHERE gone OR abs(first - second) >
         "json_lines": """SELECT event_id, CASE WHEN event_id % 10 > 1 THEN json_extract(props, '$.k')::INT END AS k, CASE WHEN event_id % 10 = 0 THEN 'REFUSED' WHEN event_id % 10 = 1 THEN 'ARRAY' ELSE 'OBJECT' END AS kind FROM events""",
         "ocr_rows": f"""WITH {LINES}, c AS (SELECT receipt, line, pos::INT AS pos, CASE WHEN line = 102 AND pos = 0 THEN '' ELSE text END AS text, x0, least(400.0, CASE WHEN pos = 3 THEN x0 ELSE x1 END) AS x1, CASE WHEN line <> 101 THEN confidence END AS confidence FROM tokens)
 SELECT receipt, line, pos, text, x1, confidence, CASE WHEN text = '' THEN 'blank' WHEN x1 <= x0 THEN 'no_area' END AS reason FROM c""",
+        "corpus_ids": "SELECT doc_id, format('{}-{:03d}', source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) AS id FROM documents",
+        "verified_rows": """WITH have AS (SELECT url AS path, strlen(html) AS n, sha256(html) AS sha FROM pages),
+listed AS (SELECT CASE WHEN page_id % 10 = 5 THEN url || '~' ELSE url END AS path, strlen(html) + CASE WHEN page_id % 10 = 4 THEN 1 ELSE 0 END AS n, CASE WHEN page_id % 10 = 3 THEN sha256(html || ' ') ELSE sha256(html) END AS sha FROM pages),
+j AS (SELECT coalesce(h.path, l.path) AS path, CASE WHEN h.path IS NULL THEN 'missing' WHEN l.path IS NULL THEN 'undeclared' WHEN h.n <> l.n THEN 'size' WHEN h.sha <> l.sha THEN 'digest' END AS problem FROM have h FULL JOIN listed l ON h.path = l.path)
+SELECT * FROM j WHERE problem IS NOT NULL""",
+        "ocr_cohort": f"""WITH d AS (SELECT doc_id AS receipt, min(doc_id) OVER (PARTITION BY text) AS first, len({words("text")})::INT AS n FROM documents)
+SELECT receipt, CASE WHEN first % 2 = 0 THEN 'ok' WHEN first % 3 = 0 THEN 'ocr_error' WHEN n = 0 THEN 'ocr_empty' ELSE 'ok' END AS status, first % 2 = 0 AS cached, CASE WHEN first % 2 = 0 OR first % 3 <> 0 THEN n ELSE 0 END AS n_tokens FROM d""",
+        "annotation_violations": f"""WITH {PREDICTIONS}, a AS (SELECT receipt, field, CASE WHEN receipt % 19 = 0 THEN 'absent' WHEN receipt % 23 = 0 THEN 'maybe' ELSE 'present' END AS status, raw_text, normalized_amount FROM predictions WHERE system_id = 'noisy'),
+v AS (SELECT receipt, field, CASE WHEN status = 'maybe' THEN 'unknown_status' WHEN status = 'absent' THEN CASE WHEN raw_text IS NOT NULL THEN 'absent_with_value' END WHEN raw_text IS NULL THEN 'present_without_value' WHEN receipt % 29 = 0 THEN 'contradictory' END AS violation FROM a)
+SELECT * FROM v WHERE violation IS NOT NULL""",
+        "expressible_amounts": f"""WITH {PREDICTIONS}, p AS (SELECT receipt % 3 AS style, contains(raw_text, '.') OR contains(raw_text, ',') AS sep FROM predictions WHERE system_id = 'exact'),
+q AS (SELECT style, policy, policy = 'cord_mixed_v1' OR NOT sep OR (style = 0 AND policy = 'comma_decimal_dot_grouping') OR (style = 1 AND policy = 'dot_decimal_comma_grouping') AS kept FROM p, (VALUES ('cord_mixed_v1'), ('dot_decimal_comma_grouping'), ('comma_decimal_dot_grouping')) v(policy))
+SELECT style, policy, count(*) AS n, count(*) FILTER (kept) AS kept FROM q GROUP BY 1, 2""",
+        "evaluation_rows": f"""WITH {LINES}, {PREDICTIONS.partition("refs AS")[1]}{PREDICTIONS.partition("refs AS")[2]},
+shown AS (SELECT receipt, string_agg(text, ' ' ORDER BY line, pos) AS page FROM tokens GROUP BY 1), gold AS (SELECT receipt, field, raw_text AS gold FROM predictions WHERE system_id = 'exact'),
+r AS (SELECT system_id, coalesce(raw_text, '') AS said, {norm("raw_text")} AS a, {norm("gold")} AS b, {norm("page")} AS page FROM predictions JOIN gold USING (receipt, field) JOIN shown USING (receipt)),
+s AS (SELECT *, {similarity("a", "b")} AS sim FROM r)
+SELECT system_id, count(*) AS n, round(avg(CASE WHEN sim >= 0.5 THEN sim ELSE 0.0 END), 9) AS anls, round(avg((a = b)::INT), 9) AS exact, round(avg((a <> '' AND len(string_split(a, ' ')) <= 20 AND contains(' ' || page || ' ', ' ' || a || ' '))::INT), 9) AS shown, round(avg((said = '')::INT), 9) AS empty FROM s GROUP BY 1""",
+        "prediction_digests": f"""WITH {PREDICTIONS}, j AS (SELECT system_id, receipt, '{{"fields":{{' || string_agg('"' || field || '":"' || coalesce(normalized_amount, 'none') || '|' || parse_status || '"', ',' ORDER BY field) || '}},"receipt":' || receipt || ',"system_id":"' || system_id || '"}}' AS t FROM predictions GROUP BY 1, 2)
+SELECT system_id, receipt, sha256(t) AS digest, length(t)::INT AS n_chars FROM j""",
+        "category_aliases": f"WITH {LINES} SELECT category, count(*) AS n FROM rlines GROUP BY 1",
+        "role_counts": f"""WITH {RECEIPTS}, i AS (SELECT l_orderkey AS receipt, count(*) AS k FROM lineitem GROUP BY 1) SELECT role, count(r.receipt) AS receipts, coalesce(sum(k), 0)::BIGINT AS items FROM (VALUES ('F'), ('O'), ('P'), ('X')) v(role) LEFT JOIN receipts r ON status = role LEFT JOIN i USING (receipt) GROUP BY role""",
+        "mixed_runs": "SELECT o_custkey, count(DISTINCT o_orderstatus || '|' || o_orderpriority) AS identities FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus || '|' || o_orderpriority) > 1",
+        "shared_words": f"""WITH {turns}, p AS (SELECT conv_id, turn, {words(norm("text"))} AS a, {words(norm("next_text"))} AS b FROM turns WHERE next_text IS NOT NULL)
+SELECT conv_id, turn, len(list_intersect(a, b)) > 0 AS shared, len(list_distinct(list_intersect(a, b)))::INT AS n_shared, a[-1] AS last FROM p""",
         "quoted_digests": """SELECT DISTINCT doc_id, d[2:41] AS digest FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^0-9a-f]([0-9a-f]{40})[^0-9a-f]')) AS d FROM (SELECT doc_id, ' ' || text || ' ' AS text FROM documents))""",
     }
     policies = {"cord_mixed_v1": (".,", ".,"), "dot_decimal_comma_grouping": (",", "."), "comma_decimal_dot_grouping": (".", ",")}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import amounts, geometry, hashing, numbers, text
 from ..operators import compare, metrics, ordering, pages, policy, readers, rules, validate
-from ..sources import adapters, files
+from ..sources import adapters, files, ocr
 from ..sources.adapters import CATEGORY, FIELDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -609,3 +609,136 @@ def ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quoted_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-24: 40-digit digests quoted in documents."""
     return files.quoted_digests(adapters.table(spark, sf_dir, "documents"), "doc_id", "text", 40)
+
+
+# -- corpora, cohorts, reports ----------------------------------------------------------------------
+
+
+@query
+def corpus_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04, WIN-01, SET-02: every document's place in its source as an id, ranked without one task per source."""
+    docs = adapters.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return ordering.group_rank(docs, "source", "doc_id").select("doc_id", F.format_string("%s-%03d", "source", "rank").alias("id"))
+
+
+@query
+def verified_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-03, SRC-06, SRC-07, SRC-08, SRC-17, JON-02: stored pages against a manifest of digests, a few of which are stale or missing."""
+    p = adapters.table(spark, sf_dir, "pages")
+    have = p.select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    sha = F.when(F.col("page_id") % 10 == 3, F.sha2(F.concat("html", F.lit(" ")), 256)).otherwise(F.sha2("html", 256))
+    size = F.octet_length("html").cast("long") + F.when(F.col("page_id") % 10 == 4, 1).otherwise(0)
+    path = F.when(F.col("page_id") % 10 == 5, F.concat("url", F.lit("~"))).otherwise(F.col("url"))
+    return files.verify_digests(have, p.select(path.alias("path"), size.alias("bytes"), sha.alias("sha256")))
+
+
+@query
+def ocr_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-19, SRC-20, SRC-21, JON-04: OCR of documents by content with a cache of every second one and a test double."""
+    docs = adapters.pages(spark, sf_dir).select(F.col("page_id").alias("receipt"), F.sha2("text", 256).alias("key"), "words")
+    known = docs.groupBy("key").agg(F.min("receipt").alias("first"), F.min_by("words", "receipt").alias("tokens"))
+    cache = known.where("first % 2 = 0").select("key", F.lit("ok").alias("status"), "tokens")
+    engine = ocr.table_engine(known.where("first % 3 <> 0").select("key", "tokens"))
+    out = ocr.cohort_ocr(docs.select("receipt", "key"), cache, engine)
+    return out.select("receipt", "status", "cached", F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"))
+
+
+@query
+def annotation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-04, VAL-09, SRC-15: annotations of a user's receipts, some contradictory."""
+    p = adapters.predictions(spark, sf_dir).where("system_id = 'noisy'")
+    status = F.when(F.col("receipt") % 19 == 0, "absent").when(F.col("receipt") % 23 == 0, "maybe").otherwise("present")
+    canonical = F.when(F.col("receipt") % 29 == 0, F.concat("normalized_amount", F.lit("0"))).otherwise(F.col("normalized_amount"))
+    why = validate.annotation_violation(status, F.col("raw_text"), canonical, amounts.amount(F.col("raw_text")))
+    return p.select("receipt", "field", why.alias("violation")).where("violation is not null")
+
+
+@query
+def expressible_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIL-07: how many amounts of each notation keep their value under each policy."""
+    p = adapters.predictions(spark, sf_dir).where("system_id = 'exact'").select((F.col("receipt") % 3).alias("style"), "raw_text", "normalized_amount")
+    cells = [F.struct(F.lit(name).alias("policy"), (amounts.amount(F.col("raw_text"), name)["normalized_amount"].eqNullSafe(F.col("normalized_amount"))).alias("kept")) for name in amounts.POLICIES]
+    return p.select("style", F.explode(F.array(*cells)).alias("c")).groupBy("style", "c.policy").agg(F.count("*").alias("n"), F.count_if("c.kept").alias("kept"))
+
+
+@query
+def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-03, AGG-02, AGG-19, NUM-05: systems' answers scored as texts against the right ones, with the share of answers on the page."""
+    t = adapters.receipt_tokens(spark, sf_dir)
+    shown = t.groupBy("receipt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "pos", "text"))), lambda x: x["text"]), " ").alias("page"))
+    p = adapters.predictions(spark, sf_dir)
+    gold = p.where("system_id = 'exact'").select("receipt", "field", F.col("raw_text").alias("gold"))
+    rows = p.join(gold, ["receipt", "field"]).join(shown, "receipt")
+    said = F.coalesce("raw_text", F.lit(""))
+    rows = rows.select("system_id", text.anls(said, F.col("gold")).alias("anls"), (text.normalize_answer(said) == text.normalize_answer(F.col("gold"))).alias("exact"), text.answer_on_page(said, F.col("page")).alias("shown"), (said == "").alias("empty"))
+    mean = lambda c: F.avg(F.col(c).cast("double")).alias(c)
+    return r9(rows.groupBy("system_id").agg(F.count("*").alias("n"), mean("anls"), mean("exact"), mean("shown"), mean("empty")), "anls", "exact", "shown", "empty")
+
+
+@query
+def prediction_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-05, HSH-02, JSN-03, SNK-02, ARR-03, MAP-02: each receipt's predictions as canonical JSON, and its digest."""
+    p = adapters.predictions(spark, sf_dir)
+    cell = F.struct("field", F.coalesce("normalized_amount", F.lit("none")).alias("normalized_amount"), "parse_status")
+    docs = p.groupBy("system_id", "receipt").agg(F.array_sort(F.collect_list(cell)).alias("fields"))
+    named = F.map_from_arrays(F.transform("fields", lambda x: x["field"]), F.transform("fields", lambda x: F.concat_ws("|", x["normalized_amount"], x["parse_status"])))
+    text_ = F.to_json(F.struct(named.alias("fields"), F.col("receipt"), F.col("system_id")))
+    return docs.select("system_id", "receipt", F.sha2(text_, 256).alias("digest"), F.length(text_).alias("n_chars"))
+
+
+@query
+def category_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-07, PRJ-08, MAP-02: lines counted by category after the alias of an older spelling is undone."""
+    old = F.when(F.col("receipt") % 2 == 0, F.regexp_replace("category", "^sub_total", "subtotal")).otherwise(F.col("category"))
+    lines = adapters.receipt_lines(spark, sf_dir).select(old.alias("category"))
+    return lines.groupBy(F.regexp_replace("category", r"^subtotal(?=\.|$)", "sub_total").alias("category")).agg(F.count("*").alias("n"))
+
+
+@query
+def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OPS-01, FIL-01, JON-04: receipts and line items per role of a fixed list, with true zeros."""
+    roles = spark.range(1).select(F.explode(F.array(*map(F.lit, ("F", "O", "P", "X")))).alias("role"))
+    r = adapters.receipts(spark, sf_dir)
+    sums = r.groupBy(F.col("status").alias("role")).agg(F.count("*").alias("receipts"), F.sum("n_items").alias("items"))
+    return roles.join(sums, "role", "left").select("role", F.coalesce("receipts", F.lit(0)).alias("receipts"), F.coalesce("items", F.lit(0)).alias("items"))
+
+
+@query
+def paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-15, EXP-02, EXP-04: questions by field with the paraphrase that a dictionary gives, and how alike they are."""
+    words = pages.parse_annotations(annotations(spark, sf_dir), "receipt", "json")
+    asked = pages.questions(pages.line_spans(words, "receipt"), "receipt").groupBy("question").agg(F.count("*").alias("n"))
+    book = F.create_map(*map(F.lit, ("What is the total amount?", "How much is the total?", "What is the subtotal?", "How much is the subtotal?")))
+    other = F.coalesce(F.element_at(book, F.col("question")), F.col("question"))
+    return r9(asked.select("question", other.alias("paraphrase"), "n", text.anls(other, F.col("question")).alias("anls")), "anls")
+
+
+@query
+def recoverability_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-20, ALN-03, DIA-01: per system and field: scoreable, recoverable, and exact match where recoverable."""
+    found = span_alignment(spark, sf_dir).select("receipt", "field", F.col("recoverable").startswith("recoverable").alias("there"))
+    rows = _scored(spark, sf_dir).where("correct is not null").join(found, ["receipt", "field"])
+    sums = rows.groupBy("system_id", "field").agg(F.count("*").alias("scoreable"), F.count_if("there").alias("recoverable"), F.count_if(F.col("there") & F.col("correct")).alias("right"))
+    return r9(sums.select("system_id", "field", "scoreable", "recoverable", numbers.rate(F.col("recoverable"), F.col("scoreable")).alias("share"), numbers.rate(F.col("right"), F.col("recoverable")).alias("em")), "share", "em")
+
+
+@query
+def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DIA-01, OPS-02, AGG-05: the rule system scored against the references, by field and parse status."""
+    found = rule_extraction(spark, sf_dir).withColumn("system_id", F.lit("rules"))
+    scored = metrics.field_scores(found, adapters.references(spark, sf_dir))
+    return scored.groupBy("field", "parse_status", "state").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct"))
+
+
+@query
+def mixed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-17, HSH-02: customers as runs whose orders do not share one identity of state and priority."""
+    return validate.mixed_runs(adapters.table(spark, sf_dir, "orders"), "o_custkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query
+def shared_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET-05, SET-06, ARR-08: whether a turn shares a word with the next one, and the first and last word."""
+    t = adapters.turns(spark, sf_dir).where("next_text is not null")
+    a, b = text.words(text.normalize_answer(F.col("text"))), text.words(text.normalize_answer(F.col("next_text")))
+    return t.select("conv_id", "turn", F.arrays_overlap(a, b).alias("shared"), F.size(F.array_intersect(a, b)).alias("n_shared"), F.try_element_at(F.reverse(a), F.lit(1)).alias("last"))

@@ -29,7 +29,7 @@ def extracted(spark, *lines):
 
 def test_longer_phrases_are_taken_first(spark):
     got = extracted(spark, "Sub Total 10.000", "TOTAL: Rp 11.000")
-    assert got["subtotal_amount"] == ("ok", "10.000", "10000") and got["total_amount"] == ("ok", "Rp 11.000", "11000") or got["total_amount"][2] == "11000"
+    assert got["subtotal_amount"] == ("ok", "10.000", "10000") and got["total_amount"] == ("ok", "Rp 11.000", "11000")
     assert got["tax_amount"] == ("no_candidate", None, None)
 
 
@@ -54,7 +54,7 @@ def totals(spark, good, bad, wrong_score):
 
 def test_policies(spark):
     best = policy.select(policy.sweep(totals(spark, 40, 10, 0.1))).first()
-    assert best["policy_feasible"] and best["accepted"] == 42 - 2 and best["errors"] == 0 and math.isclose(best["coverage"], 0.8)
+    assert best["policy_feasible"] and best["accepted"] == 40 and best["errors"] == 0 and math.isclose(best["coverage"], 0.8)
     none = policy.select(policy.sweep(totals(spark, 10, 40, 0.95))).first()
     assert not none["policy_feasible"] and none["kind"] == "refer_all" and none["threshold"] is None
     point = policy.coverage_point(policy.sweep(totals(spark, 40, 10, 0.1)), 0.3).first()
@@ -80,7 +80,7 @@ def test_splits_and_families(spark):
     groups = spark.createDataFrame([(i, 1 + i % 3) for i in range(30)], "page long, n long")
     split = {r["page"]: r for r in pages.greedy_split(groups, "page", "n", 12, 9, "t").collect()}
     size = {s: sum(r["n"] for r in split.values() if r["split"] == s) for s in ("test", "validation", "train")}
-    assert 12 <= size["test"] < 15 and 9 <= size["validation"] < 12 and sum(size.values()) == 60 - 0
+    assert 12 <= size["test"] < 15 and 9 <= size["validation"] < 12 and sum(size.values()) == 60
     docs = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "x"), (4, "b", "y"), (5, "c", "x")], "id long, text string, role string")
     assert {r["id"]: r["verdict"] for r in pages.duplicate_families(docs, "id", F.col("text"), F.col("role")).collect()} == {1: "kept", 2: "excluded", 3: "quarantined", 4: "quarantined"}
     got = {r["key"]: r["position"] for r in pages.seeded_order(spark, list(range(5)), 42).collect()}
