@@ -80,7 +80,7 @@ def agreement(scored: DataFrame, first: str, second: str) -> DataFrame:
     """CASE-03, AGG-12, JON-06: how two systems agree on each field: field, category, n."""
     a = scored.where(F.col("system_id") == first).select("receipt", "field", F.coalesce("correct", F.lit(False)).alias("a"))
     b = scored.where(F.col("system_id") == second).select("receipt", "field", F.coalesce("correct", F.lit(False)).alias("b"))
-    category = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), f"only_{first}").when(F.col("b"), f"only_{second}").otherwise("neither")
+    category = F.when(F.col("a") & F.col("b"), "both_exact").when(F.col("a"), f"{first}_only").when(F.col("b"), f"{second}_only").otherwise("neither_exact")
     return a.join(b, ["receipt", "field"]).groupBy("field", category.alias("category")).agg(F.count("*").alias("n"))
 
 

@@ -97,11 +97,11 @@ def panel_category(correct: Column, status: Column, recoverable: Column) -> Colu
     """CASE-02: what a failure panel shows of a total; null without a usable reference."""
     return (
         F.when(correct.isNull(), F.lit(None).cast("string"))
-        .when(correct, "correct")
-        .when(~recoverable, "not_recoverable")
-        .when(status == "ok", "wrong_value")
-        .when(status == "no_candidate", "no_candidate")
-        .otherwise("unparseable")
+        .when(correct, "success")
+        .when(status.isin("failed", "no_candidate"), "failure_or_no_candidate")
+        .when(status.isin("ambiguous", "unsupported"), "numeric_ambiguity")
+        .when(recoverable, "extraction_error")
+        .otherwise("ocr_loss")
     )
 
 

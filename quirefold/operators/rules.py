@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.amounts import DEFAULT_POLICY, MARKER, amount
-from ..functions.geometry import overlap_share, union_box
+from ..functions.geometry import clip, overlap_share, union_box
 from ..functions.text import key_text
+from .pages import ANNOTATION
 
 LONGEST_PHRASE, GAP, LEAST_SHARE, MOST_WORDS = 3, 1.5, 0.5, 4
 
@@ -111,25 +112,26 @@ def rule_extract(tokens: DataFrame, rules: DataFrame, fields: list[str], policy:
 def align(tokens: DataFrame, regions: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     """ALN-01, ALN-03, ARR-05, ARR-06, JON-11: receipt, field, status, start, end of the OCR span that shows a reference.
 
-    regions: receipt, field, normalized_amount, boxes. Spans are runs of up to four words of one line that parse to the
-    reference's amount, every word at least half inside one of its regions; of nested spans the smaller stays. One span
-    is aligned, more are ambiguous_alignment, none is not_found.
+    regions: receipt, field, state, normalized_amount, boxes. Spans are runs of up to four words of one line that parse
+    to the reference's amount and whose box lies at least half inside one of its regions; of nested spans the smaller
+    stays. One span is aligned, more are ambiguous_alignment, none is target_not_recoverable_from_ocr; a reference that
+    is not usable gives no_usable_reference.
     """
     lines = tokens.groupBy("receipt", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "box"))).alias("w"))
     runs = lines.select("receipt", "line", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))
     runs = runs.select("receipt", "line", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size("w") - F.col("start")))).alias("n"), "w")
     part = F.slice("w", F.col("start") + 1, F.col("n"))
-    runs = runs.select("receipt", "line", "start", (F.col("start") + F.col("n") - 1).alias("end"), F.transform(part, lambda x: x["box"]).alias("at"), amount(F.array_join(F.transform(part, lambda x: x["text"]), " "), policy).alias("a"))
+    runs = runs.select("receipt", "line", "start", (F.col("start") + F.col("n") - 1).alias("end"), union_box(F.transform(part, lambda x: x["box"])).alias("at"), amount(F.array_join(F.transform(part, lambda x: x["text"]), " "), policy).alias("a"))
     runs = runs.where("a.parse_status = 'ok'").select("receipt", "line", "start", "end", "at", F.col("a.normalized_amount").alias("normalized_amount"))
-    inside = F.forall("at", lambda b: F.exists("boxes", lambda r: overlap_share(b, r) >= LEAST_SHARE))
-    met = runs.join(regions, ["receipt", "normalized_amount"]).where(inside)
+    inside = F.exists("boxes", lambda r: overlap_share(F.col("at"), r) >= LEAST_SHARE)
+    met = runs.join(regions.where("state = 'present_usable'"), ["receipt", "normalized_amount"]).where(inside)
     spans = met.groupBy("receipt", "field").agg(F.collect_set(F.struct("line", "start", "end")).alias("s"))
     least = F.filter("s", lambda a: ~F.exists("s", lambda b: (a["line"] == b["line"]) & (a["start"] <= b["start"]) & (b["end"] <= a["end"]) & (b != a)))
     found = spans.select("receipt", "field", F.array_sort(least).alias("s"))
     n = F.coalesce(F.size("s"), F.lit(0))
     only = F.when(F.size("s") == 1, F.col("s")[0])
-    status = F.when(n == 0, "not_found").when(n == 1, "aligned").otherwise("ambiguous_alignment")
-    return regions.select("receipt", "field").join(found, ["receipt", "field"], "left").select(
+    status = F.when(F.col("state") != "present_usable", "no_usable_reference").when(n == 0, "target_not_recoverable_from_ocr").when(n == 1, "aligned").otherwise("ambiguous_alignment")
+    return regions.select("receipt", "field", "state").join(found, ["receipt", "field"], "left").select(
         "receipt", "field", status.alias("status"), n.alias("spans"), only["line"].alias("line"), only["start"].alias("start"), only["end"].alias("end")
     )
 
@@ -145,19 +147,67 @@ def recoverability(state: Column, ocr_status: Column, alignment: Column) -> Colu
     )
 
 
-def reference_states(tokens: DataFrame, fields: dict[str, str], policy: str = DEFAULT_POLICY) -> DataFrame:
-    """REF-01: receipt, field, state, normalized_amount from annotated lines.
+def reference_states(rows: DataFrame, key: str, text: str, fields: dict[str, str], width: int, height: int, policy: str = DEFAULT_POLICY) -> DataFrame:
+    """REF-01, JSN-02: key, field, state, reason, normalized_amount, n_lines from JSON annotations.
 
-    not_annotated: no line of the category; values_unparseable: a line whose value words are no amount;
-    values_disagree: lines with different amounts; else present_usable.
+    In this order: a page size other than the image's makes all fields invalid; conflicting groups under an old and a
+    new name are ambiguous; a field on no line is not annotated, or ambiguous if only the parsed part has it; words
+    without a box make it invalid; value words must be amounts that agree on all lines; and the parsed part, a string or
+    a list of strings, must agree with them.
     """
-    name = F.create_map(*[F.lit(x) for f, c in fields.items() for x in (c, f)])
-    value = tokens.where(F.col("category").isin(*fields.values())).groupBy("receipt", "category", "line").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("is_key"), F.struct("pos", "text")))).alias("v")
+    doc = rows.select(key, F.from_json(text, ANNOTATION).alias("d")).select(key, "d.*")
+    size = F.col("meta.image_size")
+    fits = F.coalesce((size["width"] == width) & (size["height"] == height), F.lit(False))
+
+    def side(quad: Column, a: str) -> Column:
+        return F.array(*[quad[f"{a}{i}"] for i in range(1, 5)])
+
+    def judged(line: Column) -> Column:
+        words = F.filter(line["words"], lambda w: F.trim(w["text"]) != "")
+        value = F.filter(words, lambda w: w["is_key"] == 0)
+        bad = F.exists(words, lambda w: clip(side(w["quad"], "x"), side(w["quad"], "y"), F.lit(width), F.lit(height)).isNull())
+        said = F.array_join(F.transform(value, lambda w: w["text"]), " ")
+        return F.struct(alias(line).alias("category"), (bad | (F.size(value) == 0)).alias("bad"), amount(said, policy).alias("a"))
+
+    def alias(line: Column) -> Column:
+        return F.regexp_replace(line["category"], r"^subtotal(?=\.|$)", "sub_total")
+
+    wanted = F.filter("valid_line", lambda line: alias(line).isin(*fields.values()))
+    lines = doc.select(key, F.explode(F.transform(wanted, judged)).alias("l")).select(key, "l.*")
+    sums = lines.groupBy(key, "category").agg(
+        F.count("*").alias("n_lines"), F.bool_or("bad").alias("bad"), F.bool_or(F.col("a.parse_status") != "ok").alias("unparsed"),
+        F.min("a.normalized_amount").alias("lo"), F.max("a.normalized_amount").alias("hi"),
     )
-    parsed = value.select("receipt", "category", amount(F.array_join(F.transform("v", lambda x: x["text"]), " "), policy).alias("a"))
-    sums = parsed.groupBy("receipt", "category").agg(F.count_if(F.col("a.parse_status") != "ok").alias("bad"), F.min("a.normalized_amount").alias("lo"), F.max("a.normalized_amount").alias("hi"))
-    named = sums.select("receipt", F.element_at(name, F.col("category")).alias("field"), "bad", "lo", "hi")
-    every = tokens.select("receipt").distinct().select("receipt", F.explode(F.array(*map(F.lit, fields))).alias("field"))
-    state = F.when(F.col("bad").isNull(), "not_annotated").when(F.col("bad") > 0, "values_unparseable").when(F.col("lo") != F.col("hi"), "values_disagree").otherwise("present_usable")
-    return every.join(named, ["receipt", "field"], "left").select("receipt", "field", state.alias("state"), F.when(state == "present_usable", F.col("lo")).alias("normalized_amount"))
+
+    def parsed(category: str) -> Column:
+        group, leaf = category.split(".")
+        own = F.try_variant_get("gt_parse", f"$.{group}", "variant")
+        old = F.try_variant_get("gt_parse", "$.subtotal", "variant") if group == "sub_total" else F.lit(None).cast("variant")
+        clash = own.isNotNull() & old.isNotNull() & (F.to_json(own) != F.to_json(old))
+        value = F.try_variant_get(F.coalesce(own, old), f"$.{leaf}", "variant")
+        kind = F.schema_of_variant(value)
+        items = F.when(kind == "STRING", F.array(F.try_variant_get(value, "$", "string"))).when(kind == "ARRAY<STRING>", F.try_variant_get(value, "$", "array<string>"))
+        return F.struct(F.lit(category).alias("category"), F.coalesce(clash, F.lit(False)).alias("clash"), value.isNotNull().alias("given"), items.alias("items"))
+
+    cells = doc.select(key, fits.alias("fits"), F.explode(F.array(*map(parsed, fields.values()))).alias("g")).select(key, "fits", "g.*")
+    cells = cells.withColumn("p", F.transform("items", lambda i: amount(i, policy)["normalized_amount"])).join(sums, [key, "category"], "left")
+    same = F.forall("p", lambda v: v.eqNullSafe(F.col("lo")))
+    checks = [
+        (~F.col("fits"), "invalid_reference", "annotation_image_size_mismatch"),
+        (F.col("clash"), "ambiguous_reference", "sub_total_alias_conflict"),
+        (F.col("n_lines").isNull() & ~F.col("given"), "not_annotated", None),
+        (F.col("n_lines").isNull(), "ambiguous_reference", "gt_parse_without_value_words"),
+        (F.col("bad"), "invalid_reference", "invalid_or_missing_value_words"),
+        (F.col("unparsed"), "ambiguous_reference", "unparseable_source_value"),
+        (F.col("lo") != F.col("hi"), "ambiguous_reference", "multiple_incompatible_values"),
+        (F.col("given") & F.col("items").isNull(), "ambiguous_reference", "structured_gt_parse_value"),
+        (F.col("given") & ~same, "ambiguous_reference", "gt_parse_value_word_disagreement"),
+    ]
+    state = reason = None
+    for test, name, why in checks:
+        why = F.lit(why).cast("string")
+        state = F.when(test, name) if state is None else state.when(test, name)
+        reason = F.when(test, why) if reason is None else reason.when(test, why)
+    state = state.otherwise("present_usable")
+    field = F.element_at(F.create_map(*[F.lit(x) for f, c in fields.items() for x in (c, f)]), F.col("category"))
+    return cells.select(key, field.alias("field"), state.alias("state"), reason.alias("reason"), F.when(state == "present_usable", F.col("lo")).alias("normalized_amount"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))

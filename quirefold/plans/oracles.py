@@ -68,7 +68,7 @@ REFS = (
 refs AS (
   SELECT receipt, 'subtotal_amount' AS field, 'present_usable' AS state, subtotal::VARCHAR AS known FROM receipts
   UNION ALL SELECT receipt, 'tax_amount', CASE WHEN receipt % 7 = 0 THEN 'not_annotated' ELSE 'present_usable' END, tax::VARCHAR FROM receipts
-  UNION ALL SELECT receipt, 'total_amount', CASE WHEN receipt % 5 = 0 AND receipt % 2 = 1 THEN 'values_disagree' ELSE 'present_usable' END, total::VARCHAR FROM receipts)"""
+  UNION ALL SELECT receipt, 'total_amount', CASE WHEN receipt % 5 = 0 AND receipt % 2 = 1 THEN 'ambiguous_reference' ELSE 'present_usable' END, total::VARCHAR FROM receipts)"""
 )
 
 PREDICTIONS = (
@@ -234,8 +234,10 @@ SELECT receipt, field, question, template, v0::INT AS answer_start, v1::INT AS a
         "keyword_rules": f"WITH {RULES} SELECT field, phrase, support, round(purity, 9) AS purity FROM rules",
         "reference_states": f"""WITH {LINES}, v AS (SELECT receipt, category, line, string_agg(text, ' ' ORDER BY pos) FILTER (NOT is_key) AS said FROM tokens WHERE category <> 'menu.nm' GROUP BY 1, 2, 3),
 a AS (SELECT receipt, {name} AS field, said = '10%' AS bad, regexp_replace(regexp_replace(said, '^Rp ', ''), '[.,]', '', 'g') AS value FROM v),
-g AS (SELECT receipt, field, bool_or(bad) AS bad, min(value) AS lo, max(value) AS hi FROM a GROUP BY 1, 2)
-SELECT receipt, field, CASE WHEN bad THEN 'values_unparseable' WHEN lo <> hi THEN 'values_disagree' ELSE 'present_usable' END AS state, CASE WHEN NOT bad AND lo = hi THEN lo END AS normalized_amount FROM g""",
+g AS (SELECT receipt, field, bool_or(bad) AS bad, min(value) AS lo, max(value) AS hi, count(*) AS n_lines FROM a GROUP BY 1, 2)
+SELECT receipt, field, CASE WHEN reason IS NULL THEN 'present_usable' ELSE 'ambiguous_reference' END AS state, reason, CASE WHEN reason IS NULL THEN lo END AS normalized_amount, n_lines FROM (
+  SELECT *, CASE WHEN field <> 'total_amount' AND receipt % 31 = 0 THEN 'sub_total_alias_conflict' WHEN bad THEN 'unparseable_source_value' WHEN lo <> hi THEN 'multiple_incompatible_values'
+    WHEN field = 'total_amount' AND receipt % 37 <> 0 AND receipt % 41 = 0 THEN 'structured_gt_parse_value' WHEN field = 'total_amount' AND receipt % 37 <> 0 AND receipt % 41 <> 0 AND receipt % 43 = 0 THEN 'gt_parse_value_word_disagreement' END AS reason FROM g)""",
         "rule_extraction": f"""WITH {LINES}, f AS (SELECT receipt, unnest(['subtotal_amount', 'tax_amount', 'total_amount']) AS field, unnest([subtotal, tax, total]) AS v, style FROM receipts),
 p AS (SELECT *, CASE field WHEN 'subtotal_amount' THEN 100 WHEN 'tax_amount' THEN 101 ELSE 102 END AS line FROM f),
 s AS (SELECT *, CASE WHEN field = 'tax_amount' AND receipt % 7 = 0 THEN 'below' WHEN field = 'total_amount' AND receipt % 5 = 0 AND receipt % 2 = 1 THEN 'ambiguous' ELSE 'ok' END AS how FROM p),
@@ -253,12 +255,12 @@ SELECT system_id, field, receipts, usable, correct, round({rate("correct", "usab
 r AS (SELECT system_id, receipt, bool_or(field = 'total_amount' AND correct IS NOT NULL) AS has, bool_and(correct) AS ok FROM scored GROUP BY 1, 2), a AS (SELECT system_id, count(*) AS receipts, count(*) FILTER (ok) AS matching FROM r WHERE has GROUP BY 1)
 SELECT system_id, round(field_macro_em, 9) AS field_macro_em, contributors, receipts, matching, round({rate("matching", "receipts")}, 9) AS share FROM m JOIN a USING (system_id)""",
         "metrics_rollup": f"WITH {PREDICTIONS} SELECT system_id, field, count(correct) AS usable, round(avg(correct::INT), 9) AS em FROM scored GROUP BY ROLLUP (system_id, field)",
-        "state_crosstab": f"WITH {REFS} SELECT field, count(*) FILTER (state = 'present_usable') AS present_usable, count(*) FILTER (state = 'not_annotated') AS not_annotated, count(*) FILTER (state = 'values_disagree') AS values_disagree FROM refs GROUP BY field",
+        "state_crosstab": f"WITH {REFS} SELECT field, count(*) FILTER (state = 'present_usable') AS present_usable, count(*) FILTER (state = 'not_annotated') AS not_annotated, count(*) FILTER (state = 'ambiguous_reference') AS ambiguous_reference FROM refs GROUP BY field",
         "reason_strings": "SELECT user_id, string_agg(event_type || '=' || n, '; ' ORDER BY event_type || '=' || n) AS reasons FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY user_id",
         "ocr_summary": f"""WITH p AS (SELECT source, len({words("text")}) AS n FROM documents) SELECT source, count(*) AS n, list_sort(list(n))[count(*) // 2 + 1]::BIGINT AS upper_median, max(n)::BIGINT AS most FROM p GROUP BY source""",
         "latencies": "SELECT event_type, count(value) AS n, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.95), 9) AS p95, round(max(value), 9) AS most FROM events GROUP BY event_type",
         "system_agreement": f"""WITH {PREDICTIONS}, a AS (SELECT receipt, field, coalesce(correct, false) AS a FROM scored WHERE system_id = 'exact'), b AS (SELECT receipt, field, coalesce(correct, false) AS b FROM scored WHERE system_id = 'noisy')
-SELECT field, CASE WHEN a AND b THEN 'both' WHEN a THEN 'only_exact' WHEN b THEN 'only_noisy' ELSE 'neither' END AS category, count(*) AS n FROM a JOIN b USING (receipt, field) GROUP BY 1, 2""",
+SELECT field, CASE WHEN a AND b THEN 'both_exact' WHEN a THEN 'exact_only' WHEN b THEN 'noisy_only' ELSE 'neither_exact' END AS category, count(*) AS n FROM a JOIN b USING (receipt, field) GROUP BY 1, 2""",
         "system_disagreements": f"""WITH {PREDICTIONS}, d AS (SELECT receipt, field, a.raw_text AS first, b.raw_text AS second FROM predictions a JOIN predictions b USING (receipt, field) WHERE a.system_id = 'exact' AND b.system_id = 'lazy') SELECT * FROM d WHERE {norm("first")} <> {norm("second")}""",
         "answer_stability": f"""WITH {PREDICTIONS}, d AS (SELECT field, {norm("a.raw_text")} = {norm("b.raw_text")} AS same, a.span_score AS s0, b.span_score AS s1 FROM predictions a JOIN predictions b USING (receipt, field) WHERE a.system_id = 'exact' AND b.system_id = 'noisy')
 SELECT field, count(*) AS n, count(*) FILTER (same) AS same, round(avg(same::INT), 9) AS rate, round(avg(s0), 9) AS before, round(avg(s1), 9) AS after, round(avg(s1) - avg(s0), 9) AS delta FROM d GROUP BY field""",
@@ -274,7 +276,7 @@ SELECT *, round({rate("unflagged_scored", "usable")}, 9) AS scored_coverage, rou
   round({rate("unflagged", "receipts")}, 9) AS routing_coverage, unflagged - unflagged_scored AS unflagged_unscored, receipts - unflagged AS review_count FROM g""",
         "routes": f"""WITH {PREDICTIONS}, r AS (SELECT system_id, receipt, CASE WHEN parse_status <> 'ok' THEN 'total_' || parse_status WHEN span_score IS NULL THEN 'total_score_unavailable' WHEN span_score < 0.5 THEN 'score_below_threshold' END AS reason FROM totals)
 SELECT system_id, receipt, CASE WHEN reason IS NULL THEN 'total_unflagged' ELSE 'needs_review' END AS state, reason FROM r""",
-        "failure_panel": f"""WITH {PREDICTIONS}, c AS (SELECT system_id || '/' || CASE WHEN correct THEN 'correct' WHEN receipt % 9 = 0 THEN 'not_recoverable' WHEN parse_status = 'ok' THEN 'wrong_value' WHEN parse_status = 'no_candidate' THEN 'no_candidate' ELSE 'unparseable' END AS category, receipt FROM totals WHERE correct IS NOT NULL)
+        "failure_panel": f"""WITH {PREDICTIONS}, c AS (SELECT system_id || '/' || CASE WHEN correct THEN 'success' WHEN parse_status = 'no_candidate' THEN 'failure_or_no_candidate' WHEN receipt % 9 = 0 THEN 'ocr_loss' ELSE 'extraction_error' END AS category, receipt FROM totals WHERE correct IS NOT NULL)
 SELECT category, arg_min(receipt, sha256('panel|' || receipt)) AS receipt, count(*) AS n FROM c GROUP BY category""",
         "epoch_choice": """WITH y AS (SELECT l_returnflag, year(l_shipdate)::INT AS epoch, sum(l_quantity::BIGINT)::BIGINT AS score FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, epoch, score FROM y QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY score DESC, epoch) = 1""",
         "token_windows": f"""WITH p AS (SELECT doc_id AS page_id, len({words("text")}) AS n FROM documents), q AS (SELECT page_id, n, unnest(range(0, greatest(1, CASE WHEN n <= 496 THEN 1 ELSE 1 + ceil((n - 496) / 368.0)::BIGINT END))) AS w FROM p)

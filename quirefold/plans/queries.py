@@ -301,7 +301,10 @@ def missing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts as JSON annotations: receipt, json. One word of every third receipt is blank, and one box without area."""
+    """Receipts as JSON annotations: receipt, json. One word of every third receipt is blank, and one box without area.
+
+    The parsed part mostly repeats the amounts; on some receipts it conflicts, is a list or an object, or differs.
+    """
     t = adapters.receipt_tokens(spark, sf_dir)
     x0, y0, x1, y1 = (F.col("box")[i] for i in range(4))
     blank = (F.col("receipt") % 3 == 0) & (F.col("line") == 1) & (F.col("pos") == 1)
@@ -316,7 +319,14 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lines.groupBy("receipt").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     size = F.struct(F.lit(1000).alias("width"), F.lit(2500).alias("height"))
     shape = F.struct(F.struct(size.alias("image_size")).alias("meta"), F.transform("lines", lambda x: x.dropFields("line")).alias("valid_line"))
-    return docs.select("receipt", F.to_json(shape).alias("json"))
+    r, quoted = F.col("receipt"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    said = lambda c: quoted(adapters.grouped(F.col(c), F.col("style")))
+    total = F.when(r % 37 == 0, F.concat(F.lit("["), said("total"), F.lit(","), said("total"), F.lit("]"))).when(r % 41 == 0, F.concat(F.lit('{"a":'), said("total"), F.lit("}")))
+    total = total.when(r % 43 == 0, quoted((F.col("total") + 5).cast("string"))).otherwise(said("total"))
+    clash = F.when(r % 31 == 0, ',"subtotal":{"subtotal_price":"1"}').otherwise("")
+    parsed = F.concat(F.lit('{"gt_parse":{"total":{"total_price":'), total, F.lit('},"sub_total":{"subtotal_price":'), said("subtotal"), F.lit("}"), clash, F.lit("},"))
+    heads = adapters.receipts(spark, sf_dir).select("receipt", parsed.alias("parsed"))
+    return docs.join(heads, "receipt").select("receipt", F.concat("parsed", F.substring(F.to_json(shape), F.lit(2), F.lit(2**31 - 1))).alias("json"))
 
 
 @query
@@ -379,8 +389,8 @@ def rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reference_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """REF-01, AGG-08: what the annotated lines say of each field."""
-    return rules.reference_states(adapters.receipt_tokens(spark, sf_dir), CATEGORY)
+    """REF-01, JSN-02, AGG-08: what the annotations say of each field, and why it is not usable."""
+    return rules.reference_states(annotations(spark, sf_dir), "receipt", "json", CATEGORY, 1000, 2500)
 
 
 @query
@@ -390,7 +400,7 @@ def span_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.create_map(*[F.lit(x) for f, c in CATEGORY.items() for x in (c, f)])
     boxes = t.where(F.col("category").isin(*CATEGORY.values()) & ~F.col("is_key")).groupBy("receipt", F.element_at(name, F.col("category")).alias("field")).agg(F.collect_list("box").alias("boxes"))
     regions = adapters.references(spark, sf_dir).join(boxes, ["receipt", "field"])
-    out = rules.align(t, regions.select("receipt", "field", "normalized_amount", "boxes")).join(regions.select("receipt", "field", "state"), ["receipt", "field"])
+    out = rules.align(t, regions.select("receipt", "field", "state", "normalized_amount", "boxes")).join(regions.select("receipt", "field", "state"), ["receipt", "field"])
     return out.select("receipt", "field", "status", "spans", "line", "start", "end", rules.recoverability(F.col("state"), F.lit("ok"), F.col("status")).alias("recoverable"))
 
 
@@ -429,7 +439,7 @@ def metrics_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def state_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-07, AGG-08: reference states per field, zero filled."""
-    return metrics.crosstab(adapters.references(spark, sf_dir), "field", "state", ["present_usable", "not_annotated", "values_disagree"])
+    return metrics.crosstab(adapters.references(spark, sf_dir), "field", "state", ["present_usable", "not_annotated", "ambiguous_reference"])
 
 
 @query

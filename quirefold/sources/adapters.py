@@ -96,7 +96,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = {
         "subtotal_amount": F.lit("present_usable"),
         "tax_amount": F.when(F.col("receipt") % 7 == 0, "not_annotated").otherwise("present_usable"),
-        "total_amount": F.when((F.col("receipt") % 5 == 0) & (F.col("receipt") % 2 == 1), "values_disagree").otherwise("present_usable"),
+        "total_amount": F.when((F.col("receipt") % 5 == 0) & (F.col("receipt") % 2 == 1), "ambiguous_reference").otherwise("present_usable"),
     }
     cells = [F.struct(F.lit(f).alias("field"), state[f].alias("state"), F.col(f.removesuffix("_amount")).cast("string").alias("normalized_amount")) for f in FIELDS]
     return r.select("receipt", F.explode(F.array(*cells)).alias("c")).select("receipt", "c.*")
