@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.binding import let
 from ..functions.geometry import clip
 from ..functions.text import collapse
 from .ordering import hash_rank, hash_running_total
@@ -32,12 +33,17 @@ ANNOTATION = (
 )
 
 
+def annotation(text: Column) -> Column:
+    """JSN-01: a JSON annotation as a struct, parsed once however many of its parts are used."""
+    return let(F.from_json(text, ANNOTATION), lambda d: d)
+
+
 def parse_annotations(rows: DataFrame, key: str, text: str) -> DataFrame:
     """JSN-01, PRJ-01: JSON annotations to page words: key, line, category, group_id, pos (in the page), text, box, is_key.
 
     Words with an empty text or a box without area on the page are dropped; positions count what is left, from 0.
     """
-    doc = rows.select(key, F.from_json(text, ANNOTATION).alias("d"))
+    doc = rows.select(key, annotation(F.col(text)).alias("d"))
     size = F.col("d.meta.image_size")
     lines = doc.select(key, size["width"].alias("w"), size["height"].alias("h"), F.posexplode("d.valid_line").alias("line", "l"))
     flat = lines.select(key, "w", "h", "line", "l.category", "l.group_id", F.posexplode("l.words").alias("at", "word"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.amounts import DEFAULT_POLICY, MARKER, amount
 from ..functions.geometry import clip, overlap_share, union_box
 from ..functions.text import key_text
-from .pages import ANNOTATION
+from .pages import annotation
 
 LONGEST_PHRASE, GAP, LEAST_SHARE, MOST_WORDS = 3, 1.5, 0.5, 4
 
@@ -155,7 +155,7 @@ def reference_states(rows: DataFrame, key: str, text: str, fields: dict[str, str
     without a box make it invalid; value words must be amounts that agree on all lines; and the parsed part, a string or
     a list of strings, must agree with them.
     """
-    doc = rows.select(key, F.from_json(text, ANNOTATION).alias("d")).select(key, "d.*")
+    doc = rows.select(key, annotation(F.col(text)).alias("d")).select(key, "d.*")
     size = F.col("meta.image_size")
     fits = F.coalesce((size["width"] == width) & (size["height"] == height), F.lit(False))
 
@@ -173,11 +173,7 @@ def reference_states(rows: DataFrame, key: str, text: str, fields: dict[str, str
         return F.regexp_replace(line["category"], r"^subtotal(?=\.|$)", "sub_total")
 
     wanted = F.filter("valid_line", lambda line: alias(line).isin(*fields.values()))
-    lines = doc.select(key, F.explode(F.transform(wanted, judged)).alias("l")).select(key, "l.*")
-    sums = lines.groupBy(key, "category").agg(
-        F.count("*").alias("n_lines"), F.bool_or("bad").alias("bad"), F.bool_or(F.col("a.parse_status") != "ok").alias("unparsed"),
-        F.min("a.normalized_amount").alias("lo"), F.max("a.normalized_amount").alias("hi"),
-    )
+    doc = doc.select(key, fits.alias("fits"), "gt_parse", F.transform(wanted, judged).alias("lines"))
 
     def parsed(category: str) -> Column:
         group, leaf = category.split(".")
@@ -187,16 +183,21 @@ def reference_states(rows: DataFrame, key: str, text: str, fields: dict[str, str
         value = F.try_variant_get(F.coalesce(own, old), f"$.{leaf}", "variant")
         kind = F.schema_of_variant(value)
         items = F.when(kind == "STRING", F.array(F.try_variant_get(value, "$", "string"))).when(kind == "ARRAY<STRING>", F.try_variant_get(value, "$", "array<string>"))
-        return F.struct(F.lit(category).alias("category"), F.coalesce(clash, F.lit(False)).alias("clash"), value.isNotNull().alias("given"), items.alias("items"))
-
-    cells = doc.select(key, fits.alias("fits"), F.explode(F.array(*map(parsed, fields.values()))).alias("g")).select(key, "fits", "g.*")
-    cells = cells.withColumn("p", F.transform("items", lambda i: amount(i, policy)["normalized_amount"])).join(sums, [key, "category"], "left")
+        own_lines = F.filter("lines", lambda x: x["category"] == category)
+        return F.struct(F.lit(category).alias("category"), F.coalesce(clash, F.lit(False)).alias("clash"), value.isNotNull().alias("given"), items.alias("items"), own_lines.alias("own"))
+
+    cells = doc.select(key, "fits", F.explode(F.array(*map(parsed, fields.values()))).alias("g")).select(key, "fits", "g.*")
+    found = F.transform("own", lambda x: x["a"]["normalized_amount"])
+    cells = cells.select(
+        key, "fits", "category", "clash", "given", "items", F.transform("items", lambda i: amount(i, policy)["normalized_amount"]).alias("p"), F.size("own").alias("n_lines"),
+        F.exists("own", lambda x: x["bad"]).alias("bad"), F.exists("own", lambda x: x["a"]["parse_status"] != "ok").alias("unparsed"), F.array_min(found).alias("lo"), F.array_max(found).alias("hi"),
+    )
     same = F.forall("p", lambda v: v.eqNullSafe(F.col("lo")))
     checks = [
         (~F.col("fits"), "invalid_reference", "annotation_image_size_mismatch"),
         (F.col("clash"), "ambiguous_reference", "sub_total_alias_conflict"),
-        (F.col("n_lines").isNull() & ~F.col("given"), "not_annotated", None),
-        (F.col("n_lines").isNull(), "ambiguous_reference", "gt_parse_without_value_words"),
+        ((F.col("n_lines") == 0) & ~F.col("given"), "not_annotated", None),
+        (F.col("n_lines") == 0, "ambiguous_reference", "gt_parse_without_value_words"),
         (F.col("bad"), "invalid_reference", "invalid_or_missing_value_words"),
         (F.col("unparsed"), "ambiguous_reference", "unparseable_source_value"),
         (F.col("lo") != F.col("hi"), "ambiguous_reference", "multiple_incompatible_values"),
@@ -210,4 +211,4 @@ def reference_states(rows: DataFrame, key: str, text: str, fields: dict[str, str
         reason = F.when(test, why) if reason is None else reason.when(test, why)
     state = state.otherwise("present_usable")
     field = F.element_at(F.create_map(*[F.lit(x) for f, c in fields.items() for x in (c, f)]), F.col("category"))
-    return cells.select(key, field.alias("field"), state.alias("state"), reason.alias("reason"), F.when(state == "present_usable", F.col("lo")).alias("normalized_amount"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    return cells.select(key, field.alias("field"), state.alias("state"), reason.alias("reason"), F.when(state == "present_usable", F.col("lo")).alias("normalized_amount"), F.col("n_lines").cast("long").alias("n_lines"))
