@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,6 +43,20 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and an executor's Python workers share little memory.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+
+
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow() with small batches. The session's limits are lowered where they are larger."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = re.sub(r"\D+$", "", conf.get(f"spark.sql.execution.arrow.{name}", str(most)))
+        if not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+    return df.mapInArrow(function, schema)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps: its cleaner acts when the driver's heap is collected."""
     spark.sparkContext._jvm.System.gc()

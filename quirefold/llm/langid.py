@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Expected rows of each language that the centroids are learned from; n-gram buckets; centroids a language.
-SAMPLE, BUCKETS, CENTROIDS = 600, 1 << 13, 4
+SAMPLE, BUCKETS, CENTROIDS = 400, 1 << 13, 4
 #: A text is rejected below this part of the least similarity that a learned text of the language has to its centroid.
 SLACK = 0.5
 _letters: list[np.ndarray] = []
@@ -64,16 +66,20 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
 class Model:
     """labels, idf, centroids (one unit row each), owner (label index of each row), floor (least similarity of each row)."""
 
-    def __init__(self, rows: list[tuple[str, list[int], list[int]]], k: int = CENTROIDS):
+    def __init__(self, rows: list[tuple[str, np.ndarray, np.ndarray]], k: int = CENTROIDS):
+        """rows: language, buckets and their counts of each text. One language at a time is made dense."""
         self.labels = sorted({lang for lang, _, _ in rows})
-        counts = np.zeros((len(rows), BUCKETS), np.float32)
-        for i, (_, at, n) in enumerate(rows):
-            counts[i, at] = n
-        self.idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-        x = weigh(counts, self.idf)
+        seen = np.zeros(BUCKETS, np.int64)
+        for _, at, _ in rows:
+            seen[at] += 1
+        self.idf = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
         centres, owner, floor = [], [], []
         for j, lang in enumerate(self.labels):
-            own, near = cluster(x[[lang == r[0] for r in rows]], k)
+            texts = [r for r in rows if r[0] == lang]
+            counts = np.zeros((len(texts), BUCKETS), np.float32)
+            for i, (_, at, n) in enumerate(texts):
+                counts[i, at] = n
+            own, near = cluster(weigh(counts, self.idf), k)
             centres.append(own)
             owner += [j] * len(own)
             floor += [SLACK * float(near.min())] * len(own)  # the same for all centroids of the language
@@ -121,25 +127,30 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE, k: int = CENTROIDS) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(grams(t), return_counts=True) for t in batch.column(1).to_pylist()]
-            cols = [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+            cols = [pa.array([f[i].astype(np.int32).tobytes() for f in found], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["lang", "at", "n"])
 
-    rows = chosen.mapInArrow(count, "lang string, at array<bigint>, n array<bigint>").collect()
-    return Model([(r["lang"], r["at"], r["n"]) for r in sorted(rows, key=lambda r: (r["lang"], r["at"], r["n"])) if r["at"]], k)
+    rows = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in in_arrow(chosen, count, "lang string, at binary, n binary").collect())
+    return Model([(lang, np.frombuffer(at, np.int32), np.frombuffer(n, np.int32)) for lang, at, n in rows if at], k)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """Add lang_pred (und without letters or for null text), score and rejected to the kept columns."""
+    """Add lang_pred (und without letters or for null text), score and rejected to the kept columns.
+
+    text: the column to judge, or "row.text" for a field of a kept struct, which is then not sent twice.
+    """
+    inner = text.startswith(f"{keep[0]}.")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: labels x CENTROIDS x BUCKETS
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.predict(batch.column(len(keep)).to_pylist())
+            found = shared.value.predict((batch.column(0).field(text.partition(".")[2]) if inner else batch.column(len(keep))).to_pylist())
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *cols], names=[*keep, "lang_pred", "score", "rejected"])
 
     kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(predict, f"{kept}lang_pred string, score double, rejected boolean")
+    sent = docs.select(*keep) if inner else docs.select(*keep, F.col(text).alias("_text"))
+    return in_arrow(sent, predict, f"{kept}lang_pred string, score double, rejected boolean")
 
 
 def identify_documents(documents: DataFrame, keep: list[str], per_language: int = SAMPLE) -> DataFrame:
@@ -157,5 +168,5 @@ def identify_documents(documents: DataFrame, keep: list[str], per_language: int
 def accepted(documents: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """The documents, in their own columns, that are not rejected: they have letters and are near enough to a learned language."""
     model = fit(documents.select("text", "lang", F.col("doc_id").alias("key")), per_language)
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text").alias("_text"))
-    return identify(rows, model, ["row"], "_text").where("not rejected").select("row.*")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    return identify(rows, model, ["row"], "row.text").where("not rejected").select("row.*")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 UNIT, RATE = 64, 8000
 #: Samples a frame, between frames; limits of the frequency bands; distances of paired frames.
 FRAME, HOP, BANDS, AHEAD = 256, 128, (1, 8, 24, 56, 129), (1, 2)
@@ -77,7 +79,7 @@ def text_to_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 media = pa.array([to_wav(p) for _, p in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in rows], pa.int64()), media], names=[key, "n_bytes", "media"])
 
-    return docs.select(key, text).mapInArrow(store, f"`{key}` {kind}, n_bytes long, media binary")
+    return in_arrow(docs.select(key, text), store, f"`{key}` {kind}, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
@@ -106,4 +108,4 @@ def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *cols], names=[*keep, *names])
 
     schema = f"{kept}, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, fingerprint array<bigint>, feature string"
-    return media.select(*keep, F.col("media")).mapInArrow(read, schema)
+    return in_arrow(media.select(*keep, F.col("media")), read, schema)

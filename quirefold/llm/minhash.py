@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, tidy
+from .common import broadcast_if_small, cut, in_arrow, tidy
 from .components import connected_components
 from .shingles import mix, shingle_set
 
@@ -113,7 +113,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bands, longs), pa.array(packed, longs)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set1", "set2", "bands", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), 
         sketch, "doc_id long, n_shingles long, set1 long, set2 long, bands array<bigint>, packed array<bigint>"
     )
 
@@ -150,7 +150,7 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
                     b.append(ids[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return in_arrow(dealt, compare, "a long, b long").distinct()
 
 
 def linked_pairs(sets: list[np.ndarray]) -> np.ndarray:
@@ -184,7 +184,7 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             sets = pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), sets], names=["doc_id", "label", "blocks", "shingles"])
 
-    sets = texts.select("doc_id", "label", "blocks", "text").mapInArrow(shingle, "doc_id long, label long, blocks long, shingles binary")
+    sets = in_arrow(texts.select("doc_id", "label", "blocks", "text"), shingle, "doc_id long, label long, blocks long, shingles binary")
     dealt = block_pairs(sets, "blocks", ["label", "doc_id", "shingles"]).select("label", "low", "high", "doc_id", "shingles")
     dealt = dealt.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "doc_id")
 
@@ -199,7 +199,7 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
                         b.append(ids[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(verify, "a long, b long").distinct()
+    return in_arrow(dealt, verify, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

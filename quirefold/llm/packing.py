@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ranked
+from .common import cut, in_arrow, ranked
 from .tokens import ChunkIds
 
 CAPACITY = 2048
@@ -51,7 +51,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * ids
-    return docs.select("doc_id", "text").mapInArrow(pieces, schema)
+    return in_arrow(docs.select("doc_id", "text"), pieces, schema)
 
 
 def best_fill(room: int, sizes: list[int], left: list[int]) -> list[int]:

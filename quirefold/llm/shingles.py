@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; those of frequent words are kept, up to a bound."""
-    if len(_known) > 300_000:
+    if len(_known) > 100_000:
         _known.clear()
     known, put, digest = _known.get, _known.setdefault, xxhash.xxh3_64_intdigest
     return np.fromiter((known(w) or put(w, digest(w)) for w in words), np.uint64, len(words))

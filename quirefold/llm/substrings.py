@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, tidy
+from .common import broadcast_if_small, cut, in_arrow, tidy
 from .shingles import rolling, word_hashes
 
 WINDOW, PHRASE = 20, 6
@@ -73,7 +73,7 @@ def phrase_table(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "d1", "d2", "n_words", "words_sha256", "phrases", "again"])
 
     schema = "doc long, d1 long, d2 long, n_words long, words_sha256 string, phrases array<bigint>, again array<bigint>"
-    return docs.select(*_keys(), "text").mapInArrow(read, schema)
+    return in_arrow(docs.select(*_keys(), "text"), read, schema)
 
 
 def locate(texts: list[list[bytes]], recurring: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,7 +137,7 @@ def candidate_windows(texts: DataFrame) -> DataFrame:
         cols = [pa.concat_arrays(window), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (doc, d1)), pa.array(np.concatenate(start).astype(np.int32))]
         return pa.RecordBatch.from_arrays(cols, names=["window", "doc", "d1", "start"])
 
-    return texts.select("doc", "d1", "phrases", "text").mapInArrow(read, "window long, doc long, d1 long, start int")
+    return in_arrow(texts.select("doc", "d1", "phrases", "text"), read, "window long, doc long, d1 long, start int")
 
 
 def remove_windows(texts: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def remove_windows(texts: DataFrame) -> DataFrame:
             cols = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "d1", "n_removed", "kept"])
 
-    return texts.select("doc", "d1", "starts", "text").mapInArrow(read, "doc long, d1 long, n_removed long, kept string")
+    return in_arrow(texts.select("doc", "d1", "starts", "text"), read, "doc long, d1 long, n_removed long, kept string")
 
 
 def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

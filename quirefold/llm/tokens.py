@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_arrow
+
 #: Bytes of text given to the tokenizer at once, and the length from which a text is split.
 BATCH_BYTES, LONG_CHARS = 1 << 18, 1 << 16
 #: Where a byte-level BPE text may be cut: before a single space between two visible characters.
@@ -75,7 +77,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             )
 
     schema = f"`{key}` {id_type}, n_bytes long, n_tokens long, over_limit boolean"
-    return docs.select(key, text).mapInArrow(lengths, schema)
+    return in_arrow(docs.select(key, text), lengths, schema)
 
 
 class ChunkIds:
@@ -88,7 +90,7 @@ class ChunkIds:
 
     WORD = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.encode = tokenizer(path).encode_batch_fast
         vocab = tokenizer(path).get_vocab()
         self.ends = {i for w, i in vocab.items() if w.endswith("</w>")}
