@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_arrow
 from .urlrules import url_host
 
 #: Estimated bytes up to which the table of winning paths is broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Candidates that each page votes for; what a container keeps of its children's score; the favour for article elements.
-VOTES, KEPT, ARTICLE = 3, 0.95, 1.25
+#: What a container keeps of its children's score; the favour for article elements.
+KEPT, ARTICLE = 0.95, 1.25
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|iframe|svg|textarea|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -141,15 +141,11 @@ def scores(nodes: list[Node]) -> dict[int, float]:
     return out
 
 
-def votes(page: str | None) -> list[tuple[str, int]]:
-    """The page's best paths, each with its share of the page's best score in thousandths."""
+def best_path(page: str | None) -> str | None:
+    """The path of the page's best container; null for a page without text. Among equals the smallest path."""
     nodes = parse(page or "")
-    found: dict[str, float] = {}
-    for i, s in scores(nodes).items():
-        if s > 0:
-            found[nodes[i].path] = max(found.get(nodes[i].path, 0), s)
-    best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:VOTES]
-    return [(path, round(1000 * s / best[0][1])) for path, s in best]
+    rated = {nodes[i].path: -s for i, s in sorted(scores(nodes).items(), key=lambda x: x[1]) if s > 0}
+    return min(rated, key=lambda path: (rated[path], path), default=None)
 
 
 def extract(page: str | None, path: str | None) -> str:
@@ -168,15 +164,15 @@ def extract(page: str | None, path: str | None) -> str:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path, votes: the winning path of each host; ties go to the greater path. Hot hosts are summed before the shuffle."""
+    """host, path, votes: the path that most pages of a host find best; ties go to the greater path. Hot hosts are summed before the shuffle."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, p, s) for h, page in zip(batch.column(0).to_pylist(), batch.column(1)) for p, s in votes(page.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "path", "score"])
+            paths = pa.array([best_path(page.as_py()) for page in batch.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), paths], names=["host", "path"])
 
-    cast = pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, score long")
-    sums = cast.groupBy("host", "path").agg(F.sum("score").alias("votes"))
+    cast = in_arrow(pages.select(url_host(F.col("url")).alias("host"), "html"), vote, "host string, path string").where("path is not null")
+    sums = cast.groupBy("host", "path").agg(F.count("*").alias("votes"))
     return sums.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("won")).select("host", "won.path", "won.votes")
 
 
@@ -199,4 +195,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 cols = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), part.column(2)]
                 yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars", "path"])
 
-    return rows.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long, path string")
+    return in_arrow(rows, read, f"page_id {kind}, url string, text string, n_chars long, path string")
