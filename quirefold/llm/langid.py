@@ -19,7 +19,7 @@ from .common import in_arrow
 #: Expected rows of each language that the centroids are learned from; n-gram buckets; centroids a language.
 SAMPLE, BUCKETS, CENTROIDS = 400, 1 << 13, 4
 #: A text is rejected below this part of the least similarity that a learned text of the language has to its centroid.
-SLACK = 0.5
+SLACK = 0.25
 _letters: list[np.ndarray] = []
 
 
