@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.amounts import DEFAULT_POLICY, MARKER, amount
+from ..functions.binding import let
 from ..functions.geometry import clip, overlap_share, union_box
 from ..functions.text import key_text
 from .pages import annotation
@@ -71,15 +72,15 @@ def rule_extract(tokens: DataFrame, rules: DataFrame, fields: list[str], policy:
     least confidence of the words used.
     """
     hits = phrase_hits(tokens, rules)
-    lines = tokens.groupBy("receipt", "line").agg(F.collect_list("box").alias("boxes"))
-    lines = lines.select("receipt", "line", union_box(F.col("boxes")).alias("lbox"), F.lead("line").over(Window.partitionBy("receipt").orderBy("line")).alias("next"))
-    keyed = hits.join(tokens.select("receipt", "line", "pos", "box", "confidence"), ["receipt", "line"]).where("pos between start and end")
-    keyed = keyed.groupBy("receipt", "line", "field", "start", "end", "priority").agg(F.collect_list("box").alias("boxes"), F.min("confidence").alias("kc"))
-    keyed = keyed.withColumn("kbox", union_box(F.col("boxes"))).join(lines.select("receipt", "line", "next"), ["receipt", "line"])
-    below = lines.select("receipt", F.col("line").alias("next"), F.col("lbox").alias("nbox"))
-    keyed = keyed.join(below, ["receipt", "next"], "left")
-    drop = F.col("nbox")[1] - F.col("kbox")[3]
-    near = (drop >= 0) & (drop <= GAP * (F.col("kbox")[3] - F.col("kbox")[1]))
+    top = tokens.groupBy("receipt", "line").agg(F.min(F.col("box")[1]).alias("top"))
+    by = Window.partitionBy("receipt").orderBy("line")
+    lines = top.select("receipt", "line", F.lead("line").over(by).alias("next"), F.lead("top").over(by).alias("next_top"))
+    words = tokens.select("receipt", "line", "pos", F.col("box")[1].alias("y0"), F.col("box")[3].alias("y1"), "confidence")
+    keyed = hits.join(words, ["receipt", "line"]).where("pos between start and end")
+    keyed = keyed.groupBy("receipt", "line", "field", "start", "end", "priority").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("confidence").alias("kc"))
+    keyed = keyed.join(lines, ["receipt", "line"])
+    drop = F.col("next_top") - F.col("y1")
+    near = (drop >= 0) & (drop <= GAP * (F.col("y1") - F.col("y0")))
     spans = amount_spans(tokens, policy).groupBy("receipt", "line").agg(F.collect_list(F.struct("pos", "text", "marked", "marker", F.col("box")[2].alias("x1"), "confidence", "marker_confidence")).alias("s"))
     own = keyed.join(spans, ["receipt", "line"], "left").withColumnRenamed("s", "same")
     own = own.join(spans.withColumnRenamed("line", "next").withColumnRenamed("s", "under"), ["receipt", "next"], "left")
@@ -88,10 +89,13 @@ def rule_extract(tokens: DataFrame, rules: DataFrame, fields: list[str], policy:
 
     def last(found: Column, after: Column) -> Column:
         """The rightmost span; the first of equals. A marker directly behind the key is not taken along."""
-        best = F.array_max(F.transform(found, lambda x: F.struct(x["x1"].alias("x1"), (-x["pos"]).alias("o"), x["text"].alias("t"), (x["marked"] & (x["pos"] > after + 1)).alias("m"), x["marker"].alias("mt"), x["confidence"].alias("c"), x["marker_confidence"].alias("mc"))))
-        return F.struct(
-            F.when(best["m"], F.concat_ws(" ", best["mt"], best["t"])).otherwise(best["t"]).alias("raw"),
-            F.when(best["m"], F.least(best["c"], best["mc"])).otherwise(best["c"]).alias("c"),
+        spans = F.transform(found, lambda x: F.struct(x["x1"].alias("x1"), (-x["pos"]).alias("o"), x["text"].alias("t"), (x["marked"] & (x["pos"] > after + 1)).alias("m"), x["marker"].alias("mt"), x["confidence"].alias("c"), x["marker_confidence"].alias("mc")))
+        return let(
+            F.array_max(spans),
+            lambda x: F.struct(
+                F.when(x["m"], F.concat_ws(" ", x["mt"], x["t"])).otherwise(x["t"]).alias("raw"),
+                F.when(x["m"], F.least(x["c"], x["mc"])).otherwise(x["c"]).alias("c"),
+            ),
         )
 
     picked = own.withColumn("level", level).where("level is not null")
