@@ -171,7 +171,8 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     spark = docs.sparkSession
     rows = cut(phrase_table(docs), "phrases")
     first = rows.groupBy("d1", "d2").agg(F.min("doc").alias("first"))
-    copies = cut(rows.select("doc", "d1", "d2").join(cut(first, "first"), ["d1", "d2"]).where("doc > first").select("doc", "d1", "d2").distinct(), "copies")
+    later = rows.select("doc", "d1", "d2").join(cut(first, "first"), ["d1", "d2"]).where("doc > first").select("doc", "d1", "d2")
+    copies = cut(cut(later, "later").distinct(), "copies")  # apart, so that Spark may split the join's hot partitions
     single = rows.select("doc", "d1", "d2", "phrases", "again").join(broadcast_if_small(copies, 48), ["doc", "d1", "d2"], "left_anti")
     counts = single.select(F.explode(F.concat("phrases", "again")).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
     recurring = cut(counts.where("n > 1").select("phrase"), "recurring")
