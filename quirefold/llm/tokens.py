@@ -90,7 +90,7 @@ class ChunkIds:
 
     WORD = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         self.encode = tokenizer(path).encode_batch_fast
         vocab = tokenizer(path).get_vocab()
         self.ends = {i for w, i in vocab.items() if w.endswith("</w>")}
