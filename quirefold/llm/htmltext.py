@@ -1,7 +1,8 @@
 """Main text of web pages by consensus of a host's pages.
 
-Each page scores its containers; Spark sums the votes for generalised tag-class paths per host; each page is then
-extracted again with its host's winning path, or with its own best one where the winner does not occur.
+Each page scores its containers and climbs from the best one as long as that adds text; Spark sums the votes for
+generalised tag-class paths per host; each page is then extracted again with its host's winning path, or with its own
+best one where the winner does not occur or has no text.
 """
 
 from __future__ import annotations
@@ -46,29 +47,43 @@ NOT_ARTICLE_WORDS = frozenset(
     "contentinfo complementary search respond replies discussion".split()
 )
 EXEMPT = frozenset("html body main".split())
+#: Words that may stand beside those in a name (site-footer, comments-area); has-comments or with-sidebar say something else.
+NEUTRAL = frozenset("site page main global area list section block box bar wrap wrapper container inner".split())
+#: What readers write may be longer than the article: it is no article beside at least OTHER_TEXT characters of other text.
+READERS = frozenset("comment comments disqus replies respond discussion".split())
+OTHER_TEXT = 500
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "own", "links", "kids", "texts")
+    """A container, or another block that its names mark as no part of an article."""
 
-    def __init__(self, tag: str, path: str, dropped: bool):
-        self.tag, self.path, self.dropped = tag, path, dropped
+    __slots__ = ("tag", "path", "dropped", "marks", "up", "own", "links", "kids", "texts")
+
+    def __init__(self, tag: str, path: str, dropped: bool, marks: frozenset[str] = frozenset(), up: Node | None = None):
+        self.tag, self.path, self.dropped, self.marks, self.up = tag, path, dropped, marks, up
         self.own, self.links, self.kids, self.texts = 0, 0, [], []
 
 
-def names(attributes: str) -> tuple[str, set[str]]:
-    """The class generalised (digits away, parts sorted), and all words in class, id and role."""
-    general, found = "", set()
+def names(attributes: str) -> tuple[str, frozenset[str]]:
+    """The class generalised (digits away, parts sorted), and the words of NOT_ARTICLE_WORDS that whole names in class, id and role consist of."""
+    general, marks = "", set()
     for kind, a, b, c in NAMES.findall(attributes):
         value = (a or b or c).lower()
-        found.update(re.split(r"[^a-z]+", value))
+        for name in value.split():
+            found = set(re.split(r"[^a-z]+", name)) - {""} - NEUTRAL
+            if found <= NOT_ARTICLE_WORDS:
+                marks |= found
         if kind.lower() == "class":
             general = ".".join(sorted(set(re.sub(r"\d+", "", value).split())))
-    return general, found
+    return general, frozenset(marks)
 
 
 def parse(page: str) -> list[Node]:
-    """The page's containers in page order, each with its own blocks of text; the first is the page's root."""
+    """The page's containers in page order, each with its own blocks of text; the first is the page's root.
+
+    Blocks marked by their names are dropped, but not one that holds most of the page's text without links (unless the
+    page's only article element is elsewhere, or see READERS), and none if nothing would be left.
+    """
     root = Node("", "", False)
     nodes, stack = [root], [("", root, False)]  # (tag, container, dropped)
     parts: list[str] = []
@@ -118,18 +133,57 @@ def parse(page: str) -> list[Node]:
         if tag in VOID:
             continue
         _, box, dropped = stack[-1]
-        general, found = names(m[4]) if m[4] else ("", ())
-        dropped = dropped or tag in NOT_ARTICLE or tag not in EXEMPT and not NOT_ARTICLE_WORDS.isdisjoint(found)
-        if tag in CONTAINERS:
-            box.kids.append(node := Node(tag, f"{box.path}/{tag}{'.' if general else ''}{general}", dropped))
+        general, marks = names(m[4]) if m[4] else ("", frozenset())
+        if tag in EXEMPT:
+            marks = frozenset()
+        dropped = dropped or tag in NOT_ARTICLE
+        if tag in CONTAINERS or marks and not dropped:
+            box.kids.append(node := Node(tag, f"{box.path}/{tag}{'.' if general else ''}{general}", dropped, marks, box))
             nodes.append(node)
             box = node
         stack.append((tag, box, dropped))
     parts.append(page[at:])
     flush()
+    drop_marked(nodes)
     return nodes
 
 
+def totals(nodes: list[Node], value) -> dict[int, int]:
+    """The sum of value over each container that is not dropped and all such containers inside it, by its id()."""
+    out: dict[int, int] = {}
+    for n in reversed(nodes):  # children come after their parents
+        out[id(n)] = 0 if n.dropped else value(n) + sum(out[id(k)] for k in n.kids)
+    return out
+
+
+def within(node: Node | None, outer: Node) -> bool:
+    while node is not None and node is not outer:
+        node = node.up
+    return node is outer
+
+
+def drop_marked(nodes: list[Node]) -> None:
+    """Settle which of the marked blocks are dropped; what is inside a dropped block is dropped, too."""
+    if not any(n.marks and not n.dropped for n in nodes):
+        return
+    before = [n.dropped for n in nodes]
+    plain = totals(nodes, lambda n: n.own - n.links)
+    inside: set[int] = set()
+    for n in nodes[1:]:
+        if n.marks or id(n.up) in inside:
+            inside.add(id(n))
+    clear = totals(nodes, lambda n: 0 if id(n) in inside else n.own - n.links)
+    articles = [n for n in nodes if n.tag == "article" and clear[id(n)]]
+    for n in nodes[1:]:
+        if n.marks and not n.dropped:
+            most = 2 * plain[id(n)] > plain[id(nodes[0])] and not (n.marks <= READERS and clear[id(nodes[0])] >= OTHER_TEXT)
+            n.dropped = not most or len(articles) == 1 and not within(n, articles[0])
+        n.dropped = n.dropped or n.up.dropped
+    if not any(n.own for n in nodes if not n.dropped):
+        for n, was in zip(nodes, before):
+            n.dropped = was
+
+
 def scores(nodes: list[Node]) -> dict[int, float]:
     """Of each container by its place in nodes: its own text without links, and most of its children's score."""
     out: dict[int, float] = {}
@@ -141,20 +195,40 @@ def scores(nodes: list[Node]) -> dict[int, float]:
     return out
 
 
+def climb(nodes: list[Node], best: Node) -> Node:
+    """The ancestor of the best container that has the whole article: headlines and leads may stand outside the best one.
+
+    It is reached level by level while the text that a level adds is not mostly links. A body, or what is around an
+    article element, is reached only if it has text of its own: other containers in it are other parts of the page.
+    """
+    size, links = totals(nodes, lambda n: n.own), totals(nodes, lambda n: n.links)
+    at, up, closed = best, best.up, best.tag == "article"
+    while up is not None:
+        more = size[id(up)] - size[id(at)]
+        closed = closed or up.tag in ("body", "")
+        if 2 * (links[id(up)] - links[id(at)]) > more or more and closed and not up.own:
+            break
+        if more:
+            at = up
+        closed = closed or up.tag == "article"
+        up = up.up
+    return at
+
+
+def best_container(nodes: list[Node]) -> Node | None:
+    """The page's best container; null for a page without text. Among equals the smallest path."""
+    rated = [(-s, nodes[i].path, i) for i, s in scores(nodes).items() if s > 0]
+    return climb(nodes, nodes[min(rated)[2]]) if rated else None
+
+
 def best_path(page: str | None) -> str | None:
-    """The path of the page's best container; null for a page without text. Among equals the smallest path."""
-    nodes = parse(page or "")
-    rated = {nodes[i].path: -s for i, s in sorted(scores(nodes).items(), key=lambda x: x[1]) if s > 0}
-    return min(rated, key=lambda path: (rated[path], path), default=None)
+    """The path of the page's best container; null for a page without text."""
+    best = best_container(parse(page or ""))
+    return best.path if best else None
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """The text of the containers with this path, or of the page's best one if there is none; blocks joined by line feeds."""
-    nodes = parse(page or "")
-    chosen = [n for n in nodes if n.path == path and not n.dropped] if path is not None else []
-    if not any(n.own or n.kids for n in chosen):
-        rated = scores(nodes)
-        chosen = [nodes[max(rated, key=lambda i: (rated[i], -i))]] if rated else []
+def text_of(chosen: list[Node]) -> str:
+    """The text of containers and all that is in them and not dropped; blocks joined by line feeds."""
     found: dict[int, str] = {}
     while chosen:
         n = chosen.pop()
@@ -163,6 +237,13 @@ def extract(page: str | None, path: str | None) -> str:
     return "\n".join(found[i] for i in sorted(found))
 
 
+def extract(page: str | None, path: str | None) -> str:
+    """The text of the containers with this path, or of the page's best one if they have none; blocks joined by line feeds."""
+    nodes = parse(page or "")
+    text = text_of([n for n in nodes if n.path == path and not n.dropped]) if path is not None else ""
+    return text or text_of([best_container(nodes) or nodes[0]])
+
+
 def host_paths(pages: DataFrame) -> DataFrame:
     """host, path, votes: the path that most pages of a host find best; ties go to the greater path. Hot hosts are summed before the shuffle."""
 

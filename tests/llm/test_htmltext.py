@@ -52,3 +52,37 @@ def test_winners_beyond_the_broadcast_bound(spark, monkeypatch):
     want = sorted(r["text"] for r in htmltext.main_text(pages).collect())
     monkeypatch.setattr(htmltext, "BROADCAST_BYTES", -1)
     assert sorted(r["text"] for r in htmltext.main_text(pages).collect()) == want
+
+
+def whole(page):
+    return htmltext.extract(page, htmltext.best_path(page))
+
+
+def test_names_that_only_contain_a_listed_word():
+    body = "Article text that goes on and on. " * 30
+    for opened in ("<article class='post has-comments'>", "<div id=content class='with-sidebar'>", "<div class='entry social-share-on'>", "<div class=sidebar>"):
+        page = f"<body><div class=site-footer><p>Imprint</div><div id=x>{opened}<h1>Title</h1><p>{body}</p></div></body>"
+        assert whole(page) == f"Title\n{body.strip()}"
+    header = "<article><header class=entry-header><h1>Title</h1></header><p>Some text.</p><div class='comments-area'><p>Nice</div></article>"
+    assert whole(header) == "Title\nSome text."
+    comments = f"<div id=x><div class=text><p>{body}</p></div><div class=comments><p>{'Nice. ' * 900}</p></div></div>"
+    assert whole(comments) == body.strip()
+    assert whole("<div class=comment><p>One</div><div class=comment><p>Two</div>") == "One\nTwo"
+
+
+def test_headline_and_lead_outside_the_text_container():
+    text = "x" * 99 + " "
+    for n in (20, 2000):
+        body = (text * n).strip()
+        assert whole(f"<body><div class=post><h1>A headline of 20 char</h1><div class=text>{body}</div></div>") == f"A headline of 20 char\n{body}"
+        inner = f"<div class=post><div class=head><h1>Head</h1></div><p>Lead</p><div><div class=text>{body}</div></div></div>"
+        menu = "<div class=links><a href=/a>One link</a><p><a href=/b>and another</a></p></div>"
+        assert whole(f"<body><div id=page>{menu}{inner}</div><div class=extra>Other</div></body>") == f"Head\nLead\n{body}"
+    assert whole(f"<main><h1>Head</h1><article><p>{text}</p></article></main>") == f"Head\n{text.strip()}"
+    assert whole(f"<main><article><p>{text}</p></article><div>Other</div></main>") == text.strip()
+
+
+def test_containers_of_the_host_without_text_here():
+    empty = "<body><div class=main><div class=pic><img src=x></div></div><div class=story><p>The text is here.</p></div></body>"
+    assert htmltext.extract(empty, "/body/div.main") == "The text is here."
+    assert htmltext.extract("<body><div class=main><div class=ad>Buy</div></div><div class=story><p>The text.</p></div></body>", "/body/div.main") == "The text."
