@@ -31,17 +31,45 @@ def hash_running_total(df: DataFrame, hashed: str, amount: str, out: str = "befo
     return ranges.withColumn("_sum", within).join(F.broadcast(sums), "_range").withColumn(out, F.col("_from") + F.col("_sum")).drop("_range", "_from", "_sum")
 
 
+def steps(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Add _step and _tie, whose order is that of a numeric key, nulls last: about ``rows`` rows have both in common.
+
+    Steps end at quantiles of the key. A key that ends several of them has many rows: these are dealt by a hash of the
+    whole row. There are at most 32 * 32 steps, so beyond 1024 * rows rows each has more of them.
+    """
+    facts = df.agg(F.count(key).alias("n"), (F.count("*") - F.count(key)).alias("nulls")).first()
+    many = min(1024, facts["n"] // rows)
+    found = df.agg(F.percentile_approx(key, F.array(*[F.lit(i / (many + 1)) for i in range(1, many + 1)]), 20 * many)).first()[0] if many else []
+    ends = sorted(set(found))
+    hashed = F.xxhash64(*[f.name for f in df.schema if "map<" not in f.dataType.simpleString()])
+    absent = F.col(key).isNull()
+    at = F.lit(0)
+    tie = F.lit(0).cast("long")
+    if ends:
+        kind = f"array<{df.schema[key].dataType.simpleString()}>"
+        parts = [ends[i : i + 32] for i in range(0, len(ends), 32)]
+        lasts = F.array(*[F.lit(part[-1]) for part in parts]).cast(kind)
+        limits = F.array(*[F.array(*map(F.lit, part)).cast(kind) for part in parts])
+        below = F.size(F.filter(lasts, lambda x: x < F.col(key)))
+        inner = F.size(F.filter(F.get(limits, below), lambda x: x < F.col(key)))
+        at = F.when(below == len(parts), F.lit(len(ends))).otherwise(below * 32 + inner)
+        times = F.get(F.array(*[F.lit(found.count(x)) for x in ends]), F.col("_step"))
+        is_end = F.get(F.get(limits, F.floor(F.col("_step") / 32).cast("int")), F.col("_step") % 32) == F.col(key)
+        tie = F.when(is_end & (times > 1), 1 + F.pmod(hashed, times))
+    tie = F.when(absent, F.pmod(hashed, F.lit(facts["nulls"] // rows + 1))).otherwise(F.coalesce(tie, F.lit(0)))
+    return df.withColumn("_step", F.when(absent, F.lit(len(ends) + 1)).otherwise(at)).withColumn("_tie", tie)
+
+
 def group_rank(df: DataFrame, group: str, key: str, out: str = "rank", rows: int = 4096) -> DataFrame:
-    """Add the rank (from 0) of each row within its group, in the order of a numeric key.
+    """Add the rank (from 0) of each row within its group, in the order of a numeric key; nulls last, and a null group is one.
 
-    The key's range is cut into even steps of about ``rows`` rows; their counts per group are summed up, so that a group
-    that holds most rows is still ranked by many tasks.
+    The key's range is cut into steps of about ``rows`` rows; their counts per group are summed up, so that a group that
+    holds most rows is still ranked by many tasks.
     """
-    facts = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).first()
-    steps = max(1, (facts["n"] or 0) // rows)
-    width = max(1, ((facts["hi"] or 0) - (facts["lo"] or 0)) // steps + 1)
-    cut = df.withColumn("_step", F.floor((F.col(key) - F.lit(facts["lo"] or 0)) / F.lit(width)))
-    before = Window.partitionBy(group).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy(group, "_step").agg(F.count("*").alias("_n")).select(group, "_step", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    within = F.row_number().over(Window.partitionBy(group, "_step").orderBy(key)) - 1
-    return cut.withColumn("_row", within).join(sums, [group, "_step"]).withColumn(out, F.col("_from") + F.col("_row")).drop("_step", "_from", "_row")
+    cut = steps(df, key, rows)
+    before = Window.partitionBy(group).orderBy("_step", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(group, "_step", "_tie").agg(F.count("*").alias("_n"))
+    sums = sums.select(F.col(group).alias("_g"), F.col("_step").alias("_s"), F.col("_tie").alias("_t"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    within = F.row_number().over(Window.partitionBy(group, "_step", "_tie").orderBy(F.asc_nulls_last(key))) - 1
+    on = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_step") == F.col("_s")) & (F.col("_tie") == F.col("_t"))
+    return cut.withColumn("_row", within).join(sums, on).withColumn(out, F.col("_from") + F.col("_row")).drop("_step", "_tie", "_from", "_row", "_g", "_s", "_t")

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from quirefold.operators import compare, metrics, ordering, pages, policy, readers, rules, validate
+from quirefold.plans.queries import QUERIES
 from quirefold.sources import files
 from quirefold.streaming import intake, stream_pages
 
@@ -182,3 +183,30 @@ def test_stream_intake(spark, tmp_path):
     query.stop()
     got = spark.table("pages_in").collect()
     assert len(got) == 2 and {tuple(r["words"]) for r in got} >= {("other",)}
+
+
+def test_group_rank_keeps_nulls_and_splits_skewed_keys(spark):
+    rows = [(g, k) for g in ("a", None) for k in [*range(150), *[7] * 150, 10**15, None, None]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, g string, k long").repartition(3)
+    got = ordering.group_rank(df, "g", "k", rows=40).collect()
+    assert len(got) == len(rows)
+    for g in ("a", None):
+        own = sorted((r["rank"], r["k"]) for r in got if r["g"] == g)
+        assert [r for r, _ in own] == list(range(303))
+        assert [k for _, k in own] == [*sorted(k for h, k in rows if h == g and k is not None), None, None]
+    parts = ordering.steps(df, "k", 40).groupBy("_step", "_tie").count().collect()
+    assert max(r["count"] for r in parts) <= 120
+    assert ordering.group_rank(df.limit(0), "g", "k").count() == 0
+
+
+def test_questions_for_any_item_and_page_ids(spark, tmp_path):
+    docs = [(None, "s", "en", "total 12 apples"), (0, None, None, "total 12 apples"), (1, "s", "en", "page 3 of 4"), (-1, None, "en", "7"), (5, "t", None, None)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(17, "total apples"), (40, "which page")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = str(tmp_path)
+    ids = {r["doc_id"]: r["id"] for r in QUERIES["corpus_ids"](spark, at).collect()}
+    assert ids == {None: "s-001", 0: None, 1: "s-000", -1: None, 5: "t-000"}
+    answers = {r["page_id"]: r["answer"] for r in QUERIES["keyword_lookup"](spark, at).collect()}
+    assert answers[0] == "12" and answers[1] == "3" and set(answers) == {None, 0, 1, -1, 5}
+    assert QUERIES["reader_answers"](spark, at).count() == 5
+    assert sum(r["n"] for r in QUERIES["keyword_baseline"](spark, at).collect()) == 5
