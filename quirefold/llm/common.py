@@ -5,14 +5,19 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of letters, digits and all code points from 0x80; A-Z is lower-cased before.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Folders of local sessions that name none, by application.
+_own_dirs: dict[str, str] = {}
 
 
 def ascii_lower(text: Column) -> Column:
@@ -27,39 +32,72 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if the session names none."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only a local master, whose executors run on this machine, may do without: it gets one new folder per session. On a
+    cluster a missing setting is an error, as files in a machine's own folder would be lost to the others.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
+        at = _own_dirs[app]
     return at.rstrip("/")
 
 
+#: While a table is written: shuffle files go when it is finished, and Arrow batches are small, as texts are long and an
+#: executor's Python workers share little memory.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Hold session settings, then set them back to what they were."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs start from these files, which outlive any executor."""
+    """Write df to the shared folder and read it back: later jobs start from these files, which outlive any executor.
+
+    All tables of an application are in one folder below the shared one, to be removed together when it has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    with settings(spark, WRITING):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows and bytes of an Arrow batch: texts are long, and an executor's Python workers share little memory.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+def in_arrow(df: DataFrame, function, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(). Functions handle any size of batch; cut() keeps batches small."""
+    return df.mapInArrow(function, schema)
 
 
-def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow() with small batches. The session's limits are lowered where they are larger."""
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
-        now = re.sub(r"\D+$", "", conf.get(f"spark.sql.execution.arrow.{name}", str(most)))
-        if not 0 < int(now) <= most:
-            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-    return df.mapInArrow(function, schema)
+def named(name: str) -> Column:
+    """The column of exactly this name, which may hold dots, spaces and back quotes."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps: its cleaner acts when the driver's heap is collected."""
-    spark.sparkContext._jvm.System.gc()
+def extended(df: DataFrame, keep: list[str], ddl: str) -> StructType:
+    """The schema of df's columns keep, of any name and type, followed by those of a DDL string."""
+    return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(ddl).fields])
 
 
 def ranked(df: DataFrame, cls: str, order: list[str], total: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, in_arrow, tidy
+from .common import broadcast_if_small, cut, in_arrow
 from .components import connected_components
 from .shingles import mix, shingle_set
 
@@ -219,7 +219,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = cut(reps, "reps")
     near = connected_components(cut(candidate_edges(reps), "candidates"))
     members = cut(near.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").select(F.col("node").alias("doc_id"), "n_shingles", "label"), "members")
-    tidy(spark)
     labels = connected_components(cut(exact_links(docs, members), "links"))
     named = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("label", "rep").alias("found"))
     out = table.join(cut(named, "named"), ["set1", "set2"], "left")

@@ -1,15 +1,19 @@
-"""Substring deduplication: recurring phrases, automata over the shards that hold them, windows that start earlier elsewhere.
-
-1. Every document selects short phrases (the least hash among the runs of PHRASE words of each window), so that equal
-   windows select equal phrases. A phrase that is selected more than once is recurring.
-2. Documents with recurring phrases are dealt into shards. Each shard compiles an Aho-Corasick automaton of the phrases
-   that recur in it and streams its documents through it; windows around an occurrence are candidates.
-3. A candidate window that also occurs in an earlier document, or earlier in its own, is removed.
+"""Substring deduplication by repeated-phrase automata.
+
+1. Candidates: every document selects short phrases (the least hash among the runs of PHRASE words of each window), so
+   that equal windows select equal phrases. Stretches of text around phrases that are selected more than once are kept.
+2. Confirmed passages: a window of a stretch that occurs more than once recurs, and belongs to the first document that
+   has it. Windows that follow one another in their owner are one passage, so each recurring window is in one passage.
+3. Automata: passages are dealt into shards by their owner; each shard compiles one Aho-Corasick automaton over them, in
+   which every word is one letter.
+4. Streaming: the stretches of all documents go through the automata of the shards that have a passage of theirs. Words
+   are compared there, so an occurrence is exact; every place outside the owner's own passage is removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,13 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, in_arrow, tidy
+from .common import broadcast_if_small, cut, in_arrow
 from .shingles import rolling, word_hashes
 
 WINDOW, PHRASE = 20, 6
-#: Bytes of text whose documents share one automaton.
-SHARD_BYTES = 2 << 20
+#: Words of a tile, words between the starts of a passage's tiles: each window holds exactly one whole tile.
+TILE, STEP = WINDOW // 2, WINDOW - WINDOW // 2 + 1
+#: Passages of a shard that may share a tile; beyond, the windows themselves go into the automaton.
+SHARED = 8
+#: Windows of a stretch, recurring windows of a shard, characters that one task streams through a shard.
+STRETCH, SHARD_WINDOWS, STREAM_CHARS = 512, 50_000, 4 << 20
 LAST = 2**63 - 1
+UNKNOWN = "\0"  # a word that no passage of the shard has
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -42,14 +51,22 @@ def selected(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, runs[places]
 
 
-def covered(starts: np.ndarray, n: int, before: int, width: int) -> np.ndarray:
-    """Which of n places lie in [start - before, start - before + width) of any start."""
+def covered(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in [start, stop) of any pair."""
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, np.clip(starts - before, 0, n), 1)
-    np.add.at(step, np.clip(starts - before + width, 0, n), -1)
+    np.add.at(step, np.clip(starts, 0, n), 1)
+    np.add.at(step, np.clip(stops, 0, n), -1)
     return np.cumsum(step[:n]) > 0
 
 
+def stretches_of(places: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and last of each run of consecutive numbers, cut into runs of at most STRETCH."""
+    breaks = np.nonzero(np.diff(places) > 1)[0]
+    for a, b in zip(np.concatenate(([0], breaks + 1)).tolist(), np.concatenate((breaks, [len(places) - 1])).tolist()) if len(places) else ():
+        for i in range(a, b + 1, STRETCH):
+            yield int(places[i]), int(places[min(b, i + STRETCH - 1)])
+
+
 def _keys() -> list[Column]:
     """A document's order (rows without id come last) and two hashes of its text."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(7), "text").alias("d2")]
@@ -76,90 +93,192 @@ def phrase_table(docs: DataFrame) -> DataFrame:
     return in_arrow(docs.select(*_keys(), "text"), read, schema)
 
 
-def locate(texts: list[list[bytes]], recurring: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text of a shard: the starts of its candidate windows, and the hashes of all its windows.
+def stretch_table(texts: DataFrame) -> DataFrame:
+    """texts (doc, d1, phrases, text) -> doc, d1, start, words, windows, repeats: the stretches around recurring phrases.
+
+    windows: a hash of each window of the stretch, null where the document has had that window before; repeats: the
+    hashes of those.
+    """
+    names, longs = ["doc", "d1", "start", "words", "windows", "repeats"], pa.list_(pa.int64())
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), longs, longs]
 
-    recurring: the hashes of the recurring phrases that each text selects. All of them go into one automaton; every
-    occurrence in any text of the shard makes the windows around it candidates.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, d1, known, text in zip(*(batch.column(i) for i in range(4))):
+                words = split_words(text.as_py())
+                own = word_hashes(words)
+                places, values = selected(own)
+                hits = places[np.isin(values, np.array(known.as_py(), np.int64).view(np.uint64))]
+                windows = rolling(own, WINDOW)
+                first = np.zeros(len(windows), bool)
+                first[np.unique(windows, return_index=True)[1]] = True
+                for a, b in stretches_of(np.nonzero(covered(hits - (WINDOW - PHRASE), hits + 1, len(windows)))[0]):
+                    values, new = windows[a : b + 1].view(np.int64), first[a : b + 1]
+                    said = b" ".join(words[a : b + WINDOW]).decode("utf-8", "replace")
+                    rows.append((doc.as_py(), d1.as_py(), a, said, pa.array(values, mask=~new), np.unique(values[~new])))
+                if len(rows) > 500:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    schema = "doc long, d1 long, start int, words string, windows array<bigint>, repeats array<bigint>"
+    return in_arrow(texts.select("doc", "d1", "phrases", "text"), read, schema)
+
+
+class Shard:
+    """The passages of one shard and their automaton.
+
+    passages: (doc, d1, start in the document, words). An automaton of all their windows would be twenty times as large
+    as the passages; their tiles do, as every window holds exactly one tile of its passage. Where a tile is in more than
+    SHARED passages, the windows around it go in whole, so that an occurrence never stands for many passages.
     """
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    hashes = [word_hashes(words) for words in texts]
-    for words, own, known in zip(texts, hashes, recurring):
-        places, values = selected(own)
-        for p in places[np.isin(values, known)].tolist():
-            automaton.add_word(f" {b' '.join(words[p : p + PHRASE]).decode('latin-1')} ")
-    if len(automaton):
-        automaton.make_automaton()
-    for words, own in zip(texts, hashes):
-        windows = rolling(own, WINDOW)
-        if not len(automaton) or not len(windows):
-            yield np.zeros(0, np.int64), windows
-            continue
-        stream = f" {b' '.join(words).decode('latin-1')} "
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # where the space behind each word is
-        found = np.fromiter((end for end, _ in automaton.iter(stream)), np.int64)
-        first = np.searchsorted(ends, found) - PHRASE + 1
-        yield np.nonzero(covered(first, len(windows), WINDOW - PHRASE, WINDOW - PHRASE + 1))[0], windows
-
-
-def candidate_windows(texts: DataFrame) -> DataFrame:
-    """texts (doc, d1, phrases, text) -> window (hash), doc, d1, start: candidate windows at their first place in each document.
-
-    A document that repeats one of its own windows also gives a row with a null window and start -1.
+
+    def __init__(self, passages: list[tuple[int, int, int, bytes]]):
+        self.letters: dict[bytes, str] = {}
+        self.passages = [(doc, d1, start, self._spell(words.split())) for doc, d1, start, words in passages]
+        tiles: dict[str, list[tuple[int, int]]] = {}
+        for i, (_, _, _, p) in enumerate(self.passages):
+            for at in range(0, len(p) - TILE + 1, STEP):
+                tiles.setdefault(p[at : at + TILE], []).append((i, at))
+        patterns: dict[str, list[tuple[int, int]]] = {}
+        for tile, places in tiles.items():
+            if len(places) <= SHARED:
+                patterns[tile] = places
+                continue
+            for i, at in places:
+                p = self.passages[i][3]
+                for start in range(max(0, at - STEP + 1), min(at, len(p) - WINDOW) + 1):
+                    patterns.setdefault(p[start : start + WINDOW], []).append((i, start))
+        self.places = list(patterns.values())
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for n, pattern in enumerate(patterns):
+            self.automaton.add_word(pattern, 2 * n + (len(pattern) == WINDOW))
+        if patterns:
+            self.automaton.make_automaton()
+
+    def _spell(self, words: list[bytes]) -> str:
+        """Each word as one letter, from code point 1 on without surrogates."""
+        known = self.letters
+        return "".join([known.get(w) or known.setdefault(w, chr(n if (n := len(known) + 1) < 0xD800 else n + 0x800)) for w in words])
+
+    def locate(self, doc: int, d1: int, start: int, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """Where the words of a stretch are in a passage, as starts and stops in the document; the owner's own place of a passage is left out."""
+        starts: list[int] = []
+        stops: list[int] = []
+        if not self.places:
+            return starts, stops
+        get = self.letters.get
+        text = "".join([get(w, UNKNOWN) for w in words])
+        for end, code in self.automaton.iter(text):
+            n = WINDOW if code & 1 else TILE
+            q = end - n + 1
+            for i, at in self.places[code >> 1]:
+                owner, own_d1, origin, p = self.passages[i]
+                if doc < owner or doc == owner and (d1 != own_d1 or start + q == origin + at):
+                    continue
+                a = b = 0  # words that agree before and behind the pattern
+                while a + n < WINDOW and a < at and a < q and p[at - a - 1] == text[q - a - 1]:
+                    a += 1
+                while b + n < WINDOW and at + n + b < len(p) and end + 1 + b < len(text) and p[at + n + b] == text[end + 1 + b]:
+                    b += 1
+                if a + n + b >= WINDOW:
+                    starts.append(start + q - a)
+                    stops.append(start + end + 1 + b)
+        return starts, stops
+
+
+def shard_pieces(stretches: DataFrame) -> DataFrame:
+    """stretches (doc, d1, start, words, own, shard, shards) -> shard, stream, doc, d1, start, words.
+
+    own: which windows of the stretch are recurring and belong to its document; they become passages (stream 0) of
+    ``shard``. The stretch itself goes to each of ``shards`` (stream 1).
     """
+    names = ["shard", "stream", "doc", "d1", "start", "words"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, d1, start, text, own, home, away in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                words = text.split(" ")
+                for a, b in stretches_of(np.sort(np.array(own, np.int64))):
+                    rows.append((home, 0, doc, d1, start + a, " ".join(words[a : b + WINDOW])))
+                rows += [(shard, 1, doc, d1, start, text) for shard in away]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    schema = "shard int, stream int, doc long, d1 long, start int, words string"
+    return in_arrow(stretches.select("doc", "d1", "start", "words", "own", "shard", "shards"), read, schema)
+
+
+def stream_shards(dealt: DataFrame) -> DataFrame:
+    """dealt (shard, part, stream, doc, d1, start, words), sorted by the first three -> doc, d1, starts, stops: every occurrence of a passage."""
+    names, ints = ["doc", "d1", "starts", "stops"], pa.list_(pa.int32())
+    types = [pa.int64(), pa.int64(), ints, ints]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, passages, shard = None, [], None
         for batch in batches:
-            size, at = 0, 0
-            lengths = [len(x) for x in (t.as_py() or "" for t in batch.column(3))]
-            for i, n in enumerate(lengths):
-                size += n
-                if size >= SHARD_BYTES or i == len(lengths) - 1:
-                    yield shard(batch.slice(at, i + 1 - at))
-                    size, at = 0, i + 1
-
-    def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [split_words(t.as_py()) for t in batch.column(3)]
-        known = [np.array(x.as_py(), np.int64).view(np.uint64) for x in batch.column(2)]
-        docs, sums = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        window, doc, d1, start = [], [], [], []
-        for i, (starts, hashes) in enumerate(locate(texts, known)):
-            values, first = np.unique(hashes[starts], return_index=True)
-            window.append(pa.array(values.view(np.int64), pa.int64()))
-            start.append(starts[first])
-            n = len(values)
-            if n < len(starts):
-                window.append(pa.nulls(1, pa.int64()))
-                start.append(np.array([-1]))
-                n += 1
-            doc.append(np.full(n, docs[i]))
-            d1.append(np.full(n, sums[i]))
-        cols = [pa.concat_arrays(window), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (doc, d1)), pa.array(np.concatenate(start).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(cols, names=["window", "doc", "d1", "start"])
-
-    return in_arrow(texts.select("doc", "d1", "phrases", "text"), read, "window long, doc long, d1 long, start int")
-
-
-def remove_windows(texts: DataFrame) -> DataFrame:
-    """texts (doc, d1, starts, text) -> doc, d1, n_removed, kept: without the windows at starts (-1 aside) and those that start earlier in the same text."""
+            rows = []
+            for home, part, stream, doc, d1, start, text in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (home, part) != now:
+                    now, passages, shard = (home, part), [], None
+                words = text.encode("utf-8", "surrogatepass")
+                if not stream:
+                    passages.append((doc, d1, start, words))
+                    continue
+                if shard is None:
+                    shard = Shard(passages)
+                starts, stops = shard.locate(doc, d1, start, words.split())
+                if starts:
+                    rows.append((doc, d1, starts, stops))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    columns = ["shard", "part", "stream", "doc", "d1", "start", "words"]
+    return in_arrow(dealt.select(*columns), read, "doc long, d1 long, starts array<int>, stops array<int>")
+
+
+def occurrences(stretches: DataFrame) -> DataFrame:
+    """doc, d1, starts, stops: all places of recurring windows that are not the first place of the window, one row a document.
+
+    A hot passage sends a stretch of each of its documents to one shard; such a shard is streamed in parts of about
+    STREAM_CHARS, each with its own copy of the automaton.
+    """
+    places = stretches.select("doc", "id", F.posexplode("windows").alias("at", "window")).where("window is not null")
+    repeats = stretches.select("doc", "id", F.lit(-1).alias("at"), F.explode("repeats").alias("window"))
+    seen = places.unionByName(repeats)
+    firsts = seen.groupBy("window").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
+    firsts = cut(firsts.select("window", "first"), "recurring-windows")
+    shards = max(1, math.ceil(firsts.count() / SHARD_WINDOWS))
+    home = lambda doc: F.pmod(F.xxhash64(doc), F.lit(shards)).cast("int")
+    own = (F.col("doc") == F.col("first")) & (F.col("at") >= 0)
+    met = seen.join(firsts, "window").groupBy("id").agg(F.collect_list(F.when(own, F.col("at"))).alias("own"), F.collect_set(F.when(~own, home("first"))).alias("shards"))
+    met = stretches.drop("windows", "repeats").join(cut(met, "recurring-places"), "id").withColumn("shard", home("doc"))
+    pieces = cut(shard_pieces(met), "pieces")
+    parts = pieces.where("stream = 1").groupBy("shard").agg(F.ceil(F.sum(F.length("words")) / STREAM_CHARS).cast("int").alias("parts"))
+    pieces = pieces.join(broadcast_if_small(cut(parts, "parts"), 24), "shard")
+    spread = F.when(F.col("stream") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "d1", "start"), F.col("parts")).cast("int")))
+    dealt = pieces.withColumn("part", F.explode(spread)).repartition("shard", "part").sortWithinPartitions("shard", "part", "stream")
+    found = cut(stream_shards(dealt), "occurrences")
+    return found.groupBy("doc", "d1").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("stops")).alias("stops"))
+
+
+def remove_runs(texts: DataFrame) -> DataFrame:
+    """texts (doc, d1, starts, stops, text) -> doc, d1, n_removed, kept: without the words in [start, stop) of any pair."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept = [], []
-            for text, starts in zip(batch.column(3), batch.column(2)):
+            for starts, stops, text in zip(*(batch.column(i) for i in range(2, 5))):
                 words = split_words(text.as_py())
-                windows = rolling(word_hashes(words), WINDOW)
-                repeat = np.ones(len(windows), bool)
-                repeat[np.unique(windows, return_index=True)[1]] = False
-                gone = np.array(starts.as_py(), np.int64)
-                repeat[gone[gone >= 0]] = True
-                out = covered(np.nonzero(repeat)[0], len(words), 0, WINDOW)
+                out = covered(np.array(starts.as_py(), np.int64), np.array(stops.as_py(), np.int64), len(words))
                 removed.append(int(out.sum()))
                 kept.append(b" ".join([w for w, x in zip(words, out.tolist()) if not x]).decode("utf-8", "replace"))
             cols = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc", "d1", "n_removed", "kept"])
 
-    return in_arrow(texts.select("doc", "d1", "starts", "text"), read, "doc long, d1 long, n_removed long, kept string")
+    return in_arrow(texts.select("doc", "d1", "starts", "stops", "text"), read, "doc long, d1 long, n_removed long, kept string")
 
 
 def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -168,7 +287,6 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     Copies have the text of an earlier document, so all their windows start earlier; they are left out of the search,
     which loses nothing, as that earlier document is in it.
     """
-    spark = docs.sparkSession
     rows = cut(phrase_table(docs), "phrases")
     first = rows.groupBy("d1", "d2").agg(F.min("doc").alias("first"))
     later = rows.select("doc", "d1", "d2").join(cut(first, "first"), ["d1", "d2"]).where("doc > first").select("doc", "d1", "d2")
@@ -177,20 +295,14 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     counts = single.select(F.explode(F.concat("phrases", "again")).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
     recurring = cut(counts.where("n > 1").select("phrase"), "recurring")
     meets = single.select("doc", "d1", F.explode("phrases").alias("phrase")).join(recurring, "phrase")
-    shards = cut(meets.groupBy("doc", "d1").agg(F.collect_set("phrase").alias("phrases")), "shards")
-    tidy(spark)
+    known = cut(meets.groupBy("doc", "d1").agg(F.collect_set("phrase").alias("phrases")), "known")
 
     texts = docs.select(*_keys(), "text").drop("d2")
-    windows = cut(candidate_windows(texts.join(shards, ["doc", "d1"])), "windows")
-    tidy(spark)
-    firsts = windows.where("window is not null").groupBy("window").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-    firsts = cut(firsts.where("n > 1").select("window", "first"), "firsts")
-    later = windows.join(firsts, "window").where("doc > first").select("doc", "d1", "start")
-    own = windows.where("window is null").select("doc", "d1", "start")
-    starts = cut(later.unionByName(own).groupBy("doc", "d1").agg(F.collect_set("start").alias("starts")), "starts")
-    tidy(spark)
-    ids = broadcast_if_small(starts.select("doc", "d1"), 48)
-    changed = remove_windows(texts.join(ids, ["doc", "d1"], "left_semi").join(starts, ["doc", "d1"])).dropDuplicates(["doc", "d1"])
+    distinct = texts.join(known, ["doc", "d1"]).dropDuplicates(["doc", "d1"])
+    stretches = cut(stretch_table(distinct).withColumn("id", F.monotonically_increasing_id()), "stretches")
+    found = cut(occurrences(stretches), "found")
+    ids = broadcast_if_small(found.select("doc", "d1"), 48)
+    changed = remove_runs(texts.join(ids, ["doc", "d1"], "left_semi").join(found, ["doc", "d1"])).dropDuplicates(["doc", "d1"])
     return rows.select("doc", "d1", "d2", "n_words", "words_sha256"), changed, copies
 
 
@@ -200,7 +312,8 @@ def deduplicated_words(docs: DataFrame) -> DataFrame:
     Words are runs of other than ASCII white space; a window is WINDOW words. Each word is removed that lies in a window
     which also starts in a document with a smaller doc_id, or earlier in the same text. Null and short texts have no
     windows. Rows that share doc_id and text get equal results and do not remove each other; rows without doc_id come
-    last in order. Exact copies of thousands and hot phrases are counted before any shuffle by key; joins on a hot
+    last in order. What is removed was found word for word by an automaton; hashes of windows (64 bits) only choose what
+    the automata hold. Exact copies of thousands and hot phrases are counted before any shuffle by key; joins on a hot
     phrase are skewed joins that Spark splits.
     """
     rows, changed, copies = repeated_passages(docs)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from quirefold.llm import substrings
 
@@ -53,3 +54,49 @@ def test_texts_without_repeats(spark):
     assert texts[6] == before[6] and texts[7] == "" and texts[0] is None and texts[11] == "tail"
     for i, (_, _, sha) in brute({(i, t) for i, t in before.items() if i is not None}).items():
         assert hashlib.sha256(b" ".join((texts[i] or "").encode().split())).hexdigest() == sha
+
+
+class Blind:
+    def iter(self, text):
+        return ()
+
+
+def test_removal_follows_from_the_automata():
+    """Every removed run comes from Shard.locate(), which finds nothing without its automaton."""
+    words = [b"w%d" % j for j in range(30)]
+    shard = substrings.Shard([(0, 0, 0, b" ".join(words))])
+    assert shard.locate(5, 5, 7, words) != ([], [])
+    assert shard.locate(0, 0, 0, words) == ([], [])  # the owner's own place
+    shard.automaton = Blind()
+    assert shard.locate(5, 5, 7, words) == ([], [])
+
+
+def test_a_shard_finds_every_window_of_its_passages():
+    r = random.Random(2)
+    for shared in (0, 1, 8):
+        texts = [[r.choice("abc") for _ in range(r.randint(20, 90))] for _ in range(30)]
+        seen, passages = set(), []
+        for i, words in enumerate(texts):  # passages with windows that no other has, as the operator makes them
+            for s in range(len(words) - 19):
+                if (w := tuple(words[s : s + 20])) not in seen:
+                    seen.add(w)
+                    passages.append((i, i, s, " ".join(w).encode()))
+        old, substrings.SHARED = substrings.SHARED, shared
+        try:
+            shard = substrings.Shard(passages)
+        finally:
+            substrings.SHARED = old
+        stream = [r.choice("abc") for _ in range(200)] + texts[3][:25] + ["d"] + texts[7] + texts[9][5:40]
+        want = {s for s in range(len(stream) - 19) if tuple(stream[s : s + 20]) in seen}
+        starts, stops = shard.locate(10**6, 0, 100, [w.encode() for w in stream])
+        assert {p - 100 for a, b in zip(starts, stops) for p in range(a, b - 19)} == want
+
+
+def test_hot_passages_over_many_shards_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_WINDOWS", 5)
+    monkeypatch.setattr(substrings, "STREAM_CHARS", 500)
+    monkeypatch.setattr(substrings, "STRETCH", 7)
+    line = [f"x{j}" for j in range(30)]
+    rows = [(i, " ".join([f"a{i}", *line[i % 5 :], f"b{i % 7}", *line[: 20 + i % 3]] * (1 + i % 2))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(substrings.deduplicated_words(docs)) == brute(rows)
