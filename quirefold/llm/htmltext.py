@@ -2,20 +2,23 @@
 
 Each page scores its containers and climbs from the best one as long as that adds text; Spark sums the votes for
 generalised tag-class paths per host; each page is then extracted again with its host's winning path, or with its own
-best one where the winner does not occur or has no text.
+best one where the winner does not occur or has no text. Parsing, scoring and extraction take time and memory in
+proportion to the page, whatever its markup: every character is scanned a bounded number of times, and a container
+holds its own part of its path only.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_arrow
+from .common import cut, extended, in_arrow
 from .urlrules import url_host
 
 #: Estimated bytes up to which the table of winning paths is broadcast.
@@ -23,161 +26,256 @@ BROADCAST_BYTES = 32 << 20
 #: What a container keeps of its children's score; the favour for article elements.
 KEPT, ARTICLE = 0.95, 1.25
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|noscript|template|iframe|svg|textarea|select|button|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.S | re.I,
-)
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+#: The end of a tag, or a quotation mark that opens a value; attributes with their values (quoted or not).
+TAG_END = re.compile(r">|=\s*+([\"'])")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>]*+)))?|.""", re.S)
+LONG_NUMBER = re.compile(r"&#\d{9,}")
+#: Elements whose content is no markup, up to their end tag.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "title", "textarea", "iframe", "noscript", "xmp")}
 #: Elements that hold blocks and may be the article; elements that end a block; elements closed by another of their kind.
 CONTAINERS = frozenset("body main article section div td center blockquote".split())
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th pre hr figure figcaption address details summary "
-    "header footer nav aside form fieldset menu dialog html head caption".split()
+    "header footer nav aside form fieldset menu dialog html head caption svg template select button object".split()
 )
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-CLOSES_P = BLOCKS - {"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "html", "head", "body"}
+CLOSES_P = BLOCKS - {"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "html", "head", "body", "svg", "template", "select", "button", "object"}
 VOID = frozenset(("hr",))
-#: What is never part of an article: elements, and words in class, id or role.
-NOT_ARTICLE = frozenset("nav footer aside form menu dialog head fieldset".split())
-NOT_ARTICLE_WORDS = frozenset(
+PARTS = frozenset("nav footer aside main article".split())
+#: Elements that are never part of an article.
+NOT_ARTICLE = frozenset("nav footer aside form menu dialog head fieldset svg template select button object".split())
+#: Names, in class, id or role, of what is hardly ever part of an article; of what may be one.
+SURE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus dialog footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination "
-    "popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget "
-    "contentinfo complementary search respond replies discussion".split()
+    "disqus dialog footer login masthead menu modal nav navbar navigation newsletter pagination popup promo promoted promotion "
+    "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary respond replies".split()
 )
-EXEMPT = frozenset("html body main".split())
+UNSURE = frozenset("header related search form notice notices discussion".split())
 #: Words that may stand beside those in a name (site-footer, comments-area); has-comments or with-sidebar say something else.
 NEUTRAL = frozenset("site page main global area list section block box bar wrap wrapper container inner".split())
+EXEMPT = frozenset("html body main".split())
 #: What readers write may be longer than the article: it is no article beside at least OTHER_TEXT characters of other text.
-READERS = frozenset("comment comments disqus replies respond discussion".split())
+READERS = frozenset("comment comments disqus replies respond".split())
 OTHER_TEXT = 500
+#: A notice is at most this long.
+SHORT = 300
 
 
 class Node:
-    """A container, or another block that its names mark as no part of an article."""
+    """A container, or another block that may be no part of an article. name: its own part of the path."""
 
-    __slots__ = ("tag", "path", "dropped", "marks", "up", "own", "links", "kids", "texts")
+    __slots__ = ("tag", "name", "dropped", "marks", "up", "own", "links", "kids", "texts", "blocks", "place")
 
-    def __init__(self, tag: str, path: str, dropped: bool, marks: frozenset[str] = frozenset(), up: Node | None = None):
-        self.tag, self.path, self.dropped, self.marks, self.up = tag, path, dropped, marks, up
-        self.own, self.links, self.kids, self.texts = 0, 0, [], []
+    def __init__(self, tag: str, name: str, dropped: bool, marks: frozenset[str] = frozenset(), up: Node | None = None, place: int = 0):
+        self.tag, self.name, self.dropped, self.marks, self.up, self.place = tag, name, dropped, marks, up, place
+        self.own, self.links, self.blocks, self.kids, self.texts = 0, 0, 0, [], []
+
+    def path(self) -> str:
+        parts, at = [], self
+        while at is not None:
+            parts.append(at.name)
+            at = at.up
+        return "".join(reversed(parts))
 
 
 def names(attributes: str) -> tuple[str, frozenset[str]]:
-    """The class generalised (digits away, parts sorted), and the words of NOT_ARTICLE_WORDS that whole names in class, id and role consist of."""
+    """The class generalised (digits away, parts sorted), and the words of SURE and UNSURE that whole names in class, id and role consist of."""
     general, marks = "", set()
-    for kind, a, b, c in NAMES.findall(attributes):
-        value = (a or b or c).lower()
+    for m in ATTRIBUTE.finditer(attributes):
+        kind = m[1].lower() if m[1] else ""
+        if kind not in ("class", "id", "role"):
+            continue
+        value = (m[2] or m[3] or m[4] or "").lower()
         for name in value.split():
             found = set(re.split(r"[^a-z]+", name)) - {""} - NEUTRAL
-            if found <= NOT_ARTICLE_WORDS:
+            if found <= SURE | UNSURE:
                 marks |= found
-        if kind.lower() == "class":
-            general = ".".join(sorted(set(re.sub(r"\d+", "", value).split())))
+        if kind == "class" and not general:
+            general = ".".join(sorted({x.replace("/", "") for x in re.sub(r"\d+", "", value).split()} - {""}))
     return general, frozenset(marks)
 
 
-def parse(page: str) -> list[Node]:
-    """The page's containers in page order, each with its own blocks of text; the first is the page's root.
+def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
+    """start, end, name (with / for end tags, empty for comments and the like) and attributes of each piece of markup.
 
-    Blocks marked by their names are dropped, but not one that holds most of the page's text without links (unless the
-    page's only article element is elsewhere, or see READERS), and none if nothing would be left.
+    Raw elements are one piece with their content. Where quotes do not close, tags end at the next > from there on; a tag
+    that never ends takes the rest of the page.
     """
+    at, size, quoting, unclosed = 0, len(page), True, set()
+    last = page.rfind(">")
+    while 0 <= (start := page.find("<", at)):
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", ""
+            continue
+        m = TAG_NAME.match(page, start + 1)
+        if not m and page[start + 1 : start + 2] not in ("!", "?", "/"):
+            at = start + 1
+            continue
+        if start > last:
+            yield start, size, "", ""
+            return
+        end, inner = -1, m.end() if m else start + 1
+        pos = inner
+        while m and quoting:
+            e = TAG_END.search(page, pos)
+            if not e or not e[1]:
+                end = e.end() if e else -1
+                break
+            close = -1 if e[1] in unclosed else page.find(e[1], e.end())
+            if close < 0:
+                unclosed.add(e[1])
+            pos = e.end() if close < 0 else close + 1
+        if end < 0:
+            quoting = quoting and not m
+            end = page.find(">", inner) + 1
+        name = m[0].lower() if m else ""
+        at = end
+        if name in RAW and name not in unclosed:
+            close = RAW[name].search(page, end)
+            if close:
+                at = page.find(">", close.end()) + 1 or size
+            elif name in ("script", "style"):
+                at = size
+            else:
+                unclosed.add(name)
+            yield start, at, "", ""
+            continue
+        yield start, at, name, page[inner : end - 1] if name else ""
+
+
+def decoded(text: str) -> str:
+    """Character references resolved, white space as one space, trimmed. Numbers too long for a code point give the replacement character."""
+    if "&" in text:
+        text = entities.unescape(LONG_NUMBER.sub("&#1114112", text))
+    return " ".join(text.split())
+
+
+def parse(page: str) -> list[Node]:
+    """The page's containers in page order, each with its own blocks of text; the first is the page's root. See drop_marked() for what is dropped."""
     root = Node("", "", False)
-    nodes, stack = [root], [("", root, False)]  # (tag, container, dropped)
+    nodes, stack, opened = [root], [("", root, False)], Counter()  # stack: (tag, container, dropped)
     parts: list[str] = []
-    linked = at = 0
-    in_link = 0
+    linked = at = count = 0
+    in_link = False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, count
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
             _, box, dropped = stack[-1]
-            if text and not dropped:
-                box.texts.append((len(order), text))
-                order.append(text)
+            text = "" if dropped else decoded("".join(parts))
+            if text:
+                box.texts.append((count, text))
+                count += 1
                 box.own += len(text)
                 box.links += min(linked, len(text))
+                box.blocks += 1
             parts.clear()
             linked = 0
 
-    order: list[str] = []
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for start, end, tag, attributes in tags(page):
+        if start > at:
+            parts.append(page[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        tag = m[3]
+                linked += start - at
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
+        closing = tag[0] == "/"
+        tag = tag[1:] if closing else tag
         if tag not in BLOCKS:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                in_link = 0 if m[2] else 1
+                in_link = not closing
             continue
         flush()
-        in_link = 0
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+        in_link = False
+        if closing:
+            while opened[tag]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == tag:
                     break
             continue
         while len(stack) > 1 and (stack[-1][0] in SELF_CLOSING.get(tag, ()) or stack[-1][0] == "p" and tag in CLOSES_P):
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         if tag in VOID:
             continue
         _, box, dropped = stack[-1]
-        general, marks = names(m[4]) if m[4] else ("", frozenset())
+        general, marks = names(attributes) if attributes else ("", frozenset())
         if tag in EXEMPT:
             marks = frozenset()
+        elif tag == "header":
+            marks |= {"header"}
         dropped = dropped or tag in NOT_ARTICLE
-        if tag in CONTAINERS or marks and not dropped:
-            box.kids.append(node := Node(tag, f"{box.path}/{tag}{'.' if general else ''}{general}", dropped, marks, box))
+        if tag in CONTAINERS or marks and not dropped or tag in PARTS:
+            box.kids.append(node := Node(tag, f"/{tag}{'.' if general else ''}{general}", dropped, marks, box, len(nodes)))
             nodes.append(node)
             box = node
         stack.append((tag, box, dropped))
+        opened[tag] += 1
     parts.append(page[at:])
     flush()
     drop_marked(nodes)
     return nodes
 
 
-def totals(nodes: list[Node], value) -> dict[int, int]:
-    """The sum of value over each container that is not dropped and all such containers inside it, by its id()."""
-    out: dict[int, int] = {}
+def totals(nodes: list[Node], value) -> list[float]:
+    """The sum of value over each container that is not dropped and all such containers inside it, by its place."""
+    out = [0 if n.dropped else value(n) for n in nodes]
     for n in reversed(nodes):  # children come after their parents
-        out[id(n)] = 0 if n.dropped else value(n) + sum(out[id(k)] for k in n.kids)
+        if n.up is not None and not n.dropped:
+            out[n.up.place] += out[n.place]
     return out
 
 
-def within(node: Node | None, outer: Node) -> bool:
-    while node is not None and node is not outer:
-        node = node.up
-    return node is outer
-
-
 def drop_marked(nodes: list[Node]) -> None:
-    """Settle which of the marked blocks are dropped; what is inside a dropped block is dropped, too."""
+    """Settle which of the marked blocks are dropped; what is inside a dropped block is dropped, too.
+
+    A name alone drops a block only if it is a sure one, and never one that holds most of the page's text without links
+    (unless the page's only article element is elsewhere, or see READERS). An unsure name needs evidence from score or
+    place: a header outside an article element belongs to the page if it is in the body itself or beside PARTS of a page,
+    holds navigation, or has less than half of the text around it; a notice is short; anything else is mostly links, or a
+    discussion of several alike containers. Nothing is dropped if no text would be left.
+    """
     if not any(n.marks and not n.dropped for n in nodes):
         return
     before = [n.dropped for n in nodes]
-    plain = totals(nodes, lambda n: n.own - n.links)
-    inside: set[int] = set()
+    size, links, blocks = totals(nodes, lambda n: n.own), totals(nodes, lambda n: n.links), totals(nodes, lambda n: n.blocks)
+    plain = [a - b for a, b in zip(size, links)]
+    marked, article, only = [False] * len(nodes), [False] * len(nodes), None
+    enclosed, parted = [False] * len(nodes), [False] * len(nodes)  # within an article element; with a part of the page as child
     for n in nodes[1:]:
-        if n.marks or id(n.up) in inside:
-            inside.add(id(n))
-    clear = totals(nodes, lambda n: 0 if id(n) in inside else n.own - n.links)
-    articles = [n for n in nodes if n.tag == "article" and clear[id(n)]]
+        marked[n.place] = marked[n.up.place] or bool(n.marks - {"header"})
+        enclosed[n.place] = enclosed[n.up.place] or n.up.tag == "article"
+        parted[n.up.place] = parted[n.up.place] or n.tag in PARTS
+    clear = totals(nodes, lambda n: 0 if marked[n.place] else n.own - n.links)
+    articles = [n for n in nodes if n.tag == "article" and clear[n.place]]
+    if len(articles) == 1:
+        only = articles[0]
+        for n in nodes[only.place :]:
+            article[n.place] = n is only or n.up is not None and article[n.up.place]
+
+    def evidence(n: Node) -> bool:
+        i = n.place
+        if n.marks & SURE or 2 * links[i] > size[i]:
+            return True
+        if "header" in n.marks:
+            beside = parted[n.up.place] or 2 * plain[n.up.place] < plain[0]
+            return not enclosed[i] and (n.up.tag in ("", "body") or beside or any(k.tag == "nav" for k in n.kids))
+        if n.marks & {"notice", "notices"}:
+            return size[i] <= SHORT and blocks[i] <= 2
+        if "discussion" in n.marks:
+            return max(Counter(k.name for k in n.kids if size[k.place]).values(), default=0) > 1
+        return "search" in n.marks and size[i] <= SHORT
+
     for n in nodes[1:]:
-        if n.marks and not n.dropped:
-            most = 2 * plain[id(n)] > plain[id(nodes[0])] and not (n.marks <= READERS and clear[id(nodes[0])] >= OTHER_TEXT)
-            n.dropped = not most or len(articles) == 1 and not within(n, articles[0])
+        if n.marks and not n.dropped and evidence(n):
+            most = 2 * plain[n.place] > plain[0] and not (n.marks <= READERS and clear[0] >= OTHER_TEXT)
+            n.dropped = not most or only is not None and not article[n.place]
         n.dropped = n.dropped or n.up.dropped
     if not any(n.own for n in nodes if not n.dropped):
         for n, was in zip(nodes, before):
@@ -185,13 +283,11 @@ def drop_marked(nodes: list[Node]) -> None:
 
 
 def scores(nodes: list[Node]) -> dict[int, float]:
-    """Of each container by its place in nodes: its own text without links, and most of its children's score."""
+    """Of each container by its place: its own text without links, and most of its children's score."""
     out: dict[int, float] = {}
-    place = {id(n): i for i, n in enumerate(nodes)}
-    for i in range(len(nodes) - 1, -1, -1):  # children come after their parents
-        n = nodes[i]
+    for n in reversed(nodes):  # children come after their parents
         if not n.dropped:
-            out[i] = (n.own - n.links + KEPT * sum(out.get(place[id(k)], 0) for k in n.kids)) * (ARTICLE if n.tag == "article" else 1)
+            out[n.place] = (n.own - n.links + KEPT * sum(out.get(k.place, 0) for k in n.kids)) * (ARTICLE if n.tag == "article" else 1)
     return out
 
 
@@ -204,9 +300,9 @@ def climb(nodes: list[Node], best: Node) -> Node:
     size, links = totals(nodes, lambda n: n.own), totals(nodes, lambda n: n.links)
     at, up, closed = best, best.up, best.tag == "article"
     while up is not None:
-        more = size[id(up)] - size[id(at)]
+        more = size[up.place] - size[at.place]
         closed = closed or up.tag in ("body", "")
-        if 2 * (links[id(up)] - links[id(at)]) > more or more and closed and not up.own:
+        if 2 * (links[up.place] - links[at.place]) > more or more and closed and not up.own:
             break
         if more:
             at = up
@@ -216,15 +312,26 @@ def climb(nodes: list[Node], best: Node) -> Node:
 
 
 def best_container(nodes: list[Node]) -> Node | None:
-    """The page's best container; null for a page without text. Among equals the smallest path."""
-    rated = [(-s, nodes[i].path, i) for i, s in scores(nodes).items() if s > 0]
-    return climb(nodes, nodes[min(rated)[2]]) if rated else None
+    """The page's best container; null for a page without text. Among equals the first in the page."""
+    rated = [(-s, i) for i, s in scores(nodes).items() if s > 0]
+    return climb(nodes, nodes[min(rated)[1]]) if rated else None
 
 
 def best_path(page: str | None) -> str | None:
     """The path of the page's best container; null for a page without text."""
     best = best_container(parse(page or ""))
-    return best.path if best else None
+    return best.path() if best else None
+
+
+def at_path(nodes: list[Node], path: str) -> list[Node]:
+    """The containers with this path that are not dropped. Each node is compared with one part of the path only."""
+    parts = [f"/{x}" for x in path.split("/")[1:]]
+    depth = [0] + [-1] * (len(nodes) - 1)  # how many parts agree, -1 from the first that does not
+    for n in nodes[1:]:
+        d = depth[n.up.place]
+        if 0 <= d < len(parts) and parts[d] == n.name:
+            depth[n.place] = d + 1
+    return [n for n in nodes if depth[n.place] == len(parts) and not n.dropped]
 
 
 def text_of(chosen: list[Node]) -> str:
@@ -240,7 +347,7 @@ def text_of(chosen: list[Node]) -> str:
 def extract(page: str | None, path: str | None) -> str:
     """The text of the containers with this path, or of the page's best one if they have none; blocks joined by line feeds."""
     nodes = parse(page or "")
-    text = text_of([n for n in nodes if n.path == path and not n.dropped]) if path is not None else ""
+    text = text_of(at_path(nodes, path)) if path is not None else ""
     return text or text_of([best_container(nodes) or nodes[0]])
 
 
@@ -267,7 +374,6 @@ def main_text(pages: DataFrame) -> DataFrame:
     size = won.agg(F.sum(F.length("host") + F.length("path") + 48)).first()[0] or 0
     rows = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
     rows = rows.join(F.broadcast(won) if size <= BROADCAST_BYTES else won, "host", "left").select("page_id", "url", "path", "html")
-    kind = pages.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,4 +382,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 cols = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), part.column(2)]
                 yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars", "path"])
 
-    return in_arrow(rows, read, f"page_id {kind}, url string, text string, n_chars long, path string")
+    return in_arrow(rows, read, extended(pages, ["page_id", "url"], "text string, n_chars long, path string"))

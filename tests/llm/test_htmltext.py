@@ -1,4 +1,6 @@
 import re
+import time
+from collections import Counter
 from html import unescape
 
 from quirefold.llm import htmltext
@@ -86,3 +88,62 @@ def test_containers_of_the_host_without_text_here():
     empty = "<body><div class=main><div class=pic><img src=x></div></div><div class=story><p>The text is here.</p></div></body>"
     assert htmltext.extract(empty, "/body/div.main") == "The text is here."
     assert htmltext.extract("<body><div class=main><div class=ad>Buy</div></div><div class=story><p>The text.</p></div></body>", "/body/div.main") == "The text."
+
+
+def test_time_grows_with_the_page_whatever_its_markup():
+    """A megabyte of unclosed tags, open quotes or deep nesting takes seconds."""
+    n = 1 << 20
+    odd = ("<script", "<script>", "<a", "<div class='x'>", "<a b=\"'", "<a '", "<!--", "<noscript>", "<header>x", "<div class=related>x", "<p>x", "</", "<", "<p a=")
+    for piece in odd:
+        page = piece * (n // len(piece))
+        began = time.process_time()
+        htmltext.extract(page, htmltext.best_path(page))
+        htmltext.extract(page + ">", htmltext.best_path(page + ">"))
+        assert time.process_time() - began < 20, piece
+    for page in ("<div>" * 50_000 + "</section>" * 50_000 + "<p>end", "<p " + "a" * n + ">end", "<p a=" + " " * n + ">end", "<div class=\"" + "class=\"" * 90_000 + "\">end"):
+        began = time.process_time()
+        assert htmltext.extract(page, htmltext.best_path(page)) == "end"
+        assert time.process_time() - began < 20
+    assert htmltext.extract("<p>&#" + "9" * n + "; &#65; &#x110000;", None) == "� A �"
+
+
+def test_names_alone_drop_no_part_of_an_article():
+    body = "Article text that goes on and on. " * 20
+    inner = f"<div class=article-header><h1>Title</h1></div><p>{body}</p><section class=related-work><p>Earlier work on this.</p></section><section class=discussion><h2>Discussion</h2><p>What it means.</p></section>"
+    want = f"Title\n{body.strip()}\nEarlier work on this.\nDiscussion\nWhat it means."
+    for page in (f"<body><nav>x</nav><article>{inner}</article></body>", f"<body><div class=post>{inner}</div><footer>f</footer></body>", f"<main>{inner}</main>"):
+        assert whole(page) == want
+    assert whole(f"<article><div class=header><h1>Title</h1></div><p>{body}</p><div class=related><h3>Prior art</h3><p>In plain words.</p></div></article>") == f"Title\n{body.strip()}\nPrior art\nIn plain words."
+
+
+def test_parts_of_the_page_go_by_place_and_score():
+    body = "Article text that goes on and on. " * 20
+    links = "<a href=/1>One other story</a><a href=/2>Another story</a>"
+    replies = "<div class=post-reply><p>First!</p></div><div class=post-reply><p>Second.</p></div>"
+    page = f"<body><header><h1>Site name</h1></header><p>{body}</p><p class=notice>Prices are not up to date.</p><div class=related>{links}</div><section class=discussion>{replies}</section><div class=newsletter><p>Sign up</p></div></body>"
+    assert whole(page) == body.strip()
+    assert whole(f"<div id=page><header><h1>Site</h1></header><main><h1>Head</h1><p>{body}</p></main><footer>f</footer></div>") == f"Head\n{body.strip()}"
+    assert whole(f"<div class=post><header><h1>Head</h1></header><p>{body}</p></div>") == f"Head\n{body.strip()}"
+
+
+def test_votes_match_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    page = lambda tag, n: f"<body><{tag}><p>{'Text here. ' * n}</p></{tag}><div class=b{n}>{'More. ' * 9}</div></body>"
+    made = [(i, f"http://h{i % 3}.net/{i}", page("article" if i % 2 else "section", i % 7)) for i in range(60)] + [(60, None, "<p>x"), (61, "http://h1.net/", None)]
+    rows = [(r["url"], r["html"]) for r in pages.collect()] + [(u, h) for _, u, h in made]
+    votes = {}
+    for url, html in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        if (path := htmltext.best_path(html)) is not None:
+            votes.setdefault(re.split("[/?#]", rest)[0].lower(), Counter())[path] += 1
+    both = pages.select("url", "html").union(spark.createDataFrame(made, "page_id long, url string, html string").select("url", "html"))
+    want = {host: max((n, path) for path, n in c.items()) for host, c in votes.items()}
+    assert {r["host"]: (r["votes"], r["path"]) for r in htmltext.host_paths(both).collect()} == want
+
+
+def test_clashing_columns_and_a_very_long_page(spark):
+    long = f"<body><nav>menu</nav><article>{'<p>Some words of a very long page.</p>' * 60_000}</article></body>"
+    pages = spark.createDataFrame([(1, "http://a.net/", long, "h", "p", "t", 5, "v"), (2, None, "<p>b", None, None, None, None, None)], "page_id long, url string, html string, host string, path string, `text` string, n_chars long, `my votes` string")
+    got = {r["page_id"]: r for r in htmltext.main_text(pages).collect()}
+    assert got[1]["text"] == "\n".join(["Some words of a very long page."] * 60_000) and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == "b" and htmltext.main_text(pages).columns == ["page_id", "url", "text", "n_chars", "path"]
