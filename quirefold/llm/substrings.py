@@ -298,11 +298,12 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     known = cut(meets.groupBy("doc", "d1").agg(F.collect_set("phrase").alias("phrases")), "known")
 
     texts = docs.select(*_keys(), "text").drop("d2")
-    distinct = texts.join(known, ["doc", "d1"]).dropDuplicates(["doc", "d1"])
-    stretches = cut(stretch_table(distinct).withColumn("id", F.monotonically_increasing_id()), "stretches")
+    single_rows = rows.groupBy("doc", "d1").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    once = (lambda df: df) if single_rows else (lambda df: df.dropDuplicates(["doc", "d1"]))  # rows that are repeated are rare, and texts are long to sort
+    stretches = cut(stretch_table(once(texts.join(known, ["doc", "d1"]))).withColumn("id", F.monotonically_increasing_id()), "stretches")
     found = cut(occurrences(stretches), "found")
     ids = broadcast_if_small(found.select("doc", "d1"), 48)
-    changed = remove_runs(texts.join(ids, ["doc", "d1"], "left_semi").join(found, ["doc", "d1"])).dropDuplicates(["doc", "d1"])
+    changed = once(remove_runs(texts.join(ids, ["doc", "d1"], "left_semi").join(found, ["doc", "d1"])))
     return rows.select("doc", "d1", "d2", "n_words", "words_sha256"), changed, copies
 
 
