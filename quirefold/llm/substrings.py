@@ -73,28 +73,28 @@ def _keys() -> list[Column]:
 
 
 def phrase_table(docs: DataFrame) -> DataFrame:
-    """Per row: doc, d1, d2, n_words, words_sha256 (all words joined by spaces), phrases (distinct hashes), again (those selected twice or more)."""
+    """Per row: doc, d1, d2, n_words, words_sha256 (all words joined by spaces), phrases (hashes of those selected), places (where they are)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sha, phrases, again = [], [], [], []
+            n, sha, phrases, places = [], [], [], []
             for text in batch.column(3):
                 words = split_words(text.as_py())
-                values, counts = np.unique(selected(word_hashes(words))[1], return_counts=True)
+                at, values = selected(word_hashes(words))
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 phrases.append(values.view(np.int64))
-                again.append(values[counts > 1].view(np.int64))
-            longs = pa.list_(pa.int64())
-            cols = [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(sha), pa.array(phrases, longs), pa.array(again, longs)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc", "d1", "d2", "n_words", "words_sha256", "phrases", "again"])
+                places.append(at.astype(np.int32))
+            lists = [pa.array(phrases, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+            cols = [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(sha), *lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc", "d1", "d2", "n_words", "words_sha256", "phrases", "places"])
 
-    schema = "doc long, d1 long, d2 long, n_words long, words_sha256 string, phrases array<bigint>, again array<bigint>"
+    schema = "doc long, d1 long, d2 long, n_words long, words_sha256 string, phrases array<bigint>, places array<int>"
     return in_arrow(docs.select(*_keys(), "text"), read, schema)
 
 
 def stretch_table(texts: DataFrame) -> DataFrame:
-    """texts (doc, d1, phrases, text) -> doc, d1, start, words, windows, repeats: the stretches around recurring phrases.
+    """texts (doc, d1, places, text) -> doc, d1, start, words, windows, repeats: the stretches around recurring phrases.
 
     windows: a hash of each window of the stretch, null where the document has had that window before; repeats: the
     hashes of those.
@@ -105,16 +105,17 @@ def stretch_table(texts: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, d1, known, text in zip(*(batch.column(i) for i in range(4))):
+            for doc, d1, places, text in zip(*(batch.column(i) for i in range(4))):
                 words = split_words(text.as_py())
-                own = word_hashes(words)
-                places, values = selected(own)
-                hits = places[np.isin(values, np.array(known.as_py(), np.int64).view(np.uint64))]
-                windows = rolling(own, WINDOW)
+                hits = np.array(places.as_py(), np.int64)
+                runs = list(stretches_of(np.nonzero(covered(hits - (WINDOW - PHRASE), hits + 1, len(words) - WINDOW + 1))[0]))
+                windows = np.concatenate([rolling(word_hashes(words[a : b + WINDOW]), WINDOW) for a, b in runs])
                 first = np.zeros(len(windows), bool)
                 first[np.unique(windows, return_index=True)[1]] = True
-                for a, b in stretches_of(np.nonzero(covered(hits - (WINDOW - PHRASE), hits + 1, len(windows)))[0]):
-                    values, new = windows[a : b + 1].view(np.int64), first[a : b + 1]
+                at = 0
+                for a, b in runs:
+                    values, new = windows[at : at + b - a + 1].view(np.int64), first[at : at + b - a + 1]
+                    at += b - a + 1
                     said = b" ".join(words[a : b + WINDOW]).decode("utf-8", "replace")
                     rows.append((doc.as_py(), d1.as_py(), a, said, pa.array(values, mask=~new), np.unique(values[~new])))
                 if len(rows) > 500:
@@ -124,7 +125,7 @@ def stretch_table(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     schema = "doc long, d1 long, start int, words string, windows array<bigint>, repeats array<bigint>"
-    return in_arrow(texts.select("doc", "d1", "phrases", "text"), read, schema)
+    return in_arrow(texts.select("doc", "d1", "places", "text"), read, schema)
 
 
 class Shard:
@@ -164,9 +165,13 @@ class Shard:
         return "".join([known.get(w) or known.setdefault(w, chr(n if (n := len(known) + 1) < 0xD800 else n + 0x800)) for w in words])
 
     def locate(self, doc: int, d1: int, start: int, words: list[bytes]) -> tuple[list[int], list[int]]:
-        """Where the words of a stretch are in a passage, as starts and stops in the document; the owner's own place of a passage is left out."""
+        """Where the words of a stretch are in a passage, as starts and stops in the document; the owner's own place of a passage is left out.
+
+        Passages that could only add words that are found already are not compared.
+        """
         starts: list[int] = []
         stops: list[int] = []
+        since = until = 0  # the last run found
         if not self.places:
             return starts, stops
         get = self.letters.get
@@ -174,18 +179,27 @@ class Shard:
         for end, code in self.automaton.iter(text):
             n = WINDOW if code & 1 else TILE
             q = end - n + 1
+            wide = WINDOW - n
             for i, at in self.places[code >> 1]:
+                if since <= max(0, q - wide) and min(len(text), end + 1 + wide) <= until:
+                    break
                 owner, own_d1, origin, p = self.passages[i]
                 if doc < owner or doc == owner and (d1 != own_d1 or start + q == origin + at):
                     continue
                 a = b = 0  # words that agree before and behind the pattern
-                while a + n < WINDOW and a < at and a < q and p[at - a - 1] == text[q - a - 1]:
+                while a < wide and a < at and a < q and p[at - a - 1] == text[q - a - 1]:
                     a += 1
-                while b + n < WINDOW and at + n + b < len(p) and end + 1 + b < len(text) and p[at + n + b] == text[end + 1 + b]:
+                while b < wide and at + n + b < len(p) and end + 1 + b < len(text) and p[at + n + b] == text[end + 1 + b]:
                     b += 1
-                if a + n + b >= WINDOW:
-                    starts.append(start + q - a)
-                    stops.append(start + end + 1 + b)
+                if a + b >= wide:
+                    first, behind = q - a, end + 1 + b
+                    if starts and first <= until:  # both hold the pattern's end or touch: one run
+                        since, until = min(since, first), max(until, behind)
+                        starts[-1], stops[-1] = start + since, start + until
+                    else:
+                        since, until = first, behind
+                        starts.append(start + since)
+                        stops.append(start + until)
         return starts, stops
 
 
@@ -291,11 +305,11 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     first = rows.groupBy("d1", "d2").agg(F.min("doc").alias("first"))
     later = rows.select("doc", "d1", "d2").join(cut(first, "first"), ["d1", "d2"]).where("doc > first").select("doc", "d1", "d2")
     copies = cut(cut(later, "later").distinct(), "copies")  # apart, so that Spark may split the join's hot partitions
-    single = rows.select("doc", "d1", "d2", "phrases", "again").join(broadcast_if_small(copies, 48), ["doc", "d1", "d2"], "left_anti")
-    counts = single.select(F.explode(F.concat("phrases", "again")).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
+    single = rows.select("doc", "d1", "d2", "phrases", "places").join(broadcast_if_small(copies, 48), ["doc", "d1", "d2"], "left_anti")
+    counts = single.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n"))
     recurring = cut(counts.where("n > 1").select("phrase"), "recurring")
-    meets = single.select("doc", "d1", F.explode("phrases").alias("phrase")).join(recurring, "phrase")
-    known = cut(meets.groupBy("doc", "d1").agg(F.collect_set("phrase").alias("phrases")), "known")
+    meets = single.select("doc", "d1", F.inline(F.arrays_zip("phrases", "places")).alias("phrase", "place")).join(recurring, "phrase")
+    known = cut(meets.groupBy("doc", "d1").agg(F.collect_list("place").alias("places")), "known")
 
     texts = docs.select(*_keys(), "text").drop("d2")
     single_rows = rows.groupBy("doc", "d1").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
