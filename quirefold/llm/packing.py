@@ -1,4 +1,4 @@
-"""Packing token sequences: linear grouping of the large lengths, configurations of few sizes, best fit for the small.
+"""Packing token sequences: linear grouping of the large lengths, an optimal mix of configurations, best fit for the small.
 
 What is planned is the histogram of lengths, which has at most ``capacity`` entries however many documents there are.
 The plan is a short table of runs; Spark ranks the pieces within their length and looks their place up in it.
@@ -6,20 +6,24 @@ The plan is a short table of runs; Spark ranks the pieces within their length an
 
 from __future__ import annotations
 
+import math
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_arrow, ranked
+from .common import cut, extended, in_arrow, ranked
 from .tokens import ChunkIds
 
 CAPACITY = 2048
 #: Groups of equal cardinality for lengths over capacity / SMALL_PART; shorter ones fill gaps.
 GROUPS, SMALL_PART = 128, 8
+#: How near the linear programme comes to its optimum.
+NEAR = 1e-4
 _ids: dict[str, ChunkIds] = {}
 
 
@@ -29,7 +33,6 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool
     Null text counts as empty: one piece with the id 0 alone. Repeated rows are kept one by one. path: a tokenizer with
     word ends (see ChunkIds), a .json file.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
     wide = capacity * 4
 
@@ -50,98 +53,133 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, ids: bool
                 types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * ids
-    return in_arrow(docs.select("doc_id", "text"), pieces, schema)
+    schema = "piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * ids
+    return in_arrow(docs.select("doc_id", "text"), pieces, extended(docs, ["doc_id"], schema))
 
 
-def best_fill(room: int, sizes: list[int], left: list[int]) -> list[int]:
-    """How many of each size (at most left) to take so that their sum is as near below room as can be; large sizes first among equals."""
-    reach, masks = 1, [1]
-    full = (1 << (room + 1)) - 1
-    for s, n in zip(reversed(sizes), reversed(left)):
-        for _ in range(min(n, room // s)):
-            more = (reach | reach << s) & full
-            if more == reach:
-                break
-            reach = more
-        masks.append(reach)
-    target, take = reach.bit_length() - 1, [0] * len(sizes)
-    for i, s in enumerate(sizes):  # masks[-2 - i]: what the sizes after i reach
-        while not masks[-2 - i] >> target & 1:
-            take[i] += 1
-            target -= s
-    return take
-
-
-def grouped(counts: dict[int, int], groups: int) -> list[tuple[int, list[list[int]]]]:
-    """Lengths in falling order cut into groups of equal cardinality: (rounded-up length, [[length, count], ...])."""
-    total = sum(counts.values())
-    per, out, held = max(1, -(-total // groups)), [], 0
+def grouped(counts: dict[int, int], groups: int) -> dict[int, int]:
+    """Lengths in falling order cut into groups of equal cardinality, each rounded up to its largest: rounded length -> pieces.
+
+    Groups of one rounded length are one. No more lengths than groups stay as they are.
+    """
+    if len(counts) <= groups:
+        return dict(sorted(counts.items(), reverse=True))
+    per, out, size, held = -(-sum(counts.values()) // groups), {}, 0, 0
     for length in sorted(counts, reverse=True):
         n = counts[length]
         while n:
-            if not out or held == per:
-                out.append((length, []))
-                held = 0
-            k = min(n, per - held)
-            out[-1][1].append([length, k])
-            held += k
+            if not held:
+                size, held = length, per
+            k = min(n, held)
+            out[size] = out.get(size, 0) + k
+            held -= k
             n -= k
     return out
 
 
+def fullest(sizes: list[int], prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The most that sizes with these prices, each any number of times, are worth within capacity, and how many of each that takes."""
+    best, steps = np.zeros(capacity + 1), []
+    for s, price in zip(sizes, prices.tolist()):
+        steps.append(best)
+        if price > 1e-12:
+            old, best = best, best.copy()
+            for k in range(1, capacity // s + 1):
+                np.maximum(best[k * s :], old[: capacity + 1 - k * s] + k * price, out=best[k * s :])
+    take, room = np.zeros(len(sizes)), capacity
+    for g in range(len(sizes) - 1, -1, -1):
+        worth, old = best[room], steps[g]
+        while old[room] + take[g] * prices[g] < worth - 1e-12 and room >= sizes[g]:
+            take[g] += 1
+            room -= sizes[g]
+        best = old
+    return float((take * prices).sum()), take
+
+
+def configurations(sizes: list[int], need: list[int], capacity: int, rounds: int = 3000) -> list[tuple[list[int], int]]:
+    """Configurations (sizes that share a sequence, falling) and how often each is used, over all groups at once.
+
+    The linear programme of the fewest sequences that hold all pieces, by column generation: the simplex method on one
+    configuration per group, to which the most valuable one at the current prices is added as long as there is one. The
+    solution is rounded down; at any round it is a valid one, and at the end within NEAR of the best.
+    """
+    m, demand = len(sizes), np.array(need, float)
+    fill = np.array([capacity // s for s in sizes], float)
+    columns, inverse, times = np.diag(fill), np.diag(1 / fill), demand / fill
+    for _ in range(rounds):
+        value, column = fullest(sizes, inverse.sum(0), capacity)
+        if value <= 1 + NEAR:
+            break
+        change = (inverse * column).sum(1)
+        ratio = np.where(change > 1e-9, times / np.where(change > 1e-9, change, 1), np.inf)
+        out = int(ratio.argmin())
+        columns[:, out] = column
+        times = np.maximum(0, times - ratio[out] * change)
+        times[out] = ratio[out]
+        pivot = inverse[out] / change[out]
+        inverse = inverse - np.outer(change, pivot)
+        inverse[out] = pivot
+    found = [([s for s, k in zip(sizes, columns[:, j]) for _ in range(round(k))], math.floor(times[j] + 1e-6)) for j in range(m)]
+    return sorted((f for f in found if f[1] and f[0]), reverse=True)
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, int, int, int, int, int]]:
     """Runs (length, first rank, how many, first sequence, pieces a sequence, first offset) that place all pieces.
 
-    Within a run, pieces of one length go one after another into each sequence, ``pieces a sequence`` to each.
+    Within a run, pieces of one length go one after another into each sequence, ``pieces a sequence`` to each. Lengths
+    over capacity / SMALL_PART follow configurations of rounded sizes; for each place in one, the longest remaining length
+    is taken that leaves the later places their sizes, so that rounding leaves no gap that a piece could use. What the
+    rounded-down solution leaves over, and all small lengths, go by best fit into the real gaps, longest first.
     """
     runs, used, bins = [], dict.fromkeys(counts, 0), 0
+    left = {k: n for k, n in counts.items() if n}
+    gaps: dict[int, list[tuple[int, int]]] = {}  # room -> [(first sequence, how many)]
 
     def put(length: int, n: int, first: int, per: int, offset: int) -> None:
         runs.append((length, used[length], n, first, per, offset))
         used[length] += n
+        left[length] -= n
 
-    if n := counts.get(capacity, 0):
+    if n := left.get(capacity, 0):
         put(capacity, n, 0, 1, 0)
         bins = n
-    large = {k: v for k, v in counts.items() if capacity // SMALL_PART < k < capacity}
-    packs = grouped(large, groups)
-    sizes, left = [s for s, _ in packs], [sum(n for _, n in docs) for _, docs in packs]
-    gaps: dict[int, list[tuple[int, int]]] = {}  # room -> [(first sequence, how many)]
-    for g in range(len(packs)):
-        while left[g]:
-            take = best_fill(capacity - sizes[g], sizes[g:], [left[g] - 1, *left[g + 1 :]])
-            take[0] += 1
-            slots = [g + i for i, k in enumerate(take) for _ in range(k)]
-            times = min(left[g + i] // k for i, k in enumerate(take) if k)
-            for i, k in enumerate(take):
-                left[g + i] -= k * times
-            done = 0
-            while done < times:  # the actual documents, as long as every slot goes on with one length
-                step = times - done
-                need: dict[int, int] = {}
-                for s in slots:
-                    need[s] = need.get(s, 0) + 1
-                for s, k in need.items():
-                    step = min(step, packs[s][1][0][1] // k) if packs[s][1][0][1] >= k else 1 if step else 0
-                offset = 0
-                for s in slots:
-                    docs, want, at = packs[s][1], step, bins
-                    length, n = docs[0]
-                    if n < want:  # only with step 1: never
-                        raise AssertionError("run too short")
-                    put(length, want, at, 1, offset)
-                    docs[0][1] -= want
-                    if not docs[0][1]:
-                        docs.pop(0)
-                    offset += length
-                gaps.setdefault(capacity - offset, []).append((bins, step))
-                bins += step
-                done += step
+    large = {k: n for k, n in left.items() if capacity // SMALL_PART < k < capacity}
+    lengths = sorted(large)
+    sizes = grouped(large, groups)
+    for slots, times in configurations(list(sizes), list(sizes.values()), capacity) if sizes else ():
+        while times:
+            picked: list[int] = []
+            kept = sum(slots)
+            for s in slots:
+                kept -= s
+                i = bisect_right(lengths, capacity - sum(picked) - kept) - 1
+                while i >= 0 and left[lengths[i]] <= picked.count(lengths[i]):
+                    i -= 1
+                if i >= 0:
+                    picked.append(lengths[i])
+            if sum(picked) < sum(slots):
+                break
+            step, offset = min(times, *(left[k] // picked.count(k) for k in picked)), 0
+            for k in picked:
+                put(k, step, bins, 1, offset)
+                offset += k
+            for k in set(picked):
+                if not left[k]:
+                    lengths.pop(bisect_left(lengths, k))
+            gaps.setdefault(capacity - offset, []).append((bins, step))
+            bins += step
+            times -= step
     rooms = sorted(gaps)
-    for length in sorted((k for k in counts if k <= capacity // SMALL_PART), reverse=True):
-        n = counts[length]
-        while n:
+
+    def leave(room: int, first: int, many: int) -> None:
+        if many:
+            if not gaps.get(room):
+                gaps[room] = []
+                insort(rooms, room)
+            gaps[room].append((first, many))
+
+    for length in sorted((k for k, n in left.items() if n), reverse=True):
+        while n := left[length]:
             i = bisect_left(rooms, length)
             if i == len(rooms):
                 room, first, many = capacity, bins, -(-n // (capacity // length))
@@ -153,23 +191,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
                     rooms.pop(i)
             per = room // length
             full = min(many, n // per)
-            pieces = [(first, full, per)] if full else []
-            if full < many and (rest := min(per, n - full * per)):
-                pieces.append((first + full, 1, rest))
-            taken = sum(k for _, k, _ in pieces)
-            for at, k, each in pieces:
-                put(length, k * each, at, each, capacity - room)
-                n -= k * each
-                new = room - each * length
-                if new not in gaps or not gaps[new]:
-                    gaps[new] = []
-                    insort(rooms, new)
-                gaps[new].append((at, k))
-            if taken < many:
-                if room not in gaps or not gaps[room]:
-                    gaps[room] = []
-                    insort(rooms, room)
-                gaps[room].append((first + taken, many - taken))
+            rest = min(per, n - full * per) if full < many else 0
+            for at, k, each in ((first, full, per), (first + full, 1, rest)):
+                if k and each:
+                    put(length, k * each, at, each, capacity - room)
+                    leave(room - each * length, at, k)
+            leave(room, first + full + (rest > 0), many - full - (rest > 0))
     return runs
 
 

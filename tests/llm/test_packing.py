@@ -1,6 +1,7 @@
 import random
 import struct
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 
 import public_tokenizers
@@ -13,6 +14,25 @@ from .data import SF, documents, empty
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def best_fit_decreasing(counts, capacity=2048):
+    """How many sequences it takes to put each piece, the longest first, where it leaves the least room."""
+    many, rooms, bins = Counter(), [], 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            i = bisect_left(rooms, length)
+            room = rooms[i] if i < len(rooms) else capacity
+            if i == len(rooms):
+                bins += 1
+            else:
+                many[room] -= 1
+                if not many[room]:
+                    rooms.pop(i)
+            if not many[room - length]:
+                insort(rooms, room - length)
+            many[room - length] += 1
+    return bins
+
+
 def check(rows, texts, capacity):
     """Pieces are the documents' ids in order, every sequence is filled from 0 without gaps, and there are few sequences."""
     ids = {i: e.ids + [0] for i, e in zip(texts, tokenizer(PATH).encode_batch([t or "" for t in texts.values()], add_special_tokens=False))}
@@ -37,8 +57,7 @@ def check(rows, texts, capacity):
             assert offset == at
             at += length
         assert at <= capacity
-    total = sum(r["length"] for r in rows)
-    assert len(spans) <= 1.05 * -(-total // capacity) + 2
+    assert len(spans) <= best_fit_decreasing(Counter(r["length"] for r in rows), capacity) + 1
 
 
 def test_tables(spark):
@@ -70,8 +89,35 @@ def test_plan_places_every_piece_once(seed):
             assert offset == at
             at += length
         assert at <= 2048
-    best = -(-sum(k * n for k, n in counts.items()) // 2048)
-    assert len(spans) <= max(best + 2, 1.05 * best, sum(n for k, n in counts.items() if k > 1024))
+    assert len(spans) <= best_fit_decreasing(counts) + 1
+
+
+HARD = [
+    {683: 3000, 682: 3000, 1024: 2000, 1025: 500, 1023: 500},
+    dict.fromkeys(range(1, 2048), 40),
+    dict.fromkeys((1100, 700, 300, 248), 1000),
+    dict.fromkeys(range(300, 1500), 7),
+]
+
+
+@pytest.mark.parametrize("counts", HARD)
+def test_no_more_sequences_than_best_fit_decreasing(counts):
+    assert max(first + -(-many // per) for _, _, many, first, per, _ in packing.plan(counts)) <= best_fit_decreasing(counts)
+
+
+def test_the_tables_need_no_more_than_best_fit_decreasing(spark):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    pieces = packing.token_pieces(docs, PATH)
+    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    assert max(first + -(-many // per) for _, _, many, first, per, _ in packing.plan(counts)) <= best_fit_decreasing(counts)
+
+
+def test_words_whose_ends_cannot_be_told_are_encoded_one_by_one():
+    chunks = ChunkIds(PATH)
+    chunks.ends = set()
+    texts = ["some words, and other words", "x y", "words"]
+    want = [struct.pack(f"<{len(e)}I", *e.ids) for e in tokenizer(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert list(chunks(texts)) == want
 
 
 def test_chunks_give_the_tokenizers_ids():
