@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow
+from .common import extended, in_arrow, named
 
 #: Expected rows of each language that the centroids are learned from; n-gram buckets; centroids a language.
 SAMPLE, BUCKETS, CENTROIDS = 400, 1 << 13, 4
@@ -148,9 +148,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *cols], names=[*keep, "lang_pred", "score", "rejected"])
 
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    sent = docs.select(*keep) if inner else docs.select(*keep, F.col(text).alias("_text"))
-    return in_arrow(sent, predict, f"{kept}lang_pred string, score double, rejected boolean")
+    sent = docs.select(*map(named, keep)) if inner else docs.select(*map(named, keep), F.col(text).alias("_text"))
+    return in_arrow(sent, predict, extended(docs, keep, "lang_pred string, score double, rejected boolean"))
 
 
 def identify_documents(documents: DataFrame, keep: list[str], per_language: int = SAMPLE) -> DataFrame:

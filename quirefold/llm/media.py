@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow
+from .common import extended, in_arrow, named
 
 UNIT, RATE = 64, 8000
 #: Samples a frame, between frames; limits of the frequency bands; distances of paired frames.
@@ -70,7 +70,6 @@ def fingerprint(samples: bytes) -> np.ndarray:
 
 def text_to_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_bytes (UTF-8 length), media (binary WAV). Null text is stored as an empty one: UNIT zero samples."""
-    kind = docs.schema[key].dataType.simpleString()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +78,7 @@ def text_to_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 media = pa.array([to_wav(p) for _, p in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in rows], pa.int64()), media], names=[key, "n_bytes", "media"])
 
-    return in_arrow(docs.select(key, text), store, f"`{key}` {kind}, n_bytes long, media binary")
+    return in_arrow(docs.select(named(key), named(text)), store, extended(docs, [key], "n_bytes long, media binary"))
 
 
 def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
@@ -88,7 +87,6 @@ def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
     fingerprint is an array of time-coded peak pairs (see fingerprint()); feature is its length and digest. A null
     media gives nulls.
     """
-    kept = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep)
     names = ["media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "fingerprint", "feature"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string()]
 
@@ -107,5 +105,5 @@ def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
                 cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *cols], names=[*keep, *names])
 
-    schema = f"{kept}, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, fingerprint array<bigint>, feature string"
-    return in_arrow(media.select(*keep, F.col("media")), read, schema)
+    schema = "media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, fingerprint array<bigint>, feature string"
+    return in_arrow(media.select(*map(named, keep), F.col("media")), read, extended(media, keep, schema))

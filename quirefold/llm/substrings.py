@@ -128,6 +128,17 @@ def stretch_table(texts: DataFrame) -> DataFrame:
     return in_arrow(texts.select("doc", "d1", "places", "text"), read, schema)
 
 
+def agree(a: str, i: int, b: str, j: int, most: int, step: int) -> int:
+    """How many letters, at most ``most``, agree behind place i of a and place j of b (step 1), or before them (step -1)."""
+    n = min(most, i, j) if step < 0 else min(most, len(a) - i, len(b) - j)
+    if (a[i - n : i] == b[j - n : j]) if step < 0 else (a[i : i + n] == b[j : j + n]):
+        return n
+    k, back = 0, step < 0
+    while k < n and a[i + k * step - back] == b[j + k * step - back]:
+        k += 1
+    return k
+
+
 class Shard:
     """The passages of one shard and their automaton.
 
@@ -176,21 +187,18 @@ class Shard:
             return starts, stops
         get = self.letters.get
         text = "".join([get(w, UNKNOWN) for w in words])
+        size = len(text)
         for end, code in self.automaton.iter(text):
             n = WINDOW if code & 1 else TILE
             q = end - n + 1
             wide = WINDOW - n
             for i, at in self.places[code >> 1]:
-                if since <= max(0, q - wide) and min(len(text), end + 1 + wide) <= until:
+                if since <= max(0, q - wide) and min(size, end + 1 + wide) <= until:
                     break
                 owner, own_d1, origin, p = self.passages[i]
                 if doc < owner or doc == owner and (d1 != own_d1 or start + q == origin + at):
                     continue
-                a = b = 0  # words that agree before and behind the pattern
-                while a < wide and a < at and a < q and p[at - a - 1] == text[q - a - 1]:
-                    a += 1
-                while b < wide and at + n + b < len(p) and end + 1 + b < len(text) and p[at + n + b] == text[end + 1 + b]:
-                    b += 1
+                a, b = agree(p, at, text, q, wide, -1), agree(p, at + n, text, end + 1, wide, 1)
                 if a + b >= wide:
                     first, behind = q - a, end + 1 + b
                     if starts and first <= until:  # both hold the pattern's end or touch: one run

@@ -10,12 +10,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_arrow
+from .common import extended, in_arrow, named
 
 #: Bytes of text given to the tokenizer at once, and the length from which a text is split.
 BATCH_BYTES, LONG_CHARS = 1 << 18, 1 << 16
-#: Where a byte-level BPE text may be cut: before a single space between two visible characters.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Where a byte-level BPE text may be cut, as no token spans it: before a single space between two visible characters, and
+#: between a mark outside ASCII (as in Chinese or Japanese) and a letter.
+SAFE = re.compile(r"(?<=\S) (?=\S)|(?<=[^\s\w\x00-\x7F])(?=[^\W\d_])")
 _loaded: dict[str, object] = {}
 
 
@@ -45,7 +46,7 @@ def by_bytes(texts: list[str], most: int = BATCH_BYTES) -> Iterator[tuple[list[s
         for piece in split_safely(text):
             pieces.append(piece)
             owner.append(i)
-            held += len(piece)
+            held += len(piece.encode())
             if held >= most:
                 yield pieces, owner
                 pieces, owner, held = [], [], 0
@@ -60,8 +61,6 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     where no token can span the cut, so any length is counted whole. Strings of special tokens inside a text count as
     the tokenizer does by default, as one token.
     """
-    id_type = docs.schema[key].dataType.simpleString()
-
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_batch_fast
         for batch in batches:
@@ -76,8 +75,7 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 names=[key, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    schema = f"`{key}` {id_type}, n_bytes long, n_tokens long, over_limit boolean"
-    return in_arrow(docs.select(key, text), lengths, schema)
+    return in_arrow(docs.select(named(key), named(text)), lengths, extended(docs, [key], "n_bytes long, n_tokens long, over_limit boolean"))
 
 
 class ChunkIds:
@@ -112,7 +110,10 @@ class ChunkIds:
             ids = self.encode([" ".join(group)], add_special_tokens=False)[0].ids
             raw = struct.pack(f"<{len(ids)}I", *ids)
             stops = [4 * i + 4 for i, x in enumerate(ids) if x in self.ends]
-            assert len(stops) == len(group)
+            if len(stops) != len(group):  # a word without an end, or with several: one by one
+                for w, e in zip(group, self.encode(group, add_special_tokens=False)):
+                    known[w] = struct.pack(f"<{len(e)}I", *e.ids)
+                continue
             start = 0
             for w, stop in zip(group, stops):
                 known[w] = raw[start:stop]

@@ -1,3 +1,7 @@
+import math
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 from quirefold.llm import langid
 
@@ -35,3 +39,31 @@ def test_far_texts_are_rejected_and_lang_is_no_input(spark):
     a = {r["doc_id"]: r for r in langid.identify(both, model, ["doc_id"]).collect()}
     b = {r["doc_id"]: r for r in langid.identify(both.withColumn("lang", F.lit("xx")), model, ["doc_id"]).collect()}
     assert a == b and a[10**6 + 2]["rejected"]
+
+
+def near(text, texts, model):
+    """Label and cosine of the nearest centroid, number by number."""
+    def vector(x):
+        counts = Counter(langid.grams(x).tolist())
+        v = {b: (1 + math.log(n)) * float(model.idf[b]) for b, n in counts.items()}
+        size = math.sqrt(sum(y * y for y in v.values()))
+        return {b: y / size for b, y in v.items()}
+
+    own = vector(text)
+    return max((sum(y * float(c[b]) for b, y in own.items()), model.labels[model.owner[j]]) for j, c in enumerate(model.centres))
+
+
+def test_assignment_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.select("text", "lang", F.col("doc_id").alias("key")), 30, 2)
+    rows = [r for r in docs.select("doc_id", "text").collect() if len(langid.grams(r["text"]))][:80]
+    seen = Counter(b for text, in docs.where("lang is not null").select("text").collect() for b in set(langid.grams(text).tolist()))
+    assert len(seen) <= langid.BUCKETS and np.allclose(np.linalg.norm(model.centres, axis=1), 1, atol=1e-5)
+    for row, (label, score, _) in zip(rows, model.predict([r["text"] for r in rows])):
+        want = near(row["text"], None, model)
+        assert abs(score - want[0]) < 1e-5 and label == want[1]
+
+
+def test_columns_with_odd_names_stay(spark):
+    docs = spark.createDataFrame([(1, "Ein Text.", "de", "x", 1), (2, "?!", "de", None, 2)] * 5, "doc_id long, text string, lang string, `extra col` string, `a.b` int")
+    assert langid.accepted(docs).columns == docs.columns

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import zlib
 
+import numpy as np
 import public_tokenizers
 from quirefold.llm import media, tokens
 from quirefold.llm.tokens import split_safely, tokenizer
@@ -27,6 +29,39 @@ def test_long_texts_are_cut_where_counts_add_up():
     assert split_safely("x" * 1000, 10) == ["x" * 1000]
 
 
+def test_texts_without_spaces_are_cut_at_marks_and_batches_go_by_bytes():
+    text = "你好，世界。这是「测试」！don’t l’été… 東京、京都。１２３４、五六。a—b “quoted” ‘s ’s" * 40
+    for most in (1, 7, 100):
+        pieces = split_safely(text, most)
+        assert "".join(pieces) == text and len(pieces) > 20
+        assert sum(len(tokenizer(PATH).encode(p, add_special_tokens=False).ids) for p in pieces) == len(tokenizer(PATH).encode(text, add_special_tokens=False).ids)
+    assert [len(p) for p, _ in tokens.by_bytes(["你" * 10] * 9, most=60)] == [2, 2, 2, 2, 1]
+
+
+def peaks(samples):
+    """The fingerprint of samples, frame by frame."""
+    x = [b - 128 for b in samples]
+    n = max(1, -(-(len(x) - 256) // 128) + 1) if x else 1
+    x += [0] * ((n - 1) * 128 + 256 - len(x))
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * i / 255) for i in range(256)]
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    power = [np.abs(turn @ np.array([a * w for a, w in zip(x[t * 128 : t * 128 + 256], window)])) for t in range(n)]
+    found = []
+    for low, high in ((1, 8), (8, 24), (24, 56), (56, 129)):
+        best = [low + int(p[low:high].argmax()) for p in power]
+        loud = [p[low:high].max() > 1e-3 for p in power]
+        for gap in (1, 2):
+            found += [t * 2**20 + gap * 2**16 + best[t] * 2**8 + best[t + gap] for t in range(n - gap) if loud[t] or loud[t + gap]]
+    return sorted(found)
+
+
+def test_fingerprints_match_brute_force():
+    r = np.random.default_rng(5)
+    for n in (0, 64, 256, 257, 384, 640, 6400):
+        samples = r.integers(32, 127, n, dtype=np.uint8).tobytes()
+        assert media.fingerprint(samples).tolist() == peaks(samples)
+
+
 def test_media_round_trip(spark):
     docs = documents(spark)
     stored = media.text_to_media(docs)
@@ -47,8 +82,6 @@ def test_media_round_trip(spark):
 
 
 def test_fingerprints_find_a_shared_stretch():
-    import numpy as np
-
     r = np.random.default_rng(0)
     shared = r.integers(32, 127, 128 * 60, dtype=np.uint8).tobytes()
     a = media.fingerprint(shared + r.integers(32, 127, 1280, dtype=np.uint8).tobytes())
