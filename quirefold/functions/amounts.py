@@ -15,6 +15,8 @@ POLICIES = {
     "comma_decimal_dot_grouping": (".", ","),
 }
 DEFAULT_POLICY = "cord_mixed_v1"
+#: What every accepted amount looks like, for a first test by one expression.
+LIKELY = r"(?i)^\s*(?:rp\.?|idr|php|₱)?\s*[0-9][0-9.,]*\s*$"
 MARKER = r"(?i)^(rp\.?|idr|php|₱)\s*"
 
 

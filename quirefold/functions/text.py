@@ -106,12 +106,17 @@ def _nfkc(text: Column, fold: bool) -> Column:
     return normalized(text)
 
 
+def nfkc(text: Column, fold: bool = False) -> Column:
+    """NFKC, and case folding if asked for. ASCII is that already: Python gets nulls in its place."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text) if fold else text).otherwise(_nfkc(F.when(~plain, text), fold))
+
+
 def key_text(text: Column, ascii_only: bool = False) -> Column:
     """STR-10: NFKC, case folded, everything but word characters removed. ascii_only: the caller knows that it is; no Python then."""
-    folded = F.lower(text) if ascii_only else _nfkc(text, True)
-    return F.regexp_replace(folded, f"{NOT_WORD}+", "")
+    return F.regexp_replace(F.lower(text) if ascii_only else nfkc(text, True), f"{NOT_WORD}+", "")
 
 
 def clean(text: Column, ascii_only: bool = False) -> Column:
     """STR-11: NFKC and collapsed white space."""
-    return collapse(text if ascii_only else _nfkc(text, False))
+    return collapse(text if ascii_only else nfkc(text))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.numbers import rate, wilson
-from ..functions.text import content_words, last_number, normalize_answer
+from ..functions.text import common_prefix, content_words, last_number, normalize_answer
 
 
 def is_correct(state: Column, status: Column, predicted: Column, known: Column) -> Column:
@@ -22,24 +23,27 @@ def answer_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def keyword_lookup(pages: DataFrame, key: str, question: str, words: str, least: int = 3) -> DataFrame:
-    """STR-07, STR-08: key, answer: the first word with a digit after the page word that shares the longest prefix with a content word.
+def keyword_lookup(question: Column, words: Column, least: int = 3) -> Column:
+    """STR-07, STR-08: the first word with a digit after the page word that shares the longest prefix with a content word.
 
-    Ties go to the last such word; without one, or without a digit after it, the answer is the page's last number. Page
-    and question words meet by equality of their prefixes, so the work is linear in their lengths.
+    Ties go to the last such word; without one, or without a digit after it, the answer is the page's last number. All is
+    done within the row: a page word is compared with the content words only if it shares its first ``least`` letters
+    with one. Null questions and pages count as empty.
     """
 
-    def prefixes(text: Column) -> Column:
-        many = F.when(F.length(text) >= least, F.sequence(F.lit(least), F.length(text))).otherwise(F.array().cast("array<int>"))
-        return F.explode(F.transform(many, lambda k: F.left(text, k)))
-
-    asked = pages.select(key, F.explode(F.array_distinct(content_words(F.col(question)))).alias("q")).select(key, prefixes(F.col("q")).alias("p")).distinct()
-    page = pages.select(key, F.posexplode(words).alias("at", "w")).withColumn("norm", normalize_answer(F.col("w")))
-    shared = page.select(key, "at", prefixes(F.col("norm")).alias("p")).join(asked, [key, "p"])
-    best = shared.groupBy(key).agg(F.max(F.struct(F.length("p").alias("n"), "at")).alias("best")).select(key, F.col("best.at").alias("found"))
-    numbers = page.where(F.col("w").rlike(r"\p{Nd}")).select(key, "at", "w").join(best, key)
-    after = numbers.where("at > found").groupBy(key).agg(F.min_by("w", "at").alias("after"))
-    return pages.join(after, key, "left").select(key, F.coalesce("after", last_number(F.col(words))).alias("answer"))
+    def answer(x: Column) -> Column:
+        def shared(n: Column, at: Column) -> Column:
+            longest = F.array_max(F.transform(x["asked"], lambda q: common_prefix(n, q)))
+            return F.when(F.array_contains(x["starts"], F.left(n, F.lit(least))), F.struct(longest.alias("n"), at.alias("at")))
+
+        def after(found: Column) -> Column:
+            later = F.filter(x["words"], lambda w, i: (i > found["at"]) & w.rlike(r"\p{Nd}"))
+            return F.coalesce(F.get(later, F.lit(0)), last_number(x["words"]))
+
+        return let(F.array_max(F.transform(F.transform(x["words"], normalize_answer), shared)), after)
+
+    asked = F.array_distinct(F.filter(content_words(question), lambda q: F.length(q) >= least))
+    return let(asked, lambda q: let(F.struct(q.alias("asked"), F.array_distinct(F.transform(q, lambda w: F.left(w, F.lit(least)))).alias("starts"), F.coalesce(words, F.array().cast("array<string>")).alias("words")), answer))
 
 
 def field_scores(predictions: DataFrame, references: DataFrame) -> DataFrame:

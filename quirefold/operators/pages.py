@@ -38,55 +38,87 @@ def annotation(text: Column) -> Column:
     return let(F.from_json(text, ANNOTATION), lambda d: d)
 
 
-def parse_annotations(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """JSN-01, PRJ-01: JSON annotations to page words: key, line, category, group_id, pos (in the page), text, box, is_key.
+def annotation_words(text: Column) -> Column:
+    """JSN-01, PRJ-01: a JSON annotation as an array of struct(line, category, group_id, pos (in the page), text, box, is_key).
 
     Words with an empty text or a box without area on the page are dropped; positions count what is left, from 0.
     """
-    doc = rows.select(key, annotation(F.col(text)).alias("d"))
-    size = F.col("d.meta.image_size")
-    lines = doc.select(key, size["width"].alias("w"), size["height"].alias("h"), F.posexplode("d.valid_line").alias("line", "l"))
-    flat = lines.select(key, "w", "h", "line", "l.category", "l.group_id", F.posexplode("l.words").alias("at", "word"))
-    quad = F.col("word.quad")
-    side = {a: F.array(*[quad[f"{a}{i}"] for i in range(1, 5)]) for a in "xy"}
-    kept = flat.withColumn("text", collapse(F.col("word.text"))).withColumn("box", clip(side["x"], side["y"], F.col("w"), F.col("h")))
-    kept = kept.where((F.col("text") != "") & F.col("box").isNotNull())
-    pos = F.row_number().over(Window.partitionBy(key).orderBy("line", "at")) - 1
-    return kept.select(key, "line", "category", "group_id", pos.alias("pos"), "text", "box", (F.col("word.is_key") == 1).alias("is_key"))
-
-
-def line_spans(words: DataFrame, key: str) -> DataFrame:
-    """Lines with their words and the span of their value words: null unless these are one contiguous run (ARR-02)."""
-    value = F.when(~F.col("is_key"), F.col("pos"))
-    lines = words.groupBy(key, "line", "category", "group_id").agg(
-        F.min("pos").alias("start"), F.max("pos").alias("end"), F.min(value).alias("v0"), F.max(value).alias("v1"), F.count(value).alias("n"),
-        F.min_by(F.col("box")[1], "pos").alias("top"), F.array_sort(F.collect_list(F.when(~F.col("is_key"), F.struct("pos", "text")))).alias("values"),
-    )
-    run = (F.col("n") > 0) & (F.col("v1") - F.col("v0") + 1 == F.col("n"))
-    answer = F.array_join(F.transform("values", lambda v: v["text"]), " ")
-    return lines.select(
-        key, "line", "category", "group_id", "start", "end", "top",
-        F.when(run, F.col("v0")).alias("value_start"), F.when(run, F.col("v1")).alias("value_end"), F.when(run, answer).alias("answer"),
-    )
-
-
-def questions(lines: DataFrame, key: str) -> DataFrame:
-    """PRJ-02, SEL-01, SEL-02: key, field, question, template, answer_start, answer_end, answer.
+
+    def read(d: Column) -> Column:
+        size = d["meta"]["image_size"]
+
+        def word(line: Column, at: Column, w: Column) -> Column:
+            side = {a: F.array(*[w["quad"][f"{a}{i}"] for i in range(1, 5)]) for a in "xy"}
+            box = clip(side["x"], side["y"], size["width"], size["height"])
+            return F.struct(at.alias("line"), line["category"].alias("category"), line["group_id"].alias("group_id"), collapse(w["text"]).alias("text"), box.alias("box"), (w["is_key"] == 1).alias("is_key"))
+
+        said = F.flatten(F.transform(d["valid_line"], lambda line, at: F.transform(line["words"], lambda w: word(line, at, w))))
+        kept = F.filter(said, lambda x: (x["text"] != "") & x["box"].isNotNull())
+        return F.transform(kept, lambda x, i: F.struct(x["line"].alias("line"), x["category"].alias("category"), x["group_id"].alias("group_id"), i.alias("pos"), x["text"].alias("text"), x["box"].alias("box"), x["is_key"].alias("is_key")))
+
+    return let(F.from_json(text, ANNOTATION), read)
+
+
+def parse_annotations(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """annotation_words() as rows: key, line, category, group_id, pos, text, box, is_key. The outer form is parsed once."""
+    return rows.select(key, F.inline_outer(annotation_words(F.col(text)))).where("pos is not null")
+
+
+def line_spans(words: Column) -> Column:
+    """Lines as struct(line, category, group_id, start, end, top, value_start, value_end, answer) from annotation_words().
+
+    The span of the value words is null unless these are one contiguous run (ARR-02).
+    """
+
+    def span(own: Column) -> Column:
+        value = F.filter(own, lambda w: ~w["is_key"])
+        first, last, start, end = F.get(own, F.lit(0)), F.try_element_at(own, F.lit(-1)), F.get(value, F.lit(0))["pos"], F.try_element_at(value, F.lit(-1))["pos"]
+        run = (F.size(value) > 0) & (end - start + 1 == F.size(value))
+        answer = F.array_join(F.transform(value, lambda w: w["text"]), " ")
+        return F.struct(
+            first["line"].alias("line"), first["category"].alias("category"), first["group_id"].alias("group_id"), first["pos"].alias("start"), last["pos"].alias("end"), first["box"][1].alias("top"),
+            F.when(run, start).alias("value_start"), F.when(run, end).alias("value_end"), F.when(run, answer).alias("answer"),
+        )
+
+    return F.transform(F.array_distinct(F.transform(words, lambda w: w["line"])), lambda k: let(F.filter(words, lambda w: w["line"] == k), span))
+
+
+def questions(lines: Column) -> Column:
+    """PRJ-02, SEL-01, SEL-02: struct(field, question, template, answer_start, answer_end, answer) of the lines of one page.
 
     One question per category that is on exactly one line; for the first item the topmost line, unless its group has
     more lines. Lines without a contiguous run of value words give none.
     """
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in TEMPLATES.items() for x in kv]), F.col("category"))
-    order = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(TEMPLATES) for x in (c, i)]), F.col("category"))
-    kept = lines.where(F.col("category").isin(*TEMPLATES))
-    line = F.struct("top", "start", "group_id", "value_start", "value_end", "answer")
-    by_group = kept.groupBy(key, "category", "group_id").agg(F.count("*").alias("in_group"), F.min(line).alias("first"))
-    picked = by_group.groupBy(key, "category").agg(F.sum("in_group").alias("n"), F.min(F.struct("first", "in_group")).alias("f"))
-    single = F.when(F.col("category") == FIRST_ITEM, F.col("f.in_group") == 1).otherwise(F.col("n") == 1)
-    return picked.where(single & F.col("f.first.value_start").isNotNull()).select(
-        key, F.col("category").alias("field"), known.alias("question"), order.alias("template"),
-        F.col("f.first.value_start").alias("answer_start"), F.col("f.first.value_end").alias("answer_end"), F.col("f.first.answer").alias("answer"),
-    )
+    known = F.create_map(*[F.lit(x) for kv in TEMPLATES.items() for x in kv])
+    order = F.create_map(*[F.lit(x) for i, c in enumerate(TEMPLATES) for x in (c, i)])
+
+    def asked(own: Column) -> Column:
+        first = F.array_min(F.transform(own, lambda x: F.struct(*[x[c].alias(c) for c in ("top", "start", "group_id", "value_start", "value_end", "answer", "category")])))
+        return let(first, lambda f: F.when(single(own, f) & f["value_start"].isNotNull(), row(f)))
+
+    def single(own: Column, f: Column) -> Column:
+        same = F.filter(own, lambda x: x["group_id"].eqNullSafe(f["group_id"]))
+        return F.when(f["category"] == FIRST_ITEM, F.size(same) == 1).otherwise(F.size(own) == 1)
+
+    def row(f: Column) -> Column:
+        c = f["category"]
+        return F.struct(
+            c.alias("field"), F.element_at(known, c).alias("question"), F.element_at(order, c).alias("template"),
+            f["value_start"].alias("answer_start"), f["value_end"].alias("answer_end"), f["answer"].alias("answer"),
+        )
+
+    def each(kept: Column) -> Column:
+        categories = F.array_distinct(F.transform(kept, lambda x: x["category"]))
+        found = F.transform(categories, lambda c: let(F.filter(kept, lambda x: x["category"] == c), asked))
+        return F.filter(found, lambda q: q.isNotNull())
+
+    return let(F.filter(lines, lambda x: x["category"].isin(*TEMPLATES)), each)
+
+
+def page_questions(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, field, question, template, answer_start, answer_end, answer of JSON annotations, each within its row."""
+    found = let(annotation_words(F.col(text)), lambda w: let(line_spans(w), questions))
+    return rows.select(key, F.inline_outer(found)).where("field is not null")
 
 
 def first_pages(pages: DataFrame, content: Column, order: str) -> DataFrame:

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.amounts import DEFAULT_POLICY, MARKER, amount
+from ..functions.amounts import DEFAULT_POLICY, LIKELY, MARKER, amount
 from ..functions.binding import let
 from ..functions.geometry import clip, overlap_share, union_box
-from ..functions.text import key_text
+from ..functions.text import key_text, nfkc
 from .pages import annotation
 
-LONGEST_PHRASE, GAP, LEAST_SHARE, MOST_WORDS = 3, 1.5, 0.5, 4
+GAP, LEAST_SHARE, MOST_WORDS = 1.5, 0.5, 4
 
 
-def phrase_counts(tokens: DataFrame, ascii_only: bool = True) -> DataFrame:
-    """AGG-10: printed keys of annotated lines as phrases: phrase, category, n."""
+def phrase_counts(tokens: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """AGG-10: printed keys of annotated lines as phrases: phrase, category, n. ascii_only: the words are known to be ASCII."""
     keys = tokens.where("is_key").withColumn("t", key_text(F.col("text"), ascii_only)).where("t <> ''")
     lines = keys.groupBy("receipt", "line", "category").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("w"))
     return lines.groupBy(F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("phrase"), "category").agg(F.count("*").alias("n"))
@@ -30,87 +29,128 @@ def derive_keywords(counts: DataFrame, fields: dict[str, str], support: int = 3,
     return rows.where(F.col("field").isNotNull() & (F.col("support") / F.col("purity") >= support) & (F.col("purity") >= purity))
 
 
-def phrase_hits(tokens: DataFrame, rules: DataFrame, ascii_only: bool = True) -> DataFrame:
-    """RUL-02, JON-12: non-overlapping key phrases: receipt, line, field, start, end, priority.
+def token_lines(tokens: DataFrame, policy: str = DEFAULT_POLICY, ascii_only: bool = False) -> DataFrame:
+    """receipt, lines: one row a receipt, with its lines in order as struct(line, words).
 
-    Candidates are word runs joined with the phrases by equality. Within a line they are taken in the order of the
-    catalogue (longer phrases, then more support, then field) and position unless a word is used already: a fold over
-    the few candidates of one line.
+    A word has id (its place in the receipt), pos, text (NFKC), t (key text), box, confidence, ok (an amount) and mark (a
+    currency marker). Words of the same place come in the order of their texts.
     """
-    entry = F.struct(F.size(F.split("phrase", " ")).alias("n"), "support", "field", "phrase")
-    book = rules.select("field", "phrase", entry["n"].alias("n"), "support").withColumn(
-        "priority", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("support"), "field", "phrase")) - 1
-    )  # a catalogue of a few phrases
-    lines = tokens.withColumn("t", key_text(F.col("text"), ascii_only)).groupBy("receipt", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("w"))
-    runs = lines.select("receipt", "line", F.explode(F.sequence(F.lit(1), F.lit(LONGEST_PHRASE))).alias("n"), F.transform("w", lambda x: x["t"]).alias("w")).where(F.size("w") >= F.col("n"))
-    runs = runs.select("receipt", "line", "n", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("n"))).alias("start"))
-    runs = runs.select("receipt", "line", "n", "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("phrase"))
-    met = runs.join(F.broadcast(book), ["phrase", "n"])
-    found = met.groupBy("receipt", "line").agg(F.array_sort(F.collect_list(F.struct("priority", "start", (F.col("start") + F.col("n") - 1).alias("end"), "field"))).alias("c"))
-    taken = F.aggregate(
-        "c",
-        F.slice("c", 1, 0),
-        lambda kept, x: F.when(F.exists(kept, lambda k: (k["start"] <= x["end"]) & (x["start"] <= k["end"])), kept).otherwise(F.array_append(kept, x)),
-    )
-    return found.select("receipt", "line", F.explode(taken).alias("h")).select("receipt", "line", "h.*")
+    said = F.col("text") if ascii_only else nfkc(F.col("text"))
+    read = tokens.withColumn("text", said)
+    is_ok = F.when(F.col("text").rlike(LIKELY), amount(F.col("text"), policy)["parse_status"] == "ok").otherwise(F.lit(False))
+    mark = F.coalesce(F.concat(F.trim("text"), F.lit(" ")).rlike(f"{MARKER}$"), F.lit(False))
+    word = F.struct("line", "pos", "text", key_text(F.col("text"), ascii_only).alias("t"), "box", "confidence", is_ok.alias("ok"), mark.alias("mark"))
+    rows = read.select("receipt", word.alias("word")).groupBy("receipt").agg(F.array_sort(F.collect_list("word")).alias("w"))
+
+    def lined(w: Column) -> Column:
+        numbered = F.transform(w, lambda x, i: x.withField("id", i))
+        return let(numbered, lambda n: F.transform(F.array_distinct(F.transform(n, lambda x: x["line"])), lambda k: F.struct(k.alias("line"), F.filter(n, lambda x: x["line"] == k).alias("words"))))
+
+    return rows.select("receipt", lined(F.col("w")).alias("lines"))
 
 
-def amount_spans(tokens: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
-    """RUL-03: tokens that are amounts, with the currency marker before them if there is one: receipt, line, pos, text, marked, marker."""
-    by = Window.partitionBy("receipt", "line").orderBy("pos")
-    before = F.lag("text").over(by)
-    marked = F.coalesce(F.concat(F.trim(before), F.lit(" ")).rlike(f"{MARKER}$"), F.lit(False))
-    rows = tokens.select("receipt", "line", "pos", "text", "box", "confidence", marked.alias("marked"), before.alias("marker"), F.lag("confidence").over(by).alias("marker_confidence"))
-    return rows.where(amount(F.col("text"), policy)["parse_status"] == "ok")
+def phrase_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """RUL-02, JON-12: receipt, hits: the non-overlapping key phrases of token_lines(), as struct(at, rank, start, end, field).
 
+    Words meet the phrases by equality with their first word, and the words behind are then compared, so phrases may be
+    of any length. Within a line (place ``at``) they are taken in the order of the catalogue (longer phrases, then more
+    support, then field) and position unless a word is used already: a fold over the few candidates of a receipt.
+    """
+    parts = F.split("phrase", " ")
+    rank = F.struct((-F.size(parts)).alias("n"), (-F.col("support")).alias("s"), "field", "phrase")
+    book = rules.select(F.get(parts, F.lit(0)).alias("t"), parts.alias("parts"), rank.alias("rank"), "field")
+    rows = lines.select("receipt", F.posexplode("lines").alias("at", "l")).select("receipt", "at", F.transform("l.words", lambda x: x["t"]).alias("w"))
+    starts = rows.select("receipt", "at", F.posexplode(F.transform("w", lambda t, i: F.struct(t.alias("t"), F.slice(F.col("w"), i + 1, F.size("w")).alias("rest")))).alias("start", "x"))
+    met = starts.select("receipt", "at", "start", "x.*").where("t <> ''").join(book, "t").where(F.slice("rest", F.lit(1), F.size("parts")) == F.col("parts"))
+    hit = F.struct("at", "rank", "start", (F.col("start") + F.size("parts") - 1).alias("end"), "field")
+    found = met.groupBy("receipt").agg(F.array_sort(F.collect_list(hit)).alias("c"))
+    overlaps = lambda a, b: (a["at"] == b["at"]) & (a["start"] <= b["end"]) & (b["start"] <= a["end"])
+    taken = F.aggregate("c", F.slice("c", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x)), kept).otherwise(F.array_append(kept, x)))
+    return found.select("receipt", taken.alias("hits"))
+
+
+def amounts_right(words: Column, after: Column) -> Column:
+    """RUL-03: the rightmost amount of a line's words behind place ``after``: struct(x1, o, ids, raw, confidences), the first of equals; null without one.
+
+    A currency marker before it belongs to it, unless the marker stands directly behind that place.
+    """
 
-def rule_extract(tokens: DataFrame, rules: DataFrame, fields: list[str], policy: str = DEFAULT_POLICY) -> DataFrame:
-    """RUL-04: receipt, field, parse_status, raw_text, normalized_amount, span_score of every receipt and field.
+    def span(x: Column, i: Column) -> Column:
+        before = F.get(words, i - 1)
+        both = (i > after + 1) & F.coalesce(before["mark"], F.lit(False))
+        one = lambda a, b: F.when(both, F.array(b, a)).otherwise(F.array(a))
+        raw = F.when(both, F.concat_ws(" ", before["text"], x["text"])).otherwise(x["text"])
+        found = F.struct(x["box"][2].alias("x1"), (-i).alias("o"), one(x["id"], before["id"]).alias("ids"), raw.alias("raw"), one(x["confidence"], before["confidence"]).alias("confidences"))
+        return F.when((i > after) & x["ok"], found)
+
+    return F.array_max(F.transform(words, span))
+
+
+def rule_extract(tokens: DataFrame, rules: DataFrame, fields: list[str], policy: str = DEFAULT_POLICY, ascii_only: bool = False, failures: DataFrame | None = None) -> DataFrame:
+    """RUL-04, PRJ-04: receipt, field, parse_status, raw_text, normalized_amount, span_score, reasons, token_ids, key_token_ids, candidate_count, candidate_token_ids.
 
     From each key phrase the rightmost amount on its line, else on the next line if that is near enough. The best
-    phrase's amount counts, same line before next; distinct amounts at the best rank are ambiguous. The score is the
-    least confidence of the words used.
+    phrase's amount counts, same line before next; distinct amounts at the best rank are ambiguous, and their spans are
+    listed as candidate_token_ids. The score is the least confidence of the words used, null unless all of them are
+    from 0 to 100. failures (receipt, failure) lists documents that were refused: their fields are failed, for that
+    reason. All words of a receipt are in one row; texts are NFKC unless they are known to be ASCII.
     """
-    hits = phrase_hits(tokens, rules)
-    top = tokens.groupBy("receipt", "line").agg(F.min(F.col("box")[1]).alias("top"))
-    by = Window.partitionBy("receipt").orderBy("line")
-    lines = top.select("receipt", "line", F.lead("line").over(by).alias("next"), F.lead("top").over(by).alias("next_top"))
-    words = tokens.select("receipt", "line", "pos", F.col("box")[1].alias("y0"), F.col("box")[3].alias("y1"), "confidence")
-    keyed = hits.join(words, ["receipt", "line"]).where("pos between start and end")
-    keyed = keyed.groupBy("receipt", "line", "field", "start", "end", "priority").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("confidence").alias("kc"))
-    keyed = keyed.join(lines, ["receipt", "line"])
-    drop = F.col("next_top") - F.col("y1")
-    near = (drop >= 0) & (drop <= GAP * (F.col("y1") - F.col("y0")))
-    spans = amount_spans(tokens, policy).groupBy("receipt", "line").agg(F.collect_list(F.struct("pos", "text", "marked", "marker", F.col("box")[2].alias("x1"), "confidence", "marker_confidence")).alias("s"))
-    own = keyed.join(spans, ["receipt", "line"], "left").withColumnRenamed("s", "same")
-    own = own.join(spans.withColumnRenamed("line", "next").withColumnRenamed("s", "under"), ["receipt", "next"], "left")
-    right = F.filter("same", lambda x: x["pos"] > F.col("end"))
-    level = F.when(F.size(right) > 0, 0).when(near & (F.size("under") > 0), 1)
-
-    def last(found: Column, after: Column) -> Column:
-        """The rightmost span; the first of equals. A marker directly behind the key is not taken along."""
-        spans = F.transform(found, lambda x: F.struct(x["x1"].alias("x1"), (-x["pos"]).alias("o"), x["text"].alias("t"), (x["marked"] & (x["pos"] > after + 1)).alias("m"), x["marker"].alias("mt"), x["confidence"].alias("c"), x["marker_confidence"].alias("mc")))
-        return let(
-            F.array_max(spans),
-            lambda x: F.struct(
-                F.when(x["m"], F.concat_ws(" ", x["mt"], x["t"])).otherwise(x["t"]).alias("raw"),
-                F.when(x["m"], F.least(x["c"], x["mc"])).otherwise(x["c"]).alias("c"),
-            ),
-        )
-
-    picked = own.withColumn("level", level).where("level is not null")
-    chosen = F.when(F.col("level") == 0, last(right, F.col("end"))).otherwise(last(F.col("under"), F.lit(-1)))
-    picked = picked.select("receipt", "field", F.struct("priority", "level").alias("rank"), "line", "start", chosen.alias("ch"), "kc")
-    picked = picked.select("receipt", "field", "rank", "line", "start", F.col("ch.raw").alias("raw"), amount(F.col("ch.raw"), policy)["normalized_amount"].alias("value"), F.least("kc", F.col("ch.c")).alias("c"))
-    top = picked.groupBy("receipt", "field").agg(F.min("rank").alias("top"))
-    tied = picked.join(top, ["receipt", "field"]).where("rank = top").groupBy("receipt", "field")
-    tied = tied.agg((F.min("value") != F.max("value")).alias("split"), F.min(F.struct("line", "start", "raw", "value", "c")).alias("f"))
-    every = tokens.select("receipt").distinct().select("receipt", F.explode(F.array(*map(F.lit, fields))).alias("field"))
-    ok = F.col("f").isNotNull() & ~F.col("split")
-    return every.join(tied, ["receipt", "field"], "left").select(
-        "receipt", "field", F.when(F.col("f").isNull(), "no_candidate").when(F.col("split"), "ambiguous").otherwise("ok").alias("parse_status"),
-        F.when(ok, F.col("f.raw")).alias("raw_text"), F.when(ok, F.col("f.value")).alias("normalized_amount"), F.when(ok, F.col("f.c") / 100).alias("span_score"),
-    )
+    lines = token_lines(tokens, policy, ascii_only)
+    rows = lines.join(phrase_hits(lines, rules), "receipt", "left")
+
+    def judged(h: Column) -> Column:
+        words, under = F.get(F.col("lines"), h["at"])["words"], F.get(F.col("lines"), h["at"] + 1)["words"]
+        key = F.slice(words, h["start"] + 1, h["end"] - h["start"] + 1)
+        side = lambda w, i, f: f(F.transform(w, lambda x: x["box"][i]))
+        top, bottom = side(key, 1, F.array_min), side(key, 3, F.array_max)
+        drop = side(under, 1, F.array_min) - bottom
+        near = (drop >= 0) & (drop <= GAP * (bottom - top))
+        same = amounts_right(words, h["end"])
+
+        def chosen(own: Column) -> Column:
+            level = F.when(own.isNotNull(), 0).otherwise(1)
+            span = F.coalesce(own, F.when(near, amounts_right(under, F.lit(-1))))
+            return let(span, lambda x: F.when(x.isNotNull(), found(x, level)))
+
+        def found(x: Column, level: Column) -> Column:
+            used = F.concat(F.transform(key, lambda k: k["confidence"]), x["confidences"])
+            sure = F.forall(used, lambda c: c.isNotNull() & ~F.isnan(c) & c.between(0, 100))
+            return F.struct(
+                F.struct(h["rank"].alias("rank"), level.alias("level")).alias("rank"), h["at"].alias("at"), h["start"].alias("start"), h["field"].alias("field"), x["raw"].alias("raw"),
+                amount(x["raw"], policy)["normalized_amount"].alias("value"), F.when(sure, F.array_min(used) / 100).alias("score"), x["ids"].alias("ids"), F.transform(key, lambda k: k["id"]).alias("key_ids"),
+            )
+
+        return let(same, chosen)
+
+    picked = rows.select("receipt", F.filter(F.transform("hits", judged), lambda x: x.isNotNull()).alias("picked"))
+    none = F.array().cast("array<int>")
+
+    def field_result(field: str) -> Column:
+        own = F.coalesce(F.filter("picked", lambda x: x["field"] == field), F.filter(F.col("picked"), lambda x: F.lit(False)))
+
+        def best(c: Column) -> Column:
+            return let(F.array_min(F.transform(c, lambda x: x["rank"])), lambda top: let(F.filter(c, lambda x: x["rank"] == top), lambda tied: let(F.get(F.array_sort(tied), F.lit(0)), lambda f: result(c, tied, f))))
+
+        def result(c: Column, tied: Column, f: Column) -> Column:
+            split = F.size(F.array_distinct(F.transform(tied, lambda x: x["value"]))) > 1
+            ok = f.isNotNull() & ~split
+            status = F.when(f.isNull(), "no_candidate").when(split, "ambiguous").otherwise("ok")
+            reason = F.when(f.isNull(), "no_keyword_amount").when(split, "tied_distinct_candidates")
+            return F.struct(
+                F.lit(field).alias("field"), status.alias("parse_status"), F.when(ok, f["raw"]).alias("raw_text"), F.when(ok, f["value"]).alias("normalized_amount"), F.when(ok, f["score"]).alias("span_score"),
+                F.when(reason.isNull(), F.array().cast("array<string>")).otherwise(F.array(reason)).alias("reasons"), F.when(ok, f["ids"]).otherwise(none).alias("token_ids"), F.when(ok, f["key_ids"]).otherwise(none).alias("key_token_ids"),
+                F.coalesce(F.size(c), F.lit(0)).alias("candidate_count"), F.when(split, F.transform(tied, lambda x: x["ids"])).otherwise(F.array().cast("array<array<int>>")).alias("candidate_token_ids"),
+            )
+
+        return let(own, best)
+
+    out = picked.select("receipt", F.inline(F.array(*map(field_result, fields))))
+    if failures is None:
+        return out
+    refused = failures.select("receipt", "failure", F.explode(F.array(*map(F.lit, fields))).alias("field"))
+    empty = {"parse_status": F.lit("failed"), "reasons": F.array("failure"), "token_ids": none, "key_token_ids": none, "candidate_count": F.lit(0), "candidate_token_ids": F.array().cast("array<array<int>>")}
+    failed = refused.select(*[empty.get(c, F.col(c) if c in ("receipt", "field") else F.lit(None).cast(out.schema[c].dataType)).alias(c) for c in out.columns])
+    return out.join(failures.select("receipt"), "receipt", "left_anti").unionByName(failed)
 
 
 def align(tokens: DataFrame, regions: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
@@ -125,6 +165,7 @@ def align(tokens: DataFrame, regions: DataFrame, policy: str = DEFAULT_POLICY) -
     runs = lines.select("receipt", "line", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))
     runs = runs.select("receipt", "line", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size("w") - F.col("start")))).alias("n"), "w")
     part = F.slice("w", F.col("start") + 1, F.col("n"))
+    runs = runs.where(F.array_join(F.transform(part, lambda x: x["text"]), " ").rlike(LIKELY))  # before the costly parts
     runs = runs.select("receipt", "line", "start", (F.col("start") + F.col("n") - 1).alias("end"), union_box(F.transform(part, lambda x: x["box"])).alias("at"), amount(F.array_join(F.transform(part, lambda x: x["text"]), " "), policy).alias("a"))
     runs = runs.where("a.parse_status = 'ok'").select("receipt", "line", "start", "end", "at", F.col("a.normalized_amount").alias("normalized_amount"))
     inside = F.exists("boxes", lambda r: overlap_share(F.col("at"), r) >= LEAST_SHARE)

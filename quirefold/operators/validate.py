@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse
+from ..functions.binding import let
+from ..functions.text import SPACE, collapse
 
 ID = r"^[A-Za-z0-9_.:-]{1,64}$"
 MOST_WORDS, MOST_SIDE, MOST_QUESTION = 2000, 10_000, 256
@@ -22,27 +23,34 @@ def first_violation(checks: list[tuple[Column, str]]) -> Column:
 def document_violation(words: Column, boxes: Column, width: Column, height: Column) -> Column:
     """VAL-01, VAL-02: why a page's words and boxes are refused; boxes without area are allowed.
 
-    The page's sides are compared with the extremes of all boxes, outside the functions over single boxes: Spark would
-    evaluate an outer expression again for each of them.
+    Words and boxes are bound once per row. The page's sides are compared with the extremes of all boxes, outside the
+    functions over single boxes: Spark would evaluate an outer expression again for each of them.
     """
-    shaped = F.coalesce(F.forall(boxes, lambda b: (F.size(b) == 4) & (b[0] <= b[2]) & (b[1] <= b[3])), F.lit(False))
-    side = lambda i, f: f(F.transform(boxes, lambda b: b[i]))  # noqa: E731  NaN is the largest number
-    inside = (side(0, F.array_min) >= 0) & (side(1, F.array_min) >= 0) & (side(2, F.array_max) <= width) & (side(3, F.array_max) <= height)
-    bad_side = ~width.between(1, MOST_SIDE) | ~height.between(1, MOST_SIDE)
-    return first_violation([
-        (words.isNull() | (F.size(words) == 0), "no_words"),
-        (F.size(words) > MOST_WORDS, "too_many_words"),
-        (F.exists(words, lambda w: collapse(w) == ""), "blank_word"),
-        (bad_side, "bad_image_size"),
-        (F.size(words) != F.size(boxes), "box_count"),
-        (~shaped | ~inside, "bad_box"),
-    ])
+
+    def judged(x: Column) -> Column:
+        words, boxes = x["words"], x["boxes"]
+        shaped = F.coalesce(F.forall(boxes, lambda b: (F.size(b) == 4) & (b[0] <= b[2]) & (b[1] <= b[3])), F.lit(False))
+        side = lambda i, f: f(F.transform(boxes, lambda b: b[i]))  # noqa: E731  NaN is the largest number
+        inside = (side(0, F.array_min) >= 0) & (side(1, F.array_min) >= 0) & (side(2, F.array_max) <= width) & (side(3, F.array_max) <= height)
+        bad_side = ~width.between(1, MOST_SIDE) | ~height.between(1, MOST_SIDE)
+        return first_violation([
+            (words.isNull() | (F.size(words) == 0), "no_words"),
+            (F.size(words) > MOST_WORDS, "too_many_words"),
+            (F.exists(words, lambda w: w.rlike(f"^{SPACE}*$")), "blank_word"),
+            (bad_side, "bad_image_size"),
+            (F.size(words) != F.size(boxes), "box_count"),
+            (~shaped | ~inside, "bad_box"),
+        ])
+
+    return let(F.struct(words.alias("words"), boxes.alias("boxes")), judged)
 
 
 def question_violation(question: Column) -> Column:
     """VAL-03: a question is 1 to 256 characters after collapsing white space."""
-    text = collapse(F.coalesce(question, F.lit("")))
-    return first_violation([(text == "", "blank_question"), (F.length(text) > MOST_QUESTION, "long_question")])
+    return let(
+        collapse(F.coalesce(question, F.lit(""))),
+        lambda text: first_violation([(text == "", "blank_question"), (F.length(text) > MOST_QUESTION, "long_question")]),
+    )
 
 
 def record_violation(words: Column, start: Column, end: Column, answer: Column, record_id: Column) -> Column:

@@ -41,7 +41,7 @@ def grouped(v: str, style: str) -> str:
 
 
 RECEIPTS = """
-receipts AS (
+receipts AS MATERIALIZED (
   SELECT o_orderkey AS receipt, o_custkey AS owner, o_orderstatus AS status, (o_orderkey % 3)::INT AS style, subtotal, subtotal // 10 AS tax, subtotal + subtotal // 10 AS total
   FROM orders JOIN (SELECT l_orderkey, sum(floor(l_extendedprice)::BIGINT)::BIGINT AS subtotal FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
@@ -56,7 +56,7 @@ rlines AS (
   UNION ALL SELECT receipt, 101, 'sub_total.tax_price', 100, ['Tax', CASE WHEN receipt % 7 = 0 THEN '10%' ELSE {grouped("tax", "style")} END], 1 FROM receipts
   UNION ALL SELECT receipt, 102, 'total.total_price', 100, CASE WHEN receipt % 2 = 0 THEN ['TOTAL', 'Rp', {grouped("total", "style")}] ELSE ['TOTAL', {grouped("total", "style")}] END, 1 FROM receipts
   UNION ALL SELECT receipt, 103, 'total.total_price', 100, ['Total', {grouped("(total + receipt % 2)", "style")}], 1 FROM receipts WHERE receipt % 5 = 0),
-tokens AS (
+tokens AS MATERIALIZED (
   SELECT receipt, line, category, group_id, p - 1 AS pos, words[p] AS text, p <= n_key AS is_key, ((p - 1) * 120)::DOUBLE AS x0, (line * 20)::DOUBLE AS y0,
     ((p - 1) * 120 + 10 * length(words[p]))::DOUBLE AS x1, (line * 20 + 16)::DOUBLE AS y1, (50 + (receipt + 7 * line + 3 * (p - 1)) % 50)::DOUBLE AS confidence
   FROM (SELECT *, unnest(range(1, len(words) + 1)) AS p FROM rlines))"""
@@ -74,7 +74,7 @@ refs AS (
 PREDICTIONS = (
     REFS
     + f""",
-wanted AS (
+wanted AS MATERIALIZED (
   SELECT *, CASE system_id WHEN 'exact' THEN v WHEN 'lazy' THEN subtotal ELSE CASE WHEN receipt % 6 = 0 THEN v * 10 + 1 ELSE v END END AS value, system_id = 'noisy' AND receipt % 11 = 0 AS gone
   FROM (SELECT receipt, style, subtotal, unnest(['subtotal_amount', 'tax_amount', 'total_amount']) AS field, unnest([subtotal, tax, total]) AS v FROM receipts), (VALUES ('exact', 0), ('noisy', 1), ('lazy', 2)) s(system_id, k)),
 predictions AS (
@@ -102,6 +102,48 @@ swept AS (
 )
 
 
+#: The rule system's result by the receipts' construction: where its keys and amounts stand, and which of them mislead.
+RULED = (
+    LINES
+    + f""",
+f AS (SELECT receipt, unnest(['subtotal_amount', 'tax_amount', 'total_amount']) AS field, unnest([subtotal, tax, total]) AS v, style FROM receipts),
+p AS (SELECT *, CASE field WHEN 'subtotal_amount' THEN 100 WHEN 'tax_amount' THEN 101 ELSE 102 END AS line FROM f),
+s AS (SELECT *, CASE WHEN field = 'tax_amount' AND receipt % 7 = 0 THEN 'below' WHEN field = 'total_amount' AND receipt % 5 = 0 AND receipt % 2 = 1 THEN 'ambiguous' ELSE 'ok' END AS how FROM p),
+c AS (SELECT s.receipt, s.field, how, v, style, min(t.confidence) FILTER (t.is_key OR t.text = 'Rp' OR regexp_matches(t.text, '^[0-9.,]+$')) AS own FROM s JOIN tokens t ON t.receipt = s.receipt AND t.line = s.line GROUP BY 1, 2, 3, 4, 5),
+under AS (SELECT receipt, max(text) FILTER (pos = (CASE WHEN receipt % 2 = 0 THEN 2 ELSE 1 END)) AS text, min(confidence) FILTER (pos >= 1) AS conf FROM tokens WHERE line = 102 GROUP BY 1),
+keyc AS (SELECT receipt, confidence FROM tokens WHERE line = 101 AND pos = 0),
+base AS (SELECT l_orderkey AS receipt, 4 * count(*) AS b100, 4 * count(*) + CASE WHEN l_orderkey % 4 = 0 THEN 3 ELSE 2 END AS b101 FROM lineitem GROUP BY l_orderkey),
+ids AS (SELECT receipt, b100, b101, b101 + 2 AS b102, b101 + 2 + CASE WHEN receipt % 2 = 0 THEN 3 ELSE 2 END AS b103,
+  CASE WHEN receipt % 2 = 0 THEN (b101 + 3) || ',' || (b101 + 4) ELSE (b101 + 3)::VARCHAR END AS totals FROM base),
+ruled AS (
+  SELECT c.receipt, field, CASE WHEN how = 'ambiguous' THEN 'ambiguous' ELSE 'ok' END AS parse_status,
+    CASE how WHEN 'ok' THEN CASE WHEN field = 'total_amount' AND c.receipt % 2 = 0 THEN 'Rp ' ELSE '' END || {grouped("v", "style")} WHEN 'below' THEN CASE WHEN c.receipt % 2 = 0 THEN 'Rp ' || under.text ELSE under.text END END AS raw_text,
+    CASE how WHEN 'ok' THEN v::VARCHAR WHEN 'below' THEN regexp_replace(under.text, '[.,]', '', 'g') END AS normalized_amount,
+    CASE how WHEN 'ok' THEN own / 100 WHEN 'below' THEN least(keyc.confidence, under.conf) / 100 END AS span_score,
+    CASE WHEN how = 'ambiguous' THEN 'tied_distinct_candidates' ELSE '' END AS reasons,
+    CASE WHEN how = 'ambiguous' THEN '' WHEN how = 'below' OR field = 'total_amount' THEN totals WHEN field = 'tax_amount' THEN (b101 + 1)::VARCHAR ELSE (b101 - 1)::VARCHAR END AS token_ids,
+    CASE WHEN how = 'ambiguous' THEN '' WHEN field = 'total_amount' THEN b102::VARCHAR WHEN field = 'tax_amount' THEN b101::VARCHAR WHEN c.receipt % 4 = 0 THEN b100 || ',' || (b100 + 1) ELSE b100::VARCHAR END AS key_token_ids,
+    CASE WHEN field = 'total_amount' AND c.receipt % 5 = 0 THEN 2 ELSE 1 END AS candidate_count,
+    CASE WHEN how = 'ambiguous' THEN (b102 + 1) || ',' || (b103 + 1) ELSE '' END AS candidate_token_ids
+  FROM c JOIN under USING (receipt) JOIN keyc USING (receipt) JOIN ids USING (receipt))"""
+)
+
+#: Where the words of a field's own lines show its amount; longer runs hold a shorter one, other lines overlap no region.
+ALIGNED = (
+    LINES
+    + """,
+""" + REFS.partition("refs AS")[1] + REFS.partition("refs AS")[2] + """,
+shown AS (
+  SELECT t.receipt, field, count(*) AS n, min(line) AS line, min(pos) AS pos FROM tokens t
+  JOIN refs r ON r.receipt = t.receipt AND state = 'present_usable' AND t.category = CASE field WHEN 'subtotal_amount' THEN 'sub_total.subtotal_price' WHEN 'tax_amount' THEN 'sub_total.tax_price' ELSE 'total.total_price' END
+  WHERE NOT is_key AND regexp_matches(text, '^[0-9.,]+$') AND regexp_replace(text, '[.,]', '', 'g') = known GROUP BY 1, 2),
+aligned AS (
+  SELECT receipt, field, status, spans, CASE WHEN spans = 1 THEN line END AS line, CASE WHEN spans = 1 THEN pos END AS start, CASE WHEN spans = 1 THEN pos END AS "end",
+    CASE status WHEN 'no_usable_reference' THEN 'not_scoreable' WHEN 'aligned' THEN 'recoverable' WHEN 'ambiguous_alignment' THEN 'recoverable_ambiguous' ELSE 'not_recoverable' END AS recoverable
+  FROM (SELECT r.receipt, r.field, coalesce(n, 0) AS spans, line, pos, CASE WHEN state <> 'present_usable' THEN 'no_usable_reference' WHEN n IS NULL THEN 'target_not_recoverable_from_ocr' WHEN n = 1 THEN 'aligned' ELSE 'ambiguous_alignment' END AS status
+    FROM refs r LEFT JOIN shown USING (receipt, field)))"""
+)
+
 def point(coverage: float) -> str:
     return f"""SELECT system_id, {coverage}::DOUBLE AS requested_coverage, hi IS NOT NULL AS reached_requested, threshold, accepted, scoreable, coverage, accuracy, errors,
   CASE WHEN threshold IS NULL THEN 'refer_all' ELSE 'coverage_operating_point' END AS selected_state
@@ -138,10 +180,10 @@ SELECT s, split_part(outcome, '|', 1) AS parse_status, CASE WHEN outcome = 'ok|'
 
 
 LOOKUP = rf"""
-asked AS (SELECT doc_id AS page_id, lang, {words("d.text")} AS words, b.text AS question FROM documents d JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark)),
+asked AS MATERIALIZED (SELECT doc_id AS page_id, lang, {words("d.text")} AS words, b.text AS question FROM documents d JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark)),
 content AS (SELECT page_id, unnest(list_distinct(list_filter(string_split({norm("question")}, ' '), lambda w: w <> '' AND w NOT IN ('what', 'is', 'the', 'how', 'much', 'many', 'was', 'were', 'paid', 'given', 'by', 'of', 'name', 'first', 'item', 'items', 'bought', 'amount', 'charge')))) AS q FROM asked),
 heads AS (SELECT DISTINCT page_id, left(q, k) AS p FROM (SELECT page_id, q, unnest(range(3, length(q) + 1)) AS k FROM content)),
-pwords AS (SELECT page_id, i AS idx, words[i] AS w FROM (SELECT page_id, words, unnest(range(1, len(words) + 1)) AS i FROM asked)),
+pwords AS MATERIALIZED (SELECT page_id, i AS idx, words[i] AS w FROM (SELECT page_id, words, unnest(range(1, len(words) + 1)) AS i FROM asked)),
 pnorm AS (SELECT page_id, idx, w, {norm("w")} AS n FROM pwords),
 pheads AS (SELECT page_id, idx, left(n, k) AS p FROM (SELECT page_id, idx, n, unnest(range(3, length(n) + 1)) AS k FROM pnorm)),
 best AS (SELECT page_id, (max(struct_pack(n := length(p), idx := idx))).idx AS found FROM pheads JOIN heads USING (page_id, p) GROUP BY 1),
@@ -238,16 +280,14 @@ g AS (SELECT receipt, field, bool_or(bad) AS bad, min(value) AS lo, max(value) A
 SELECT receipt, field, CASE WHEN reason IS NULL THEN 'present_usable' ELSE 'ambiguous_reference' END AS state, reason, CASE WHEN reason IS NULL THEN lo END AS normalized_amount, n_lines FROM (
   SELECT *, CASE WHEN field <> 'total_amount' AND receipt % 31 = 0 THEN 'sub_total_alias_conflict' WHEN bad THEN 'unparseable_source_value' WHEN lo <> hi THEN 'multiple_incompatible_values'
     WHEN field = 'total_amount' AND receipt % 37 <> 0 AND receipt % 41 = 0 THEN 'structured_gt_parse_value' WHEN field = 'total_amount' AND receipt % 37 <> 0 AND receipt % 41 <> 0 AND receipt % 43 = 0 THEN 'gt_parse_value_word_disagreement' END AS reason FROM g)""",
-        "rule_extraction": f"""WITH {LINES}, f AS (SELECT receipt, unnest(['subtotal_amount', 'tax_amount', 'total_amount']) AS field, unnest([subtotal, tax, total]) AS v, style FROM receipts),
-p AS (SELECT *, CASE field WHEN 'subtotal_amount' THEN 100 WHEN 'tax_amount' THEN 101 ELSE 102 END AS line FROM f),
-s AS (SELECT *, CASE WHEN field = 'tax_amount' AND receipt % 7 = 0 THEN 'below' WHEN field = 'total_amount' AND receipt % 5 = 0 AND receipt % 2 = 1 THEN 'ambiguous' ELSE 'ok' END AS how FROM p),
-c AS (SELECT s.receipt, s.field, how, v, style, min(t.confidence) FILTER (t.is_key OR t.text = 'Rp' OR regexp_matches(t.text, '^[0-9.,]+$')) AS own FROM s JOIN tokens t ON t.receipt = s.receipt AND t.line = s.line GROUP BY 1, 2, 3, 4, 5),
-under AS (SELECT receipt, max(text) FILTER (pos = (CASE WHEN receipt % 2 = 0 THEN 2 ELSE 1 END)) AS text, min(confidence) FILTER (pos >= 1) AS conf FROM tokens WHERE line = 102 GROUP BY 1),
-keyc AS (SELECT receipt, confidence FROM tokens WHERE line = 101 AND pos = 0)
-SELECT c.receipt, field, CASE WHEN how = 'ambiguous' THEN 'ambiguous' ELSE 'ok' END AS parse_status,
-  CASE how WHEN 'ok' THEN CASE WHEN field = 'total_amount' AND c.receipt % 2 = 0 THEN 'Rp ' ELSE '' END || {grouped("v", "style")} WHEN 'below' THEN CASE WHEN c.receipt % 2 = 0 THEN 'Rp ' || under.text ELSE under.text END END AS raw_text,
-  CASE how WHEN 'ok' THEN v::VARCHAR WHEN 'below' THEN regexp_replace(under.text, '[.,]', '', 'g') END AS normalized_amount,
-  CASE how WHEN 'ok' THEN own / 100 WHEN 'below' THEN least(keyc.confidence, under.conf) / 100 END AS span_score FROM c JOIN under USING (receipt) JOIN keyc USING (receipt)""",
+        "rule_extraction": f"WITH {RULED} SELECT * FROM ruled",
+        "rule_scores": f"""WITH {RULED}, {REFS.partition("refs AS")[1]}{REFS.partition("refs AS")[2]}
+SELECT field, parse_status, state, count(*) AS n, count(*) FILTER (state = 'present_usable' AND parse_status = 'ok' AND normalized_amount = known) AS correct FROM ruled JOIN refs USING (receipt, field) GROUP BY 1, 2, 3""",
+        "span_alignment": f"WITH {ALIGNED} SELECT * FROM aligned",
+        "recoverability_rates": f"""WITH {ALIGNED}, {PREDICTIONS.partition("wanted AS")[1]}{PREDICTIONS.partition("wanted AS")[2]},
+r AS (SELECT system_id, field, starts_with(recoverable, 'recoverable') AS there, s.correct FROM scored s JOIN aligned USING (receipt, field) WHERE s.correct IS NOT NULL),
+g AS (SELECT system_id, field, count(*) AS scoreable, count(*) FILTER (there) AS recoverable, count(*) FILTER (there AND correct) AS good FROM r GROUP BY 1, 2)
+SELECT system_id, field, scoreable, recoverable, round({rate("recoverable", "scoreable")}, 9) AS share, round({rate("good", "recoverable")}, 9) AS em FROM g""",
         "system_metrics": f"""WITH {PREDICTIONS}, g AS (SELECT system_id, field, count(*) AS receipts, count(correct) AS usable, count(*) FILTER (correct) AS correct, count(*) FILTER (coalesce(raw_text, '') <> '') AS c, count(*) FILTER (parse_status = 'ok') AS p,
   count(*) FILTER (state = 'not_annotated' AND parse_status = 'ok') AS unscored FROM scored GROUP BY 1, 2)
 SELECT system_id, field, receipts, usable, correct, round({rate("correct", "usable")}, 9) AS em, round({em_lo}, 9) AS em_low, round({em_hi}, 9) AS em_high, round({rate("c", "receipts")}, 9) AS candidate_coverage, round({rate("p", "receipts")}, 9) AS parse_coverage, unscored FROM g""",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import amounts, geometry, hashing, numbers, text
+from ..functions.binding import let
 from ..operators import compare, metrics, ordering, pages, policy, readers, rules, validate
 from ..sources import adapters, files, ocr
 from ..sources.adapters import CATEGORY, FIELDS
@@ -74,16 +75,13 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def keyword_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-07, STR-08, JON-14, BAS-02, WIN-09."""
-    return metrics.keyword_lookup(_asked(spark, sf_dir), "page_id", "question", "words")
+    return _asked(spark, sf_dir).select("page_id", metrics.keyword_lookup(F.col("question"), F.col("words")).alias("answer"))
 
 
 @query
 def keyword_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BAS-01, BAS-02, AGG-01, AGG-03: two baselines scored against the page's last number, by language."""
-    p = _asked(spark, sf_dir)
-    found = metrics.keyword_lookup(p, "page_id", "question", "words")
-    last = text.last_number(F.col("words"))  # also the answer where a null page_id has no question
-    rows = p.join(found.where("page_id is not null"), "page_id", "left").select("lang", F.when(F.col("page_id").isNull(), last).otherwise(F.col("answer")).alias("prediction"), last.alias("gold"))
+    rows = _asked(spark, sf_dir).select("lang", metrics.keyword_lookup(F.col("question"), F.col("words")).alias("prediction"), text.last_number(F.col("words")).alias("gold"))
     rows = rows.withColumn("anls", text.anls(F.col("prediction"), F.col("gold"))).withColumn("exact", text.normalize_answer(F.col("prediction")) == text.normalize_answer(F.col("gold")))
     return r9(metrics.answer_metrics(rows, ["lang"]), "anls", "exact_match", "empty_rate")
 
@@ -221,11 +219,16 @@ def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAL-01, VAL-02, VAL-03, A3: pages refused for their words, or boxes that stick out of a narrow page."""
-    p = adapters.pages(spark, sf_dir)
-    boxes = F.transform("words", lambda w, i: F.array(i * 1.0, F.lit(0.0), i + 1.0, F.length(w) * 1.0))
-    width = F.size("words") - F.when(F.col("page_id") % 9 == 0, 1).otherwise(0)
-    why = validate.document_violation(F.col("words"), boxes, width, F.lit(40))
-    return p.select("page_id", why.alias("violation"), validate.question_violation(F.col("text")).alias("question")).where("violation is not null or question is not null")
+    docs = adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+
+    def judged(words: Column) -> Column:
+        boxes = F.transform(words, lambda w, i: F.array(i * 1.0, F.lit(0.0), i + 1.0, F.length(w) * 1.0))
+        width = F.size(words) - F.when(F.col("page_id") % 9 == 0, 1).otherwise(0)
+        return F.struct(validate.document_violation(words, boxes, width, F.lit(40)).alias("violation"), validate.question_violation(F.col("text")).alias("question"))
+
+    found = F.filter(F.array(let(text.words(F.col("text")), judged)), lambda x: x["violation"].isNotNull() | x["question"].isNotNull())
+    # the outer form, and a filter on its result: any other would be computed a second time below the filter
+    return docs.select("page_id", F.inline_outer(found)).where("violation is not null or question is not null")
 
 
 @query
@@ -308,28 +311,27 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The parsed part mostly repeats the amounts; on some receipts it conflicts, is a list or an object, or differs.
     """
-    t = adapters.receipt_tokens(spark, sf_dir)
-    x0, y0, x1, y1 = (F.col("box")[i] for i in range(4))
-    blank = (F.col("receipt") % 3 == 0) & (F.col("line") == 1) & (F.col("pos") == 1)
-    flat = (F.col("receipt") % 3 == 1) & (F.col("line") == 1) & (F.col("pos") == 2)
-    right = F.when(flat, x0).otherwise(x1)
-    corners = {"x1": x0, "y1": y0, "x2": right, "y2": y0, "x3": right, "y3": y1, "x4": x0, "y4": y1}
-    quad = F.struct(*[v.alias(k) for k, v in corners.items()])
-    word = F.struct("pos", quad.alias("quad"), F.col("is_key").cast("int").alias("is_key"), F.when(blank, "  ").otherwise(F.col("text")).alias("text"))
-    group = F.when(F.col("line") < 100, F.col("line")).otherwise(F.lit(100))
-    lines = t.groupBy("receipt", "line", "category", group.alias("group_id")).agg(F.array_sort(F.collect_list(word)).alias("words"))
-    line = F.struct("line", "category", "group_id", F.transform("words", lambda w: w.dropFields("pos")).alias("words"))
-    docs = lines.groupBy("receipt").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    docs = adapters.lined_receipts(spark, sf_dir)
+
+    def word(line: Column, text_: Column, pos: Column) -> Column:
+        x0, y0, x1, y1 = adapters.word_box(line["line"], pos, text_)
+        blank = (F.col("receipt") % 3 == 0) & (line["line"] == 1) & (pos == 1)
+        flat = (F.col("receipt") % 3 == 1) & (line["line"] == 1) & (pos == 2)
+        right = F.when(flat, x0).otherwise(x1)
+        corners = {"x1": x0, "y1": y0, "x2": right, "y2": y0, "x3": right, "y3": y1, "x4": x0, "y4": y1}
+        quad = F.struct(*[v.alias(k) for k, v in corners.items()])
+        return F.struct(quad.alias("quad"), (pos < line["n_key"]).cast("int").alias("is_key"), F.when(blank, "  ").otherwise(text_).alias("text"))
+
+    lines = F.transform("lines", lambda x: F.struct(x["category"].alias("category"), x["group_id"].alias("group_id"), F.transform(x["words"], lambda w, i: word(x, w, i)).alias("words")))
     size = F.struct(F.lit(1000).alias("width"), F.lit(2500).alias("height"))
-    shape = F.struct(F.struct(size.alias("image_size")).alias("meta"), F.transform("lines", lambda x: x.dropFields("line")).alias("valid_line"))
+    shape = F.struct(F.struct(size.alias("image_size")).alias("meta"), lines.alias("valid_line"))
     r, quoted = F.col("receipt"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     said = lambda c: quoted(adapters.grouped(F.col(c), F.col("style")))
     total = F.when(r % 37 == 0, F.concat(F.lit("["), said("total"), F.lit(","), said("total"), F.lit("]"))).when(r % 41 == 0, F.concat(F.lit('{"a":'), said("total"), F.lit("}")))
     total = total.when(r % 43 == 0, quoted((F.col("total") + 5).cast("string"))).otherwise(said("total"))
     clash = F.when(r % 31 == 0, ',"subtotal":{"subtotal_price":"1"}').otherwise("")
     parsed = F.concat(F.lit('{"gt_parse":{"total":{"total_price":'), total, F.lit('},"sub_total":{"subtotal_price":'), said("subtotal"), F.lit("}"), clash, F.lit("},"))
-    heads = adapters.receipts(spark, sf_dir).select("receipt", parsed.alias("parsed"))
-    return docs.join(heads, "receipt").select("receipt", F.concat("parsed", F.substring(F.to_json(shape), F.lit(2), F.lit(2**31 - 1))).alias("json"))
+    return docs.select("receipt", F.concat(parsed, F.substring(F.to_json(shape), F.lit(2), F.lit(2**31 - 1))).alias("json"))
 
 
 @query
@@ -342,8 +344,7 @@ def annotated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-02, SEL-01, SEL-02, TOP-02, ARR-01, ARR-02: templated questions of annotated pages with their answers."""
-    words = pages.parse_annotations(annotations(spark, sf_dir), "receipt", "json")
-    return pages.questions(pages.line_spans(words, "receipt"), "receipt")
+    return pages.page_questions(annotations(spark, sf_dir), "receipt", "json")
 
 
 @query
@@ -379,7 +380,7 @@ def split_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RUL-01, AGG-10, TOP-11."""
-    found = rules.derive_keywords(rules.phrase_counts(adapters.receipt_tokens(spark, sf_dir)), CATEGORY)
+    found = rules.derive_keywords(rules.phrase_counts(adapters.receipt_tokens(spark, sf_dir), ascii_only=True), CATEGORY)
     return r9(found, "purity")
 
 
@@ -387,7 +388,11 @@ def keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RUL-02, RUL-03, RUL-04, JON-12, JON-13, WIN-08, TOP-03, PRJ-04, OPS-02: the rule system on all receipts."""
     t = adapters.receipt_tokens(spark, sf_dir)
-    return rules.rule_extract(t, rules.derive_keywords(rules.phrase_counts(t), CATEGORY), list(FIELDS))
+    book = rules.derive_keywords(rules.phrase_counts(t, ascii_only=True), CATEGORY)  # these words are ASCII by construction
+    found = rules.rule_extract(t, book, list(FIELDS), ascii_only=True)
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    spans = F.array_join(F.transform("candidate_token_ids", lambda x: F.array_join(x.cast("array<string>"), "+")), ",")
+    return found.select("receipt", "field", "parse_status", "raw_text", "normalized_amount", "span_score", listed("reasons"), listed("token_ids"), listed("key_token_ids"), "candidate_count", spans.alias("candidate_token_ids"))
 
 
 @query
@@ -719,8 +724,7 @@ def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-15, EXP-02, EXP-04: questions by field with the paraphrase that a dictionary gives, and how alike they are."""
-    words = pages.parse_annotations(annotations(spark, sf_dir), "receipt", "json")
-    asked = pages.questions(pages.line_spans(words, "receipt"), "receipt").groupBy("question").agg(F.count("*").alias("n"))
+    asked = page_questions(spark, sf_dir).groupBy("question").agg(F.count("*").alias("n"))
     book = F.create_map(*map(F.lit, ("What is the total amount?", "How much is the total?", "What is the subtotal?", "How much is the subtotal?")))
     other = F.coalesce(F.element_at(book, F.col("question")), F.col("question"))
     return r9(asked.select("question", other.alias("paraphrase"), "n", text.anls(other, F.col("question")).alias("anls")), "anls")

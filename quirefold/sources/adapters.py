@@ -26,41 +26,43 @@ def grouped(value: Column, style: Column) -> Column:
     return F.when(style == 0, F.translate(commas, ",", ".")).when(style == 1, commas).otherwise(value.cast("string"))
 
 
-def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4: one row per order that has line items: receipt, owner, status, style, subtotal, tax, total, items (array of part, quantity, price)."""
+def receipt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: one row per order that has line items: receipt, owner, status, n_items, style, subtotal, tax, total, items (array, in line order)."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("receipt")).agg(
-        F.sum(F.floor("l_extendedprice").cast("long")).alias("subtotal"), F.count("*").alias("n_items")
+        F.sum(F.floor("l_extendedprice").cast("long")).alias("subtotal"), F.count("*").alias("n_items"), F.array_sort(F.collect_list(item)).alias("items")
     )
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("receipt"), F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("status")
     )
     return orders.join(lines, "receipt").select(
         "receipt", "owner", "status", "n_items", (F.col("receipt") % 3).alias("style"), "subtotal",
-        F.floor(F.col("subtotal") / 10).alias("tax"), (F.col("subtotal") + F.floor(F.col("subtotal") / 10)).alias("total"),
+        F.floor(F.col("subtotal") / 10).alias("tax"), (F.col("subtotal") + F.floor(F.col("subtotal") / 10)).alias("total"), "items",
     )
 
 
-def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4: annotated lines: receipt, line, category, group_id, words, n_key (leading words that are a printed key).
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """receipt_documents() without the items."""
+    return receipt_documents(spark, sf_dir).drop("items")
+
+
+def lined_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: receipt_documents() with lines, an array of struct(line, category, group_id, words, n_key (leading words that are a printed key)).
 
     Items come first (one line each, numbered from 1), then subtotal, tax, total and, on every fifth receipt, a second
-    total line. Keys and amounts vary by receipt, so that some lines mislead.
+    total line. Keys and amounts vary by receipt, so that some lines mislead. All lines of a receipt come from its row.
     """
-    heads = receipts(spark, sf_dir)
-    style = F.col("l_orderkey") % 3
-    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    item = table(spark, sf_dir, "lineitem").join(known, "l_orderkey", "left_semi").withColumn("line", line).select(
-        F.col("l_orderkey").alias("receipt"),
-        "line",
-        F.lit("menu.nm").alias("category"),
-        F.col("line").alias("group_id"),
-        F.array(F.concat(F.lit("P"), F.col("l_partkey").cast("string")), F.lit("x"), F.col("l_quantity").cast("int").cast("string"), grouped(F.floor("l_extendedprice").cast("long"), style)).alias("words"),
-        F.lit(0).alias("n_key"),
-    )
+
+    def row(line: Column, category: str, group: Column, words: Column, n_key: Column) -> Column:
+        return F.struct(line.cast("int").alias("line"), F.lit(category).alias("category"), group.cast("int").alias("group_id"), words.alias("words"), n_key.cast("int").alias("n_key"))
+
+    def item(x: Column, i: Column) -> Column:
+        price = grouped(F.floor(x["l_extendedprice"]).cast("long"), F.col("style"))
+        words = F.array(F.concat(F.lit("P"), x["l_partkey"].cast("string")), F.lit("x"), x["l_quantity"].cast("int").cast("string"), price)
+        return row(i + 1, "menu.nm", i + 1, words, F.lit(0))
 
     def foot(at: int, category: str, key: Column, value: Column) -> Column:
-        return F.struct(F.lit(100 + at).alias("line"), F.lit(category).alias("category"), F.lit(100).alias("group_id"), F.concat(key, value).alias("words"), F.size(key).alias("n_key"))
+        return row(F.lit(100 + at), category, F.lit(100), F.concat(key, value), F.size(key))
 
     r, text = F.col("receipt"), lambda c: grouped(F.col(c), F.col("style"))
     rows = [
@@ -69,18 +71,28 @@ def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         foot(2, CATEGORY["total_amount"], F.array(F.lit("TOTAL")), F.when(r % 2 == 0, F.array(F.lit("Rp"), text("total"))).otherwise(F.array(text("total")))),
     ]
     again = foot(3, CATEGORY["total_amount"], F.array(F.lit("Total")), F.array(grouped(F.col("total") + r % 2, F.col("style"))))
-    feet = heads.select("receipt", F.explode(F.when(r % 5 == 0, F.array(*rows, again)).otherwise(F.array(*rows))).alias("f")).select("receipt", "f.*")
-    return item.unionByName(feet)
+    feet = F.when(r % 5 == 0, F.array(*rows, again)).otherwise(F.array(*rows))
+    return receipt_documents(spark, sf_dir).withColumn("lines", F.concat(F.transform("items", item), feet)).drop("items")
+
+
+def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: one row per line: receipt, line, category, group_id, words, n_key."""
+    return lined_receipts(spark, sf_dir).select("receipt", F.inline("lines"))
+
+
+def word_box(line: Column, pos: Column, text: Column) -> list[Column]:
+    """The sides of a word's box, from integers only."""
+    x0, y0 = pos * 120, line * 20
+    return [c.cast("double") for c in (x0, y0, x0 + 10 * F.length(text), y0 + 16)]
 
 
 def receipt_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3 over A4: receipt, line, pos, text, box, is_key, category, confidence. Boxes follow from integers only."""
     lines = receipt_lines(spark, sf_dir)
     flat = lines.select("receipt", "line", "category", "n_key", F.posexplode("words").alias("pos", "text"))
-    x0, y0 = F.col("pos") * 120, F.col("line") * 20
     return flat.select(
         "receipt", "line", "pos", "text", "category", (F.col("pos") < F.col("n_key")).alias("is_key"),
-        F.array(*[c.cast("double") for c in (x0, y0, x0 + 10 * F.length("text"), y0 + 16)]).alias("box"),
+        F.array(*word_box(F.col("line"), F.col("pos"), F.col("text"))).alias("box"),
         (50 + (F.col("receipt") + 7 * F.col("line") + 3 * F.col("pos")) % 50).cast("double").alias("confidence"),
     )
 
@@ -108,22 +120,21 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact: the right digits; noisy: a digit too many on every sixth receipt, and no candidate on every eleventh;
     lazy: always the subtotal. Scores are fixed functions of the receipt.
     """
-    r = receipts(spark, sf_dir)
-    out = None
+    cells = []
     for k, system in enumerate(("exact", "noisy", "lazy")):
         for f in FIELDS:
             right = F.col(f.removesuffix("_amount"))
             value = right if system == "exact" else F.col("subtotal") if system == "lazy" else F.when(F.col("receipt") % 6 == 0, right * 10 + 1).otherwise(right)
             missing = (F.col("receipt") % 11 == 0) if system == "noisy" else F.lit(False)
-            one = r.select(
-                F.lit(system).alias("system_id"), "receipt", F.lit(f).alias("field"),
+            cells.append(F.struct(
+                F.lit(system).alias("system_id"), F.lit(f).alias("field"),
                 F.when(~missing, grouped(value, F.col("style"))).alias("raw_text"),
                 F.when(missing, "no_candidate").otherwise("ok").alias("parse_status"),
                 F.when(~missing, value.cast("string")).alias("normalized_amount"),
                 F.when(~missing & (F.col("receipt") % 13 != 0), ((F.col("receipt") * 37 + k * 11) % 100) / 100.0).alias("span_score"),
-            )
-            out = one if out is None else out.unionByName(one)
-    return out
+            ))
+    out = receipts(spark, sf_dir).select("receipt", F.inline(F.array(*cells)))
+    return out.select("system_id", "receipt", "field", "raw_text", "parse_status", "normalized_amount", "span_score")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

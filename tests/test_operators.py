@@ -44,7 +44,7 @@ def test_next_line_rightmost_and_ties(spark):
 def test_keyword_lookup_ties_go_to_the_last_word(spark):
     rows = [(1, "What is the subtotal?", ["Subt", "1", "subtotal", "x", "22", "9"]), (2, "tax", ["Tax", "none"]), (3, "zzz", ["a", "5"]), (4, "tax amount", ["tax", "tax", "3"]), (5, None, ["7"])]
     df = spark.createDataFrame(rows, "id long, q string, w array<string>")
-    assert {r["id"]: r["answer"] for r in metrics.keyword_lookup(df, "id", "q", "w").collect()} == {1: "22", 2: "", 3: "5", 4: "3", 5: "7"}
+    assert {r["id"]: r["answer"] for r in df.select("id", metrics.keyword_lookup(F.col("q"), F.col("w")).alias("answer")).collect()} == {1: "22", 2: "", 3: "5", 4: "3", 5: "7"}
 
 
 def totals(spark, good, bad, wrong_score):
