@@ -44,4 +44,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": DECONTAMINATE, "op7_url_rules": URL_RULES}
+NEAR_DEDUP = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM docs WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE 100 * shared >= 85 * (m.n + n.n - shared)),
+reach(doc_id, other) AS (SELECT a, b FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY 1) USING (doc_id)
+"""
+
+SUBSTRING_DEDUP = r"""
+WITH docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM docs)),
+firsts AS (SELECT s, min(struct_pack(d := doc_id, p := p)) AS f FROM windows GROUP BY 1 HAVING count(*) > 1),
+gone AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM windows JOIN firsts USING (s) WHERE f <> struct_pack(d := doc_id, p := p)),
+flat AS (SELECT doc_id, q, w[q] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS q FROM docs)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS said FROM flat ANTI JOIN gone USING (doc_id, q) GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM docs LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": DECONTAMINATE,
+    "op2_minhash_near_dedup": NEAR_DEDUP,
+    "op3_substring_dedup": SUBSTRING_DEDUP,
+    "op7_url_rules": URL_RULES,
+}
