@@ -120,3 +120,8 @@ def key_text(text: Column, ascii_only: bool = False) -> Column:
 def clean(text: Column, ascii_only: bool = False) -> Column:
     """STR-11: NFKC and collapsed white space."""
     return collapse(text if ascii_only else nfkc(text))
+
+
+def shown(value: Column, missing: str, digits: int | None = None) -> Column:
+    """STR-14: a value as it is displayed, with this many decimals if it is a number; ``missing`` for null."""
+    return F.when(value.isNull(), missing).otherwise(value.cast("string") if digits is None else F.format_string(f"%.{digits}f", value))

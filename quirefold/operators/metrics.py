@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..functions.numbers import rate, wilson
-from ..functions.text import common_prefix, content_words, last_number, normalize_answer
+from ..functions.text import anls, common_prefix, content_words, last_number, normalize_answer
 
 
 def is_correct(state: Column, status: Column, predicted: Column, known: Column) -> Column:
@@ -107,7 +109,7 @@ def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     return marked.groupBy(by).agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).alias("upper_median"), F.max("v").alias("most"))
 
 
-def paired_bootstrap(scored: DataFrame, first: str, second: str, field: str, resamples: int = 500, blocks: int = 1024) -> DataFrame:
+def paired_bootstrap(scored: DataFrame, first: str, second: str, field: str, resamples: int = 2000, blocks: int = 1024) -> DataFrame:
     """MET-02 at scale: n, difference, low, high of em(first) - em(second), by resampling hash blocks of receipts.
 
     Receipts are dealt into blocks by a hash and summed up there; each resample gives every block a Poisson(1) weight
@@ -126,3 +128,35 @@ def paired_bootstrap(scored: DataFrame, first: str, second: str, field: str, res
     means = drawn.groupBy("k").agg(F.sum("n").alias("n"), F.try_divide(F.sum(weight * F.col("d")).cast("double"), F.sum(weight * F.col("n"))).alias("x"))
     again = F.when(F.col("k") > 0, F.col("x"))
     return means.agg(F.max("n").alias("n"), F.max(F.when(F.col("k") == 0, F.col("x"))).alias("difference"), F.percentile(again, F.lit(0.025)).alias("low"), F.percentile(again, F.lit(0.975)).alias("high"))
+
+
+def system_report(scored: DataFrame) -> DataFrame:
+    """AGG-05, AGG-19: system_id, field, usable, text_em, anls, prediction_states, states_on_usable, reference_states, verdict.
+
+    scored: field_scores() with known_text, the reference as printed. Texts are scored on usable references only; the
+    verdict says whether that is enough to measure. States are counted before they meet in one row.
+    """
+    usable = F.col("state") == "present_usable"
+    same = F.when(usable, (normalize_answer(F.col("raw_text")) == normalize_answer(F.col("known_text"))).cast("int"))
+    close = F.when(usable, anls(F.col("raw_text"), F.col("known_text")))
+    rows = scored.select("system_id", "field", "parse_status", "state", usable.alias("usable"), same.alias("same"), close.alias("close"))
+    sums = rows.groupBy("system_id", "field", "parse_status", "state").agg(F.count("*").alias("k"), F.count_if("usable").alias("u"), F.sum("same").alias("same"), F.sum("close").alias("close"))
+
+    def counted(name: str, number: str) -> tuple[Column, Callable[[Column], Column]]:
+        """Numbers by value, from the few rows of a system and field."""
+        rows = F.collect_list(F.struct(F.col(name).alias("v"), F.col(number).alias("k")))
+
+        def line(r: Column) -> Column:
+            values = F.array_sort(F.array_distinct(F.transform(F.filter(r, lambda x: x["k"] > 0), lambda x: x["v"])))
+            total = lambda v: F.aggregate(F.filter(r, lambda x: x["v"] == v), F.lit(0).cast("long"), lambda a, x: a + x["k"])
+            return F.array_join(F.transform(values, lambda v: F.concat_ws("=", v, total(v).cast("string"))), "; ")
+
+        return rows, line
+
+    parts = {"prediction_states": counted("parse_status", "k"), "states_on_usable": counted("parse_status", "u"), "reference_states": counted("state", "k")}
+    out = sums.groupBy("system_id", "field").agg(F.sum("u").alias("usable"), F.sum("same").alias("same"), F.sum("close").alias("close"), *[r.alias(n) for n, (r, _) in parts.items()])
+    verdict = F.when(F.col("usable") == 0, "not-measurable").when(F.col("usable") >= 50, "measured").otherwise("measured-small-sample")
+    return out.select(
+        "system_id", "field", "usable", rate(F.col("same"), F.col("usable")).alias("text_em"), rate(F.col("close"), F.col("usable")).alias("anls"),
+        *[let(F.col(n), line).alias(n) for n, (_, line) in parts.items()], verdict.alias("verdict"),
+    )

@@ -175,3 +175,16 @@ def seeded_order(spark, keys: list, seed: int) -> DataFrame:
     order = list(keys)
     random.Random(seed).shuffle(order)
     return spark.createDataFrame(list(enumerate(order)), "position long, key string" if keys and isinstance(keys[0], str) else "position long, key long")
+
+
+# The records that each split needs at least.
+MINIMUMS = {"train": 8, "validation": 2, "test": 2}
+
+
+def split_shortfalls(rows: DataFrame, split: str, least: dict[str, int] | None = None) -> DataFrame:
+    """SPL-02: split, n, least, missing of the splits with too few rows. A caller refuses the split unless this is empty."""
+    least = MINIMUMS if least is None else least
+    wanted = rows.sparkSession.range(1).select(F.explode(F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v).cast("long"))])).alias(split, "least"))
+    counts = rows.groupBy(split).agg(F.count("*").alias("n"))
+    out = wanted.join(counts, split, "left").select(split, F.coalesce("n", F.lit(0)).alias("n"), "least")
+    return out.withColumn("missing", F.col("least") - F.col("n")).where("missing > 0")

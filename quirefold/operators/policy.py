@@ -109,3 +109,20 @@ def first_per_category(rows: DataFrame, category: str, key: str, tag: str) -> Da
     """WIN-12, TOP-07: the first key of each category in hash order. An arg-min, so no category is sorted."""
     picked = rows.where(F.col(category).isNotNull()).groupBy(category)
     return picked.agg(F.min_by(key, F.sha2(F.concat(F.lit(f"{tag}|"), F.col(key).cast("string")), 256)).alias(key), F.count("*").alias("n"))
+
+
+def first_keys(rows: DataFrame, category: str, key: str, tag: str, n: int) -> DataFrame:
+    """TOP-08: category, place (from 1), key: the first n keys of each category in hash order.
+
+    Spark limits each category to n rows in every task before it shuffles them, so a hot category is not sorted whole.
+    """
+    by = Window.partitionBy("category").orderBy(F.sha2(F.concat(F.lit(f"{tag}|"), F.col(key).cast("string")), 256))
+    rows = rows.where(F.col(category).isNotNull()).select(F.col(category).alias("category"), key)
+    return rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n).select("category", "place", key)
+
+
+def confident_wrong(scored: DataFrame) -> DataFrame:
+    """TOP-07: system_id, receipt, span_score of the wrong answer with the greatest score; ties go to the smallest receipt."""
+    wrong = scored.where("correct = false and span_score is not null and not isnan(span_score)")
+    best = wrong.groupBy("system_id").agg(F.max(F.struct("span_score", (-F.col("receipt")).alias("r"))).alias("b"))
+    return best.select("system_id", (-F.col("b.r")).alias("receipt"), "b.span_score")

@@ -92,3 +92,15 @@ def hashed_reader(frame: pd.DataFrame) -> pd.DataFrame:
     picks = [zlib.crc32(f"{q}|{len(w)}".encode()) for q, w in zip(frame["question"], frame["words"])]
     at = [p % len(w) if len(w) else -1 for p, w in zip(picks, frame["words"])]
     return pd.DataFrame({"start": at, "end": at, "score": [p % 1000 / 1000 for p in picks], "n_windows": 1})
+
+
+def check_fit(pages: DataFrame, n_question: Column, n_tokens: Column) -> tuple[DataFrame, DataFrame]:
+    """FIL-02: the rows that fit one window with their question, and those that need more; both with n_windows. Nothing is cut short."""
+    counted = pages.withColumn("n_windows", window_count(n_question, n_tokens))
+    return counted.where("n_windows = 1"), counted.where("n_windows <> 1 or n_windows is null")
+
+
+def token_span(word_ids: Column, start: Column, end: Column) -> Column:
+    """ML-07: struct(first_token, last_token) of the words start to end; word_ids has the word of each token, null for special ones. Nulls if none is there."""
+    places = F.filter(F.transform(word_ids, lambda w, i: F.when((w >= start) & (w <= end), i)), lambda i: i.isNotNull())
+    return let(places, lambda p: F.struct(F.array_min(p).alias("first_token"), F.array_max(p).alias("last_token")))

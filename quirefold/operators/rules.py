@@ -10,6 +10,7 @@ from ..functions.binding import let
 from ..functions.geometry import clip, overlap_share, union_box
 from ..functions.text import key_text, nfkc
 from .pages import annotation
+from .readers import window_count
 
 GAP, LEAST_SHARE, MOST_WORDS = 1.5, 0.5, 4
 
@@ -257,3 +258,34 @@ def reference_states(rows: DataFrame, key: str, text: str, fields: dict[str, str
     state = state.otherwise("present_usable")
     field = F.element_at(F.create_map(*[F.lit(x) for f, c in fields.items() for x in (c, f)]), F.col("category"))
     return cells.select(key, field.alias("field"), state.alias("state"), reason.alias("reason"), F.when(state == "present_usable", F.col("lo")).alias("normalized_amount"), F.col("n_lines").cast("long").alias("n_lines"))
+
+
+def training_examples(aligned: DataFrame, fields: list[str], most: int = 4, n_question: int = 12) -> DataFrame:
+    """ALN-02: aligned (receipt, field, state, status, line, start, end, n_tokens) -> the same with outcome.
+
+    outcome is aligned for an example; else the reference's state, why the alignment failed, training_window_limit for a
+    receipt that needs more than one window, or per_receipt_ceiling behind the first ``most`` examples of a receipt, in
+    the order of fields. line, start and end are null without an example.
+    """
+    order = F.array_position(F.array(*map(F.lit, fields)), F.col("field"))
+    why = F.when(F.col("state") != "present_usable", F.col("state")).when(F.col("status") != "aligned", F.col("status"))
+    why = why.when(window_count(F.lit(n_question), F.col("n_tokens")) != 1, "training_window_limit").otherwise("aligned")
+    row = F.struct(order.alias("order"), "field", why.alias("why"), "line", "start", "end")
+    rows = aligned.groupBy("receipt").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # a receipt has few fields
+
+    def outcome(x: Column, before: Column) -> Column:
+        late = (x["why"] == "aligned") & (F.size(F.filter(before, lambda y: y["why"] == "aligned")) >= most)
+        said = F.when(late, "per_receipt_ceiling").otherwise(x["why"])
+        shown = [F.when(said == "aligned", x[c]).alias(c) for c in ("line", "start", "end")]
+        return F.struct(x["field"].alias("field"), said.alias("outcome"), *shown)
+
+    return rows.select("receipt", F.inline(F.transform("rows", lambda x, i: outcome(x, F.slice(F.col("rows"), F.lit(1), i)))))
+
+
+def reading_order(tokens: DataFrame) -> DataFrame:
+    """TOP-12: receipt, line, pos, row, place: lines by their top and left, the words of a line by left and top."""
+    word = F.struct(F.col("box")[0].alias("x"), F.col("box")[1].alias("y"), "pos")
+    lines = tokens.groupBy("receipt", "line").agg(F.min(F.col("box")[1]).alias("top"), F.min(F.col("box")[0]).alias("left"), F.array_sort(F.collect_list(word)).alias("words"))
+    pages = lines.groupBy("receipt").agg(F.array_sort(F.collect_list(F.struct("top", "left", "line", "words"))).alias("lines"))
+    rows = pages.select("receipt", F.posexplode("lines").alias("row", "l"))
+    return rows.select("receipt", "l.line", "row", F.posexplode("l.words").alias("place", "w")).select("receipt", "line", "w.pos", "row", "place")

@@ -128,3 +128,8 @@ def check_range(name: str, value: float, low: float, high: float) -> float:
     if not low <= value <= high:
         raise ValueError(f"{name} must be between {low} and {high}")
     return value
+
+
+def record_bounds(n: Column, least: int = 8, most: int = 20_000) -> Column:
+    """VAL-06: whether a dataset has as many records as are allowed."""
+    return n.between(least, most)

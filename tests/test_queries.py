@@ -6,8 +6,9 @@ import os
 
 import duckdb
 import pytest
-from quirefold.plans.oracles import ORACLES
-from quirefold.plans.queries import QUERIES
+from quirefold.plans import oracles, queries, report_oracles, reports
+
+QUERIES, ORACLES = {**queries.QUERIES, **reports.QUERIES}, {**oracles.ORACLES, **report_oracles.ORACLES}
 
 SF = "/root/testdata/sf0.001"
 
