@@ -5,18 +5,27 @@ All of it is DataFrame work: no Python runs on the executors.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ranked
+from .common import cut, named, ranked
 
 
-def text_code(value: Column) -> Column:
-    """A string as an integer in the same order: its first six bytes; null sorts first."""
-    code = F.conv(F.rpad(F.substring(F.hex(value), 1, 12), 12, "0"), 16, 10).cast("long")
+def text_code(value: Column, skip: int = 0) -> Column:
+    """A string as an integer in the same order: six of its bytes behind the first ``skip``; null sorts first."""
+    code = F.conv(F.rpad(F.substring(F.hex(value), 2 * skip + 1, 12), 12, "0"), 16, 10).cast("long")
     return F.coalesce(code, F.lit(-1).cast("long"))
 
 
+def common_bytes(df: DataFrame, columns: list[str]) -> list[int]:
+    """How many leading bytes all values of each string column share: those of the smallest and the largest."""
+    row = df.agg(*[f(named(c)).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("a", F.min), ("b", F.max))]).first()
+    pairs = [((row[f"a{i}"] or "").encode(), (row[f"b{i}"] or "").encode()) for i in range(len(columns))]
+    return [len(os.path.commonprefix(p)) if p[0] != p[1] else 0 for p in pairs]
+
+
 def quantised(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     """Replace each integer column of dims by its equi-depth cell, 0 to 2**bits - 1. The cell limits come from all rows."""
     cells = 2**bits
@@ -84,9 +93,9 @@ def hilbert_shards(
     hash buckets, never in one task.
     """
     axes = {f"_d{i}": e for i, e in enumerate(dims.values())}
-    flat = cut(df.select(*keep, *[e.cast("long").alias(a) for a, e in axes.items()]), "curve")
+    flat = cut(df.select(*map(named, keep), *[e.cast("long").alias(a) for a, e in axes.items()]), "curve")
     total = flat.count()
-    placed = quantised(flat, list(axes), bits).select(*keep, hilbert_index(list(axes), bits).alias("curve"))
+    placed = quantised(flat, list(axes), bits).select(*map(named, keep), hilbert_index(list(axes), bits).alias("curve"))
     small, extra = divmod(total, shards)
     wide = F.lit(extra * (small + 1))
     rank, over = F.col("rank"), F.col("rank") - F.lit(extra * (small + 1))
@@ -96,30 +105,33 @@ def hilbert_shards(
         ranked(placed, "curve", order, total)
         .withColumn("shard", F.when(first, F.floor(rank / (small + 1))).otherwise(extra + F.floor(over / base)).cast("int"))
         .withColumn("slot", F.when(first, rank % (small + 1)).otherwise(over % base).cast("long"))
-        .select(*keep, "curve", "shard", "slot")
+        .select(*map(named, keep), "curve", "shard", "slot")
     )
 
 
-def shard_documents(documents: DataFrame, shards: int = 24) -> DataFrame:
-    """Documents dealt by (lang, source, size): doc_id, size, text_crc32, law, shard, slot, grown_shard, curve.
+def shard_documents(documents: DataFrame, shards: int = 24, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents dealt by (lang, source, size): doc_id, size, text_crc32, law, shard, slot, grown_shard, curve, and the columns of keep.
 
-    Null text counts as empty (size 8); null lang or source sorts first. Repeated rows are dealt one by one.
+    Null text counts as empty (size 8); null lang or source sorts first. What all langs, or all sources, begin with does
+    not count for their order. Repeated rows are dealt one by one.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    lang, source = common_bytes(documents, ["lang", "source"])
     flat = documents.select(
         "doc_id",
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        text_code(F.col("lang")).alias("lang_code"),
-        text_code(F.col("source")).alias("source_code"),
+        text_code(F.col("lang"), lang).alias("lang_code"),
+        text_code(F.col("source"), source).alias("source_code"),
+        *[named(c) for c in keep],
     )
     dims = {"lang": F.col("lang_code"), "source": F.col("source_code"), "size": F.col("size")}
-    out = hilbert_shards(flat, dims, ["doc_id", "size", "text_crc32"], ["text_crc32", "doc_id"], shards)
+    out = hilbert_shards(flat, dims, ["doc_id", "size", "text_crc32", *keep], ["text_crc32", "doc_id"], shards)
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", *[named(c) for c in keep]
     )
 
 
-def write_shards(dealt: DataFrame, path: str, shards: int = 24) -> None:
-    """One folder per shard, rows in slot order, so that file statistics of the dimensions are narrow."""
-    dealt.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(dealt: DataFrame, path: str, shards: int = 24, files: int = 4) -> None:
+    """One folder per shard with about ``files`` files in slot order: where dealt keeps the dimensions (see keep), a reader skips the files whose statistics exclude its filter."""
+    dealt.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -18,8 +18,9 @@ from .common import extended, in_arrow, named
 
 #: Expected rows of each language that the centroids are learned from; n-gram buckets; centroids a language.
 SAMPLE, BUCKETS, CENTROIDS = 400, 1 << 13, 4
-#: A text is rejected below this part of the least similarity that a learned text of the language has to its centroid.
-SLACK = 0.25
+#: A text is rejected below this part of the similarity that all but this share of a language's learned texts have to their
+#: centroid. Longer texts are nearer to a centroid, so texts of fewer than SHORT different n-grams get by with less, in proportion.
+SLACK, SHARE, SHORT = 0.5, 0.02, 200
 _letters: list[np.ndarray] = []
 
 
@@ -82,7 +83,7 @@ class Model:
             own, near = cluster(weigh(counts, self.idf), k)
             centres.append(own)
             owner += [j] * len(own)
-            floor += [SLACK * float(near.min())] * len(own)  # the same for all centroids of the language
+            floor += [SLACK * float(np.quantile(near, SHARE))] * len(own)  # the same for all centroids of the language
         self.centres = np.vstack(centres).astype(np.float32) if centres else np.zeros((0, BUCKETS), np.float32)
         self.owner, self.floor = np.array(owner, int), np.array(floor)
 
@@ -98,7 +99,8 @@ class Model:
                 if len(g) and len(row):
                     j = int(row.argmax())
                     score = float(min(1, max(0, row[j])))
-                    out.append((self.labels[self.owner[j]], score, bool(row[j] < self.floor[j])))
+                    least = self.floor[j] * min(1.0, len(np.unique(g)) / SHORT)
+                    out.append((self.labels[self.owner[j]], score, bool(row[j] < least)))
                 else:
                     out.append(("und", 0.0, True))
         return out
@@ -165,7 +167,12 @@ def identify_documents(documents: DataFrame, keep: list[str], per_language: int
 
 
 def accepted(documents: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """The documents, in their own columns, that are not rejected: they have letters and are near enough to a learned language."""
+    """The documents, in their own columns, that are not rejected: they have letters and are near enough to a learned language.
+
+    Without any labelled document nothing can be near or far, so all texts with letters stay.
+    """
     model = fit(documents.select("text", "lang", F.col("doc_id").alias("key")), per_language)
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    rows = documents.select(F.struct(*map(named, documents.columns)).alias("row"))
+    if not model.labels:
+        return rows.where(F.col("row.text").rlike(r"\p{L}")).select("row.*")
     return identify(rows, model, ["row"], "row.text").where("not rejected").select("row.*")

@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 
 from .common import LOWER, UPPER, cut
 
+#: Estimated bytes up to which the stacks at the ends of the parts are broadcast.
+BROADCAST_BYTES = 32 << 20
 MARK, PAST = "\x01", "\x02"
 
 
@@ -87,11 +89,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, keep: list[str], default: str
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     ends = dealt.where("stack is not null").groupBy("part").agg(F.max_by("stack", "key").alias("end"))
-    carried = spark.range(parts).select(F.col("id").cast("int").alias("part")).join(F.broadcast(ends), "part", "left")
+    size = ends.agg(F.sum(F.aggregate("end", F.lit(0).cast("long"), lambda n, r: n + 64 + F.length(r["rule"]) * 4))).first()[0] or 0
+    small = F.broadcast if size * parts <= BROADCAST_BYTES else (lambda df: df)  # a part may carry on the longest of the stacks
+    carried = spark.range(parts).select(F.col("id").cast("int").alias("part")).join(small(ends), "part", "left")
     carried = carried.select("part", F.last("end", True).over(before).alias("carried"))
 
     sweep = Window.partitionBy("part").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = dealt.withColumn("active", F.last("stack", True).over(sweep)).where("page is not null").join(F.broadcast(carried), "part")
+    swept = dealt.withColumn("active", F.last("stack", True).over(sweep)).where("page is not null").join(small(carried), "part")
     active = F.coalesce("active", "carried")
     host, path = F.col("page._host"), F.col("page._path")
     fits = F.filter(active, lambda r: path.startswith(r["path"]) & ((host == r["host"]) | host.endswith(F.concat(F.lit("."), r["host"]))))

@@ -1,6 +1,8 @@
+import glob
 import zlib
 from collections import Counter
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from quirefold.llm import hilbert
 
@@ -54,3 +56,22 @@ def test_files(spark, tmp_path):
     dealt = hilbert.shard_documents(spark.read.parquet(f"{SF}/documents.parquet"))
     hilbert.write_shards(dealt, str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().count() == 24
+
+
+def test_files_are_skipped_by_their_statistics(spark, tmp_path):
+    """A filter on language and source opens few of the files that shards in Hilbert order make."""
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.pmod(F.xxhash64("id"), F.lit(90)).cast("int")).alias("text"),
+        F.element_at(F.array(*map(F.lit, ("de", "en", "fr", "it"))), (F.pmod(F.hash("id"), F.lit(4)) + 1).cast("int")).alias("lang"),
+        F.concat(F.lit("commoncrawl-"), F.lpad(F.pmod(F.hash("id", F.lit(1)), F.lit(16)).cast("string"), 2, "0")).alias("source"),
+    )
+    path = str(tmp_path / "shards")
+    hilbert.write_shards(hilbert.shard_documents(docs, keep=("lang", "source")), path)
+    files = glob.glob(f"{path}/*/*.parquet")
+    opened = 0
+    for file in files:
+        meta = pq.ParquetFile(file).metadata
+        own = {meta.schema.column(i).name: meta.row_group(0).column(i).statistics for i in range(meta.num_columns)}
+        opened += own["lang"].min <= "fr" <= own["lang"].max and own["source"].min <= "commoncrawl-05" <= own["source"].max
+    assert len(files) >= 48 and opened <= len(files) / 5
+    assert spark.read.parquet(path).where("lang = 'fr' and source = 'commoncrawl-05'").count() == docs.where("lang = 'fr' and source = 'commoncrawl-05'").count()

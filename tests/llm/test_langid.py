@@ -67,3 +67,21 @@ def test_assignment_matches_brute_force(spark):
 def test_columns_with_odd_names_stay(spark):
     docs = spark.createDataFrame([(1, "Ein Text.", "de", "x", 1), (2, "?!", "de", None, 2)] * 5, "doc_id long, text string, lang string, `extra col` string, `a.b` int")
     assert langid.accepted(docs).columns == docs.columns
+
+
+def test_noise_and_unlearned_languages_are_rejected_and_clean_texts_stay(spark):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    model = langid.fit(docs.select("text", "lang", F.col("doc_id").alias("key")))
+    texts = [r["text"] for r in docs.collect() if len(langid.grams(r["text"]))]
+    assert np.mean([x[2] for x in model.predict(texts)]) < 0.005
+    short = [" ".join(t.split()[:8]) for t in texts if len(t.split()) >= 8]
+    assert np.mean([x[2] for x in model.predict(short)]) < 0.01
+    r = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    noise = ["".join(r.choice(letters, 2000)) for _ in range(20)] + ["Ωμέγα άλφα βήτα γάμμα δέλτα έψιλον ζήτα ήτα θήτα"]
+    assert all(x[2] for x in model.predict(noise))
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "Some text", None), (2, "?!", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in langid.accepted(docs).collect()] == [1]
