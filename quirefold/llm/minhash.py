@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import broadcast_if_small, cut, in_arrow
 from .components import connected_components
@@ -17,7 +18,8 @@ from .shingles import mix, shingle_set
 ROWS, BANDS, BITS = 3, 20, 4
 #: Linked if 100 * intersection >= LINK * union; pairs estimated below CANDIDATE (six deviations less) are dropped.
 LINK, CANDIDATE = 85, 0.55
-#: Members of a block of a bucket; members and shingles of a block of a group. Larger ones are compared in block pairs.
+#: Members of a block of a bucket, of which larger ones are compared in block pairs; members and shingles of a group that is
+#: compared at once.
 BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES = 512, 128, 200_000
 _LANES = BITS * ROWS * BANDS // 60  # signature words of 60 bits: 15 minima of 4 bits each
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -153,7 +155,7 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     return in_arrow(dealt, compare, "a long, b long").distinct()
 
 
-def linked_pairs(sets: list[np.ndarray]) -> np.ndarray:
+def linked_pairs(sets: list[np.ndarray], link: int = LINK) -> np.ndarray:
     """Which sets are linked with which, exactly. Shingles that only one set has are left out of the products."""
     n = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
@@ -170,48 +172,116 @@ def linked_pairs(sets: list[np.ndarray]) -> np.ndarray:
         has = np.zeros((len(sets), width), np.float32)
         has[owner[lo:hi], at[lo:hi] - first] = 1
         both += has @ has.T
-    return 100 * both >= LINK * (n[:, None] + n[None, :] - both)
+    return 100 * both >= link * (n[:, None] + n[None, :] - both)
 
 
-def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all truly linked pairs within each group of members (doc_id, n_shingles, label)."""
-    sums = members.groupBy("label").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).alias("blocks"))
-    placed = cut(members.select("doc_id", "label").join(cut(sums, "blocks"), "label"), "placed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(placed, 48), "doc_id")
+def set_table(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """doc_id, label, shingles (sorted) of the documents in placed (doc_id, label)."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(3)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), sets], names=["doc_id", "label", "blocks", "shingles"])
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                sets = pa.array([shingle_set(x.as_py()).view(np.int64) for x in part.column(2)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sets], names=["doc_id", "label", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(placed.select("doc_id", "label"), 48), "doc_id")
+    return in_arrow(texts.select("doc_id", "label", "text"), shingle, "doc_id long, label long, shingles array<bigint>")
+
 
-    sets = in_arrow(texts.select("doc_id", "label", "blocks", "text"), shingle, "doc_id long, label long, blocks long, shingles binary")
-    dealt = block_pairs(sets, "blocks", ["label", "doc_id", "shingles"]).select("label", "low", "high", "doc_id", "shingles")
-    dealt = dealt.repartition("label", "low", "high").sortWithinPartitions("label", "low", "high", "doc_id")
+def compared(rows: DataFrame, keys: list[str], link: int) -> DataFrame:
+    """Edges (a, b) that connect all truly linked pairs among the rows (keys, doc_id, shingles) with equal keys: a spanning forest of each group."""
+    n = len(keys)
+    dealt = rows.select(*keys, "doc_id", "shingles").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs(batches, 3):
-            ids, raw = table.column(3).to_numpy(), table.column(4)
+        for table in runs(batches, n):
+            ids, raw = table.column(n).to_numpy(), table.column(n + 1)
             a, b = [], []
-            for start, end in groups(table, 3):
+            for start, end in groups(table, n):
                 if end - start > 1:
-                    for i, j in forest(linked_pairs([np.frombuffer(raw[k].as_py(), np.uint64) for k in range(start, end)])):
+                    sets = [raw[k].values.to_numpy().view(np.uint64) for k in range(start, end)]
+                    for i, j in forest(linked_pairs(sets, link)):
                         a.append(ids[start + i])
                         b.append(ids[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return in_arrow(dealt, verify, "a long, b long").distinct()
+    return in_arrow(dealt, verify, "a long, b long")
+
+
+def linked_only(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """The pairs (a, b) whose sets are linked."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                one, two = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(100 * both >= link * (len(one) + len(two) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    return in_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"), verify, "a long, b long")
+
+
+def rare_shingles(sets: DataFrame, link: int) -> DataFrame:
+    """label, token, doc_id: the prefix of each set in the order of rarity within its group, without tokens that only one set has.
+
+    Two linked sets share ``link`` per cent of the larger one at least, so they meet in a token of their prefixes.
+    """
+    flat = sets.select("label", "doc_id", F.explode("shingles").alias("token"))
+    counts = cut(flat.groupBy("label", "token").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    ordered = flat.join(counts, ["label", "token"], "left").groupBy("label", "doc_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token"))).alias("s"))
+    size = F.size("s")
+    prefix = F.slice("s", F.lit(1), size - F.ceil(size * link / 100).cast("int") + 1)
+    return ordered.select("label", "doc_id", F.explode(prefix).alias("x")).where("x.n > 1").select("label", F.col("x.token").alias("token"), "doc_id")
+
+
+def large_group_links(sets: DataFrame, link: int) -> DataFrame:
+    """Edges (a, b) that connect all linked pairs of groups that are too large for one block, by prefix tokens.
+
+    First every set is compared with the smallest one of each of its tokens, which joins near copies of one text in
+    linear work. Tokens whose sets are all connected by then are done. The sets of the others are compared with one
+    another, a token at a time; a token of more than BLOCK sets in block pairs.
+    """
+    prefix = cut(rare_shingles(sets, link), "prefixes")
+    first = cut(prefix.groupBy("label", "token").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "first")
+    pairs = prefix.join(first, ["label", "token"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    near = cut(linked_only(cut(pairs, "pairs"), sets, link), "near")
+    known = connected_components(near).select(F.col("node").alias("doc_id"), F.col("label").alias("found"))
+    named = cut(prefix.join(known, "doc_id", "left").select("label", "token", "doc_id", F.coalesce("found", "doc_id").alias("found")), "named")
+    open_ = named.groupBy("label", "token").agg(F.count("*").alias("n"), F.min("found").alias("low"), F.max("found").alias("high")).where("low <> high")
+    rest = named.join(cut(open_.select("label", "token", F.ceil(F.col("n") / BLOCK).alias("blocks")), "open"), ["label", "token"])
+    rest = cut(block_pairs(rest, "blocks", ["label", "token", "doc_id"]).drop("own"), "rest")
+    return near.unionByName(compared(rest.join(sets.select("doc_id", "shingles"), "doc_id"), ["label", "token", "low", "high"], link))
+
+
+def exact_links(docs: DataFrame, members: DataFrame, link: int) -> DataFrame:
+    """Edges (a, b) that connect all truly linked pairs within each group of members (doc_id, n_shingles, label)."""
+    sums = members.groupBy("label").agg((F.sum("n_shingles") / BLOCK_SHINGLES > 1).alias("long"), (F.count("*") > BLOCK).alias("many"))
+    placed = cut(members.select("doc_id", "label").join(cut(sums.select("label", (F.col("long") | F.col("many")).alias("large")), "sizes"), "label"), "placed")
+    edges = compared(set_table(docs, placed.where("not large")), ["label"], link)
+    if not placed.where("large").isEmpty():
+        edges = edges.unionByName(large_group_links(cut(set_table(docs, placed.where("large")), "large-sets"), link))
+    return edges.distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
 
-    Two documents are linked if 100 * intersection >= 85 * union of their sets of five-word shingles (A-Z lower-cased;
+    Two documents are linked if 100 * intersection >= link * union of their sets of five-word shingles (A-Z lower-cased;
     fewer words: the whole sequence). A text without words, or null, has an empty set and is linked with nothing.
     Rows of one doc_id are one document; with a null doc_id nothing is linked, component_id is null and kept is true.
-    Equal sets are one node, so thousands of copies cost one comparison; any larger bucket or group of different sets is
-    compared in block pairs, from which only a spanning forest comes out: no pair list of a group is ever made.
+    Equal sets are one node, so thousands of copies cost one comparison. Buckets of different sets give a spanning forest
+    of their pairs only, and large groups are compared by rare shingles (see large_group_links): no pair list of a group
+    is ever made. doc_id must be an integer column; another type is refused, as it could not be ordered as numbers. link:
+    at least 80, for which the bands miss a pair with a chance of 6 in 10 million.
     """
-    spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be of an integer type")
+    if link < 80:
+        raise ValueError("the bands are made for links of 80 per cent or more")
     table = cut(shingle_table(docs), "sketches")
     whole = table.where("set1 is not null and doc_id is not null")
     sets = cut(whole.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep")), "sets")
@@ -219,14 +289,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = cut(reps, "reps")
     near = connected_components(cut(candidate_edges(reps), "candidates"))
     members = cut(near.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").select(F.col("node").alias("doc_id"), "n_shingles", "label"), "members")
-    labels = connected_components(cut(exact_links(docs, members), "links"))
+    labels = connected_components(cut(exact_links(docs, members, link), "links"))
     named = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("label", "rep").alias("found"))
     out = table.join(cut(named, "named"), ["set1", "set2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, link: int = LINK) -> DataFrame:
     """docs, in their own columns, without those of which a near-duplicate with a smaller doc_id stays."""
-    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    gone = cut(near_duplicates(docs, link).where("not kept").select("doc_id").distinct(), "gone")
     return docs.join(broadcast_if_small(gone, 16), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from quirefold.llm import minhash
 from quirefold.llm.components import connected_components
 
@@ -77,3 +79,25 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)]
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 140)}
+
+
+def test_a_long_chain_of_different_sets_stays_linear(spark, monkeypatch):
+    """Each text is the one before moved on by a word: one group, of which only near neighbours are linked."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    stream = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(stream[i : i + 64])) for i in range(0, 1400)]
+    rows += [(2000 + i, " ".join(["t"] + stream[:50] + [f"y{i}.{j}" for j in range(12)])) for i in range(60)]  # alike, but not enough
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(minhash.near_duplicates(docs)) == brute(rows)
+    sets = minhash.set_table(docs, docs.select("doc_id", F.lit(0).cast("long").alias("label")))
+    assert minhash.rare_shingles(sets, 85).count() <= len(rows) * 10
+
+
+def test_links_at_eighty_per_cent_and_refused_ids(spark):
+    base = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:93], *(f"x{i}" for i in range(11))]))]  # 89 of 111 shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(minhash.near_duplicates(docs))[2] == (100, 2)
+    assert result(minhash.near_duplicates(docs, 80))[2] == (100, 1)
+    with pytest.raises(TypeError):
+        minhash.near_duplicates(docs.select(F.col("doc_id").cast("string"), "text"))
