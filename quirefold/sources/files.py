@@ -28,6 +28,27 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD) -> tuple[Da
     return parse_lines(lines, schema)
 
 
+def read_dataset(spark: SparkSession, path: str, schema: str = RECORD) -> tuple[DataFrame, DataFrame]:
+    """SRC-09: (records, refused values) of a .jsonl file of objects or a .json file that holds one array of them.
+
+    Another suffix is an error. An array is read whole, as JSON cannot be split within; its values are then judged one
+    by one as lines are. A .json file that holds no array is refused as one value.
+    """
+    if path.endswith(".jsonl"):
+        return read_jsonl(spark, path, schema)
+    if not path.endswith(".json"):
+        raise ValueError(f"not .json or .jsonl: {path}")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    items = F.from_json("value", "array<string>")
+    values = whole.select("file", F.explode(F.when(F.ltrim("value").startswith("["), F.coalesce(items, F.array("value"))).otherwise(F.array("value"))).alias("value"))
+    return parse_lines(values, schema)
+
+
+def tsv_header(line: Column) -> Column:
+    """SRC-12: whether a header line names the twelve columns of TSV, in this order."""
+    return F.coalesce(line == "\t".join(T.StructType.fromDDL(TSV).names), F.lit(False))
+
+
 def parse_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """The same for a DataFrame with a column value; other columns are kept."""
     typed = T.StructType.fromDDL(f"{schema}, _bad string")

@@ -210,3 +210,92 @@ def test_questions_for_any_item_and_page_ids(spark, tmp_path):
     assert answers[0] == "12" and answers[1] == "3" and set(answers) == {None, 0, 1, -1, 5}
     assert QUERIES["reader_answers"](spark, at).count() == 5
     assert sum(r["n"] for r in QUERIES["keyword_baseline"](spark, at).collect()) == 5
+
+
+BOOK = [("subtotal_amount", "sub total", 9, 1.0), ("total_amount", "total", 50, 0.9), ("total_amount", "total amount due incl", 3, 1.0), ("tax_amount", "tax", 9, 1.0)]
+
+
+def rows_of(spark, words, **more):
+    """words: (line, pos, text, confidence) of receipt 1."""
+    rows = [(1, n, p, w, [100.0 * p, 20.0 * n, 100.0 * p + 90, 20.0 * n + 16], c, None, False) for n, p, w, c in words]
+    out = rules.rule_extract(spark.createDataFrame(rows, TOKENS), spark.createDataFrame(BOOK, RULES), ["total_amount", "tax_amount"], **more)
+    return {r["field"]: r for r in out.collect()}
+
+
+def test_a_missing_confidence_leaves_no_score(spark):
+    for c, want in ((90.0, 0.8), (None, None), (120.0, None), (-1.0, None), (float("nan"), None), (0.0, 0.0)):
+        got = rows_of(spark, [(0, 0, "TOTAL", 80.0), (0, 1, "9.000", c)])["total_amount"]
+        assert got["normalized_amount"] == "9000" and got["span_score"] == want
+
+
+def test_full_width_words_and_digits(spark):
+    got = rows_of(spark, [(0, 0, "ＴＯＴＡＬ", 80.0), (0, 1, "９.０００", 90.0)])["total_amount"]
+    assert (got["parse_status"], got["raw_text"], got["normalized_amount"]) == ("ok", "9.000", "9000")
+
+
+def test_long_phrases_reasons_and_word_ids(spark):
+    words = [(0, i, w, 90.0) for i, w in enumerate(("Total", "Amount", "Due", "incl.", "Rp", "5.000"))] + [(1, 0, "Tax", 90.0), (2, 0, "x", 90.0), (3, 0, "Total", 90.0), (3, 1, "7.000", 90.0)]
+    got = rows_of(spark, words)
+    total, tax = got["total_amount"], got["tax_amount"]
+    assert (total["raw_text"], total["token_ids"], total["key_token_ids"], total["candidate_count"]) == ("Rp 5.000", [4, 5], [0, 1, 2, 3], 2)
+    assert (tax["parse_status"], tax["reasons"], tax["candidate_count"]) == ("no_candidate", ["no_keyword_amount"], 0)
+    tied = rows_of(spark, [(0, 0, "Total", 90.0), (0, 1, "1.000", 90.0), (1, 0, "Total", 90.0), (1, 1, "2.000", 90.0)])["total_amount"]
+    assert (tied["parse_status"], tied["reasons"], tied["candidate_token_ids"]) == ("ambiguous", ["tied_distinct_candidates"], [[1], [3]])
+
+
+def test_refused_documents_fail(spark):
+    failures = spark.createDataFrame([(1, "ocr_timeout"), (2, "ocr_empty")], "receipt long, failure string")
+    rows = spark.createDataFrame([(1, 0, 0, "Total", [0.0, 0.0, 9.0, 9.0], 9.0, None, False)], TOKENS)
+    out = rules.rule_extract(rows, spark.createDataFrame(BOOK, RULES), ["total_amount"], failures=failures).collect()
+    assert sorted((r["receipt"], r["parse_status"], r["reasons"]) for r in out) == [(1, "failed", ["ocr_timeout"]), (2, "failed", ["ocr_empty"])]
+    assert rules.rule_extract(rows.limit(0), spark.createDataFrame(BOOK, RULES), ["total_amount"]).count() == 0
+
+
+def test_training_examples_say_why_there_is_none(spark):
+    rows = [(1, "a", "present_usable", "aligned", 1, 2, 2, 30), (1, "b", "present_usable", "aligned", 2, 2, 2, 30), (1, "c", "not_annotated", "no_usable_reference", None, None, None, 30), (2, "a", "present_usable", "ambiguous_alignment", None, None, None, 30), (2, "b", "present_usable", "aligned", 1, 1, 1, 900)]
+    df = spark.createDataFrame(rows, "receipt long, field string, state string, status string, line int, start int, end int, n_tokens int")
+    got = {(r["receipt"], r["field"]): (r["outcome"], r["start"]) for r in rules.training_examples(df, ["b", "a", "c"], most=1).collect()}
+    assert got == {(1, "b"): ("aligned", 2), (1, "a"): ("per_receipt_ceiling", None), (1, "c"): ("not_annotated", None), (2, "a"): ("ambiguous_alignment", None), (2, "b"): ("training_window_limit", None)}
+
+
+def test_token_spans_and_fits(spark):
+    df = spark.createDataFrame([(1, [None, None, 0, 0, 1, 2, None], 0, 1), (2, [None, 0], 1, 1), (3, None, 0, 0)], "id long, w array<int>, a int, b int")
+    assert [tuple(r) for r in df.select("id", readers.token_span(F.col("w"), F.col("a"), F.col("b")).alias("s")).select("id", "s.*").orderBy("id").collect()] == [(1, 2, 4), (2, None, None), (3, None, None)]
+    fits, dropped = readers.check_fit(spark.createDataFrame([(1, 496), (2, 497), (3, None)], "id long, n int"), F.lit(12), F.col("n"))
+    assert [r["id"] for r in fits.collect()] == [1] and sorted(r["id"] for r in dropped.collect()) == [2, 3]
+
+
+def test_splits_below_their_minimum(spark):
+    df = spark.createDataFrame([("train",)] * 8 + [("test",)], "split string")
+    assert {r["split"]: (r["n"], r["missing"]) for r in pages.split_shortfalls(df, "split").collect()} == {"validation": (0, 2), "test": (1, 1)}
+
+
+def test_json_arrays_and_other_suffixes(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "x", "answer_start": 1}, 5, {"id": "y"}]')
+    (tmp_path / "b.json").write_text('{"id": "x"}')
+    good, bad = files.read_dataset(spark, str(tmp_path / "a.json"))
+    assert sorted(r["id"] for r in good.collect()) == ["x", "y"] and bad.count() == 1
+    with pytest.raises(ValueError):
+        files.read_dataset(spark, str(tmp_path / "a.csv"))
+    header = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"
+    df = spark.createDataFrame([(header,), (header[:-1],), (None,)], "h string")
+    assert [r[0] for r in df.select(files.tsv_header(F.col("h"))).collect()] == [True, False, False]
+
+
+def test_block_bootstrap_has_the_width_of_resampled_receipts(spark):
+    """Another estimator than resampling receipts: its interval must be as wide, within a fifth."""
+    r = np.random.default_rng(1)
+    a, b = r.random(3000) < 0.8, r.random(3000) < 0.7
+    rows = [(s, i, "f", bool(x[i])) for s, x in (("a", a), ("b", b)) for i in range(3000)]
+    got = metrics.paired_bootstrap(spark.createDataFrame(rows, "system_id string, receipt long, field string, correct boolean"), "a", "b", "f").first()
+    draws = r.integers(0, 3000, (2000, 3000))
+    low, high = np.quantile(a[draws].mean(1) - b[draws].mean(1), [0.025, 0.975])
+    assert got["n"] == 3000 and math.isclose(got["difference"], a.mean() - b.mean())
+    assert 0.8 < (got["high"] - got["low"]) / (high - low) < 1.25
+
+
+def test_a_plan_that_binds_its_words_once(spark):
+    plan = QUERIES["page_violations"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    plan = QUERIES["system_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 4
