@@ -93,13 +93,13 @@ class Model:
         for at in range(0, len(texts), 32):
             part = [grams(t) for t in texts[at : at + 32]]
             flat = np.concatenate([g + i * BUCKETS for i, g in enumerate(part)])
-            x = weigh(np.bincount(flat, minlength=len(part) * BUCKETS).reshape(len(part), BUCKETS).astype(np.float32), self.idf)
-            near = x @ self.centres.T
-            for g, row in zip(part, near):
+            counts = np.bincount(flat, minlength=len(part) * BUCKETS).reshape(len(part), BUCKETS).astype(np.float32)
+            near = weigh(counts, self.idf) @ self.centres.T
+            for g, row, seen in zip(part, near, np.count_nonzero(counts, axis=1).tolist()):
                 if len(g) and len(row):
                     j = int(row.argmax())
                     score = float(min(1, max(0, row[j])))
-                    least = self.floor[j] * min(1.0, len(np.unique(g)) / SHORT)
+                    least = self.floor[j] * min(1.0, seen / SHORT)
                     out.append((self.labels[self.owner[j]], score, bool(row[j] < least)))
                 else:
                     out.append(("und", 0.0, True))

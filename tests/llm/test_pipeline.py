@@ -1,5 +1,7 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
 from quirefold.llm import langid
+from quirefold.llm.common import cut
 from quirefold.llm.packing import CAPACITY
 
 from . import test_decontaminate, test_minhash, test_packing, test_substrings
@@ -37,6 +39,15 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 
 def test_run_on_awkward_rows(spark, tmp_path):
-    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = documents(spark).withColumn("extra col", F.lit(1)).withColumn("row", F.lit("x")).withColumn("text_hash", F.lit(2))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "one two"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = cut(stage(spark, left, str(tmp_path)), name)
+        assert left.columns == docs.columns
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces = [r["doc_id"] for r in rows if r["piece"] == 0]
+    assert sorted(pieces, key=str) == sorted((r["doc_id"] for r in left.collect()), key=str)
+    ids = set(pieces)
+    assert {6, 9, 10} <= ids and not {0, 1, 2, 4, 7, 8} & ids  # texts with letters stay; copies, near copies and texts without letters go
