@@ -18,9 +18,10 @@ from .shingles import mix, shingle_set
 ROWS, BANDS, BITS = 3, 20, 4
 #: Linked if 100 * intersection >= LINK * union; pairs estimated below CANDIDATE (six deviations less) are dropped.
 LINK, CANDIDATE = 85, 0.55
-#: Members of a block of a bucket, of which larger ones are compared in block pairs; members and shingles of a group that is
-#: compared at once.
+#: Members of a block of a bucket; members and shingles of a block of a group. Larger ones are compared in block pairs.
 BUCKET_BLOCK, BLOCK, BLOCK_SHINGLES = 512, 128, 200_000
+#: What it costs to count and rank the shingles of a set, in copies of it.
+COPIES = 12
 _LANES = BITS * ROWS * BANDS // 60  # signature words of 60 bits: 15 minima of 4 bits each
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -176,16 +177,16 @@ def linked_pairs(sets: list[np.ndarray], link: int = LINK) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """doc_id, label, shingles (sorted) of the documents in placed (doc_id, label)."""
+    """doc_id, label, blocks, shingles (sorted) of the documents in placed (doc_id, label, blocks)."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                sets = pa.array([shingle_set(x.as_py()).view(np.int64) for x in part.column(2)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sets], names=["doc_id", "label", "shingles"])
+                sets = pa.array([shingle_set(x.as_py()).view(np.int64) for x in part.column(3)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), sets], names=["doc_id", "label", "blocks", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(placed.select("doc_id", "label"), 48), "doc_id")
-    return in_arrow(texts.select("doc_id", "label", "text"), shingle, "doc_id long, label long, shingles array<bigint>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(placed.select("doc_id", "label", "blocks"), 48), "doc_id")
+    return in_arrow(texts.select("doc_id", "label", "blocks", "text"), shingle, "doc_id long, label long, blocks long, shingles array<bigint>")
 
 
 def compared(rows: DataFrame, keys: list[str], link: int) -> DataFrame:
@@ -238,32 +239,55 @@ def rare_shingles(sets: DataFrame, link: int) -> DataFrame:
     return ordered.select("label", "doc_id", F.explode(prefix).alias("x")).where("x.n > 1").select("label", F.col("x.token").alias("token"), "doc_id")
 
 
-def large_group_links(sets: DataFrame, link: int) -> DataFrame:
-    """Edges (a, b) that connect all linked pairs of groups that are too large for one block, by prefix tokens.
+def open_groups(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members (doc_id, label) with found, the smallest member that edges connect them to, of the groups that are not connected as a whole."""
+    known = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("label").alias("found"))
+    named = cut(members.join(known, "doc_id", "left").select("doc_id", "label", F.coalesce("found", "doc_id").alias("found")), "named")
+    still = named.groupBy("label").agg(F.min("found").alias("low"), F.max("found").alias("high")).where("low <> high").select("label")
+    return cut(named.join(cut(still, "still"), "label").select("doc_id", "label", "found"), "open")
 
-    First every set is compared with the smallest one of each of its tokens, which joins near copies of one text in
-    linear work. Tokens whose sets are all connected by then are done. The sets of the others are compared with one
-    another, a token at a time; a token of more than BLOCK sets in block pairs.
+
+def large_group_links(sets: DataFrame, candidates: DataFrame, link: int) -> DataFrame:
+    """Edges (a, b) that connect all linked pairs of groups that are too large to be compared at once.
+
+    First the candidate edges, a few for each set, are verified; they connect near copies of one text in linear work,
+    and groups that are one component then are done. The sets of the others meet by prefix tokens: every set is compared
+    with the smallest one of each of its tokens, and where a token's sets are still not connected, with one another; a
+    token of more than BLOCK sets in block pairs.
     """
-    prefix = cut(rare_shingles(sets, link), "prefixes")
+    near = cut(linked_only(candidates, sets, link), "near")
+    rest = open_groups(sets.select("doc_id", "label"), near)
+    if rest.isEmpty():
+        return near
+    left = cut(sets.join(broadcast_if_small(rest.select("doc_id", "label"), 24), ["doc_id", "label"]), "open-sets")
+    prefix = cut(rare_shingles(left, link), "prefixes")
     first = cut(prefix.groupBy("label", "token").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1"), "first")
     pairs = prefix.join(first, ["label", "token"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    near = cut(linked_only(cut(pairs, "pairs"), sets, link), "near")
-    known = connected_components(near).select(F.col("node").alias("doc_id"), F.col("label").alias("found"))
-    named = cut(prefix.join(known, "doc_id", "left").select("label", "token", "doc_id", F.coalesce("found", "doc_id").alias("found")), "named")
-    open_ = named.groupBy("label", "token").agg(F.count("*").alias("n"), F.min("found").alias("low"), F.max("found").alias("high")).where("low <> high")
-    rest = named.join(cut(open_.select("label", "token", F.ceil(F.col("n") / BLOCK).alias("blocks")), "open"), ["label", "token"])
+    near = cut(near.unionByName(linked_only(cut(pairs, "pairs"), left, link)), "nearer")
+    named = cut(prefix.join(open_groups(rest.select("doc_id", "label"), near), ["label", "doc_id"]), "tokens")
+    still = named.groupBy("label", "token").agg(F.count("*").alias("n"), F.min("found").alias("low"), F.max("found").alias("high")).where("low <> high")
+    rest = named.join(cut(still.select("label", "token", F.ceil(F.col("n") / BLOCK).alias("blocks")), "open"), ["label", "token"])
     rest = cut(block_pairs(rest, "blocks", ["label", "token", "doc_id"]).drop("own"), "rest")
-    return near.unionByName(compared(rest.join(sets.select("doc_id", "shingles"), "doc_id"), ["label", "token", "low", "high"], link))
+    return near.unionByName(compared(rest.join(left.select("doc_id", "shingles"), "doc_id"), ["label", "token", "low", "high"], link))
 
 
-def exact_links(docs: DataFrame, members: DataFrame, link: int) -> DataFrame:
-    """Edges (a, b) that connect all truly linked pairs within each group of members (doc_id, n_shingles, label)."""
-    sums = members.groupBy("label").agg((F.sum("n_shingles") / BLOCK_SHINGLES > 1).alias("long"), (F.count("*") > BLOCK).alias("many"))
-    placed = cut(members.select("doc_id", "label").join(cut(sums.select("label", (F.col("long") | F.col("many")).alias("large")), "sizes"), "label"), "placed")
-    edges = compared(set_table(docs, placed.where("not large")), ["label"], link)
-    if not placed.where("large").isEmpty():
-        edges = edges.unionByName(large_group_links(cut(set_table(docs, placed.where("large")), "large-sets"), link))
+def exact_links(docs: DataFrame, members: DataFrame, candidates: DataFrame, link: int) -> DataFrame:
+    """Edges (a, b) that connect all truly linked pairs within each group of members (doc_id, n_shingles, label), which candidates (a, b) connect.
+
+    A group goes in block pairs, which send each set once for each block, or by rare shingles, which costs about as much
+    as COPIES of the set and one more for each token of its prefix: whichever sends less. So no group, however large,
+    costs more than a bounded number of copies of its sets.
+    """
+    size = F.avg("n_shingles")
+    blocks = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK))
+    sums = members.groupBy("label").agg(blocks.alias("blocks"), (COPIES + size * (100 - link) / 100).alias("most"))
+    placed = cut(members.select("doc_id", "label").join(cut(sums, "sizes"), "label"), "placed")
+    dealt = block_pairs(set_table(docs, placed.where("blocks <= most")), "blocks", ["label", "doc_id", "shingles"])
+    edges = compared(dealt, ["label", "low", "high"], link)
+    large = placed.where("blocks > most")
+    if not large.isEmpty():
+        own = cut(candidates.join(broadcast_if_small(large.select(F.col("doc_id").alias("a")), 16), "a", "left_semi"), "own")
+        edges = edges.unionByName(large_group_links(cut(set_table(docs, large).drop("blocks"), "large-sets"), own, link))
     return edges.distinct()
 
 
@@ -287,9 +311,10 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     sets = cut(whole.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep")), "sets")
     reps = sets.join(whole, ["set1", "set2"]).where("doc_id = rep").select("doc_id", "n_shingles", "bands", "packed").dropDuplicates(["doc_id"])
     reps = cut(reps, "reps")
-    near = connected_components(cut(candidate_edges(reps), "candidates"))
+    candidates = cut(candidate_edges(reps), "candidates")
+    near = connected_components(candidates)
     members = cut(near.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").select(F.col("node").alias("doc_id"), "n_shingles", "label"), "members")
-    labels = connected_components(cut(exact_links(docs, members, link), "links"))
+    labels = connected_components(cut(exact_links(docs, members, candidates, link), "links"))
     named = sets.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("label", "rep").alias("found"))
     out = table.join(cut(named, "named"), ["set1", "set2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))

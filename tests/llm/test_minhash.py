@@ -89,7 +89,7 @@ def test_a_long_chain_of_different_sets_stays_linear(spark, monkeypatch):
     rows += [(2000 + i, " ".join(["t"] + stream[:50] + [f"y{i}.{j}" for j in range(12)])) for i in range(60)]  # alike, but not enough
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(minhash.near_duplicates(docs)) == brute(rows)
-    sets = minhash.set_table(docs, docs.select("doc_id", F.lit(0).cast("long").alias("label")))
+    sets = minhash.set_table(docs, docs.select("doc_id", F.lit(0).cast("long").alias("label"), F.lit(1).cast("long").alias("blocks")))
     assert minhash.rare_shingles(sets, 85).count() <= len(rows) * 10
 
 
