@@ -50,3 +50,8 @@ SELECT source, row, doc_id FROM a LEFT JOIN r USING (source, row)""",
     "split_shortfalls": f"""WITH s AS ({BASE["greedy_split"]}), n AS (SELECT greatest(1, count(*) // 3) AS least FROM s), k AS (SELECT unnest(['train', 'validation', 'test']) AS split)
 SELECT k.split, count(s.split) AS n, least::BIGINT AS least, least - count(s.split) AS missing FROM k CROSS JOIN n LEFT JOIN s ON s.split = k.split GROUP BY k.split, least HAVING count(s.split) < least""",
 }
+
+PARAPHRASE = "CASE question WHEN 'What is the total amount?' THEN 'How much is the total?' WHEN 'What is the subtotal?' THEN 'How much is the subtotal?' ELSE question END"
+ORACLES["paraphrases"] = f"""WITH q AS ({BASE["page_questions"]}), n AS (SELECT question, {PARAPHRASE} AS paraphrase, count(*) AS n FROM q GROUP BY 1, 2),
+s AS (SELECT *, {norm("paraphrase")} AS a, {norm("question")} AS b FROM n), t AS (SELECT *, {similarity("a", "b")} AS sim FROM s)
+SELECT question, paraphrase, n, round(CASE WHEN sim >= 0.5 THEN sim ELSE 0 END, 9) AS anls FROM t"""
