@@ -73,16 +73,27 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs start from these files, which outlive any executor.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a new table. All tables of an application are in one folder below the shared one, to be removed together when it has ended."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
-    All tables of an application are in one folder below the shared one, to be removed together when it has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    with settings(spark, WRITING):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df to path, in a folder for each value of ``by``, and read it back."""
+    with settings(df.sparkSession, WRITING):
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame, name: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df to the shared folder and read it back: later jobs start from these files, which outlive any executor."""
+    return write_table(df, new_path(df.sparkSession, name), by)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Remove a table of write_table() that nothing reads any more, as iterations would fill the shared folder else."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def in_arrow(df: DataFrame, function, schema: StructType | str) -> DataFrame:

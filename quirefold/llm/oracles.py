@@ -73,9 +73,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, s
 FROM docs LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+runs AS (SELECT lang, w, unnest(range(1, 6)) AS k FROM worded),
+grams AS (SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM runs)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY ALL HAVING c >= 100),
+totals AS (SELECT lang, sum(len(w)) AS n FROM worded GROUP BY 1),
+cand AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, c FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, w, c, k, unnest(range(1, k)) AS place FROM cand),
+scored AS (
+  SELECT t.lang, t.phrase, t.c AS a, place, x.c AS l, y.c AS r, n, (1000::HUGEINT * t.c * n) // (x.c::HUGEINT * y.c) AS score
+  FROM cuts t JOIN totals USING (lang)
+  JOIN f x ON x.lang = t.lang AND x.phrase = array_to_string(w[1:place], ' ') JOIN f y ON y.lang = t.lang AND y.phrase = array_to_string(w[place + 1:], ' ')),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) AS nth FROM scored),
+inner_runs AS (SELECT lang, w, k, c, unnest(range(2, k)) AS m FROM cand WHERE k > 2),
+inside AS (SELECT lang, array_to_string(w[p:p + m - 1], ' ') AS phrase, max(c) AS longer FROM (SELECT lang, w, m, c, unnest(range(1, k - m + 2)) AS p FROM inner_runs) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i USING (lang, phrase) WHERE nth = 1 AND NOT coalesce(100 * longer >= 100 * a, false)),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranks WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": DECONTAMINATE,
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op3_substring_dedup": SUBSTRING_DEDUP,
     "op7_url_rules": URL_RULES,
+    "op11_collocations": COLLOCATIONS,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hilbert, htmltext, langid, media, minhash, packing, substrings, tokens, urlrules
+from . import collocations, decontaminate, hilbert, htmltext, langid, media, minhash, packing, substrings, tokens, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: (verdict, host/path) of the URL rules that the query applies.
@@ -74,6 +74,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored, ["doc_id", "n_bytes"])
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: the 2000 best phrases of 2 to 5 words, with their counts and scores."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -85,4 +90,5 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_media_columns": op10_media_columns,
+    "op11_collocations": op11_collocations,
 }
