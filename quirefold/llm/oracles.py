@@ -96,10 +96,39 @@ ranks AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranks WHERE rank <= 2000
 """
 
+
+
+def _centroids(rounds: int = 10, clusters: int = 8) -> str:
+    """Integer k-means, a few common tables for each round."""
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "flat AS MATERIALIZED (SELECT rid, d, v[d] AS x FROM (SELECT rid, v, unnest(range(1, 65)) AS d FROM kept))",
+        f"""c0 AS MATERIALIZED (
+  SELECT j, d, v[d] AS c FROM (SELECT j, v, unnest(range(1, 65)) AS d FROM (
+    SELECT v, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), v) - 1 AS j FROM kept) WHERE j < {clusters}))""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""near{r} AS MATERIALIZED (
+  SELECT rid, min(struct_pack(distance := distance, j := j)) AS best
+  FROM (SELECT rid, j, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM flat JOIN c{r} USING (d) GROUP BY 1, 2) GROUP BY 1)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT j, d, coalesce((s - ((s % n) + n) % n) // n, c) AS c
+  FROM c{r} LEFT JOIN (SELECT best.j AS j, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM near{r} JOIN flat USING (rid) GROUP BY 1, 2) USING (j, d))""")
+    parts.append(f"named AS (SELECT j, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS sha FROM c{rounds} GROUP BY 1)")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(best.j AS INTEGER) AS cluster, best.distance AS distance, CAST(sum(best.distance) OVER (PARTITION BY best.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best.distance) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM kept JOIN near{rounds} USING (rid) JOIN named ON named.j = best.j"""
+
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": DECONTAMINATE,
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op3_substring_dedup": SUBSTRING_DEDUP,
     "op7_url_rules": URL_RULES,
     "op11_collocations": COLLOCATIONS,
+    "op12_centroids": _centroids(),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontaminate, hilbert, htmltext, langid, media, minhash, packing, substrings, tokens, urlrules
+from . import centroids, collocations, decontaminate, hilbert, htmltext, langid, media, minhash, packing, substrings, tokens, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: (verdict, host/path) of the URL rules that the query applies.
@@ -79,6 +79,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: its cluster after ten rounds, the squared distance and the inertia."""
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -91,4 +96,5 @@ QUERIES: dict[str, Query] = {
     "op9_language_id": op9_language_id,
     "op10_media_columns": op10_media_columns,
     "op11_collocations": op11_collocations,
+    "op12_centroids": op12_centroids,
 }
