@@ -98,6 +98,22 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BI
 
 
 
+BYTE_DEDUP = r"""
+WITH docs AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS MATERIALIZED (SELECT doc_id, p, substr(h, 2 * p - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS p FROM docs)),
+firsts AS MATERIALIZED (SELECT s, min(doc_id) AS f FROM windows GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+starts AS MATERIALIZED (SELECT doc_id, p FROM windows JOIN firsts USING (s) WHERE doc_id > f),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS q FROM starts),
+flat AS (SELECT doc_id, q, substr(h, 2 * q - 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS q FROM docs)),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY q) AS h FROM flat ANTI JOIN gone USING (doc_id, q) GROUP BY 1),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+spans AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, q - 1 AS q FROM gone) ANTI JOIN gone USING (doc_id, q) GROUP BY 1)
+SELECT doc_id, (length(docs.h) // 2)::BIGINT AS n_bytes, coalesce(lost.n, 0)::BIGINT AS n_removed, coalesce(spans.n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM docs LEFT JOIN lost USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def _centroids(rounds: int = 10, clusters: int = 8) -> str:
     """Integer k-means, a few common tables for each round."""
     parts = [
@@ -131,4 +147,5 @@ ORACLES: dict[str, str] = {
     "op7_url_rules": URL_RULES,
     "op11_collocations": COLLOCATIONS,
     "op12_centroids": _centroids(),
+    "op13_suffix_dedup": BYTE_DEDUP,
 }

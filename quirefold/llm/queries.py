@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, collocations, decontaminate, hilbert, htmltext, langid, media, minhash, packing, substrings, tokens, urlrules
+from . import centroids, collocations, decontaminate, hilbert, htmltext, langid, media, minhash, packing, substrings, suffixes, tokens, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: (verdict, host/path) of the URL rules that the query applies.
@@ -84,6 +84,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, bytes removed as repeats of 50 bytes of an earlier document, their runs, digest of the rest."""
+    return suffixes.deduplicated_bytes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -97,4 +102,5 @@ QUERIES: dict[str, Query] = {
     "op10_media_columns": op10_media_columns,
     "op11_collocations": op11_collocations,
     "op12_centroids": op12_centroids,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
