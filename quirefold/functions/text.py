@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Python's white space as a Java character class; word characters as letters, numbers and underscore.
 SPACE = r"[\s\x{0085}\p{Z}\x{001C}-\x{001F}]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -77,11 +79,26 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.size(F.filter(lengths, lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)))
 
 
-def answer_on_page(prediction: Column, page: Column, most_words: int = 20) -> Column:
-    """STR-09: the normalised prediction is a run of at most ``most_words`` words of the normalised page text."""
-    p, text = normalize_answer(prediction), normalize_answer(page)
-    fits = F.size(F.split(p, " ")) <= most_words
-    return (p != "") & fits & (F.instr(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), p, F.lit(" "))) > 0)
+def answer_on_page(prediction: Column, page_words: Column, most_words: int = 20) -> Column:
+    """STR-09: the normalised prediction is the normalised text of a run of at most ``most_words`` words of the page, from the border of a word to the border of a word.
+
+    page_words: the page as an array of words; words without letters or digits count in a run, though they add no text.
+    Each word that the prediction can begin with starts a run, which is spelled out until it is the prediction.
+    """
+
+    def spelled(said: Column, word: Column, target: Column) -> Column:
+        longer = F.when(said == "", word).otherwise(F.concat(said, F.lit(" "), word))
+        return F.when((said == target) | (word == ""), said).otherwise(longer)
+
+    def found(target: Column, cleaned: Column) -> Column:
+        def starts(word: Column, i: Column) -> Column:
+            begins = (word != "") & F.startswith(F.concat(target, F.lit(" ")), F.concat(word, F.lit(" ")))
+            run = F.aggregate(F.slice(cleaned, i + 1, most_words), F.lit(""), lambda said, w: spelled(said, w, target))
+            return F.when(begins, run == target).otherwise(F.lit(False))
+
+        return (target != "") & F.coalesce(F.array_contains(F.transform(cleaned, starts), True), F.lit(False))
+
+    return let(normalize_answer(prediction), lambda t: let(F.transform(page_words, normalize_answer), lambda c: found(t, c)))
 
 
 def spreadsheet_safe(text: Column) -> Column:

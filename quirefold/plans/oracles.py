@@ -13,6 +13,13 @@ def words(x: str) -> str:
     return rf"list_filter(regexp_split_to_array(coalesce({x}, ''), '\s+'), lambda w: w <> '')"
 
 
+def page_runs(key: str, words: str, source: str) -> str:
+    """The texts of all runs of at most 20 words of a page, as the tables cleaned and runs (key, run)."""
+    return f"""cleaned AS MATERIALIZED (SELECT {key}, list_transform({words}, lambda w: {norm("w")}) AS c FROM {source}),
+runs AS MATERIALIZED (SELECT DISTINCT {key}, array_to_string(list_filter(c[i:i + k], lambda w: w <> ''), ' ') AS run
+  FROM (SELECT {key}, c, i, unnest(range(0, 20)) AS k FROM (SELECT {key}, c, unnest(range(1, len(c) + 1)) AS i FROM cleaned)))"""
+
+
 def one_byte(x: str) -> str:
     """Code points above ASCII that occur in the tables, as single bytes: DuckDB's levenshtein counts bytes."""
     odd = "äöüßéèêçñóíáúàâîôûœæ·"
@@ -224,7 +231,8 @@ r AS (SELECT receipt, said, max({similarity("a", "b")}) AS s, bool_or(a = b) AS
         "keyword_baseline": f"""WITH {LOOKUP}, p AS (SELECT lang, answer, {norm("answer")} AS a, {norm("gold")} AS b FROM answers), q AS (SELECT lang, answer, a = b AS exact, {similarity("a", "b")} AS s FROM p)
 SELECT lang, count(*) AS n, round(avg(CASE WHEN s >= 0.5 THEN s ELSE 0.0 END), 9) AS anls, round(avg(exact::INT), 9) AS exact_match, round(avg((trim(answer) = '')::INT), 9) AS empty_rate, count(*) >= 50 AS enough FROM q GROUP BY lang""",
         "answer_on_page": f"""WITH {turns}, w AS (SELECT *, {words("text")} AS ws FROM turns), s AS (SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN array_to_string(ws[3:8], ' ') ELSE coalesce(next_text, '') END AS said FROM w),
-p AS (SELECT conv_id, turn, {norm("said")} AS a, {n} AS b FROM s) SELECT conv_id, turn, a <> '' AND len(string_split(a, ' ')) <= 20 AND contains(' ' || b || ' ', ' ' || a || ' ') AS found FROM p""",
+{page_runs("conv_id, turn", "ws", "w")}
+SELECT conv_id, turn, {norm("said")} <> '' AND run IS NOT NULL AS found FROM s LEFT JOIN runs ON (runs.conv_id, runs.turn, run) = (s.conv_id, s.turn, {norm("said")})""".replace("SELECT conv_id, turn, trim", "SELECT s.conv_id, s.turn, trim"),
         "spreadsheet_safe": r"""WITH r AS (SELECT doc_id, source, (['=', '+', ' @', chr(9), '', '-'])[doc_id % 6 + 1] || text AS t FROM documents)
 SELECT doc_id, CASE WHEN regexp_matches(t, '^\s*[=+\-@]') OR regexp_matches(t, '^[\t\r\n]') THEN chr(39) || t ELSE t END AS cell, format('{}-{:04d}', source, doc_id) AS name FROM r""",
         "page_key": f"SELECT min(doc_id) AS page_id FROM (SELECT doc_id, list_transform({words('text')}, lambda w: lower(w)) AS k FROM documents) GROUP BY k",
@@ -350,10 +358,10 @@ SELECT * FROM v WHERE violation IS NOT NULL""",
 q AS (SELECT style, policy, policy = 'cord_mixed_v1' OR NOT sep OR (style = 0 AND policy = 'comma_decimal_dot_grouping') OR (style = 1 AND policy = 'dot_decimal_comma_grouping') AS kept FROM p, (VALUES ('cord_mixed_v1'), ('dot_decimal_comma_grouping'), ('comma_decimal_dot_grouping')) v(policy))
 SELECT style, policy, count(*) AS n, count(*) FILTER (kept) AS kept FROM q GROUP BY 1, 2""",
         "evaluation_rows": f"""WITH {LINES}, {PREDICTIONS.partition("refs AS")[1]}{PREDICTIONS.partition("refs AS")[2]},
-shown AS (SELECT receipt, string_agg(text, ' ' ORDER BY line, pos) AS page FROM tokens GROUP BY 1), gold AS (SELECT receipt, field, raw_text AS gold FROM predictions WHERE system_id = 'exact'),
-r AS (SELECT system_id, coalesce(raw_text, '') AS said, {norm("raw_text")} AS a, {norm("gold")} AS b, {norm("page")} AS page FROM predictions JOIN gold USING (receipt, field) JOIN shown USING (receipt)),
+pages AS (SELECT receipt, list(text ORDER BY line, pos) AS page FROM tokens GROUP BY 1), {page_runs("receipt", "page", "pages")}, gold AS (SELECT receipt, field, raw_text AS gold FROM predictions WHERE system_id = 'exact'),
+r AS (SELECT system_id, coalesce(raw_text, '') AS said, {norm("raw_text")} AS a, {norm("gold")} AS b, run IS NOT NULL AS shown FROM predictions JOIN gold USING (receipt, field) LEFT JOIN runs ON (runs.receipt, run) = (predictions.receipt, {norm("raw_text")})),
 s AS (SELECT *, {similarity("a", "b")} AS sim FROM r)
-SELECT system_id, count(*) AS n, round(avg(CASE WHEN sim >= 0.5 THEN sim ELSE 0.0 END), 9) AS anls, round(avg((a = b)::INT), 9) AS exact, round(avg((a <> '' AND len(string_split(a, ' ')) <= 20 AND contains(' ' || page || ' ', ' ' || a || ' '))::INT), 9) AS shown, round(avg((said = '')::INT), 9) AS empty FROM s GROUP BY 1""",
+SELECT system_id, count(*) AS n, round(avg(CASE WHEN sim >= 0.5 THEN sim ELSE 0.0 END), 9) AS anls, round(avg((a = b)::INT), 9) AS exact, round(avg((a <> '' AND shown)::INT), 9) AS shown, round(avg((said = '')::INT), 9) AS empty FROM s GROUP BY 1""",
         "prediction_digests": f"""WITH {PREDICTIONS}, j AS (SELECT system_id, receipt, '{{"fields":{{' || string_agg('"' || field || '":"' || coalesce(normalized_amount, 'none') || '|' || parse_status || '"', ',' ORDER BY field) || '}},"receipt":' || receipt || ',"system_id":"' || system_id || '"}}' AS t FROM predictions GROUP BY 1, 2)
 SELECT system_id, receipt, sha256(t) AS digest, length(t)::INT AS n_chars FROM j""",
         "category_aliases": f"WITH {LINES} SELECT category, count(*) AS n FROM rlines GROUP BY 1",

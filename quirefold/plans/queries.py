@@ -94,7 +94,7 @@ def answer_on_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.array_join(F.slice(w, 3, 6), " ")
     other = F.coalesce("next_text", F.lit(""))
     said = F.when(F.col("turn") % 2 == 0, own).otherwise(other)
-    return p.select("conv_id", "turn", text.answer_on_page(said, F.col("text")).alias("found"))
+    return p.select("conv_id", "turn", text.answer_on_page(said, w).alias("found"))
 
 
 @query
@@ -683,7 +683,7 @@ def expressible_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-03, AGG-02, AGG-19, NUM-05: systems' answers scored as texts against the right ones, with the share of answers on the page."""
     t = adapters.receipt_tokens(spark, sf_dir)
-    shown = t.groupBy("receipt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "pos", "text"))), lambda x: x["text"]), " ").alias("page"))
+    shown = t.groupBy("receipt").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "pos", "text"))), lambda x: x["text"]).alias("page"))
     p = adapters.predictions(spark, sf_dir)
     gold = p.where("system_id = 'exact'").select("receipt", "field", F.col("raw_text").alias("gold"))
     rows = p.join(gold, ["receipt", "field"]).join(shown, "receipt")

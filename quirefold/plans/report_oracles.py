@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import ALIGNED, LINES, LOOKUP, ORACLES as BASE, PREDICTIONS, norm, similarity, words
+from .oracles import ALIGNED, LINES, LOOKUP, ORACLES as BASE, PREDICTIONS, norm, page_runs, similarity, words
 
 WINDOWS = "CASE WHEN n <= 496 THEN 1 ELSE 1 + ceil((n - 496) / 368.0)::BIGINT END"
 SIZES = f"p AS (SELECT doc_id AS page_id, lang, source, len({words('text')}) AS n FROM documents)"
@@ -34,8 +34,8 @@ SELECT system_id, field, usable, round(text_em, 9) AS text_em, round(anls, 9) AS
 k AS (SELECT *, CASE WHEN state <> 'present_usable' THEN state ELSE status END AS why, count(*) FILTER (state = 'present_usable' AND status = 'aligned') OVER (PARTITION BY receipt ORDER BY field ROWS UNBOUNDED PRECEDING) AS n FROM o),
 z AS (SELECT *, CASE WHEN why = 'aligned' AND n > 2 THEN 'per_receipt_ceiling' ELSE why END AS outcome FROM k)
 SELECT receipt, field, outcome, CASE WHEN outcome = 'aligned' THEN line END AS line, CASE WHEN outcome = 'aligned' THEN start END AS start, CASE WHEN outcome = 'aligned' THEN "end" END AS "end" FROM z""",
-    "off_page_answers": f"""WITH {LINES}, {PREDICTIONS.partition("refs AS")[1]}{PREDICTIONS.partition("refs AS")[2]}, shown AS (SELECT receipt, string_agg(text, ' ' ORDER BY line, pos) AS page FROM tokens GROUP BY 1)
-SELECT receipt, system_id, field, raw_text FROM predictions JOIN shown USING (receipt) WHERE coalesce(raw_text, '') <> '' AND NOT contains(' ' || {norm("page")} || ' ', ' ' || {norm("raw_text")} || ' ') ORDER BY receipt, system_id, field LIMIT 15""",
+    "off_page_answers": f"""WITH {LINES}, {PREDICTIONS.partition("refs AS")[1]}{PREDICTIONS.partition("refs AS")[2]}, pages AS (SELECT receipt, list(text ORDER BY line, pos) AS page FROM tokens GROUP BY 1), {page_runs("receipt", "page", "pages")}
+SELECT receipt, system_id, field, raw_text FROM predictions p SEMI JOIN pages USING (receipt) ANTI JOIN runs ON (runs.receipt, run) = (p.receipt, {norm("raw_text")}) WHERE coalesce(raw_text, '') <> '' ORDER BY receipt, system_id, field LIMIT 15""",
     "field_examples": f"""WITH {PREDICTIONS}, c AS (SELECT system_id || '/' || field AS category, receipt, row_number() OVER (PARTITION BY system_id, field ORDER BY sha256('examples|' || receipt)) AS place FROM scored WHERE correct IS NOT NULL)
 SELECT category, place::INT AS place, receipt FROM c WHERE place <= 2""",
     "confident_wrong": f"WITH {PREDICTIONS} SELECT system_id, receipt, span_score FROM totals WHERE correct = false AND span_score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY system_id ORDER BY span_score DESC, receipt) = 1",

@@ -101,7 +101,7 @@ def off_page_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIL-03: the first fifteen answers, by receipt, system and field, that are not empty and not on their page."""
     t = adapters.receipt_tokens(spark, sf_dir)
     word = F.struct("line", "pos", "text")
-    shown = t.groupBy("receipt").agg(F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["text"]), " ").alias("page"))
+    shown = t.groupBy("receipt").agg(F.transform(F.array_sort(F.collect_list(word)), lambda x: x["text"]).alias("page"))
     p = adapters.predictions(spark, sf_dir).where("coalesce(raw_text, '') <> ''").join(shown, "receipt")
     return p.where(~text.answer_on_page(F.col("raw_text"), F.col("page"))).select("receipt", "system_id", "field", "raw_text").orderBy("receipt", "system_id", "field").limit(15)
 

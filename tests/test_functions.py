@@ -52,8 +52,23 @@ def test_words_and_prefixes(spark):
     assert values(spark, rows, "w array<string>, a string", text.last_number(F.col("w")) == F.col("a")) == [(True,)] * 3
     pre = [("subtotal", "subtot", 6), ("", "x", 0), ("abc", "abd", 2), ("x", "y", 0)]
     assert values(spark, pre, "a string, b string, n int", text.common_prefix(F.col("a"), F.col("b")) == F.col("n")) == [(True,)] * 4
-    on = [("Blue Yonder", "to Blue  Yonder, Inc", True), ("lue", "blue", False), ("", "x", False), ("w " * 21, "w " * 30, False)]
-    assert values(spark, on, "p string, t string, e boolean", text.answer_on_page(F.col("p"), F.col("t")) == F.col("e")) == [(True,)] * 4
+    on = [("Blue Yonder", "to Blue  Yonder, Inc", True), ("lue", "blue", False), ("", "x", False), ("w " * 21, "w " * 30, False), ("w " * 20, "w " * 30, True)]
+    on += [("200 00", "rent $1,200.00/month due", False), ("1 200 00 month", "rent $1,200.00/month due", True), ("a b", "a - b", True), ("a b", f"a {'- ' * 18}b", True), ("a b", f"a {'- ' * 19}b", False)]
+    on += [("a a b", "a a a b", True), ("a b", "a-b", True), ("a", "a-b", False), ("a b c", "x a-b c", True), (None, "x", False), ("x", "", False)]
+    assert values(spark, on, "p string, t string, e boolean", text.answer_on_page(F.col("p"), text.words(F.col("t"))) == F.col("e")) == [(True,)] * len(on)
+
+
+def test_answer_on_page_against_all_runs(spark):
+    import random
+
+    r = random.Random(6)
+    bits = ["a", "B", "c.d", "a-b", "-", "b", "a b"]
+    rows = [(" ".join(r.choices(bits, k=r.randint(1, 4))), r.choices([x for x in bits if " " not in x], k=r.randint(0, 30))) for _ in range(300)]
+    clean = lambda x: " ".join("".join(c if c.isalnum() else " " for c in x.lower()).split())
+    runs = lambda w: {" ".join(x for x in map(clean, w[i : i + k]) if x) for i in range(len(w)) for k in range(1, 21)}
+    want = [(clean(p) != "" and clean(p) in runs(w),) for p, w in rows]
+    assert values(spark, rows, "p string, w array<string>", text.answer_on_page(F.col("p"), F.col("w"))) == want
+    assert 50 < sum(x for (x,) in want) < 250
 
 
 def test_cells_and_keys(spark):
