@@ -14,37 +14,39 @@ from ..functions.binding import let
 WINDOW, OVERLAP, SPECIAL, LONGEST = 512, 128, 4, 15
 
 
-def window_count(n_question: Column, n_tokens: Column) -> Column:
+def window_count(n_question: Column, n_tokens: Column, size: int = WINDOW, overlap: int = OVERLAP) -> Column:
     """WIN-10: how many overlapping windows a page of n_tokens needs beside its question; at least one."""
-    room = WINDOW - SPECIAL - n_question
-    step = room - OVERLAP
+    room = size - SPECIAL - n_question
+    step = room - overlap
     return F.when(n_tokens <= room, F.lit(1)).when(step > 0, 1 + F.ceil((n_tokens - room) / step)).cast("long")
 
 
-def windows(pages: DataFrame, key: str, n_question: Column, n_tokens: Column) -> DataFrame:
-    """WIN-10: key, window, start, stop (exclusive) of every window of positions; the last one ends with the page."""
-    room = WINDOW - SPECIAL - n_question
-    n = F.greatest(window_count(n_question, n_tokens), F.lit(1)).cast("int")
-    rows = pages.select(key, room.alias("room"), n_tokens.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("window"))
-    start = F.col("window") * (F.col("room") - OVERLAP)
-    return rows.select(key, "window", start.cast("long").alias("start"), F.least(start + F.col("room"), F.col("n")).cast("long").alias("stop"))
+def windows(pages: DataFrame, key: str, n_question: Column, n_tokens: Column, size: int = WINDOW, overlap: int = OVERLAP, keep: list[str] | None = None) -> DataFrame:
+    """WIN-10: key, window, start, stop (exclusive) of every window of positions, and the columns ``keep``; the last one ends with the page."""
+    room = size - SPECIAL - n_question
+    n = F.greatest(window_count(n_question, n_tokens, size, overlap), F.lit(1)).cast("int")
+    kept = keep or []
+    rows = pages.select(key, *kept, room.alias("room"), n_tokens.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("window"))
+    start = F.col("window") * (F.col("room") - overlap)
+    return rows.select(key, "window", start.cast("long").alias("start"), F.least(start + F.col("room"), F.col("n")).cast("long").alias("stop"), *kept)
 
 
-def softmax(logits: Column) -> Column:
-    """Probabilities of an array of logits."""
+def softmax(logits: Column, allowed: Column | None = None) -> Column:
+    """Probabilities of an array of logits. Places that are not ``allowed`` have none; nulls if no place is."""
 
     def spread(x: Column, top: Column) -> Column:
-        weights = F.transform(x, lambda v: F.exp(v - top))
+        weights = F.transform(x, lambda v: F.coalesce(F.exp(v - top), F.when(top.isNotNull(), 0.0)))
         return let(weights, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(e, lambda v: v / total)))
 
-    return let(logits, lambda x: let(F.array_max(x), lambda top: spread(x, top)))
+    shown = logits if allowed is None else F.zip_with(logits, allowed, lambda v, ok: F.when(ok, v))
+    return let(shown, lambda x: let(F.array_max(x), lambda top: spread(x, top)))
 
 
-def best_span(start: Column, end: Column, longest: int = LONGEST) -> Column:
+def best_span(start: Column, end: Column, longest: int = LONGEST, allowed: Column | None = None) -> Column:
     """ML-02: struct(answer_start, answer_end, score) from arrays of start and end logits.
 
     The span with the largest product of the two softmax values, at most ``longest`` positions wide; the lowest start,
-    then the lowest end, wins ties. Per start only the best end is kept, so the work is linear in the window.
+    then the lowest end, wins ties; an answer starts and ends where ``allowed`` is true. Per start only the best end is kept, so the work is linear in the window.
     """
 
     def pick(p: Column, q: Column) -> Column:
@@ -56,7 +58,7 @@ def best_span(start: Column, end: Column, longest: int = LONGEST) -> Column:
         to = (at + F.array_position(near, F.array_max(near)) - 1).cast("int")
         return F.struct(at.alias("answer_start"), to.alias("answer_end"), top.alias("score"))
 
-    return let(softmax(start), lambda p: let(softmax(end), lambda q: pick(p, q)))
+    return let(softmax(start, allowed), lambda p: let(softmax(end, allowed), lambda q: pick(p, q)))
 
 
 def decode_span(rows: DataFrame, key: str, start: Column, end: Column, longest: int = LONGEST) -> DataFrame:
@@ -64,6 +66,20 @@ def decode_span(rows: DataFrame, key: str, start: Column, end: Column, longest:
     return rows.select(key, best_span(start, end, longest).alias("b")).select(key, "b.*")
 
 
+def decode_windows(rows: DataFrame, key: str, longest: int = LONGEST) -> DataFrame:
+    """ML-02: rows (key, window, start_logits, end_logits, allowed, word_ids) -> key, start, end, score, n_windows: the best span of all windows of a key, in words.
+
+    allowed: which tokens belong to the page. The greatest score wins, of equal ones that of the first window. start, end
+    and score are null if no window has a span of page tokens with a score above zero.
+    """
+    own = rows.select(key, "window", "word_ids", best_span(F.col("start_logits"), F.col("end_logits"), longest, F.col("allowed")).alias("b"))
+    found = F.struct(F.get("word_ids", F.col("b.answer_start")).alias("start"), F.get("word_ids", F.col("b.answer_end")).alias("end"), F.col("b.score").alias("score"))
+    own = own.select(key, "window", found.alias("f"))
+    good = (F.col("f.score") > 0) & F.col("f.start").isNotNull() & F.col("f.end").isNotNull()
+    best = F.max_by(F.when(good, F.col("f")), F.when(good, F.struct(F.col("f.score"), -F.col("window"))))
+    return own.groupBy(key).agg(best.alias("f"), F.count("*").alias("n_windows")).select(key, "f.start", "f.end", "f.score", "n_windows")
+
+
 def read_answers(pages: DataFrame, key: str, reader: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """ML-03: run a reader over pages (key, question, words): key, start, end, score, n_windows, answer.
 

@@ -10,7 +10,7 @@ from ..functions.binding import let
 from ..functions.geometry import clip, overlap_share, union_box
 from ..functions.text import key_text, nfkc
 from .pages import annotation
-from .readers import window_count
+from .readers import LONGEST, window_count
 
 GAP, LEAST_SHARE, MOST_WORDS = 1.5, 0.5, 4
 
@@ -260,16 +260,20 @@ def reference_states(rows: DataFrame, key: str, text: str, fields: dict[str, str
     return cells.select(key, field.alias("field"), state.alias("state"), reason.alias("reason"), F.when(state == "present_usable", F.col("lo")).alias("normalized_amount"), F.col("n_lines").cast("long").alias("n_lines"))
 
 
-def training_examples(aligned: DataFrame, fields: list[str], most: int = 4, n_question: int = 12) -> DataFrame:
-    """ALN-02: aligned (receipt, field, state, status, line, start, end, n_tokens) -> the same with outcome.
+def training_examples(aligned: DataFrame, fields: list[str], most: int = 4, n_question: int = 12, longest: int = LONGEST) -> DataFrame:
+    """ALN-02: aligned (receipt, field, state, status, line, start, end, n_tokens, and n_answer if known) -> the same with outcome.
 
     outcome is aligned for an example; else the reference's state, why the alignment failed, training_window_limit for a
-    receipt that needs more than one window, or per_receipt_ceiling behind the first ``most`` examples of a receipt, in
+    receipt that needs more than one window, answer_token_limit for an answer of no token or more than ``longest``
+    (n_answer), or per_receipt_ceiling behind the first ``most`` examples of a receipt, in
     the order of fields. line, start and end are null without an example.
     """
     order = F.array_position(F.array(*map(F.lit, fields)), F.col("field"))
     why = F.when(F.col("state") != "present_usable", F.col("state")).when(F.col("status") != "aligned", F.col("status"))
-    why = why.when(window_count(F.lit(n_question), F.col("n_tokens")) != 1, "training_window_limit").otherwise("aligned")
+    why = why.when(window_count(F.lit(n_question), F.col("n_tokens")) != 1, "training_window_limit")
+    if "n_answer" in aligned.columns:
+        why = why.when(~F.coalesce(F.col("n_answer").between(1, longest), F.lit(False)), "answer_token_limit")
+    why = why.otherwise("aligned")
     row = F.struct(order.alias("order"), "field", why.alias("why"), "line", "start", "end")
     rows = aligned.groupBy("receipt").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # a receipt has few fields
 

@@ -55,3 +55,12 @@ PARAPHRASE = "CASE question WHEN 'What is the total amount?' THEN 'How much is t
 ORACLES["paraphrases"] = f"""WITH q AS ({BASE["page_questions"]}), n AS (SELECT question, {PARAPHRASE} AS paraphrase, count(*) AS n FROM q GROUP BY 1, 2),
 s AS (SELECT *, {norm("paraphrase")} AS a, {norm("question")} AS b FROM n), t AS (SELECT *, {similarity("a", "b")} AS sim FROM s)
 SELECT question, paraphrase, n, round(CASE WHEN sim >= 0.5 THEN sim ELSE 0 END, 9) AS anls FROM t"""
+
+ORACLES["window_decode"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda a: a::DOUBLE * 8) AS x FROM embeddings),
+w AS (SELECT vec_id, x, unnest(range(0, greatest(0, ceil((len(x) - 24) / 16.0)::BIGINT) + 1)) AS w FROM v),
+f AS (SELECT vec_id, w, i, exp(x[i]) AS ei, exp(x[i] * (i % 5 - 2)) AS ri FROM (SELECT *, unnest(range(w * 16 + 1, least(w * 16 + 24, len(x)) + 1)) AS i FROM w) WHERE vec_id % 10 <> 0),
+t AS (SELECT vec_id, w, sum(ei) AS s, sum(ri) AS r FROM f GROUP BY 1, 2),
+p AS (SELECT a.vec_id, a.w, a.i, b.i AS j, a.ei / s * (b.ri / r) AS raw FROM f a JOIN f b ON a.vec_id = b.vec_id AND a.w = b.w AND b.i BETWEEN a.i AND a.i + 14 JOIN t ON (t.vec_id, t.w) = (a.vec_id, a.w)),
+b AS (SELECT vec_id, (i - 1) // 2 AS start, (j - 1) // 2 AS stop, raw FROM p WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(raw, 15) DESC, w, i, j) = 1),
+n AS (SELECT vec_id, count(*) AS n_windows FROM w GROUP BY 1)
+SELECT vec_id, start::INT AS start, stop::INT AS "end", round(raw, 9) AS score, n_windows FROM n LEFT JOIN b USING (vec_id)"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, text
 from ..functions.binding import let
-from ..operators import metrics, ordering, pages, policy, readers, rules, validate
+from ..operators import encoding, metrics, ordering, pages, policy, readers, rules, validate
 from ..sources import adapters
 from ..sources.adapters import FIELDS
 from . import queries as base
@@ -162,3 +162,64 @@ def split_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = base.greedy_split(spark, sf_dir)
     least = max(1, groups.count() // 3)
     return pages.split_shortfalls(groups, "split", {"train": least, "validation": least, "test": least})
+
+
+# -- tokens of a public tokenizer -------------------------------------------------------------------
+
+#: The tokenizer that the queries use, and its ids for special tokens: start of text, end of text, padding.
+TOKENIZER, SPECIALS = "word_bpe_49k.json", encoding.Specials(49406, 49407, 0)
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all pages beside their questions; words lie on a grid of ten a line."""
+    box = lambda i: F.array(i % 10 * 100, F.floor(i / 10).cast("int") % 1000, i % 10 * 100 + 90, F.floor(i / 10).cast("int") % 1000 + 1)
+    p = base._asked(spark, sf_dir).select("page_id", text.words(F.col("question")).alias("question"), "words", F.transform("words", lambda _, i: box(i)).alias("boxes"))
+    return encoding.encode_windows(p, "page_id", encoding.vocabulary(TOKENIZER), SPECIALS)
+
+
+def _crc(values: Column) -> Column:
+    return F.crc32(F.array_join(F.transform(values, lambda v: v.cast("string")), ",", "-"))
+
+
+@query
+def window_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-01, WIN-10: every window of 512 tokens of every page, with checksums of ids, words and boxes."""
+    boxes = F.transform("boxes", lambda b: F.array_join(b.cast("array<string>"), " "))
+    return _windows(spark, sf_dir).select("page_id", "window", "start", "n_tokens", _crc(F.col("input_ids")).alias("ids_crc32"), _crc(F.col("word_ids")).alias("words_crc32"), _crc(boxes).alias("boxes_crc32"))
+
+
+@query
+def encoded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-07: first and last token of a span of words in each window of its page; nulls in windows without it."""
+    start = (F.col("page_id") * 37 % 600).cast("int")
+    found = encoding.window_span(F.col("sequence"), F.col("word_ids"), start, start + (F.col("page_id") % 3).cast("int"))
+    return _windows(spark, sf_dir).select("page_id", "window", found.alias("s")).select("page_id", "window", "s.first_token", "s.last_token")
+
+
+@query
+def encoded_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALN-02: training examples whose window and answer limits count the tokens of a public tokenizer."""
+    word = F.struct("line", "pos", "text")
+    own = adapters.receipt_tokens(spark, sf_dir).groupBy("receipt").agg(F.array_sort(F.collect_list(word)).alias("w"))
+    coded = own.select("receipt", "w", encoding.encode_words(F.transform("w", lambda x: x["text"]), encoding.vocabulary(TOKENIZER)).alias("e"))
+    found = base.span_alignment(spark, sf_dir).join(adapters.references(spark, sf_dir).select("receipt", "field", "state"), ["receipt", "field"]).join(coded, "receipt")
+    at = F.array_position(F.transform("w", lambda x: x["line"] * 1000 + x["pos"]), (F.col("line") * 1000 + F.col("start")).cast("int")) - 1
+    n_answer = encoding.span_tokens(F.col("e.word_of"), at, at + F.col("end") - F.col("start"))
+    rows = found.withColumn("n_tokens", F.size("e.ids")).withColumn("n_answer", n_answer).drop("w", "e")
+    return rules.training_examples(rows, list(FIELDS), most=2, longest=4).select("receipt", "field", "outcome", "line", "start", "end")
+
+
+@query
+def window_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-02: vectors as the logits of a page in windows of 24 tokens that overlap by 8, behind four tokens of a question; every tenth page has no token of its own."""
+    v = adapters.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda a: a.cast("double") * 8).alias("x"))
+    w = v.select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.ceil((F.size("x") - 24) / 16).cast("int"))).alias("window"))
+    front = lambda value, kind: F.array_repeat(F.lit(value).cast(kind), 4)
+    cut = w.withColumn("c", F.slice("x", F.col("window") * 16 + 1, 24))
+    end = F.transform("c", lambda a, i: a * ((i + F.col("window") * 16 + 1) % 5 - 2))
+    logits = cut.select(
+        "vec_id", "window", F.concat(front(100.0, "double"), "c").alias("start_logits"), F.concat(front(90.0, "double"), end).alias("end_logits"),
+        F.concat(front(False, "boolean"), F.transform("c", lambda _: F.col("vec_id") % 10 != 0)).alias("allowed"),
+        F.concat(front(None, "int"), F.transform("c", lambda _, i: F.floor((i + F.col("window") * 16) / 2).cast("int"))).alias("word_ids"),
+    )
+    return base.r9(readers.decode_windows(logits, "vec_id"), "score")
