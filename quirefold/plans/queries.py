@@ -551,8 +551,8 @@ def epoch_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MET-02 by Poisson weights: exact against noisy on totals."""
-    return metrics.paired_bootstrap(_scored(spark, sf_dir), "exact", "noisy", "total_amount")
+    """MET-02: exact against noisy on totals."""
+    return r9(metrics.paired_bootstrap(_scored(spark, sf_dir), "exact", "noisy", "total_amount"), "difference", "low", "high")
 
 
 # -- readers, comparisons, files --------------------------------------------------------------------

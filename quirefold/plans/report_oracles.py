@@ -64,3 +64,26 @@ p AS (SELECT a.vec_id, a.w, a.i, b.i AS j, a.ei / s * (b.ri / r) AS raw FROM f a
 b AS (SELECT vec_id, (i - 1) // 2 AS start, (j - 1) // 2 AS stop, raw FROM p WHERE raw > 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(raw, 15) DESC, w, i, j) = 1),
 n AS (SELECT vec_id, count(*) AS n_windows FROM w GROUP BY 1)
 SELECT vec_id, start::INT AS start, stop::INT AS "end", round(raw, 9) AS score, n_windows FROM n LEFT JOIN b USING (vec_id)"""
+
+
+def uniform(*parts: str) -> str:
+    return f"((('0x' || left(sha256(concat_ws('|', {', '.join(parts)})), 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+def binomial(source: str, n: str, p: str, part: str, name: str) -> str:
+    """Tables name_x and name (k, and source's columns, and name): a binomial draw for each row of source."""
+    return f"""{name}_x AS MATERIALIZED (SELECT *, {n} AS m, least(coalesce({p}, 0), 1 - coalesce({p}, 0)) AS q, coalesce({p}, 0) > 0.5 AS flipped, {uniform("'42'", "k", f"'{part}'", "'0'")} AS u, {uniform("'42'", "k", f"'{part}'", "'1'")} AS v FROM {source}),
+{name}_s AS (SELECT k, count(*) FILTER (upto < u) AS small FROM (SELECT k, u, sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + CASE WHEN i > 0 THEN i * ln(q) ELSE 0 END + (m - i) * ln(1 - q))) OVER (PARTITION BY k ORDER BY i) AS upto
+  FROM (SELECT *, unnest(range(0, least(m, 150))) AS i FROM {name}_x WHERE m * q * (1 - q) < 25 AND q > 0)) GROUP BY k),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (m, q, flipped, u, v, small, z), CASE WHEN flipped THEN m - c ELSE c END AS {name} FROM (
+  SELECT *, CASE WHEN m * q * (1 - q) < 25 THEN coalesce(small, 0) ELSE greatest(0, least(m, round(m * q + sqrt(m * q * (1 - q)) * z + (1 - 2 * q) * (z * z - 1) / 6)::BIGINT)) END AS c
+  FROM (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM {name}_x LEFT JOIN {name}_s USING (k))))"""
+
+
+ORACLES["paired_bootstrap"] = f"""WITH {PREDICTIONS},
+d AS (SELECT receipt, max(correct::INT) FILTER (system_id = 'exact') AS a, max(correct::INT) FILTER (system_id = 'noisy') AS b FROM scored WHERE field = 'total_amount' AND correct IS NOT NULL GROUP BY 1),
+counts AS MATERIALIZED (SELECT count(*) AS n, count(*) FILTER (a > b) AS up, count(*) FILTER (a < b) AS down FROM d WHERE a IS NOT NULL AND b IS NOT NULL),
+draws AS (SELECT unnest(range(1, 2001)) AS k, n, up, down FROM counts),
+{binomial("draws", "n", "up::DOUBLE / nullif(n, 0)", "better", "better")},
+{binomial("(SELECT * EXCLUDE (c) FROM better)", "n - better", "down::DOUBLE / nullif(n - up, 0)", "worse", "worse")}
+SELECT any_value(n) AS n, round(any_value((up - down)::DOUBLE / n), 9) AS difference, round(quantile_cont((better - worse)::DOUBLE / n, 0.025), 9) AS low, round(quantile_cont((better - worse)::DOUBLE / n, 0.975), 9) AS high FROM worse"""

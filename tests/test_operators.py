@@ -282,16 +282,50 @@ def test_json_arrays_and_other_suffixes(spark, tmp_path):
     assert [r[0] for r in df.select(files.tsv_header(F.col("h"))).collect()] == [True, False, False]
 
 
-def test_block_bootstrap_has_the_width_of_resampled_receipts(spark):
-    """Another estimator than resampling receipts: its interval must be as wide, within a fifth."""
+@pytest.mark.parametrize("n,p,q", [(50, 0.8, 0.7), (5000, 0.8, 0.7), (3000, 0.5, 0.499), (40, 1.0, 0.9), (30, 0.6, 0.6)])
+def test_bootstrap_is_that_of_resampled_receipts(spark, n, p, q):
+    """Each resample has n receipts; differences spread, and the interval lies, as those of resampled lists."""
     r = np.random.default_rng(1)
-    a, b = r.random(3000) < 0.8, r.random(3000) < 0.7
-    rows = [(s, i, "f", bool(x[i])) for s, x in (("a", a), ("b", b)) for i in range(3000)]
-    got = metrics.paired_bootstrap(spark.createDataFrame(rows, "system_id string, receipt long, field string, correct boolean"), "a", "b", "f").first()
-    draws = r.integers(0, 3000, (2000, 3000))
-    low, high = np.quantile(a[draws].mean(1) - b[draws].mean(1), [0.025, 0.975])
-    assert got["n"] == 3000 and math.isclose(got["difference"], a.mean() - b.mean())
-    assert 0.8 < (got["high"] - got["low"]) / (high - low) < 1.25
+    a, b = r.random(n) < p, r.random(n) < q
+    counts = spark.createDataFrame([(n, int((a & ~b).sum()), int((b & ~a).sum()))], "n long, better long, worse long")
+    rows = metrics.resampled_counts(counts).toPandas()
+    assert len(rows) == 2000 and (rows.n == n).all() and ((rows.better >= 0) & (rows.worse >= 0) & (rows.better + rows.worse <= n)).all()
+    draws = r.integers(0, n, (20_000, n)) if n <= 50 else r.integers(0, n, (4000, n))
+    want = a[draws].mean(1) - b[draws].mean(1)
+    got = ((rows.better - rows.worse) / n).to_numpy()
+    spread = want.std() or 1 / n
+    assert abs(got.mean() - want.mean()) < 0.1 * spread and abs(got.std() / spread - 1) < 0.08
+    scored = spark.createDataFrame([(s, i, "f", bool(x[i])) for s, x in (("a", a), ("b", b)) for i in range(n)], "system_id string, receipt long, field string, correct boolean")
+    out = metrics.paired_bootstrap(scored, "a", "b", "f").first()
+    low, high = np.quantile(want, [0.025, 0.975])
+    assert out["n"] == n and math.isclose(out["difference"], a.mean() - b.mean(), abs_tol=1e-12)
+    assert abs(out["low"] - low) < 0.25 * spread + 1 / n and abs(out["high"] - high) < 0.25 * spread + 1 / n
+
+
+def test_binomial_draws_are_the_inverse_distribution(spark):
+    cases = [(n, p, u) for n in (0, 1, 7, 60, 100_000) for p in (0.0, 0.0002, 0.1, 0.5, 0.93, 1.0) for u in (1e-9, 0.03, 0.31, 0.5, 0.77, 0.999, 1 - 1e-9) if n * p * (1 - p) < 25]
+    df = spark.createDataFrame(cases, "n long, p double, u double")
+    got = [x[0] for x in df.select(metrics.binomial(F.col("n"), F.col("p"), F.col("u"), F.lit(0.3))).collect()]
+
+    def inverse(n, p, u):
+        flip, q = p > 0.5, min(p, 1 - p)
+        chance = upto = math.exp(n * math.log1p(-q))
+        k = 0
+        while upto < u and k < min(n, 150):
+            k += 1
+            chance *= (n - k + 1) / k * q / (1 - q)
+            upto += chance
+        return n - k if flip else k
+
+    assert got == [inverse(*c) for c in cases]
+    wide = spark.range(4000).select(metrics.binomial(F.lit(10_000_000_000), F.lit(0.3), metrics.uniform(F.col("id"), F.lit("u")), metrics.uniform(F.col("id"), F.lit("v"))).alias("k")).toPandas().k
+    sd = math.sqrt(1e10 * 0.21)
+    assert abs(wide.mean() - 3e9) < 4 * sd / math.sqrt(4000) and abs(wide.std() / sd - 1) < 0.05
+
+
+def test_bootstrap_without_receipts(spark):
+    scored = spark.createDataFrame([], "system_id string, receipt long, field string, correct boolean")
+    assert tuple(metrics.paired_bootstrap(scored, "a", "b", "f").first()) == (0, None, None, None)
 
 
 def test_a_plan_that_binds_its_words_once(spark):
