@@ -87,3 +87,40 @@ draws AS (SELECT unnest(range(1, 2001)) AS k, n, up, down FROM counts),
 {binomial("draws", "n", "up::DOUBLE / nullif(n, 0)", "better", "better")},
 {binomial("(SELECT * EXCLUDE (c) FROM better)", "n - better", "down::DOUBLE / nullif(n - up, 0)", "worse", "worse")}
 SELECT any_value(n) AS n, round(any_value((up - down)::DOUBLE / n), 9) AS difference, round(quantile_cont((better - worse)::DOUBLE / n, 0.025), 9) AS low, round(quantile_cont((better - worse)::DOUBLE / n, 0.975), 9) AS high FROM worse"""
+
+
+def broken(source: str, key: str, rows: dict[str, str], more: tuple[str, ...] = ()) -> str:
+    """Rows that break each rule, their number and smallest key, beside other rules of (rule, n, first_key)."""
+    own = [f"SELECT '{name}' AS rule, count(*) AS n, min({key})::VARCHAR AS first_key FROM {source} WHERE {test} HAVING count(*) > 0" for name, test in rows.items()]
+    return " UNION ALL ".join([*own, *more])
+
+
+def repeated(source: str, key: str, rule: str, value: str) -> str:
+    return f"SELECT '{rule}', count(*), min(k)::VARCHAR FROM (SELECT min({key}) AS k FROM {source} WHERE {value} IS NOT NULL GROUP BY {value} HAVING count(*) > 1) HAVING count(*) > 0"
+
+
+ORACLES["receipt_contract"] = """WITH m AS MATERIALIZED (SELECT o_orderkey AS k, CASE WHEN k % 500 <> 7 THEN true END AS authorized, CASE WHEN k % 400 = 3 THEN 'guess' ELSE 'dot_decimal_comma_grouping' END AS policy,
+  CASE WHEN k % 300 = 2 THEN 'usd' WHEN k % 3 = 0 THEN 'PHP' ELSE 'unspecified' END AS currency, CASE WHEN k % 200 = 1 THEN 'same:id' WHEN k % 333 = 5 THEN 'no spaces' ELSE 'r:' || k END AS rid,
+  CASE WHEN k % 250 = 4 THEN '../' || k || '.png' WHEN k % 251 = 4 THEN k || '.gif' ELSE 'in/' || k || '.JPG' END AS image,
+  CASE WHEN k % 600 = 6 THEN 'spare' WHEN k % 100 = 32 THEN 'test' ELSE (['train', 'validation_model', 'test'])[o_custkey % 3 + 1] END AS role, CASE WHEN k % 700 <> 33 THEN 'g' || o_custkey END AS grp FROM orders)
+""" + broken("m", "k", {
+    "not_authorized": "authorized IS NOT true", "number_format_policy": "policy = 'guess'", "currency": "currency = 'usd'", "bad_receipt_id": "rid = 'no spaces'", "unsafe_image_path": "image LIKE '../%'", "image_type": "image LIKE '%.gif'",
+    "role": "role = 'spare'", "no_group": "grp IS NULL",
+}, (
+    repeated("m", "k", "repeated_receipt_id", "rid"), repeated("m", "k", "repeated_image", "image"), "SELECT 'receipt_count', count(*), NULL FROM m HAVING count(*) NOT BETWEEN 1 AND 1000",
+    "SELECT 'group_in_two_roles', count(*), min(k)::VARCHAR FROM (SELECT min(k) AS k FROM m WHERE grp IS NOT NULL GROUP BY grp HAVING count(DISTINCT role) > 1) HAVING count(*) > 0",
+    "SELECT 'missing_roles', count(*), NULL FROM (VALUES ('train'), ('validation_model'), ('validation_policy'), ('test')) r(role) WHERE role NOT IN (SELECT role FROM m) HAVING count(*) > 0",
+))
+ORACLES["annotation_contract"] = f"""WITH {PREDICTIONS}, m AS MATERIALIZED (SELECT receipt AS k, field, raw_text, normalized_amount, CASE WHEN receipt % 19 = 0 THEN 'not_annotated' WHEN receipt % 23 = 0 THEN 'maybe' ELSE 'present' END AS status FROM predictions WHERE system_id = 'noisy')
+""" + broken("m", "k", {
+    "unknown_field": "k % 41 = 0", "status": "status = 'maybe'", "unsupported_amount": "status = 'present' AND raw_text IS NULL", "contradictory_value": "status = 'present' AND raw_text IS NOT NULL AND k % 29 = 0",
+    "value_boxes": "status = 'present' AND (k % 31 = 0 OR k % 37 = 0 OR k % 43 = 0)", "no_provenance": "status = 'present' AND k % 47 = 0",
+}, (repeated("(SELECT k, k || '|' || CASE WHEN k % 41 = 0 THEN 'tip_amount' ELSE field END AS f FROM m)", "k", "repeated_field", "f"),))
+ORACLES["record_contract"] = f"""WITH m AS MATERIALIZED (SELECT doc_id AS k, {words("text")} AS w, lang, source, CASE WHEN doc_id % 61 = 0 THEN 'again' ELSE doc_id::VARCHAR END AS id FROM documents)
+""" + broken("m", "k", {
+    "missing_keys": "k IS NULL OR source IS NULL", "question": "k % 59 = 0", "image_size": "k % 71 = 0", "word_count": "len(w) NOT BETWEEN 1 AND 2000", "box_count": "len(w) <> CASE WHEN k % 67 = 0 THEN least(1, len(w)) ELSE len(w) END",
+    "box": "len(w) > 0 AND (k % 53 = 0 AND k % 71 <> 0 OR k % 71 = 0 AND (k % 53 = 0 OR len(w) > 5 AND k % 67 <> 0))", "answers": "k % 9 <> 0 AND (k % 73 = 0 OR coalesce(trim(lang), '') = '')",
+}, (
+    repeated("m", "k", "repeated_id", "id"), "SELECT 'record_count', count(*), NULL FROM m HAVING count(*) NOT BETWEEN 1 AND 500", "SELECT 'page_count', count(DISTINCT source), NULL FROM m HAVING count(DISTINCT source) NOT BETWEEN 1 AND 100",
+    "SELECT 'answers_on_some', count(*) FILTER (k % 9 = 0), min(k) FILTER (k % 9 = 0)::VARCHAR FROM m HAVING count(*) FILTER (k % 9 = 0) > 0 AND count(*) FILTER (k % 9 <> 0) > 0",
+))

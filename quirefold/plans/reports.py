@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, text
+from ..functions import amounts, hashing, text
 from ..functions.binding import let
-from ..operators import encoding, metrics, ordering, pages, policy, readers, rules, validate
+from ..operators import contracts, encoding, metrics, ordering, pages, policy, readers, rules, validate
 from ..sources import adapters
 from ..sources.adapters import FIELDS
 from . import queries as base
@@ -223,3 +223,50 @@ def window_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(front(None, "int"), F.transform("c", lambda _, i: F.floor((i + F.col("window") * 16) / 2).cast("int"))).alias("word_ids"),
     )
     return base.r9(readers.decode_windows(logits, "vec_id"), "score")
+
+
+# -- contracts --------------------------------------------------------------------------------------
+
+
+@query
+def receipt_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-08: orders as a manifest of receipts, against every rule; some ids, images, roles and groups are bad."""
+    o = adapters.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    role = F.element_at(F.array(*map(F.lit, ["train", "validation_model", "test"])), (F.col("o_custkey") % 3 + 1).cast("int"))
+    rows = o.select(
+        F.lit(contracts.RECEIPT_SCHEMA).alias("schema"), F.when(k % 500 != 7, True).alias("authorized"), F.when(k % 400 == 3, "guess").otherwise(contracts.POLICIES[0]).alias("number_format_policy"),
+        F.when(k % 300 == 2, "usd").when(k % 3 == 0, "PHP").otherwise("unspecified").alias("currency"), F.when(k % 200 == 1, F.lit("same:id")).when(k % 333 == 5, F.lit("no spaces")).otherwise(F.concat(F.lit("r:"), k)).alias("receipt_id"),
+        F.when(k % 250 == 4, F.concat(F.lit("../"), k, F.lit(".png"))).when(k % 251 == 4, F.concat(k, F.lit(".gif"))).otherwise(F.concat(F.lit("in/"), k, F.lit(".JPG"))).alias("image"),
+        F.when(k % 600 == 6, "spare").when(k % 100 == 32, "test").otherwise(role).alias("role"), F.when(k % 700 != 33, F.concat(F.lit("g"), F.col("o_custkey"))).alias("group_id"), k.alias("key"),
+    )
+    return contracts.broken_rules(rows, "key", contracts.receipt_rules())
+
+
+@query
+def annotation_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-09: predictions as a user's annotations with boxes and provenance, against every rule."""
+    p = adapters.predictions(spark, sf_dir).where("system_id = 'noisy'")
+    r = F.col("receipt")
+    box = lambda *x: F.array(F.array(*[F.lit(v).cast("double") for v in x]))
+    rows = p.select(
+        r.alias("receipt_id"), F.when(r % 41 == 0, "tip_amount").otherwise(F.col("field")).alias("field"), F.when(r % 19 == 0, "not_annotated").when(r % 23 == 0, "maybe").otherwise("present").alias("status"),
+        amounts.amount(F.col("raw_text")).alias("parsed"), F.when(r % 29 == 0, F.concat("normalized_amount", F.lit("0"))).when(r % 2 == 0, F.col("normalized_amount")).alias("canonical_value"),
+        F.when(r % 31 == 0, box(5, 5, 5, 9)).when(r % 37 == 0, box(5, 5, 300, 9)).when(r % 43 != 0, box(1, 2, 30, 40)).alias("value_boxes"), F.lit(200).alias("width"), F.lit(100).alias("height"), F.when(r % 47 != 0, "typed").alias("provenance"),
+    )
+    return contracts.broken_rules(rows, "receipt_id", contracts.annotation_rules(FIELDS))
+
+
+@query
+def record_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VAL-10: documents as question records of a user, against every rule; one in nine has no answers."""
+    d = adapters.pages(spark, sf_dir)
+    k = F.col("page_id")
+    box = lambda i: F.array(i % 100, F.lit(0), i % 100 + F.when(k % 53 == 0, 5000).otherwise(1), F.lit(9))
+    boxes = F.transform("words", lambda _, i: box(i))
+    rows = d.select(
+        F.when(k % 61 == 0, "again").otherwise(k.cast("string")).alias("id"), k.alias("page_id"), F.concat("source", F.lit(".png")).alias("file"), F.when(k % 59 == 0, "  ").otherwise("what is the total?").alias("question"), "words",
+        F.when(k % 67 == 0, F.slice(boxes, 1, 1)).otherwise(boxes).alias("boxes"), F.when(k % 71 == 0, 5).otherwise(4000).alias("width"), F.lit(800).alias("height"),
+        F.when(k % 9 == 0, F.lit(None)).when(k % 73 == 0, F.array(F.lit(" "))).otherwise(F.array("lang")).cast("array<string>").alias("answers"),
+    )
+    return contracts.broken_rules(rows, "page_id", contracts.record_rules())
