@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -177,6 +178,56 @@ def seeded_order(spark, keys: list, seed: int) -> DataFrame:
     return spark.createDataFrame(list(enumerate(order)), "position long, key string" if keys and isinstance(keys[0], str) else "position long, key long")
 
 
+#: Rounds of a permutation, and steps after which every place is back in range: outside it are fewer than the root of n.
+ROUNDS, WALK = 6, 33
+
+
+def permuted_place(rank: Column, n: int, seed: int) -> Column:
+    """SPL-01, TOP-09: the place, from 0 to n - 1, of each rank from 0 to n - 1 in a shuffle by ``seed``; each row computes its own.
+
+    A keyed Feistel network over a grid of a x b >= n cells: each round adds a hash of one coordinate to the other, which
+    can be undone, so places are a permutation of the cells. A place beyond n goes through the network again until it is
+    within (cycle walking), which makes it a permutation of the ranks.
+    """
+    a = max(1, math.isqrt(max(0, n - 1)) + 1)
+    b = max(1, -(-n // a))
+
+    def mixed(i: int, x: Column) -> Column:
+        return F.conv(F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(i)), x.cast("string"))), F.lit(12)), 16, 10).cast("long")
+
+    def rounds(i: int, at: Column) -> Column:
+        if i == ROUNDS:
+            return at["r"] * a + at["l"]
+        l, r = at["l"], at["r"]
+        cell = F.struct(((l + mixed(i, r)) % a).alias("l"), r.alias("r")) if i % 2 == 0 else F.struct(l.alias("l"), ((r + mixed(i, l)) % b).alias("r"))
+        return let(cell, lambda x: rounds(i + 1, x))
+
+    def once(x: Column) -> Column:
+        x = x.cast("long")
+        return let(F.struct((x % a).alias("l"), F.floor(x / a).cast("long").alias("r")), lambda at: rounds(0, at))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(rank), lambda x, _: F.when(x >= n, once(x)).otherwise(x))
+
+
+def sample_splits(rows: DataFrame, key: str, content: Column, sizes: dict[str, int], seed: int = 42) -> DataFrame:
+    """SPL-01, SRC-05: key, place, split: of the pages with different contents exactly ``sizes`` for each split, in a shuffled order.
+
+    The first page of each content, by key, is taken; fewer pages than the sizes need are refused. Ranks come from a hash
+    order and places from ranks, so nothing is sorted as a whole or held by the driver but the number of pages.
+    """
+    own = first_pages(rows.select(key, content.alias("_words")), F.col("_words"), key).select(key)
+    ranked = hash_rank(own.withColumn("_h", F.sha2(F.concat(F.lit("rank|"), F.col(key).cast("string")), 256)), "_h")
+    n, needed = own.count(), sum(sizes.values())
+    if n < needed:
+        raise ValueError(f"{n} pages, but the splits need {needed}")
+    placed = ranked.select(key, permuted_place(F.col("rank"), n, seed).alias("place")).where(F.col("place") < needed)
+    split, upto = None, 0
+    for name, size in sizes.items():
+        upto += size
+        split = F.when(F.col("place") < upto, name) if split is None else split.when(F.col("place") < upto, name)
+    return placed.withColumn("split", split)
+
+
 # The records that each split needs at least.
 MINIMUMS = {"train": 8, "validation": 2, "test": 2}
 

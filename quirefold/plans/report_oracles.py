@@ -124,3 +124,28 @@ ORACLES["record_contract"] = f"""WITH m AS MATERIALIZED (SELECT doc_id AS k, {wo
     repeated("m", "k", "repeated_id", "id"), "SELECT 'record_count', count(*), NULL FROM m HAVING count(*) NOT BETWEEN 1 AND 500", "SELECT 'page_count', count(DISTINCT source), NULL FROM m HAVING count(DISTINCT source) NOT BETWEEN 1 AND 100",
     "SELECT 'answers_on_some', count(*) FILTER (k % 9 = 0), min(k) FILTER (k % 9 = 0)::VARCHAR FROM m HAVING count(*) FILTER (k % 9 = 0) > 0 AND count(*) FILTER (k % 9 <> 0) > 0",
 ))
+
+
+def shuffled(table: str, n: str, seed: int, rounds: int = 6) -> str:
+    """Table walked (id, x, step) from table (id, rank): the places of a Feistel shuffle of n ranks, with each walk's steps."""
+    a = f"(SELECT (floor(sqrt(greatest(0, n - 1))) + 1)::BIGINT FROM {n})"
+    b = f"(SELECT ceil(n::DOUBLE / {a})::BIGINT FROM {n})"
+
+    def once(source: str) -> str:
+        inner = f"SELECT id, x % {a} AS l, x // {a} AS r, step FROM {source}"
+        for i in range(rounds):
+            mixed = f"('0x' || left(md5(concat_ws('|', '{seed}', '{i}', {'r' if i % 2 == 0 else 'l'}::VARCHAR)), 12))::BIGINT"
+            cell = f"(l + {mixed}) % {a} AS l, r" if i % 2 == 0 else f"l, (r + {mixed}) % {b} AS r"
+            inner = f"SELECT id, {cell}, step FROM ({inner})"
+        return f"SELECT id, r * {a} + l AS x, step + 1 AS step FROM ({inner})"
+
+    start, again = once(f"(SELECT id, rank AS x, 0 AS step FROM {table})"), once(f"(SELECT id, x, step FROM walked WHERE x >= (SELECT n FROM {n}))")
+    return f"walked(id, x, step) AS ({start} UNION ALL {again})"
+
+
+ORACLES["sample_splits"] = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT min(doc_id) AS id FROM (SELECT doc_id, list_transform({words("text")}, lambda w: lower(w)) AS k FROM documents) GROUP BY k),
+c AS MATERIALIZED (SELECT count(*) AS n FROM d), ranked AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY sha256('rank|' || id)) - 1 AS rank FROM d),
+{shuffled("ranked", "c", 42)},
+p AS (SELECT id AS page_id, arg_max(x, step) AS place FROM walked GROUP BY id)
+SELECT page_id, place, CASE WHEN place < n * 60 // 100 THEN 'train' WHEN place < n * 60 // 100 + n * 15 // 100 THEN 'validation' ELSE 'test' END AS split
+FROM p, c WHERE place < n * 60 // 100 + n * 15 // 100 + n * 25 // 100"""

@@ -270,3 +270,15 @@ def record_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 9 == 0, F.lit(None)).when(k % 73 == 0, F.array(F.lit(" "))).otherwise(F.array("lang")).cast("array<string>").alias("answers"),
     )
     return contracts.broken_rules(rows, "page_id", contracts.record_rules())
+
+
+# -- samples ----------------------------------------------------------------------------------------
+
+
+@query
+def sample_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SPL-01, TOP-09, SRC-05: different documents shuffled and cut into splits of exactly 60, 15 and 25 in a hundred of them."""
+    p = adapters.pages(spark, sf_dir)
+    n = p.agg(F.countDistinct(F.sha2(F.array_join(text.page_key(F.col("words")), "\n"), 256))).first()[0]
+    sizes = {"train": n * 60 // 100, "validation": n * 15 // 100, "test": n * 25 // 100}
+    return pages.sample_splits(p, "page_id", F.array_join(text.page_key(F.col("words")), "\n"), sizes)
