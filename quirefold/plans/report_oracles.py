@@ -149,3 +149,7 @@ c AS MATERIALIZED (SELECT count(*) AS n FROM d), ranked AS MATERIALIZED (SELECT
 p AS (SELECT id AS page_id, arg_max(x, step) AS place FROM walked GROUP BY id)
 SELECT page_id, place, CASE WHEN place < n * 60 // 100 THEN 'train' WHEN place < n * 60 // 100 + n * 15 // 100 THEN 'validation' ELSE 'test' END AS split
 FROM p, c WHERE place < n * 60 // 100 + n * 15 // 100 + n * 25 // 100"""
+
+ORACLES["rows_by_place"] = """WITH d AS MATERIALIZED (SELECT doc_id, lang, row_number() OVER () - 1 AS row FROM documents), a AS (SELECT unnest(range(0, (SELECT max(row) FROM d) + 61, 41)) AS row)
+SELECT 'documents.parquet' AS file, row, doc_id IS NOT NULL AS found, doc_id, lang FROM a LEFT JOIN d USING (row)"""
+ORACLES["exported_references"] = f"WITH {PREDICTIONS} SELECT receipt, field, state, known AS normalized_amount, 'role' || (receipt % 3) AS role FROM refs WHERE receipt % 3 <> 1"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts, hashing, text
 from ..functions.binding import let
 from ..operators import contracts, encoding, metrics, ordering, pages, policy, readers, rules, validate
-from ..sources import adapters
+from ..sources import adapters, files
 from ..sources.adapters import FIELDS
 from . import queries as base
 
@@ -282,3 +283,25 @@ def sample_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = p.agg(F.countDistinct(F.sha2(F.array_join(text.page_key(F.col("words")), "\n"), 256))).first()[0]
     sizes = {"train": n * 60 // 100, "validation": n * 15 // 100, "test": n * 25 // 100}
     return pages.sample_splits(p, "page_id", F.array_join(text.page_key(F.col("words")), "\n"), sizes)
+
+
+# -- files ------------------------------------------------------------------------------------------
+
+
+@query
+def rows_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-01, SRC-08: the rows at every 41st place of the files of documents, and places behind their ends."""
+    path = f"{sf_dir}/documents.parquet"
+    ends = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.max("_metadata.row_index").alias("last"))
+    asked = ends.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") + 60, F.lit(41).cast("long"))).alias("row"))
+    return files.rows_at(spark, path, asked, ["doc_id", "lang"])
+
+
+@query
+def exported_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-01, SNK-04, SNK-09, SRC-25: references as an export set in two batches, one of them sent twice, read back for two of its roles."""
+    r = adapters.references(spark, sf_dir).withColumn("role", F.concat(F.lit("role"), F.col("receipt") % 3))
+    path = f"{files.shared_folder(spark)}/references-{uuid.uuid4().hex}"
+    for batch in ("even", "odd", "even"):
+        files.export_batch(r.where(F.col("receipt") % 2 == int(batch == "odd")), path, batch)
+    return files.read_export(spark, path, r.schema.simpleString().removeprefix("struct<").removesuffix(">"), "source_audit", ["role0", "role2"])

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +18,7 @@ RECORD = (
     "id string, page_id string, question string, words array<string>, boxes array<array<double>>, image_size array<int>, "
     "answer_start int, answer_end int, answers array<string>, field string"
 )
+MANIFEST = "batch string, folder string, file string, bytes long, sha256 string"
 TSV = "level int, page_num int, block_num int, par_num int, line_num int, word_num int, left int, top int, width int, height int, conf double, text string"
 
 
@@ -22,6 +27,25 @@ def read_column(spark: SparkSession, path: str, column: str) -> DataFrame:
     return spark.read.parquet(path).select(column)
 
 
+def rows_at(spark: SparkSession, path: str, asked: DataFrame, columns: list[str], pattern: str | None = None) -> DataFrame:
+    """SRC-01, SRC-08: the rows at physical places of a Parquet source: file, row, found, columns.
+
+    asked has file (a name in the source) and row (from 0 within the file); every place asked for comes back once, found
+    is false and the columns are null where a file has no such row. Places are what Spark's Parquet reader counts while it
+    reads, so there is no rank and no sort; only the chunks of ``columns`` are read, and with ``pattern`` only the files
+    whose names match it. A place that is asked for twice is answered once; nulls are never found.
+    """
+    reader = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+    source = reader.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), F.lit(True).alias("_there"), *columns)
+    wanted = asked.select("file", F.col("row").cast("long").alias("row")).distinct()
+    size = wanted.agg(F.count("*"), F.min("row"), F.max("row")).first()
+    if size[0]:  # rows outside the places asked for are left before the join
+        source = source.where(F.col("row").between(size[1] or 0, size[2] or 0))
+    wanted = F.broadcast(wanted) if size[0] * 64 <= 32 << 20 else wanted
+    found = source.join(wanted, ["file", "row"], "left_semi")
+    return wanted.join(found, ["file", "row"], "left").select("file", "row", F.coalesce("_there", F.lit(False)).alias("found"), *columns)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD) -> tuple[DataFrame, DataFrame]:
     """SRC-09, SRC-11: (records, refused lines). Blank lines are skipped; a line that is no JSON object of the schema is refused, with its file."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value").where(F.trim("value") != "")
@@ -120,6 +144,78 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+# What references may be read for.
+PURPOSES = (
+    "training_supervision", "keyword_development", "model_selection", "policy_selection", "final_evaluation",
+    "reference_text_diagnostic", "recoverability_diagnostic", "source_audit", "byod_training_supervision",
+)
+
+
+def _committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest of an export set, or None before its first commit."""
+    try:
+        return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of the application below spark.checkpoint.dir, which driver and executors share; on a local master without that setting, a new one of this machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{at.rstrip('/')}/{spark.sparkContext.applicationId}" if at else tempfile.mkdtemp(prefix="spark-")
+
+
+def export_batch(df: DataFrame, path: str, batch: str) -> bool:
+    """SNK-01, SNK-04: add df to the export set at path as JSON lines, with a manifest of digests as commit record.
+
+    The files of a batch go to a folder of their own; then one line for each, with bytes and SHA-256, is appended to the
+    manifest in one write. Readers go by the manifest, so what an aborted job leaves is never read. A batch is taken
+    once: if the manifest has it, nothing is written and False is returned. Batches of one set must come one at a time.
+    """
+    spark = df.sparkSession
+    if not re.fullmatch(r"[A-Za-z0-9_.:-]{1,64}", batch):
+        raise ValueError(f"not a batch name: {batch!r}")
+    known = _committed(spark, path)
+    if known is not None and not known.where(F.col("batch") == batch).isEmpty():
+        return False
+    folder = f"data/{batch.replace(':', '_')}-{uuid.uuid4().hex}"
+    write_records(df, f"{path}/{folder}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{path}/{folder}")
+    listed = files.select(F.lit(batch).alias("batch"), F.lit(folder).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed.coalesce(1).write.mode("append").json(f"{path}/manifest")  # a line a file
+    return True
+
+
+def read_export(spark: SparkSession, path: str, schema: str, purpose: str, roles: list[str] | None = None) -> DataFrame:
+    """SRC-25, SNK-09: the committed rows of an export set, of some roles only if given, with a line in its log of reads: purpose, roles, count.
+
+    An undeclared purpose is refused before anything is read, files that no longer have the bytes and digest of the
+    manifest are too. Uncommitted files are not seen; a set without a commit has no rows.
+    """
+    if purpose not in PURPOSES:
+        raise ValueError(f"undeclared purpose: {purpose!r}")
+    manifest = _committed(spark, path)
+    folders = [] if manifest is None else sorted(r.folder for r in manifest.select("folder").distinct().collect())  # one row a batch
+    rows = spark.createDataFrame([], schema)
+    if folders:
+        places = [f"{path}/{f}" for f in folders]
+        have = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(places)
+        last = lambda c, i: F.element_at(F.split(c, "/"), i)
+        named = have.withColumn("path", F.concat_ws("/", last("path", -2), last("path", -1)))
+        listed = manifest.select(F.concat_ws("/", last("folder", -1), "file").alias("path"), "bytes", "sha256")
+        if wrong := verify_digests(named, listed).head():
+            raise ValueError(f"{wrong.path}: {wrong.problem}")
+        rows = spark.read.schema(schema).json(places)
+    if roles is not None:
+        rows = rows.where(F.col("role").isin(roles))
+    append_log(spark.createDataFrame([(purpose, roles, rows.count())], "purpose string, roles array<string>, count long"), f"{path}/reads")
+    return rows
+
+
 def verify_digests(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """SRC-03, SRC-17, VAL-15: files (path, content) against a manifest (path, bytes, sha256): path, problem of every difference."""
     have = files.select("path", F.length("content").cast("long").alias("_n"), F.sha2("content", 256).alias("_sha"))
