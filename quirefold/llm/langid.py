@@ -18,6 +18,8 @@ from .common import extended, in_arrow, named
 
 #: Expected rows of each language that the centroids are learned from; n-gram buckets; centroids a language.
 SAMPLE, BUCKETS, CENTROIDS = 400, 1 << 13, 4
+#: The most languages that are learned (131 kB each) and rows that are learned from.
+LABELS, ROWS = 512, 20_000
 #: A text is rejected below this part of the similarity that all but this share of a language's learned texts have to their
 #: centroid. Longer texts are nearer to a centroid, so texts of fewer than SHORT different n-grams get by with less, in proportion.
 SLACK, SHARE, SHORT = 0.5, 0.02, 200
@@ -111,20 +113,22 @@ def fold(key: Column, folds: int = 3) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % folds
 
 
-def fit(labelled: DataFrame, per_language: int = SAMPLE, k: int = CENTROIDS) -> Model:
+def fit(labelled: DataFrame, per_language: int = SAMPLE, k: int = CENTROIDS, most_labels: int = LABELS, most_rows: int = ROWS) -> Model:
     """Learn from columns text, lang and a sampling key. Null langs and texts without letters teach nothing.
 
     About ``per_language`` rows of each language are used, chosen by a hash of the key; what comes to the driver is their
-    n-gram counts, at most BUCKETS numbers a row.
+    n-gram counts, at most BUCKETS numbers a row. Where lang holds something else than languages, the model stays
+    bounded: of more than ``most_labels`` values those with the most rows are learned, the first of equals in order, and
+    with many of them fewer rows each, so that about ``most_rows`` come together.
     """
     labelled = labelled.where("lang is not null and text is not null")
-    parts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    parts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
     if not parts:
         return Model([], k)
-    most = F.lit(0.0)
-    for lang, n in parts.items():
-        most = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(most)
-    chosen = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < most * (1 << 20)).select("lang", "text")
+    each = min(per_language, max(1, most_rows // len(parts)))
+    rates = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in parts], "lang string, rate double")
+    labelled = labelled.join(F.broadcast(rates), "lang")  # most_labels rows at most
+    chosen = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

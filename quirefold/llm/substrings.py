@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import broadcast_if_small, cut, in_arrow
 from .shingles import rolling, word_hashes
@@ -309,6 +310,8 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     Copies have the text of an earlier document, so all their windows start earlier; they are left out of the search,
     which loses nothing, as that earlier document is in it.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id has to be of an integer type, not {docs.schema['doc_id'].dataType.simpleString()}")
     rows = cut(phrase_table(docs), "phrases")
     first = rows.groupBy("d1", "d2").agg(F.min("doc").alias("first"))
     later = rows.select("doc", "d1", "d2").join(cut(first, "first"), ["d1", "d2"]).where("doc > first").select("doc", "d1", "d2")
@@ -335,7 +338,7 @@ def deduplicated_words(docs: DataFrame) -> DataFrame:
     Words are runs of other than ASCII white space; a window is WINDOW words. Each word is removed that lies in a window
     which also starts in a document with a smaller doc_id, or earlier in the same text. Null and short texts have no
     windows. Rows that share doc_id and text get equal results and do not remove each other; rows without doc_id come
-    last in order. What is removed was found word for word by an automaton; hashes of windows (64 bits) only choose what
+    last in order. doc_id must be of an integer type. What is removed was found word for word by an automaton; hashes of windows (64 bits) only choose what
     the automata hold. Exact copies of thousands and hot phrases are counted before any shuffle by key; joins on a hot
     phrase are skewed joins that Spark splits.
     """

@@ -85,3 +85,11 @@ def test_noise_and_unlearned_languages_are_rejected_and_clean_texts_stay(spark):
 def test_without_labels_texts_with_letters_stay(spark):
     docs = spark.createDataFrame([(1, "Some text", None), (2, "?!", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in langid.accepted(docs).collect()] == [1]
+
+
+def test_many_values_of_lang_leave_the_model_bounded(spark):
+    """5,000 values of lang: the 512 most frequent are learned, the first of equals."""
+    docs = spark.range(5100).select(F.col("id").alias("doc_id"), F.concat(F.lit("value "), F.col("id") % 5000).alias("lang"), F.concat(F.lit("some text of its own "), "id").alias("text"))
+    model = langid.fit(docs.select("text", "lang", F.col("doc_id").alias("key")), 3)
+    assert len(model.labels) == 512 and {f"value {i}" for i in range(100)} <= set(model.labels) and "value 100" in model.labels
+    assert langid.identify_documents(docs, ["doc_id"]).count() == 5100

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from quirefold.llm import substrings
 
 from .data import SF, documents, empty
@@ -100,3 +102,8 @@ def test_hot_passages_over_many_shards_and_parts(spark, monkeypatch):
     rows = [(i, " ".join([f"a{i}", *line[i % 5 :], f"b{i % 7}", *line[: 20 + i % 3]] * (1 + i % 2))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(substrings.deduplicated_words(docs)) == brute(rows)
+
+
+def test_ids_that_are_no_integers_are_refused_in_words(spark):
+    with pytest.raises(TypeError, match="integer"):
+        substrings.deduplicated_words(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
