@@ -13,6 +13,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,30 +46,30 @@ VOID = frozenset(("hr",))
 PARTS = frozenset("nav footer aside main article".split())
 #: Elements that are never part of an article.
 NOT_ARTICLE = frozenset("nav footer aside form menu dialog head fieldset svg template select button object".split())
-#: Names, in class, id or role, of what is hardly ever part of an article; of what may be one.
+#: Words, in class, id or role, for what is hardly ever part of an article; for what may be one, so other evidence is needed.
 SURE = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus dialog footer login masthead menu modal nav navbar navigation newsletter pagination popup promo promoted promotion "
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies "
+    "disqus footer login masthead menu modal nav navbar navigation newsletter pagination popup promo promoted "
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget contentinfo complementary respond replies".split()
 )
-UNSURE = frozenset("header related search form notice notices discussion".split())
-#: Words that may stand beside those in a name (site-footer, comments-area); has-comments or with-sidebar say something else.
-NEUTRAL = frozenset("site page main global area list section block box bar wrap wrapper container inner".split())
+UNSURE = frozenset("header related search form notice notices discussion banner dialog promotion".split())
+#: Words that say nothing by themselves (site-footer, comments-area, commentlist); words that make a name say what the block has or lacks (has-comments).
+NEUTRAL = frozenset("site page main global area list section block box bar wrap wrapper container inner left right top bottom slot unit buttons icons links".split())
+OTHERWISE = frozenset("has with no without is hide show before after".split())
+#: Roles that say what a class of the same name only may say.
+ROLES = {"banner": "masthead", "dialog": "modal", "alertdialog": "modal"}
 EXEMPT = frozenset("html body main".split())
-#: What readers write may be longer than the article: it is no article beside at least OTHER_TEXT characters of other text.
+#: What readers write, which may well be longer than the article.
 READERS = frozenset("comment comments disqus replies respond".split())
-OTHER_TEXT = 500
-#: A notice is at most this long.
-SHORT = 300
 
 
 class Node:
     """A container, or another block that may be no part of an article. name: its own part of the path."""
 
-    __slots__ = ("tag", "name", "dropped", "marks", "up", "own", "links", "kids", "texts", "blocks", "place")
+    __slots__ = ("tag", "name", "dropped", "marks", "hints", "up", "own", "links", "kids", "texts", "blocks", "place")
 
-    def __init__(self, tag: str, name: str, dropped: bool, marks: frozenset[str] = frozenset(), up: Node | None = None, place: int = 0):
-        self.tag, self.name, self.dropped, self.marks, self.up, self.place = tag, name, dropped, marks, up, place
+    def __init__(self, tag: str, name: str, dropped: bool, marks: frozenset[str] = frozenset(), hints: frozenset[str] = frozenset(), up: Node | None = None, place: int = 0):
+        self.tag, self.name, self.dropped, self.marks, self.hints, self.up, self.place = tag, name, dropped, marks, hints, up, place
         self.own, self.links, self.blocks, self.kids, self.texts = 0, 0, 0, [], []
 
     def path(self) -> str:
@@ -79,21 +80,40 @@ class Node:
         return "".join(reversed(parts))
 
 
-def names(attributes: str) -> tuple[str, frozenset[str]]:
-    """The class generalised (digits away, parts sorted), and the words of SURE and UNSURE that whole names in class, id and role consist of."""
-    general, marks = "", set()
+def stem(word: str) -> str:
+    """A word that is a neutral one joined to one of SURE or UNSURE (commentlist, pagefooter) as the latter."""
+    for i in range(2, len(word) - 1):
+        for part, rest in ((word[:i], word[i:]), (word[i:], word[:i])):
+            if rest in NEUTRAL and (part in SURE or part in UNSURE):
+                return part
+    return word
+
+
+@lru_cache(1 << 14)
+def said(name: str) -> tuple[frozenset[str], frozenset[str]]:
+    """(marks, hints) of a name: the words of SURE and UNSURE that it wholly consists of; or one that it starts or ends with (ad-slot, post-comments)."""
+    words = [w if w in SURE or w in UNSURE or w in NEUTRAL else stem(w) for w in re.split(r"[^a-z]+", name) if w]
+    core = [w for w in words if w not in NEUTRAL]
+    known = frozenset(core) & (SURE | UNSURE)
+    if len(known) == len(set(core)):
+        return known, frozenset()
+    return frozenset(), frozenset() if OTHERWISE & set(core) else known & {core[0], core[-1]}
+
+
+def names(attributes: str) -> tuple[str, frozenset[str], frozenset[str]]:
+    """The class generalised (digits away, parts sorted), and marks and hints of the names in class, id and role; see said()."""
+    general, marks, hints = "", frozenset(), frozenset()
     for m in ATTRIBUTE.finditer(attributes):
         kind = m[1].lower() if m[1] else ""
         if kind not in ("class", "id", "role"):
             continue
         value = (m[2] or m[3] or m[4] or "").lower()
         for name in value.split():
-            found = set(re.split(r"[^a-z]+", name)) - {""} - NEUTRAL
-            if found <= SURE | UNSURE:
-                marks |= found
+            whole, part = said(ROLES.get(name, name) if kind == "role" else name)
+            marks, hints = marks | whole, hints | part
         if kind == "class" and not general:
             general = ".".join(sorted({x.replace("/", "") for x in re.sub(r"\d+", "", value).split()} - {""}))
-    return general, frozenset(marks)
+    return general, marks, hints
 
 
 def tags(page: str) -> Iterator[tuple[int, int, str, str]]:
@@ -205,14 +225,14 @@ def parse(page: str) -> list[Node]:
         if tag in VOID:
             continue
         _, box, dropped = stack[-1]
-        general, marks = names(attributes) if attributes else ("", frozenset())
+        general, marks, hints = names(attributes) if attributes else ("", frozenset(), frozenset())
         if tag in EXEMPT:
-            marks = frozenset()
+            marks = hints = frozenset()
         elif tag == "header":
             marks |= {"header"}
         dropped = dropped or tag in NOT_ARTICLE
-        if tag in CONTAINERS or marks and not dropped or tag in PARTS:
-            box.kids.append(node := Node(tag, f"/{tag}{'.' if general else ''}{general}", dropped, marks, box, len(nodes)))
+        if tag in CONTAINERS or (marks or hints) and not dropped or tag in PARTS:
+            box.kids.append(node := Node(tag, f"/{tag}{'.' if general else ''}{general}", dropped, marks, hints, box, len(nodes)))
             nodes.append(node)
             box = node
         stack.append((tag, box, dropped))
@@ -233,23 +253,31 @@ def totals(nodes: list[Node], value) -> list[float]:
 
 
 def drop_marked(nodes: list[Node]) -> None:
-    """Settle which of the marked blocks are dropped; what is inside a dropped block is dropped, too.
-
-    A name alone drops a block only if it is a sure one, and never one that holds most of the page's text without links
-    (unless the page's only article element is elsewhere, or see READERS). An unsure name needs evidence from score or
-    place: a header outside an article element belongs to the page if it is in the body itself or beside PARTS of a page,
-    holds navigation, or has less than half of the text around it; a notice is short; anything else is mostly links, or a
-    discussion of several alike containers. Nothing is dropped if no text would be left.
+    """Settle which of the named blocks are dropped; what is inside a dropped block is dropped, too.
+
+    Names weigh, and shares of the page decide; no length does, so a page that is longer as a whole loses the same blocks.
+    A block that a sure word names goes, however long it is, as long as there is other text without such a name. A name
+    that only starts or ends with a sure word goes, too, but not where the block holds an article or main element or
+    most of the page's text without links; what readers write goes from there as well. Unsure names need evidence from
+    place or content: a header outside an article element belongs to the page if it is in the body itself or beside
+    PARTS of a page, holds navigation, or has less than half of the text around it; a notice or search has two blocks at
+    most and less than half of the text; a discussion has several alike containers; anything else is mostly links.
+    Nothing is dropped if no text would be left.
     """
-    if not any(n.marks and not n.dropped for n in nodes):
+    if not any((n.marks or n.hints) and not n.dropped for n in nodes):
         return
     before = [n.dropped for n in nodes]
     size, links, blocks = totals(nodes, lambda n: n.own), totals(nodes, lambda n: n.links), totals(nodes, lambda n: n.blocks)
     plain = [a - b for a, b in zip(size, links)]
+    holds = totals(nodes, lambda n: n.tag in ("article", "main"))
     marked, article, only = [False] * len(nodes), [False] * len(nodes), None
     enclosed, parted = [False] * len(nodes), [False] * len(nodes)  # within an article element; with a part of the page as child
+
+    def sure(n: Node) -> bool:
+        return bool(n.marks & SURE or n.hints & READERS or n.hints & SURE and not holds[n.place] and 2 * plain[n.place] <= plain[0])
+
     for n in nodes[1:]:
-        marked[n.place] = marked[n.up.place] or bool(n.marks - {"header"})
+        marked[n.place] = marked[n.up.place] or sure(n) or bool(n.marks - {"header"})
         enclosed[n.place] = enclosed[n.up.place] or n.up.tag == "article"
         parted[n.up.place] = parted[n.up.place] or n.tag in PARTS
     clear = totals(nodes, lambda n: 0 if marked[n.place] else n.own - n.links)
@@ -260,22 +288,22 @@ def drop_marked(nodes: list[Node]) -> None:
             article[n.place] = n is only or n.up is not None and article[n.up.place]
 
     def evidence(n: Node) -> bool:
-        i = n.place
-        if n.marks & SURE or 2 * links[i] > size[i]:
+        i, words = n.place, n.marks | n.hints
+        if sure(n) or 2 * links[i] > size[i]:
             return True
-        if "header" in n.marks:
+        if not n.marks:
+            return False
+        if "header" in words:
             beside = parted[n.up.place] or 2 * plain[n.up.place] < plain[0]
             return not enclosed[i] and (n.up.tag in ("", "body") or beside or any(k.tag == "nav" for k in n.kids))
-        if n.marks & {"notice", "notices"}:
-            return size[i] <= SHORT and blocks[i] <= 2
-        if "discussion" in n.marks:
+        if "discussion" in words:
             return max(Counter(k.name for k in n.kids if size[k.place]).values(), default=0) > 1
-        return "search" in n.marks and size[i] <= SHORT
+        return bool(words & {"notice", "notices", "search"}) and blocks[i] <= 2 and 2 * plain[i] < plain[0]
 
     for n in nodes[1:]:
-        if n.marks and not n.dropped and evidence(n):
-            most = 2 * plain[n.place] > plain[0] and not (n.marks <= READERS and clear[0] >= OTHER_TEXT)
-            n.dropped = not most or only is not None and not article[n.place]
+        if (n.marks or n.hints) and not n.dropped and evidence(n):
+            alone = 2 * plain[n.place] > plain[0] and not (sure(n) and clear[0])
+            n.dropped = not alone or only is not None and not article[n.place]
         n.dropped = n.dropped or n.up.dropped
     if not any(n.own for n in nodes if not n.dropped):
         for n, was in zip(nodes, before):

@@ -147,3 +147,46 @@ def test_clashing_columns_and_a_very_long_page(spark):
     got = {r["page_id"]: r for r in htmltext.main_text(pages).collect()}
     assert got[1]["text"] == "\n".join(["Some words of a very long page."] * 60_000) and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "b" and htmltext.main_text(pages).columns == ["page_id", "url", "text", "n_chars", "path"]
+
+
+ARTICLE = "<h1>The headline</h1><p>{a}</p><p>{b}</p>"
+OTHER = {
+    "comments": '<div class="comments"><div class="comment">{x}</div><div class="comment">{y}</div></div>', "post-comments": '<div class="post-comments"><p>{x}</p><p>{y}</p></div>',
+    "user-comments": '<section class="user-comments"><article class="comment-body"><p>{x}</p></article><article class="comment-body"><p>{y}</p></article></section>',
+    "commentlist": '<ol class="commentlist"><li>{x}</li><li>{y}</li></ol>', "left-sidebar": '<div class="left-sidebar"><p>{x}</p></div>', "sidebar-left": '<div class="sidebar-left"><p>{x}</p><p>{y}</p></div>',
+    "share": '<div class="share-buttons"><span>Send it</span> {x}</div>', "footer": '<div class="post-footer">Filed under {x}</div>', "ad": '<div class="ad-slot">{x}</div>', "ads": '<div id="google_ads_1">{x}</div>',
+    "consent": '<div class="cookie-consent"><p>{x}</p><p>{y}</p></div>', "related": '<div class="related-posts"><a href="/1">{x}</a><a href="/2">{y}</a></div>', "role": '<div role="dialog"><p>{x}</p></div>',
+    "notice": '<div class="notice"><p>Short {x}</p></div>',
+}
+
+
+def filled(template, n, seed):
+    import random
+
+    r = random.Random(seed)
+    words = lambda k: " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(k))
+    return template.format(a=words(n), b=words(n), x=words(n), y=words(n))
+
+
+def test_blocks_go_by_evidence_at_any_length():
+    """Readers' comments, sidebars, adverts and notices go, within the article element and beside it, also when they are longer than a short article; the same at half and fifty times the length."""
+    for name, other in OTHER.items():
+        if name == "notice":
+            pages = ["<body><div class=content>{0}{1}</div></body>"]
+        else:
+            pages = ["<body><article>{0}{1}</article></body>", "<body><div class=content>{0}</div>{1}</body>", "<body><nav><a href=/>Home</a></nav>{1}<div class=content>{0}</div></body>"]
+        for page in pages:
+            for n, m in ((20, 20), (10, 10), (1000, 1000), *(((12, 60),) if name not in ("related", "notice", "ads", "footer") else ())):
+                whole = page.format(filled(ARTICLE, n, 1), filled(other, m, 2))
+                want = "\n".join(re.findall(r">([^<>]+)<", filled(ARTICLE, n, 1)))
+                assert htmltext.extract(whole, htmltext.best_path(whole)) == want, (name, page, n, m)
+
+
+def test_article_blocks_with_telling_names_stay():
+    for name in ("dialog", "banner", "promotion", "has-comments", "article-with-sidebar", "commentary", "content-sidebar", "sponsored-article", "no-ads", "dialog-scene"):
+        for page in ("<body><article><h1>The headline</h1><div class={0}>{1}</div><p>Behind it.</p></article></body>", "<body><div class={0}>{1}<p>Behind it.</p></div><footer>All rights</footer></body>"):
+            for n in (10, 500):
+                body = filled("<p>{a}</p><p>{b}</p>", n, 3)
+                whole = page.format(name, body)
+                text = htmltext.extract(whole, htmltext.best_path(whole))
+                assert all(x in text for x in re.findall(r"<p>([^<]+)", body)) and "Behind it." in text, (name, page, n)
