@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.text import spreadsheet_safe
 
@@ -52,20 +53,64 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD) -> tuple[Da
     return parse_lines(lines, schema)
 
 
+def _running(pieces: DataFrame, value: Column, out: str) -> DataFrame:
+    """Add the sum of value over the pieces of a file before each one. A block is summed up within itself; only its sum meets those of the file's other blocks."""
+    own = pieces.withColumn("_v", value.cast("long"))
+    sums = own.groupBy("file", "block").agg(F.sum("_v").alias("_s"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("file", "block", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_from"))
+    within = F.sum("_v").over(Window.partitionBy("file", "block").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    return own.withColumn("_w", F.coalesce(within, F.lit(0))).join(sums, ["file", "block"]).withColumn(out, F.col("_from") + F.col("_w")).drop("_v", "_w", "_from")
+
+
+def array_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """SRC-09: (file, item, value) of files that hold one JSON array each, and (file, value) of those that do not, with the head of their text.
+
+    Spark's text reader cuts a file at commas, each block by itself. Whether a comma is within a string, and how deep in
+    brackets, follows from all pieces before: quotes are counted modulo two, then brackets outside strings, as running
+    sums over pieces and blocks. Pieces between commas of the array itself are put together again, so a task holds one
+    value or the pieces of one block, never a file. Strings within values are not interpreted otherwise.
+    """
+    raw = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("piece"), "value")
+    bare = F.regexp_replace("value", r"\\.", "")  # without escaped characters; a piece cannot begin with one, as a comma is none
+    pieces = _running(raw.withColumn("segments", F.split(bare, '"', -1)), F.size("segments") - 1, "quotes")
+    outside = F.filter("segments", lambda _, i: (F.col("quotes") + i) % 2 == 0)
+    count = lambda c: F.length("outer") - F.length(F.translate("outer", c, ""))
+    pieces = pieces.withColumn("outer", F.array_join(outside, " ")).withColumn("open", (F.col("quotes") + F.size("segments") - 1) % 2 == 1)
+    pieces = _running(pieces.withColumn("delta", count("[{") - count("]}")).drop("segments"), F.col("delta"), "depth")
+    after = F.col("depth") + F.col("delta")
+    pieces = _running(pieces.withColumn("cut", ~F.col("open") & (after == 1)).withColumn("shut", ~F.col("open") & (after <= 0)).withColumn("below", after < 0), F.col("cut").cast("int"), "item")
+    items = pieces.groupBy("file", "item").agg(F.array_sort(F.collect_list(F.struct("block", "piece", "value"))).alias("p"), F.max(F.col("shut").cast("int")).alias("shut"), F.count_if("shut").alias("shuts"), F.count_if("below").alias("below"))
+    items = items.select("file", "item", F.array_join(F.transform("p", lambda x: x["value"]), ",").alias("value"), "shut", "shuts", "below")
+    first, blank = F.col("item") == 0, r"[ \t\n\r]*"
+    starts, ends = F.col("value").rlike(rf"^\x{{FEFF}}?{blank}\["), F.col("value").rlike(rf"\]{blank}$")
+    inner = F.when(first, F.regexp_replace("value", rf"^\x{{FEFF}}?{blank}\[", "")).otherwise(F.col("value"))
+    inner = F.when(F.col("shut") == 1, F.regexp_replace(inner, rf"\]{blank}$", "")).otherwise(inner)
+    items = items.withColumn("inner", inner)
+    lacks = F.col("inner").rlike(rf"^{blank}$")
+    facts = items.groupBy("file").agg(
+        F.count("*").alias("n"), F.sum("shuts").alias("shuts"), F.sum("below").alias("below"), F.max(F.when(F.col("shut") == 1, F.col("item"))).alias("last"), F.max("item").alias("most"),
+        F.max((first & starts).cast("int")).alias("starts"), F.max(((F.col("shut") == 1) & ends).cast("int")).alias("ends"), F.count_if(lacks).alias("blank"), F.max(F.when(first, F.left("value", F.lit(200)))).alias("head"),
+    )
+    whole = (F.col("starts") == 1) & (F.col("ends") == 1) & (F.col("shuts") == 1) & (F.col("below") == 0) & (F.col("last") == F.col("most")) & ((F.col("blank") == 0) | (F.col("n") == 1))
+    facts = facts.select("file", "head", F.coalesce(whole, F.lit(False)).alias("whole"))
+    good = items.where(~lacks).join(facts.where("whole"), "file", "left_semi").select("file", "item", F.trim("inner").alias("value"))
+    return good, facts.where(~F.col("whole")).select("file", F.col("head").alias("value"))
+
+
 def read_dataset(spark: SparkSession, path: str, schema: str = RECORD) -> tuple[DataFrame, DataFrame]:
     """SRC-09: (records, refused values) of a .jsonl file of objects or a .json file that holds one array of them.
 
-    Another suffix is an error. An array is read whole, as JSON cannot be split within; its values are then judged one
-    by one as lines are. A .json file that holds no array is refused as one value.
+    Another suffix is an error. An array is split in parallel (see array_items); its values are then judged one by one as
+    lines are. A .json file that holds no array is refused as one value, the head of its text.
     """
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
     if not path.endswith(".json"):
         raise ValueError(f"not .json or .jsonl: {path}")
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    items = F.from_json("value", "array<string>")
-    values = whole.select("file", F.explode(F.when(F.ltrim("value").startswith("["), F.coalesce(items, F.array("value"))).otherwise(F.array("value"))).alias("value"))
-    return parse_lines(values, schema)
+    values, others = array_items(spark, path)
+    good, bad = parse_lines(values.select("file", "value"), schema)
+    return good, bad.unionByName(others.select("file", "value"))
 
 
 def tsv_header(line: Column) -> Column:
