@@ -109,6 +109,20 @@ def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:
     return marked.groupBy(by).agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("v"))).alias("upper_median"), F.max("v").alias("most"))
 
 
+# How an OCR run can end.
+OCR_STATUSES = ("ok", "ocr_empty", "ocr_timeout", "ocr_error", "image_error")
+
+
+def ocr_report(rows: DataFrame, by: str, most_words: int = 2000) -> DataFrame:
+    """AGG-09: rows (by, status, n_tokens, cached) -> by, receipts, a count of each status, over_2000_words, median_words (upper), max_words, cache_hits."""
+    counts = rows.groupBy(by).agg(
+        F.count("*").alias("receipts"), *[F.count_if(F.col("status") == s).alias(s) for s in OCR_STATUSES],
+        F.count_if(F.col("n_tokens") > most_words).alias("over_2000_words"), F.count_if("cached").alias("cache_hits"),
+    )
+    words = upper_median(rows, by, "n_tokens").select(F.col(by).alias("_by"), F.col("upper_median").alias("median_words"), F.col("most").alias("max_words"))
+    return counts.join(words, counts[by].eqNullSafe(words["_by"])).drop("_by")
+
+
 def uniform(*parts: Column) -> Column:
     """A number between 0 and 1, exclusive, from the SHA-256 of parts joined by bars: the same in every run and engine."""
     head = F.conv(F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 13), 16, 10).cast("double")

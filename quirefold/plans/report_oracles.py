@@ -153,3 +153,8 @@ FROM p, c WHERE place < n * 60 // 100 + n * 15 // 100 + n * 25 // 100"""
 ORACLES["rows_by_place"] = """WITH d AS MATERIALIZED (SELECT doc_id, lang, row_number() OVER () - 1 AS row FROM documents), a AS (SELECT unnest(range(0, (SELECT max(row) FROM d) + 61, 41)) AS row)
 SELECT 'documents.parquet' AS file, row, doc_id IS NOT NULL AS found, doc_id, lang FROM a LEFT JOIN d USING (row)"""
 ORACLES["exported_references"] = f"WITH {PREDICTIONS} SELECT receipt, field, state, known AS normalized_amount, 'role' || (receipt % 3) AS role FROM refs WHERE receipt % 3 <> 1"
+
+ORACLES["ocr_report"] = f"""WITH c AS ({BASE["ocr_cohort"]}), r AS (SELECT c.*, source FROM c JOIN documents ON doc_id = receipt)
+SELECT source, count(*) AS receipts, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'ocr_empty') AS ocr_empty, 0::BIGINT AS ocr_timeout, count(*) FILTER (status = 'ocr_error') AS ocr_error, 0::BIGINT AS image_error,
+  count(*) FILTER (n_tokens > 2000) AS over_2000_words, list_sort(list(n_tokens))[count(*) // 2 + 1]::INT AS median_words, max(n_tokens)::INT AS max_words, count(*) FILTER (cached) AS cache_hits FROM r GROUP BY source"""
+ORACLES["first_in_hash_order"] = "SELECT page_id, url FROM pages ORDER BY sha256('replay|' || page_id) LIMIT 3"

@@ -305,3 +305,20 @@ def exported_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in ("even", "odd", "even"):
         files.export_batch(r.where(F.col("receipt") % 2 == int(batch == "odd")), path, batch)
     return files.read_export(spark, path, r.schema.simpleString().removeprefix("struct<").removesuffix(">"), "source_audit", ["role0", "role2"])
+
+
+# -- small reports ----------------------------------------------------------------------------------
+
+
+@query
+def ocr_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-09: how OCR of the cohort went, by source: statuses, long pages, words and cache hits."""
+    roles = adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("receipt"), "source")
+    return metrics.ocr_report(base.ocr_cohort(spark, sf_dir).join(roles, "receipt"), "source")
+
+
+@query
+def first_in_hash_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOP-10: the first three pages in a fixed pseudo-random order (a report of three rows)."""
+    p = adapters.table(spark, sf_dir, "pages").select("page_id", "url", hashing.hash_order(F.col("page_id"), "replay").alias("h"))
+    return p.orderBy("h").limit(3).select("page_id", "url")
