@@ -188,6 +188,17 @@ def paired_bootstrap(scored: DataFrame, first: str, second: str, field: str, res
     return resampled_counts(counts, resamples, seed).agg(F.max("n").alias("n"), F.max(seen).alias("difference"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"))
 
 
+def failure_reasons(rows: DataFrame) -> DataFrame:
+    """AGG-05: rows (system_id, field, reasons) -> system_id, field, failure_reasons: how often each reason was given, as one string in the order of reasons; empty without any.
+
+    A prediction may have several reasons or none. Reasons are counted before they meet in one row.
+    """
+    counts = rows.select("system_id", "field", F.explode_outer("reasons").alias("reason")).groupBy("system_id", "field", "reason").agg(F.count("*").alias("k"))
+    parts = F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", F.col("k").cast("string").alias("k"))))
+    said = F.array_join(F.transform(F.array_sort(parts), lambda x: F.concat_ws("=", x["reason"], x["k"])), "; ")
+    return counts.groupBy("system_id", "field").agg(said.alias("failure_reasons"))
+
+
 def system_report(scored: DataFrame) -> DataFrame:
     """AGG-05, AGG-19: system_id, field, usable, text_em, anls, prediction_states, states_on_usable, reference_states, verdict.
 

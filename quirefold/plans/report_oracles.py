@@ -26,10 +26,11 @@ f AS (SELECT *, CASE WHEN n_words = 0 THEN 'no_words' WHEN n_words > 2000 THEN '
 SELECT page_id, question, n_words, CASE WHEN finding IS NULL THEN 'accepted' ELSE 'refused' END AS verdict, finding FROM f""",
     "dataset_manifest": """SELECT lang, count(*) AS records, count(DISTINCT text) AS pages, bit_xor(('0x' || left(sha256(concat_ws('|', doc_id::VARCHAR, text)), 15))::BIGINT) AS digest, count(*) BETWEEN 8 AND 20000 AS accepted FROM documents GROUP BY lang""",
     "system_reports": f"""WITH {PREDICTIONS}, gold AS (SELECT receipt, field, raw_text AS gold FROM predictions WHERE system_id = 'exact'),
+reasons AS (SELECT system_id, field, count(*) FILTER (contains(raw_text, '.')) AS k FROM scored GROUP BY 1, 2),
 t AS (SELECT system_id, field, state, {norm("raw_text")} AS a, {norm("gold")} AS b FROM scored JOIN gold USING (receipt, field)), u AS (SELECT *, {similarity("a", "b")} AS sim FROM t),
 s AS (SELECT system_id, field, count(*) FILTER (state = 'present_usable') AS usable, avg((a = b)::INT) FILTER (state = 'present_usable') AS text_em, avg(CASE WHEN sim >= 0.5 THEN sim ELSE 0 END) FILTER (state = 'present_usable') AS anls FROM u GROUP BY 1, 2)
 SELECT system_id, field, usable, round(text_em, 9) AS text_em, round(anls, 9) AS anls, {counts("parse_status")} AS prediction_states, {counts("parse_status", "state = 'present_usable'")} AS states_on_usable, {counts("state")} AS reference_states,
-  CASE WHEN usable = 0 THEN 'not-measurable' WHEN usable >= 50 THEN 'measured' ELSE 'measured-small-sample' END AS verdict FROM s""",
+  CASE WHEN usable = 0 THEN 'not-measurable' WHEN usable >= 50 THEN 'measured' ELSE 'measured-small-sample' END AS verdict, (SELECT CASE WHEN k > 0 THEN 'separator_grammar=' || k ELSE '' END FROM reasons r WHERE r.system_id = s.system_id AND r.field = s.field) AS failure_reasons FROM s""",
     "training_examples": f"""WITH {ALIGNED}, o AS (SELECT a.*, state FROM aligned a JOIN refs USING (receipt, field)),
 k AS (SELECT *, CASE WHEN state <> 'present_usable' THEN state ELSE status END AS why, count(*) FILTER (state = 'present_usable' AND status = 'aligned') OVER (PARTITION BY receipt ORDER BY field ROWS UNBOUNDED PRECEDING) AS n FROM o),
 z AS (SELECT *, CASE WHEN why = 'aligned' AND n > 2 THEN 'per_receipt_ceiling' ELSE why END AS outcome FROM k)

@@ -84,9 +84,12 @@ def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def system_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-05, AGG-19: text EM, ANLS, counts of states and a verdict per system and field."""
+    """AGG-05, AGG-19: text EM, ANLS, counts of states and of reasons against one amount policy, and a verdict per system and field."""
     known = adapters.receipts(spark, sf_dir).select("receipt", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), adapters.grouped(F.col(f.removesuffix("_amount")), F.col("style")).alias("known_text")) for f in FIELDS])))
-    return base.r9(metrics.system_report(base._scored(spark, sf_dir).join(known, ["receipt", "field"])), "text_em", "anls")
+    scored = base._scored(spark, sf_dir)
+    reason = amounts.amount(F.col("raw_text"), "dot_decimal_comma_grouping")["reason"]
+    reasons = metrics.failure_reasons(scored.select("system_id", "field", F.array_compact(F.array(reason)).alias("reasons")))
+    return base.r9(metrics.system_report(scored.join(known, ["receipt", "field"])).join(reasons, ["system_id", "field"]), "text_em", "anls")
 
 
 @query

@@ -333,3 +333,15 @@ def test_a_plan_that_binds_its_words_once(spark):
     assert plan.count("split(") == 1
     plan = QUERIES["system_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") <= 4
+
+
+def test_reasons_are_counted_by_system_and_field(spark):
+    rows = [("a", "f", ["x", "y"]), ("a", "f", ["x"]), ("a", "f", []), ("a", "g", None), ("b", "f", ["y", "y"])]
+    got = metrics.failure_reasons(spark.createDataFrame(rows, "system_id string, field string, reasons array<string>"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "f", "x=2; y=1"), ("a", "g", ""), ("b", "f", "y=2")]
+
+
+def test_ocr_report(spark):
+    rows = [("t", "ok", 5, True), ("t", "ok", 2001, False), ("t", "ocr_error", 0, False), ("u", "ocr_empty", 0, True), (None, "image_error", 0, False)]
+    got = {r["role"]: tuple(r)[1:] for r in metrics.ocr_report(spark.createDataFrame(rows, "role string, status string, n_tokens int, cached boolean"), "role").collect()}
+    assert got == {"t": (3, 2, 0, 0, 1, 0, 1, 1, 5, 2001), "u": (1, 0, 1, 0, 0, 0, 0, 1, 0, 0), None: (1, 0, 0, 0, 0, 1, 0, 0, 0, 0)}
