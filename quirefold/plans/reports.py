@@ -307,7 +307,7 @@ def exported_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{files.shared_folder(spark)}/references-{uuid.uuid4().hex}"
     for batch in ("even", "odd", "even"):
         files.export_batch(r.where(F.col("receipt") % 2 == int(batch == "odd")), path, batch)
-    return files.read_export(spark, path, r.schema.simpleString().removeprefix("struct<").removesuffix(">"), "source_audit", ["role0", "role2"])
+    return files.read_export(spark, path, r.schema, "source_audit", ["role0", "role2"])
 
 
 # -- small reports ----------------------------------------------------------------------------------

@@ -235,7 +235,7 @@ def export_batch(df: DataFrame, path: str, batch: str) -> bool:
     return True
 
 
-def read_export(spark: SparkSession, path: str, schema: str, purpose: str, roles: list[str] | None = None) -> DataFrame:
+def read_export(spark: SparkSession, path: str, schema: T.StructType | str, purpose: str, roles: list[str] | None = None) -> DataFrame:
     """SRC-25, SNK-09: the committed rows of an export set, of some roles only if given, with a line in its log of reads: purpose, roles, count.
 
     An undeclared purpose is refused before anything is read, files that no longer have the bytes and digest of the
