@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import extended, in_arrow, named
@@ -78,36 +81,74 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return in_arrow(docs.select(named(key), named(text)), lengths, extended(docs, [key], "n_bytes long, n_tokens long, over_limit boolean"))
 
 
+#: The steps before the model that leave a word of small Latin-1 letters as it is, one pre-token of byte letters.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def word_model(full):
+    """The model of a tokenizer alone, for byte_letters() of words of small Latin-1 letters between spaces; None if its other steps may change such words."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    steps = [json.loads(x.__getstate__()) if x else {} for x in (full.normalizer, full.pre_tokenizer)]
+    normal, splits = steps[0].get("normalizers", []), steps[1].get("pretokenizers", [])
+    if [x["type"] for x in normal] != _NORMAL or normal[1]["pattern"] != {"Regex": "\\s+"} or [x["type"] for x in splits] != ["Split", "ByteLevel"]:
+        return None
+    split, letters = splits
+    if split["pattern"] != {"Regex": _SPLIT} or (split["behavior"], split["invert"]) != ("Removed", True) or letters["add_prefix_space"] or letters["use_regex"] or full.post_processor:
+        return None
+    model = Tokenizer(full.model)
+    model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return model
+
+
+def byte_letters(words: str) -> str:
+    """Small Latin-1 letters and spaces with each UTF-8 byte as the letter that byte-level models have for it."""
+    return words.encode().decode("latin-1").replace("\x9f", "Ł").replace("\xa0", "ł").replace("\xad", "Ń")
+
+
 class ChunkIds:
     """Token ids of texts by way of the chunks between spaces and line feeds, which no token of a word-end BPE spans.
 
-    The ids of a chunk are kept, up to ``most`` chunks. Unknown chunks go through the tokenizer itself: Latin-1 words
-    joined and told apart by the ids that end a word, a word with marks behind it as two parts, others one by one.
-    Latin-1 texts are lower-cased before, as the tokenizer does later, which leaves fewer chunks.
+    The ids of a chunk are kept, up to ``most`` chunks: when half as many are new or were met again since the last time,
+    all others are forgotten. Unknown chunks go through the tokenizer itself: Latin-1 words joined and told apart by the
+    ids that end a word (by its model alone where no other step changes them), a word with marks behind it as two parts,
+    others one by one. Latin-1 texts are lower-cased before, as the tokenizer does later, which leaves fewer chunks.
     """
 
-    WORD = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+    WORD, MARKS = re.compile(r"[a-zß-öø-ÿ]+"), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, most: int = 300_000):
         self.encode = tokenizer(path).encode_batch_fast
         vocab = tokenizer(path).get_vocab()
         self.ends = {i for w, i in vocab.items() if w.endswith("</w>")}
-        self.most, self.known = most, {}
+        self.model = word_model(tokenizer(path))
+        self.most, self.known, self.before = most, {}, {}
+
+    def word_ids(self, words: list[str]) -> list[int]:
+        """The ids of small Latin-1 words, one after another."""
+        joined = " ".join(words)
+        if self.model:
+            return self.model.encode_batch_fast([byte_letters(joined)], add_special_tokens=False)[0].ids
+        return self.encode([joined], add_special_tokens=False)[0].ids
 
     def learn(self, chunks: set[str]) -> None:
-        known, match, parts, other = self.known, self.WORD.fullmatch, [], []
+        known, match, marks, own, parts, other = self.known, self.WORD.fullmatch, self.MARKS, set(), [], []
         for c in chunks:
-            if m := match(c):
-                parts.append((c, *m.groups()))
+            word = c.rstrip(marks)
+            if match(word):
+                own.add(word)
+                if len(word) < len(c):
+                    parts.append((c, word, c[len(word) :]))
             else:
                 other.append(c)
-        other += {tail for _, _, tail in parts if tail not in known and tail not in chunks}
+        other += {tail for _, _, tail in parts}.difference(known, other)
         for w, e in zip(other, self.encode(other, add_special_tokens=False)):
             known[w] = struct.pack(f"<{len(e)}I", *e.ids)
-        words = list({word for _, word, _ in parts if word not in known})
-        for at in range(0, len(words), 2000):
-            group = words[at : at + 2000]
-            ids = self.encode([" ".join(group)], add_special_tokens=False)[0].ids
+        words = list(own.difference(known))
+        for at in range(0, len(words), 500):
+            group = words[at : at + 500]
+            ids = self.word_ids(group)
             raw = struct.pack(f"<{len(ids)}I", *ids)
             stops = [4 * i + 4 for i, x in enumerate(ids) if x in self.ends]
             if len(stops) != len(group):  # a word without an end, or with several: one by one
@@ -119,11 +160,11 @@ class ChunkIds:
                 known[w] = raw[start:stop]
                 start = stop
         for c, word, tail in parts:
-            if tail:
-                known[c] = known[word] + known[tail]
+            known[c] = known[word] + known[tail]
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
+    def spaced(text: str) -> str:
+        """The text with its chunks between single spaces."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -131,17 +172,28 @@ class ChunkIds:
         else:
             if "<|" not in text:
                 text = text.lower()
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ")
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         for at in range(0, len(texts), 200):
-            part = [self.chunks(x) for x in texts[at : at + 200]]
-            if len(self.known) > self.most:
-                self.known.clear()
-            known = self.known
-            if new := {c for c in set().union(*part) if c not in known}:
-                self.learn(new)
-            get = known.__getitem__
-            for c in part:
-                yield b"".join(map(get, c))
+            parts = pc.split_pattern(pa.array(map(self.spaced, texts[at : at + 200]), pa.large_string()), " ")
+            coded = pc.list_flatten(parts).dictionary_encode()
+            chunks, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+            if len(self.known) > self.most // 2:
+                self.known, self.before = {}, self.known
+            known, before = self.known, self.before
+            if new := set(chunks).difference(known):
+                again = [c for c in new if c in before]
+                known.update(zip(again, map(before.__getitem__, again)))
+                if new := new.difference(again):
+                    self.learn(new)
+            own = [known[c] for c in chunks]
+            ids = np.frombuffer(b"".join(own), np.uint32)
+            lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            n = lengths[codes]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            raw = ids[np.arange(ends[-1]) + np.repeat((np.cumsum(lengths) - lengths)[codes] - ends[:-1], n)].tobytes()
+            stops = (ends[parts.offsets.to_numpy()] * 4).tolist()
+            for start, stop in zip(stops, stops[1:]):
+                yield raw[start:stop]
