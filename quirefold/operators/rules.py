@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.amounts import DEFAULT_POLICY, LIKELY, MARKER, amount
+from ..functions.amounts import DEFAULT_POLICY, LIKELY, MARKER, amount, normalized
 from ..functions.binding import let
 from ..functions.geometry import clip, overlap_share, union_box
 from ..functions.text import key_text, nfkc
@@ -145,7 +147,7 @@ def rule_extract(tokens: DataFrame, rules: DataFrame, fields: list[str], policy:
 
         return let(own, best)
 
-    out = picked.select("receipt", F.inline(F.array(*map(field_result, fields))))
+    out = picked.select("receipt", F.inline_outer(F.array(*map(field_result, fields))))
     if failures is None:
         return out
     refused = failures.select("receipt", "failure", F.explode(F.array(*map(F.lit, fields))).alias("field"))
@@ -162,24 +164,61 @@ def align(tokens: DataFrame, regions: DataFrame, policy: str = DEFAULT_POLICY) -
     stays. One span is aligned, more are ambiguous_alignment, none is target_not_recoverable_from_ocr; a reference that
     is not usable gives no_usable_reference.
     """
-    lines = tokens.groupBy("receipt", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "box"))).alias("w"))
-    runs = lines.select("receipt", "line", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))
-    runs = runs.select("receipt", "line", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size("w") - F.col("start")))).alias("n"), "w")
-    part = F.slice("w", F.col("start") + 1, F.col("n"))
-    runs = runs.where(F.array_join(F.transform(part, lambda x: x["text"]), " ").rlike(LIKELY))  # before the costly parts
-    runs = runs.select("receipt", "line", "start", (F.col("start") + F.col("n") - 1).alias("end"), union_box(F.transform(part, lambda x: x["box"])).alias("at"), amount(F.array_join(F.transform(part, lambda x: x["text"]), " "), policy).alias("a"))
-    runs = runs.where("a.parse_status = 'ok'").select("receipt", "line", "start", "end", "at", F.col("a.normalized_amount").alias("normalized_amount"))
-    inside = F.exists("boxes", lambda r: overlap_share(F.col("at"), r) >= LEAST_SHARE)
-    met = runs.join(regions.where("state = 'present_usable'"), ["receipt", "normalized_amount"]).where(inside)
-    spans = met.groupBy("receipt", "field").agg(F.collect_set(F.struct("line", "start", "end")).alias("s"))
-    least = F.filter("s", lambda a: ~F.exists("s", lambda b: (a["line"] == b["line"]) & (a["start"] <= b["start"]) & (b["end"] <= a["end"]) & (b != a)))
-    found = spans.select("receipt", "field", F.array_sort(least).alias("s"))
-    n = F.coalesce(F.size("s"), F.lit(0))
-    only = F.when(F.size("s") == 1, F.col("s")[0])
-    status = F.when(F.col("state") != "present_usable", "no_usable_reference").when(n == 0, "target_not_recoverable_from_ocr").when(n == 1, "aligned").otherwise("ambiguous_alignment")
-    return regions.select("receipt", "field", "state").join(found, ["receipt", "field"], "left").select(
-        "receipt", "field", status.alias("status"), n.alias("spans"), only["line"].alias("line"), only["start"].alias("start"), only["end"].alias("end")
-    )
+    words = F.array_sort(F.collect_list(F.struct("pos", "text", "box"))).alias("words")
+    lines = tokens.groupBy("receipt", "line").agg(words).groupBy("receipt").agg(F.array_sort(F.collect_list(F.struct("line", "words"))).alias("lines"))
+    wanted = regions.groupBy("receipt").agg(F.collect_list(F.struct("field", "state", "normalized_amount", "boxes")).alias("regions"))
+    found = aligned(F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)), F.col("regions"), policy)
+    return wanted.join(lines, "receipt", "left").select("receipt", F.inline_outer(found)).where("status is not null").select("receipt", "field", "status", "spans", "line", "start", "end")
+
+
+def aligned(lines: Column, regions: Column, policy: str = DEFAULT_POLICY, box: Callable[[Column, Column], Column] = lambda line, word: word["box"]) -> Column:
+    """align() within a row: an array of struct(field, state, status, spans, line, start, end), one for each region.
+
+    lines: array of struct(line, words), words of struct(text, ...) whose box is box(line, word); regions: array of
+    struct(field, state, normalized_amount, boxes). A run has its amount's digits in one word, as amounts hold no space:
+    lines where no word has the digits of a region's amount have no span, and are left before any run is spelled out.
+    """
+    digits = lambda c: F.translate(c, ".,", "")
+    usable = lambda r: r["state"] == "present_usable"
+
+    def shows(line: Column, wanted: Column) -> Column:
+        return F.exists(F.transform(line["words"], lambda w: digits(w["text"])), lambda x: F.exists(wanted, lambda d: F.contains(x, d)))
+
+    def spelled(line: Column) -> Column:
+        w = line["words"]
+
+        def run(i: Column, n: Column) -> Column:
+            part = F.slice(w, i + 1, n)
+            return F.struct(line["line"].alias("line"), i.alias("start"), (i + n - 1).alias("end"), part.alias("part"), F.array_join(F.transform(part, lambda x: x["text"]), " ").alias("said"))
+
+        return F.flatten(F.transform(w, lambda _, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size(w) - i)), lambda n: run(i, n))))
+
+    def read(run: Column) -> Column:
+        at = let(F.transform(run["part"], lambda w: box(run["line"], w)), union_box)
+        return F.struct(F.struct(run["line"].alias("line"), run["start"].alias("start"), run["end"].alias("end")).alias("span"), at.alias("at"), normalized(run["said"], policy).alias("value"))
+
+    def nested(a: Column, b: Column) -> Column:
+        return (a["line"] == b["line"]) & (a["start"] <= b["start"]) & (b["end"] <= a["end"]) & (b != a)
+
+    def judged(r: Column, runs: Column) -> Column:
+        own = F.filter(runs, lambda x: usable(r) & (x["value"] == r["normalized_amount"]) & F.exists(r["boxes"], lambda b: overlap_share(x["at"], b) >= LEAST_SHARE))
+        return let(F.transform(own, lambda x: x["span"]), lambda s: let(F.filter(s, lambda a: ~F.exists(s, lambda b: nested(a, b))), lambda least: result(r, least)))
+
+    def result(r: Column, s: Column) -> Column:
+        n = F.size(s)
+        only = F.when(n == 1, F.get(s, F.lit(0)))
+        status = F.when(~usable(r), "no_usable_reference").when(n == 0, "target_not_recoverable_from_ocr").when(n == 1, "aligned").otherwise("ambiguous_alignment")
+        return F.struct(
+            r["field"].alias("field"), r["state"].alias("state"), status.alias("status"), n.alias("spans"), only["line"].alias("line"), only["start"].alias("start"), only["end"].alias("end")
+        )
+
+    def spans(asked: Column) -> Column:
+        wanted = F.transform(F.filter(asked, usable), lambda r: digits(r["normalized_amount"]))
+        some = let(wanted, lambda d: F.filter(lines, lambda line: shows(line, d)))
+        likely = F.filter(F.flatten(F.transform(some, spelled)), lambda run: run["said"].rlike(LIKELY))  # before the costly parts
+        return let(F.transform(likely, read), lambda runs: F.transform(asked, lambda r: judged(r, runs)))
+
+    return let(regions, spans)
 
 
 def recoverability(state: Column, ocr_status: Column, alignment: Column) -> Column:
@@ -268,14 +307,22 @@ def training_examples(aligned: DataFrame, fields: list[str], most: int = 4, n_qu
     (n_answer), or per_receipt_ceiling behind the first ``most`` examples of a receipt, in
     the order of fields. line, start and end are null without an example.
     """
-    order = F.array_position(F.array(*map(F.lit, fields)), F.col("field"))
-    why = F.when(F.col("state") != "present_usable", F.col("state")).when(F.col("status") != "aligned", F.col("status"))
-    why = why.when(window_count(F.lit(n_question), F.col("n_tokens")) != 1, "training_window_limit")
-    if "n_answer" in aligned.columns:
-        why = why.when(~F.coalesce(F.col("n_answer").between(1, longest), F.lit(False)), "answer_token_limit")
-    why = why.otherwise("aligned")
-    row = F.struct(order.alias("order"), "field", why.alias("why"), "line", "start", "end")
-    rows = aligned.groupBy("receipt").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # a receipt has few fields
+    names = ["field", "state", "status", "line", "start", "end", "n_tokens", *[c for c in aligned.columns if c == "n_answer"]]
+    rows = aligned.groupBy("receipt").agg(F.collect_list(F.struct(*names)).alias("rows"))  # a receipt has few fields
+    examples = receipt_examples(F.col("rows"), fields, most, n_question, longest, "n_answer" in names)
+    return rows.select("receipt", F.inline_outer(examples)).where("outcome is not null")
+
+
+def receipt_examples(rows: Column, fields: list[str], most: int = 4, n_question: int = 12, longest: int = LONGEST, counted: bool = False) -> Column:
+    """training_examples() of one receipt from an array of its fields: an array of struct(field, outcome, line, start, end). counted: they have n_answer."""
+
+    def row(x: Column) -> Column:
+        why = F.when(x["state"] != "present_usable", x["state"]).when(x["status"] != "aligned", x["status"])
+        why = why.when(window_count(F.lit(n_question), x["n_tokens"]) != 1, "training_window_limit")
+        if counted:
+            why = why.when(~F.coalesce(x["n_answer"].between(1, longest), F.lit(False)), "answer_token_limit")
+        order = F.array_position(F.array(*map(F.lit, fields)), x["field"])
+        return F.struct(order.alias("order"), x["field"].alias("field"), why.otherwise("aligned").alias("why"), *[x[c].alias(c) for c in ("line", "start", "end")])
 
     def outcome(x: Column, before: Column) -> Column:
         late = (x["why"] == "aligned") & (F.size(F.filter(before, lambda y: y["why"] == "aligned")) >= most)
@@ -283,7 +330,7 @@ def training_examples(aligned: DataFrame, fields: list[str], most: int = 4, n_qu
         shown = [F.when(said == "aligned", x[c]).alias(c) for c in ("line", "start", "end")]
         return F.struct(x["field"].alias("field"), said.alias("outcome"), *shown)
 
-    return rows.select("receipt", F.inline(F.transform("rows", lambda x, i: outcome(x, F.slice(F.col("rows"), F.lit(1), i)))))
+    return let(F.array_sort(F.transform(rows, row)), lambda r: F.transform(r, lambda x, i: outcome(x, F.slice(r, F.lit(1), i))))
 
 
 def reading_order(tokens: DataFrame) -> DataFrame:
