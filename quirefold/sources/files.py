@@ -169,10 +169,10 @@ def strict_json(path: str) -> object:
         return json.load(f, object_pairs_hook=unique, parse_constant=refuse)
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    """SNK-01: JSON lines in the fixed order of keys; null keys are left out."""
+def write_records(df: DataFrame, path: str, **limits: int) -> None:
+    """SNK-01: JSON lines in the fixed order of keys; null keys are left out. limits: options of the writer, as maxRecordsPerFile."""
     order = [c for c in T.StructType.fromDDL(RECORD).names if c in df.columns]
-    df.select(*order, *[c for c in df.columns if c not in order]).write.option("ignoreNullFields", "true").json(path)
+    df.select(*order, *[c for c in df.columns if c not in order]).write.option("ignoreNullFields", "true").options(**limits).json(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -214,12 +214,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/{spark.sparkContext.applicationId}" if at else tempfile.mkdtemp(prefix="spark-")
 
 
-def export_batch(df: DataFrame, path: str, batch: str) -> bool:
+#: Rows of a file of an export, fewer if these have more bytes: whoever digests a file holds all of it.
+FILE_ROWS, FILE_BYTES = 100_000, 32 << 20
+
+
+def export_batch(df: DataFrame, path: str, batch: str, file_rows: int = FILE_ROWS, file_bytes: int = FILE_BYTES) -> bool:
     """SNK-01, SNK-04: add df to the export set at path as JSON lines, with a manifest of digests as commit record.
 
     The files of a batch go to a folder of their own; then one line for each, with bytes and SHA-256, is appended to the
     manifest in one write. Readers go by the manifest, so what an aborted job leaves is never read. A batch is taken
     once: if the manifest has it, nothing is written and False is returned. Batches of one set must come one at a time.
+    A file has at most ``file_rows`` rows; if one has more than ``file_bytes`` bytes, all are written again with fewer.
     """
     spark = df.sparkSession
     if not re.fullmatch(r"[A-Za-z0-9_.:-]{1,64}", batch):
@@ -228,8 +233,15 @@ def export_batch(df: DataFrame, path: str, batch: str) -> bool:
     if known is not None and not known.where(F.col("batch") == batch).isEmpty():
         return False
     folder = f"data/{batch.replace(':', '_')}-{uuid.uuid4().hex}"
-    write_records(df, f"{path}/{folder}")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{path}/{folder}")
+    write_records(df, f"{path}/{folder}", maxRecordsPerFile=file_rows)
+    written = lambda: spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{path}/{folder}")
+    while (largest := written().agg(F.max("length")).first()[0] or 0) > file_bytes and file_rows > 1:  # contents are not read for it
+        large, folder = f"{path}/{folder}", f"data/{batch.replace(':', '_')}-{uuid.uuid4().hex}"
+        file_rows = max(1, min(file_rows // 2, file_rows * file_bytes // largest))
+        write_records(spark.read.schema(df.schema).json(large), f"{path}/{folder}", maxRecordsPerFile=file_rows)
+        at = spark._jvm.org.apache.hadoop.fs.Path(large)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    files = written()
     listed = files.select(F.lit(batch).alias("batch"), F.lit(folder).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     listed.coalesce(1).write.mode("append").json(f"{path}/manifest")  # a line a file
     return True

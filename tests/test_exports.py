@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from quirefold.plans import reports
 from quirefold.sources import files
 
 SCHEMA = "k long, role string, v string"
@@ -61,3 +62,20 @@ def test_rows_at_places(spark, tmp_path):
     assert files.rows_at(spark, path, asked.where("false"), ["id"]).count() == 0
     plan = files.rows_at(spark, path, asked, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint" in plan and ",x:bigint" not in plan and "Window" not in plan and "Sort " not in plan
+
+
+def test_files_of_an_export_are_small(spark, tmp_path):
+    path = str(tmp_path / "set")
+    df = spark.range(100).select(F.col("id").alias("k"), F.lit("a").alias("role"), F.repeat(F.lit("x"), (F.col("id") % 7 * 100).cast("int")).alias("v")).coalesce(1)
+    assert files.export_batch(df, path, "rows", file_rows=30) and files.export_batch(df, path, "bytes", file_rows=30, file_bytes=4000)
+    sizes = {r.batch: (r.n, r.most) for r in spark.read.json(f"{path}/manifest").groupBy("batch").agg(F.count("*").alias("n"), F.max("bytes").alias("most")).collect()}
+    assert sizes["rows"][0] == 4 and sizes["rows"][1] > 4000 and sizes["bytes"][1] <= 4000
+    assert len(list((tmp_path / "set" / "data").iterdir())) == 2
+    assert rows(files.read_export(spark, path, SCHEMA, "source_audit")) == rows(df.union(df))
+
+
+def test_places_go_on_through_the_parts_of_a_source(spark, tmp_path):
+    d = spark.range(0, 300, 1, 3).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in reports.rows_by_place(spark, str(tmp_path)).collect())
+    assert got == [("documents.parquet", k, k < 300, k if k < 300 else None, "en" if k < 300 else None) for k in range(0, 299 + 61, 41)]
