@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.amounts import DEFAULT_POLICY, LIKELY, MARKER, amount, normalized
+from ..functions.amounts import DEFAULT_POLICY, LIKELY, MARKER, amount, is_amount, normalized
 from ..functions.binding import let
 from ..functions.geometry import clip, overlap_share, union_box
 from ..functions.text import key_text, nfkc
@@ -24,6 +24,12 @@ def phrase_counts(tokens: DataFrame, ascii_only: bool = False) -> DataFrame:
     return lines.groupBy(F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("phrase"), "category").agg(F.count("*").alias("n"))
 
 
+def line_phrase_counts(lines: DataFrame) -> DataFrame:
+    """phrase_counts() of lines (category, keys: the ASCII words of a line that are its printed key, in order), without gathering them."""
+    phrase = F.array_join(F.filter(F.transform("keys", lambda t: key_text(t, True)), lambda t: t != ""), " ")
+    return lines.groupBy(phrase.alias("phrase"), "category").agg(F.count("*").alias("n")).where("phrase <> ''")
+
+
 def derive_keywords(counts: DataFrame, fields: dict[str, str], support: int = 3, purity: float = 0.8) -> DataFrame:
     """RUL-01, TOP-11: field, phrase, support, purity of phrases that mostly label a field's category; ties go to the smaller category."""
     best = counts.groupBy("phrase").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("m"), "category")).alias("b"))
@@ -67,9 +73,42 @@ def phrase_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     met = starts.select("receipt", "at", "start", "x.*").where("t <> ''").join(book, "t").where(F.slice("rest", F.lit(1), F.size("parts")) == F.col("parts"))
     hit = F.struct("at", "rank", "start", (F.col("start") + F.size("parts") - 1).alias("end"), "field")
     found = met.groupBy("receipt").agg(F.array_sort(F.collect_list(hit)).alias("c"))
+    return found.select("receipt", _taken(F.col("c")).alias("hits"))
+
+
+def _taken(candidates: Column) -> Column:
+    """Of sorted candidates those that overlap none before them."""
     overlaps = lambda a, b: (a["at"] == b["at"]) & (a["start"] <= b["end"]) & (b["start"] <= a["end"])
-    taken = F.aggregate("c", F.slice("c", 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x)), kept).otherwise(F.array_append(kept, x)))
-    return found.select("receipt", taken.alias("hits"))
+    return F.aggregate(candidates, F.slice(candidates, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x)), kept).otherwise(F.array_append(kept, x)))
+
+
+#: Buckets of a phrase book, by a hash of the first word.
+BUCKETS = 64
+
+
+def phrase_book(rules: DataFrame) -> Column:
+    """Key phrases as one value for all rows: an array of BUCKETS arrays of struct(parts, rank, field). A catalogue is small beside what it is matched with."""
+    parts = F.split("phrase", " ")
+    rank = F.struct((-F.size(parts)).alias("n"), (-F.col("support")).alias("s"), "field", "phrase")
+    bucket = F.pmod(F.xxhash64(F.get(parts, F.lit(0))), F.lit(BUCKETS)).alias("bucket")
+    own = rules.groupBy(bucket).agg(F.collect_list(F.struct(parts.alias("parts"), rank.alias("rank"), "field")).alias("phrases"))
+    none = F.array().cast(own.schema["phrases"].dataType)
+    found = own.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "phrases"))).alias("book"))
+    return found.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long")), lambda k: F.coalesce(F.element_at("book", k), none)).alias("book")).scalar()
+
+
+def row_hits(lines: Column, book: Column) -> Column:
+    """The hits of phrase_hits() within a row of lines (line, words of ASCII texts), by a phrase_book()."""
+
+    def at_word(ts: Column, at: Column, t: Column, i: Column) -> Column:
+        met = F.filter(F.get(book, F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")), lambda p: (t != "") & (F.slice(ts, i + 1, F.size(p["parts"])) == p["parts"]))
+        return F.transform(met, lambda p: F.struct(at.alias("at"), p["rank"].alias("rank"), i.alias("start"), (i + F.size(p["parts"]) - 1).alias("end"), p["field"].alias("field")))
+
+    def on_line(line: Column, at: Column) -> Column:
+        read = F.transform(line["words"], lambda w: F.coalesce(key_text(w["text"], True), F.lit("")))
+        return let(read, lambda ts: F.flatten(F.transform(ts, lambda t, i: at_word(ts, at, t, i))))
+
+    return let(F.array_sort(F.flatten(F.transform(lines, on_line))), _taken)
 
 
 def amounts_right(words: Column, after: Column) -> Column:
@@ -99,20 +138,46 @@ def rule_extract(tokens: DataFrame, rules: DataFrame, fields: list[str], policy:
     reason. All words of a receipt are in one row; texts are NFKC unless they are known to be ASCII.
     """
     lines = token_lines(tokens, policy, ascii_only)
-    rows = lines.join(phrase_hits(lines, rules), "receipt", "left")
+    out = extracted(lines.join(phrase_hits(lines, rules), "receipt", "left"), fields, policy)
+    if failures is None:
+        return out
+    none = F.array().cast("array<int>")
+    refused = failures.select("receipt", "failure", F.explode(F.array(*map(F.lit, fields))).alias("field"))
+    empty = {"parse_status": F.lit("failed"), "reasons": F.array("failure"), "token_ids": none, "key_token_ids": none, "candidate_count": F.lit(0), "candidate_token_ids": F.array().cast("array<array<int>>")}
+    failed = refused.select(*[empty.get(c, F.col(c) if c in ("receipt", "field") else F.lit(None).cast(out.schema[c].dataType)).alias(c) for c in out.columns])
+    return out.join(failures.select("receipt"), "receipt", "left_anti").unionByName(failed)
+
+
+def spelled_words(lines: Column, at: Column, box: Callable[[Column, Column], Column], confidence: Callable[[Column, Column], Column], policy: str = DEFAULT_POLICY) -> Column:
+    """The words of the line at a place of lines (line, words of struct(pos, text)) with what token_lines() tells of them but t, for ASCII texts."""
+    first = F.aggregate(F.slice(lines, F.lit(1), at), F.lit(0), lambda n, x: n + F.size(x["words"]))
+
+    def word(line: Column, w: Column, i: Column) -> Column:
+        is_ok = F.when(w["text"].rlike(LIKELY), is_amount(w["text"], policy)).otherwise(F.lit(False))
+        mark = F.coalesce(F.concat(F.trim(w["text"]), F.lit(" ")).rlike(f"{MARKER}$"), F.lit(False))
+        return F.struct(w["text"].alias("text"), box(line, w).alias("box"), confidence(line, w).alias("confidence"), is_ok.alias("ok"), mark.alias("mark"), (first + i).alias("id"))
+
+    return let(F.get(lines, at), lambda line: F.transform(line["words"], lambda w, i: word(line, w, i)))
+
+
+def extracted(rows: DataFrame, fields: list[str], policy: str = DEFAULT_POLICY, words_at: Callable[[Column], Column] = lambda at: F.get(F.col("lines"), at)["words"], keep: tuple[str, ...] = ()) -> DataFrame:
+    """rule_extract() of rows (receipt, lines, hits), with their columns keep; words_at(place) gives the words of a line, which few lines are asked for."""
 
     def judged(h: Column) -> Column:
-        words, under = F.get(F.col("lines"), h["at"])["words"], F.get(F.col("lines"), h["at"] + 1)["words"]
+        return let(words_at(h["at"]), lambda words: on_line(h, words))
+
+    def on_line(h: Column, words: Column) -> Column:
         key = F.slice(words, h["start"] + 1, h["end"] - h["start"] + 1)
         side = lambda w, i, f: f(F.transform(w, lambda x: x["box"][i]))
-        top, bottom = side(key, 1, F.array_min), side(key, 3, F.array_max)
-        drop = side(under, 1, F.array_min) - bottom
-        near = (drop >= 0) & (drop <= GAP * (bottom - top))
-        same = amounts_right(words, h["end"])
+
+        def below(under: Column) -> Column:
+            top, bottom = side(key, 1, F.array_min), side(key, 3, F.array_max)
+            drop = side(under, 1, F.array_min) - bottom
+            return F.when((drop >= 0) & (drop <= GAP * (bottom - top)), amounts_right(under, F.lit(-1)))
 
         def chosen(own: Column) -> Column:
             level = F.when(own.isNotNull(), 0).otherwise(1)
-            span = F.coalesce(own, F.when(near, amounts_right(under, F.lit(-1))))
+            span = F.coalesce(own, let(words_at(h["at"] + 1), below))
             return let(span, lambda x: F.when(x.isNotNull(), found(x, level)))
 
         def found(x: Column, level: Column) -> Column:
@@ -120,12 +185,12 @@ def rule_extract(tokens: DataFrame, rules: DataFrame, fields: list[str], policy:
             sure = F.forall(used, lambda c: c.isNotNull() & ~F.isnan(c) & c.between(0, 100))
             return F.struct(
                 F.struct(h["rank"].alias("rank"), level.alias("level")).alias("rank"), h["at"].alias("at"), h["start"].alias("start"), h["field"].alias("field"), x["raw"].alias("raw"),
-                amount(x["raw"], policy)["normalized_amount"].alias("value"), F.when(sure, F.array_min(used) / 100).alias("score"), x["ids"].alias("ids"), F.transform(key, lambda k: k["id"]).alias("key_ids"),
+                normalized(x["raw"], policy).alias("value"), F.when(sure, F.array_min(used) / 100).alias("score"), x["ids"].alias("ids"), F.transform(key, lambda k: k["id"]).alias("key_ids"),
             )
 
-        return let(same, chosen)
+        return let(amounts_right(words, h["end"]), chosen)
 
-    picked = rows.select("receipt", F.filter(F.transform("hits", judged), lambda x: x.isNotNull()).alias("picked"))
+    picked = rows.select("receipt", *keep, F.filter(F.transform("hits", judged), lambda x: x.isNotNull()).alias("picked"))
     none = F.array().cast("array<int>")
 
     def field_result(field: str) -> Column:
@@ -147,13 +212,7 @@ def rule_extract(tokens: DataFrame, rules: DataFrame, fields: list[str], policy:
 
         return let(own, best)
 
-    out = picked.select("receipt", F.inline_outer(F.array(*map(field_result, fields))))
-    if failures is None:
-        return out
-    refused = failures.select("receipt", "failure", F.explode(F.array(*map(F.lit, fields))).alias("field"))
-    empty = {"parse_status": F.lit("failed"), "reasons": F.array("failure"), "token_ids": none, "key_token_ids": none, "candidate_count": F.lit(0), "candidate_token_ids": F.array().cast("array<array<int>>")}
-    failed = refused.select(*[empty.get(c, F.col(c) if c in ("receipt", "field") else F.lit(None).cast(out.schema[c].dataType)).alias(c) for c in out.columns])
-    return out.join(failures.select("receipt"), "receipt", "left_anti").unionByName(failed)
+    return picked.select("receipt", *keep, F.inline_outer(F.array(*map(field_result, fields))))
 
 
 def align(tokens: DataFrame, regions: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:

@@ -52,3 +52,15 @@ def test_alignment_of_long_receipts(spark, long_receipts):
     regions = adapters.references(spark, long_receipts).join(boxes, ["receipt", "field"])
     columns = ["receipt", "field", "status", "spans", "line", "start", "end"]
     assert rows(queries.span_alignment(spark, long_receipts).select(columns)) == rows(rules.align(t, regions).select(columns))
+
+
+def test_rules_read_each_table_once_for_the_book_and_once_for_the_rows(spark):
+    assert scans(queries.rule_extraction(spark, SF)) <= 4 and scans(queries.rule_scores(spark, SF)) <= 4
+
+
+def test_rules_on_long_receipts(spark, long_receipts):
+    t = adapters.receipt_tokens(spark, long_receipts)
+    book = rules.derive_keywords(rules.phrase_counts(t, ascii_only=True), adapters.CATEGORY)
+    want = rules.rule_extract(t, book, list(adapters.FIELDS), ascii_only=True)
+    columns = ["receipt", "field", "parse_status", "raw_text", "normalized_amount", "span_score", "token_ids", "key_token_ids", "candidate_count", "candidate_token_ids"]
+    assert rows(queries._extracted(spark, long_receipts).select(columns)) == rows(want.select(columns))
