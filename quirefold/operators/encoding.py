@@ -78,6 +78,37 @@ def encode_words(words: Column, path: str) -> Column:
     return F.arrow_udf(encoded, "struct<ids:array<int>,word_of:array<int>>")(words)
 
 
+#: Words whose number of tokens a worker remembers.
+KNOWN = 1 << 18
+_counts: dict[str, dict[str, int]] = {}
+
+
+def count_batch(words: pa.Array, path: str) -> pa.Array:
+    """Arrays of words -> arrays of how many tokens each word has. A word that comes again is not encoded again."""
+    coded = pc.fill_null(words.flatten(), "").dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    known = _counts.setdefault(path, {})
+    if len(known) > KNOWN:
+        known.clear()
+    new = [w for w in distinct if w not in known]
+    known.update(zip(new, map(len, _tokenizer(path).encode_batch_fast(new, add_special_tokens=False))))
+    sizes = np.fromiter(map(known.__getitem__, distinct), np.int32, len(distinct))
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(sizes[coded.indices.to_numpy(zero_copy_only=False)], pa.int32()))
+
+
+def count_tokens(words: Column, path: str) -> Column:
+    """How many tokens each word of an array has by itself, which is all that limits need of encode_words(); empty for a null array."""
+
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield count_batch(batch, path)
+
+    counted.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(counted, "array<int>")(words)
+
+
 def encode_windows(rows: DataFrame, key: str, path: str, specials: Specials, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """ML-01: rows (key, question, words, boxes) -> key, window, start, n_tokens, input_ids, sequence, word_ids, boxes.
 
