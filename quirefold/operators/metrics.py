@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..functions.numbers import rate, wilson
-from ..functions.text import anls, common_prefix, content_words, last_number, normalize_answer
+from ..functions.text import common_prefix, content_words, last_number, normalize_answer, normalized_anls
 
 
 def is_correct(state: Column, status: Column, predicted: Column, known: Column) -> Column:
@@ -203,26 +203,29 @@ def system_report(scored: DataFrame) -> DataFrame:
     """AGG-05, AGG-19: system_id, field, usable, text_em, anls, prediction_states, states_on_usable, reference_states, verdict.
 
     scored: field_scores() with known_text, the reference as printed. Texts are scored on usable references only; the
-    verdict says whether that is enough to measure. States are counted before they meet in one row.
+    verdict says whether that is enough to measure. States are counted before they meet in one row. A column reason, null
+    where there is none, gives failure_reasons as well, from the same counts.
     """
+    given = [c for c in scored.columns if c == "reason"]
     usable = F.col("state") == "present_usable"
-    same = F.when(usable, (normalize_answer(F.col("raw_text")) == normalize_answer(F.col("known_text"))).cast("int"))
-    close = F.when(usable, anls(F.col("raw_text"), F.col("known_text")))
-    rows = scored.select("system_id", "field", "parse_status", "state", usable.alias("usable"), same.alias("same"), close.alias("close"))
-    sums = rows.groupBy("system_id", "field", "parse_status", "state").agg(F.count("*").alias("k"), F.count_if("usable").alias("u"), F.sum("same").alias("same"), F.sum("close").alias("close"))
+    texts = scored.select("system_id", "field", "parse_status", "state", *given, usable.alias("usable"), normalize_answer(F.col("raw_text")).alias("said"), normalize_answer(F.col("known_text")).alias("known"))
+    same = F.when(F.col("usable"), (F.col("said") == F.col("known")).cast("int"))
+    close = F.when(F.col("usable"), normalized_anls(F.col("said"), F.col("known")))
+    rows = texts.select("system_id", "field", "parse_status", "state", *given, "usable", same.alias("same"), close.alias("close"))
+    sums = rows.groupBy("system_id", "field", "parse_status", "state", *given).agg(F.count("*").alias("k"), F.count_if("usable").alias("u"), F.sum("same").alias("same"), F.sum("close").alias("close"))
 
     def counted(name: str, number: str) -> tuple[Column, Callable[[Column], Column]]:
         """Numbers by value, from the few rows of a system and field."""
         rows = F.collect_list(F.struct(F.col(name).alias("v"), F.col(number).alias("k")))
 
         def line(r: Column) -> Column:
-            values = F.array_sort(F.array_distinct(F.transform(F.filter(r, lambda x: x["k"] > 0), lambda x: x["v"])))
+            values = F.array_sort(F.array_distinct(F.transform(F.filter(r, lambda x: (x["k"] > 0) & x["v"].isNotNull()), lambda x: x["v"])))
             total = lambda v: F.aggregate(F.filter(r, lambda x: x["v"] == v), F.lit(0).cast("long"), lambda a, x: a + x["k"])
             return F.array_join(F.transform(values, lambda v: F.concat_ws("=", v, total(v).cast("string"))), "; ")
 
         return rows, line
 
-    parts = {"prediction_states": counted("parse_status", "k"), "states_on_usable": counted("parse_status", "u"), "reference_states": counted("state", "k")}
+    parts = {"prediction_states": counted("parse_status", "k"), "states_on_usable": counted("parse_status", "u"), "reference_states": counted("state", "k"), **({"failure_reasons": counted("reason", "k")} if given else {})}
     out = sums.groupBy("system_id", "field").agg(F.sum("u").alias("usable"), F.sum("same").alias("same"), F.sum("close").alias("close"), *[r.alias(n) for n, (r, _) in parts.items()])
     verdict = F.when(F.col("usable") == 0, "not-measurable").when(F.col("usable") >= 50, "measured").otherwise("measured-small-sample")
     return out.select(
