@@ -44,20 +44,21 @@ def annotation_words(text: Column) -> Column:
 
     Words with an empty text or a box without area on the page are dropped; positions count what is left, from 0.
     """
+    return let(F.from_json(text, ANNOTATION), read_words)
 
-    def read(d: Column) -> Column:
-        size = d["meta"]["image_size"]
 
-        def word(line: Column, at: Column, w: Column) -> Column:
-            side = {a: F.array(*[w["quad"][f"{a}{i}"] for i in range(1, 5)]) for a in "xy"}
-            box = clip(side["x"], side["y"], size["width"], size["height"])
-            return F.struct(at.alias("line"), line["category"].alias("category"), line["group_id"].alias("group_id"), collapse(w["text"]).alias("text"), box.alias("box"), (w["is_key"] == 1).alias("is_key"))
+def read_words(d: Column) -> Column:
+    """annotation_words() of an annotation that is a struct already."""
+    size = d["meta"]["image_size"]
 
-        said = F.flatten(F.transform(d["valid_line"], lambda line, at: F.transform(line["words"], lambda w: word(line, at, w))))
-        kept = F.filter(said, lambda x: (x["text"] != "") & x["box"].isNotNull())
-        return F.transform(kept, lambda x, i: F.struct(x["line"].alias("line"), x["category"].alias("category"), x["group_id"].alias("group_id"), i.alias("pos"), x["text"].alias("text"), x["box"].alias("box"), x["is_key"].alias("is_key")))
+    def word(line: Column, at: Column, w: Column) -> Column:
+        side = {a: F.array(*[w["quad"][f"{a}{i}"] for i in range(1, 5)]) for a in "xy"}
+        box = clip(side["x"], side["y"], size["width"], size["height"])
+        return F.struct(at.alias("line"), line["category"].alias("category"), line["group_id"].alias("group_id"), collapse(w["text"]).alias("text"), box.alias("box"), (w["is_key"] == 1).alias("is_key"))
 
-    return let(F.from_json(text, ANNOTATION), read)
+    said = F.flatten(F.transform(d["valid_line"], lambda line, at: F.transform(line["words"], lambda w: word(line, at, w))))
+    kept = F.filter(said, lambda x: (x["text"] != "") & x["box"].isNotNull())
+    return F.transform(kept, lambda x, i: F.struct(x["line"].alias("line"), x["category"].alias("category"), x["group_id"].alias("group_id"), i.alias("pos"), x["text"].alias("text"), x["box"].alias("box"), x["is_key"].alias("is_key")))
 
 
 def parse_annotations(rows: DataFrame, key: str, text: str) -> DataFrame:
